@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import html_text, mixing, packing, quality, secrets
+from quorumlake.llm import fingerprints, html_text, mixing, packing, quality, secrets
 from quorumlake.llm.common import table
 
 
@@ -34,8 +34,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_source_mixing, op4_secret_scan, op7_quality_classifier, op8_html_extraction)
+    f.__name__: f for f in (op2_best_fit_packing, op3_source_mixing, op4_secret_scan, op7_quality_classifier, op8_html_extraction, op9_document_fingerprints)
 }
 
 ORACLES: dict[str, str] = {}
