@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import fingerprints, html_text, mixing, packing, quality, secrets
+from quorumlake.llm import fingerprints, html_text, mixing, packing, quality, secrets, substrings
 from quorumlake.llm.common import table
 
 
@@ -38,8 +38,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_source_mixing, op4_secret_scan, op7_quality_classifier, op8_html_extraction, op9_document_fingerprints)
+    f.__name__: f for f in (op2_best_fit_packing, op3_source_mixing, op4_secret_scan, op7_quality_classifier, op8_html_extraction, op9_document_fingerprints, op10_substring_dedup)
 }
 
 ORACLES: dict[str, str] = {}
