@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import fingerprints, html_text, mixing, packing, quality, secrets, substrings
+from quorumlake.llm import fingerprints, html_text, mixing, neardup, packing, quality, secrets, substrings
 from quorumlake.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -43,7 +47,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_source_mixing, op4_secret_scan, op7_quality_classifier, op8_html_extraction, op9_document_fingerprints, op10_substring_dedup)
+    f.__name__: f for f in (op2_best_fit_packing, op3_source_mixing, op4_secret_scan, op6_minhash_near_dedup, op7_quality_classifier, op8_html_extraction, op9_document_fingerprints, op10_substring_dedup)
 }
 
 ORACLES: dict[str, str] = {}
