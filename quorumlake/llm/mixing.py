@@ -12,9 +12,12 @@ documents; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ from quorumlake.llm.common import numbered_copies, shards_for, word_count, writt
 MAX_EPOCHS = 3
 #: Weights by rank of the source, repeating.
 WEIGHTS = (1, 2, 3)
-COLUMNS = ["doc_id", "no_id", "source", "size", "source_size", "target", "taken"]
+COLUMNS = ["doc_id", "no_id", "source", "size", "source_size", "target", "taken", "tie"]
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float = MAX_EPOCHS) -> np.ndarray:
@@ -99,14 +102,14 @@ def _seed(*parts: object) -> int:
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, shard_docs: int = 2000) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of ``docs``.
+    """doc_id, source, size, source_size, target, taken and tie, a hash of the text, of every row of ``docs``.
 
     The totals of the sources, a row per source, pass through the driver; all
     else is grouped by shards of about ``shard_docs`` documents.
     """
     spark = docs.sparkSession
     ids = [F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id")]  # pandas has no null integers
-    sized = written(numbered_copies(docs.select(*ids, "source", word_count(F.col("text")).alias("size")), "doc_id", "no_id", "source", "size"))
+    sized = written(numbered_copies(docs.select(*ids, "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "doc_id", "no_id", "source", "size", "tie"))
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()
     per.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = np.array([r["source_size"] for r in per], dtype=np.int64)
@@ -123,7 +126,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     ranked = (
         sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
         .drop(sources["source"])
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "copy"), F.lit(n_shards)).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "copy"), F.lit(n_shards)).cast("int"))
     )
 
     def over_shards(rows: pd.DataFrame) -> pd.DataFrame:
@@ -143,16 +146,54 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
         of = dict(zip(quota["rank"], quota["quota"], strict=True))
         parts = []
         for rank, part in rows.groupby("rank", sort=True):
-            part = part.sort_values(["place", "doc_id", "size", "copy"], na_position="last")
+            part = part.sort_values(["place", "doc_id", "tie", "copy"], na_position="last")
             parts.append(part.assign(taken=take_blocks(part["size"].to_numpy(), int(of.get(rank, 0)), block, _seed(seed, int(rank), int(key[0])))))
         return pd.concat(parts)[COLUMNS] if parts else pd.DataFrame({c: [] for c in COLUMNS})
 
     return (
-        ranked.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id", "copy"))
-        .select("doc_id", "no_id", "source", "size", "source_size", "target", "rank", "shard", "copy", "place")
+        ranked.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id", "tie", "copy"))
+        .select("doc_id", "no_id", "source", "size", "source_size", "target", "tie", "rank", "shard", "copy", "place")
         .groupBy("shard")
         .cogroup(shard_quotas.groupBy("shard"))
-        .applyInPandas(choose, "doc_id long, no_id boolean, source string, size long, source_size long, target double, taken long")
+        .applyInPandas(choose, "doc_id long, no_id boolean, source string, size long, source_size long, target double, taken long, tie long")
         .withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id")))
         .drop("no_id")
     )
+
+
+_word = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def first_words(text: str, n: int) -> str:
+    """``text`` up to the end of its ``n``-th word."""
+    end = 0
+    for _, m in zip(range(n), _word.finditer(text), strict=False):
+        end = m.end()
+    return text[:end]
+
+
+def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
+    """The mix as documents: each row of ``docs`` as often as the mix takes it whole, then the words it takes beyond.
+
+    Equal rows are taken together; n_chars, where there is one, is that of the text.
+    """
+    keys = ["doc_id", "source", "tie"]
+    plan = mix(docs, **options).groupBy(*keys).agg(F.sum("taken").alias("all_taken"), F.max("size").alias("size")).filter("all_taken > 0")
+    plan = plan.withColumnsRenamed({k: f"plan_{k}" for k in keys})
+    names, schema, at = docs.columns, docs.schema, docs.columns.index("text")
+    once = docs.withColumn("tie", F.xxhash64("text")).dropDuplicates(keys)
+    joined = once.join(plan, [once[k].eqNullSafe(plan[f"plan_{k}"]) for k in keys])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                whole, rest = divmod(row.column(len(names))[0].as_py(), row.column(len(names) + 1)[0].as_py())
+                texts = [row.column(at)[0].as_py()] * whole
+                if rest:
+                    texts.append(first_words(row.column(at)[0].as_py(), rest))
+                columns = [pa.array(texts, pa.string()) if k == at else row.column(k).take(pa.array([0] * len(texts), pa.int64())) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = joined.select(*[once[c] for c in names], "all_taken", "size").mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
