@@ -1 +1,3 @@
 """Query families; importing this package registers all of them."""
+
+from quorumlake.plans.families import scalars  # noqa: F401
