@@ -1,3 +1,5 @@
 """Query families; importing this package registers all of them."""
 
 from quorumlake.plans.families import scalars  # noqa: F401
+from quorumlake.plans.families import relational  # noqa: F401
+from quorumlake.plans.families import histories  # noqa: F401
