@@ -3,3 +3,5 @@
 from quorumlake.plans.families import scalars  # noqa: F401
 from quorumlake.plans.families import relational  # noqa: F401
 from quorumlake.plans.families import histories  # noqa: F401
+from quorumlake.plans.families import resolution  # noqa: F401
+from quorumlake.plans.families import policies  # noqa: F401
