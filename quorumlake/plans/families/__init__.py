@@ -6,3 +6,4 @@ from quorumlake.plans.families import histories  # noqa: F401
 from quorumlake.plans.families import resolution  # noqa: F401
 from quorumlake.plans.families import policies  # noqa: F401
 from quorumlake.plans.families import coverage  # noqa: F401
+from quorumlake.plans.families import runtime  # noqa: F401

@@ -1,9 +1,22 @@
-"""Driver tables, and the sets of rows that stand in for governed records."""
+"""Driver tables, and a shared folder for tables that a query writes."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: dict[str, str] = {}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder of this session below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        _scratch[app] = f"{base or 'file://' + tempfile.mkdtemp(prefix='quorumlake-')}/queries-{app}"
+    return _scratch[app]
