@@ -97,7 +97,7 @@ def classify(severe: Column, single: Column, material: Column, has_candidate: Co
         F.when(~severe, "not-severe")
         .when(~single, "not-single-sourced")
         .when(~material, "not-material")
-        .when(~has_candidate & severe & single & material, "no-candidate")
+        .when(~has_candidate, "no-candidate")
         .when(~qualified, "not-qualified")
         .when(~capacity, "no-capacity")
     )

@@ -9,6 +9,7 @@ from quorumlake.functions import questions
 from quorumlake.operators import coverage, graph, validation
 from quorumlake.plans.registry import register
 from quorumlake.plans.tables import read
+from quorumlake.sources import text_formats
 
 REQUIREMENTS = "SELECT n_nationkey AS requirement_id, n_regionkey AS contract, CASE n_nationkey % 3 WHEN 0 THEN 'CONCEPT' WHEN 1 THEN 'RELATIONSHIP' ELSE 'INFORMATION_ELEMENT' END AS kind, CASE WHEN n_nationkey % 4 = 0 THEN 'OPTIONAL' ELSE 'REQUIRED' END AS obligation FROM nation"
 STATUSES = f"SELECT r.*, CASE WHEN kind = 'INFORMATION_ELEMENT' THEN 'NOT_EVALUATED' WHEN requirement_id IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) THEN 'SATISFIED' ELSE 'MISSING' END AS status FROM ({REQUIREMENTS}) r"
@@ -150,3 +151,19 @@ def qly_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = d.select("doc_id", F.sha2(F.col("text"), 256).alias("listed"))
     found = d.select("doc_id", F.sha2(F.when(F.col("doc_id") % 29 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("found"))
     return listed.join(found, "doc_id").select("doc_id", F.when(F.col("listed") == F.col("found"), "SAME").otherwise("CHANGED").alias("state"))
+
+
+SCHEMA_SCRIPT = "CREATE TABLE supplier (s_suppkey BIGINT, s_name VARCHAR(25), s_nationkey INT, s_phone VARCHAR(15));\nCREATE TABLE nation (n_nationkey INT, n_name VARCHAR(25));"
+
+
+@register("qly_06_traceability", "SELECT * FROM (VALUES ('supplier', 's_suppkey', 'A'), ('supplier', 's_name', 'A'), ('supplier', 's_nationkey', 'A'), ('supplier', 's_phone', 'B'), ('nation', 'n_nationkey', 'A'), ('nation', 'n_name', 'A')) v(table_name, column_name, category)")
+def qly_06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = text_formats.ddl_columns(spark.createDataFrame([(SCHEMA_SCRIPT,)], "value string"))
+    entries = [(t, c) for t in ("supplier", "nation") for c in read(spark, sf_dir, t).columns]
+    return validation.traceability(columns, spark.createDataFrame(entries, "table_name string, column_name string")).select("table_name", "column_name", "category")
+
+
+@register("qly_07_schema_checks", "SELECT * FROM (VALUES ('table_count', true), ('required_columns', false)) v(\"check\", ok)")
+def qly_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = text_formats.ddl_columns(spark.createDataFrame([(SCHEMA_SCRIPT,)], "value string"))
+    return validation.table_checks(columns, [("supplier", "s_name"), ("nation", "n_regionkey")], 2)

@@ -76,6 +76,23 @@ def snk_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).join(tmp_08(spark, sf_dir), "event_id", "left_anti").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("flt_07_expired_unheld", f"SELECT count(*) AS n FROM events WHERE {DISPOSED}")
+def flt_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tmp_08(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("jn_21_latest_fact", "SELECT o_custkey, o_orderkey, (SELECT first(event_id ORDER BY ts DESC, event_id DESC) FROM events WHERE user_id = o_custkey) AS latest_event FROM orders")
+def jn_21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = _records(spark, sf_dir).groupBy(F.col("user_id").alias("o_custkey")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest_event"))
+    return read(spark, sf_dir, "orders").join(latest, "o_custkey", "left").select("o_custkey", "o_orderkey", "latest_event")
+
+
+@register("win_04_record_order", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts::DATE DESC, value DESC, event_id DESC) AS INT) AS place FROM events")
+def win_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.to_date("ts").desc(), F.col("value").desc(), F.col("event_id").desc()]
+    return _records(spark, sf_dir).select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).alias("place"))
+
+
 # ---- graphs: supplier -> part -> order -> customer -> nation -> region
 
 ENTITIES_SQL = """

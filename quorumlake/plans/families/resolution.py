@@ -125,3 +125,45 @@ def er_04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("er_03_exact_names", f"SELECT {K} % 10 AS tenant_id, {K} AS case_id, 'E' || {K} AS entity_id FROM supplier WHERE {K} % 3 <> 2")
 def er_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.candidates_by_name(*_named(spark, sf_dir), 1.0).select("tenant_id", "case_id", "entity_id")
+
+
+@register("er_06_acronym", f"SELECT case_id, evidence_type, classification FROM ({EVIDENCE_SQL}) WHERE policy = 'Balanced' AND evidence_type IN ('ACRONYM_MATCH')")
+def er_06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return er_05(spark, sf_dir).filter("policy = 'Balanced' and evidence_type in ('ACRONYM_MATCH')").drop("policy")
+
+
+@register("er_07_legal_suffix", f"SELECT case_id, evidence_type, classification FROM ({EVIDENCE_SQL}) WHERE policy = 'Balanced' AND evidence_type IN ('LEGAL_SUFFIX_NORMALIZED')")
+def er_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return er_05(spark, sf_dir).filter("policy = 'Balanced' and evidence_type in ('LEGAL_SUFFIX_NORMALIZED')").drop("policy")
+
+
+@register("er_08_agreement", f"SELECT case_id, evidence_type, classification FROM ({EVIDENCE_SQL}) WHERE policy = 'Balanced' AND evidence_type IN ('DOMAIN_VERIFIED','COUNTRY_MATCH','POSTAL_CODE_MATCH','EMAIL_DOMAIN_VERIFIED','REGISTERED_ADDRESS_MATCH')")
+def er_08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return er_05(spark, sf_dir).filter("policy = 'Balanced' and evidence_type in ('DOMAIN_VERIFIED','COUNTRY_MATCH','POSTAL_CODE_MATCH','EMAIL_DOMAIN_VERIFIED','REGISTERED_ADDRESS_MATCH')").drop("policy")
+
+
+@register("er_09_strong_identifiers", f"SELECT case_id, evidence_type, classification FROM ({EVIDENCE_SQL}) WHERE policy = 'Balanced' AND evidence_type IN ('STRONG_IDENTIFIER_TAX_REGISTRATION','STRONG_IDENTIFIER_LEI','STRONG_IDENTIFIER_EXTERNAL_ID','SOURCE_SYSTEM_CROSSWALK')")
+def er_09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return er_05(spark, sf_dir).filter("policy = 'Balanced' and evidence_type in ('STRONG_IDENTIFIER_TAX_REGISTRATION','STRONG_IDENTIFIER_LEI','STRONG_IDENTIFIER_EXTERNAL_ID','SOURCE_SYSTEM_CROSSWALK')").drop("policy")
+
+
+@register("er_10_parent", f"SELECT case_id, evidence_type, classification FROM ({EVIDENCE_SQL}) WHERE policy = 'Balanced' AND evidence_type IN ('PARENT_SUBSIDIARY_DISTINCTION')")
+def er_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return er_05(spark, sf_dir).filter("policy = 'Balanced' and evidence_type in ('PARENT_SUBSIDIARY_DISTINCTION')").drop("policy")
+
+
+@register("er_11_provenance", f"SELECT case_id, evidence_type, classification FROM ({EVIDENCE_SQL}) WHERE policy = 'Balanced' AND evidence_type IN ('SOURCE_SYSTEM_PROVENANCE')")
+def er_11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return er_05(spark, sf_dir).filter("policy = 'Balanced' and evidence_type in ('SOURCE_SYSTEM_PROVENANCE')").drop("policy")
+
+
+@register("er_14_evaluate_with_override", f"SELECT case_id, CASE WHEN n_veto > 0 THEN 'Blocked Conflict' WHEN case_id % 5 = 0 THEN 'Resolved' ELSE outcome END AS outcome FROM ({DECIDED}) WHERE policy = 'Balanced'")
+def er_14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = _decided(spark, sf_dir).filter("policy = 'Balanced'")
+    override = F.when((F.col("case_id") % 5 == 0) & (F.col("n_veto") == 0), "Resolved")
+    return decided.select("case_id", policy.with_override(F.col("outcome"), override, F.lit(True)).alias("outcome"))
+
+
+@register("jn_07_similar_pairs")
+def jn_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return er_01(spark, sf_dir)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +15,7 @@ from pyspark.sql import types as T
 from quorumlake.operators import pipeline, policy, ranking
 from quorumlake.plans.registry import register
 from quorumlake.plans.tables import read, scratch
-from quorumlake.sources import sinks, text_formats
+from quorumlake.sources import archives, sinks, text_formats
 from quorumlake.streaming import admission, rate_limit
 
 # ---- the six stages, with orders as requests
@@ -204,6 +208,53 @@ def src_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "parsed.amount", F.coalesce(F.array_join("unknown_keys", ","), F.lit("")).alias("unknown"), "well_formed")
 
 
+def _packed(spark: SparkSession, sf_dir: str, member: str, head: str, row: object, tail: str) -> DataFrame:
+    """path, content: a zip per region whose member holds a line per nation."""
+    lines = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("line")))).alias("l"))
+    text = lines.select(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")).alias("path"), F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit(tail)).alias("text"))
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for t in frame["text"]:
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(member, t)
+                out.append(buffer.getvalue())
+            yield pd.DataFrame({"path": frame["path"], "content": out})
+
+    return text.mapInPandas(pack, "path string, content binary")
+
+
+@register("src_01_zipped_csv", "SELECT 'n.csv' AS member, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS row, '{\"id\": \"' || n_nationkey || '\", \"name\": \"' || n_name || '\"}' AS record FROM nation")
+def src_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.concat(F.col("n_nationkey").cast("string"), F.lit(","), "n_name", F.lit("\n"))
+    return archives.zipped_csv(_packed(spark, sf_dir, "n.csv", "id,name\n", row, "")).select("member", "row", "record")
+
+
+@register("src_07_xlsx_rows", "SELECT 'region-' || n_regionkey AS path, n_nationkey + 5 AS row, n_name || ';' || n_regionkey AS cells FROM nation")
+def src_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("n_nationkey") + 5).cast("string")
+    row = F.concat(F.lit('<row r="'), n, F.lit('"><c r="A'), n, F.lit('" t="inlineStr"><is><t>'), "n_name", F.lit('</t></is></c><c r="B'), n, F.lit('"><v>'), F.col("n_regionkey").cast("string"), F.lit("</v></c></row>"))
+    head = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1"><v>0</v></c></row>'
+    rows = archives.xlsx_rows(_packed(spark, sf_dir, "xl/worksheets/sheet1.xml", head, row, "</sheetData></worksheet>"), first_row=5)
+    return rows.select("path", "row", F.array_join("cells", ";").alias("cells"))
+
+
+@register("src_08_docx_blocks", "SELECT 'region-' || n_regionkey AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS place, n_name AS text FROM nation")
+def src_08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.concat(F.lit("<w:p><w:r><w:t>"), "n_name", F.lit("</w:t></w:r></w:p>"))
+    head = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
+    return archives.docx_blocks(_packed(spark, sf_dir, "word/document.xml", head, row, "</w:body></w:document>"))
+
+
+@register("src_10_strict_csv", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
+def src_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    read(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.option("header", True).csv(folder)
+    return text_formats.strict_csv(spark, folder, ["n_nationkey", "n_name"])
+
+
 CONNECTORS = (("relational database", "structured", "planned"), ("object store", "structured,documents", "planned"), ("message queue", "events", "planned"), ("spreadsheets", "structured,documents", "planned"), ("web pages", "documents", "planned"))
 
 

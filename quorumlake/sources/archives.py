@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from quorumlake.functions import ids
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of whole files; the readers below take such rows."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def zipped_csv(spark: SparkSession, path: str) -> DataFrame:
+def zipped_csv(found: DataFrame) -> DataFrame:
     """member, row, record (JSON with sorted keys), id and name of every row of every CSV in zip files (SRC-01)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,7 +32,7 @@ def zipped_csv(spark: SparkSession, path: str) -> DataFrame:
                         rows = csv.DictReader(io.TextIOWrapper(z.open(member), "utf-8-sig"))
                         yield pd.DataFrame([(member, i, json.dumps(r, sort_keys=True, ensure_ascii=False)) for i, r in enumerate(rows)], columns=["member", "row", "record"])
 
-    rows = _files(spark, path).mapInPandas(run, "member string, row int, record string")
+    rows = found.select("path", "content").mapInPandas(run, "member string, row int, record string")
     key = F.concat_ws(":", "member", F.col("row").cast("string"), "record")
     return rows.withColumns({"id": ids.stable_id("row", key), "name": F.substring(F.sha2(key, 256), 1, 24)})
 
@@ -48,7 +49,7 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def xlsx_rows(spark: SparkSession, path: str, first_row: int = 1) -> DataFrame:
+def xlsx_rows(found: DataFrame, first_row: int = 1) -> DataFrame:
     """path, row, cells of the first sheet; inline and shared strings (SRC-07)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,10 +70,10 @@ def xlsx_rows(spark: SparkSession, path: str, first_row: int = 1) -> DataFrame:
                         out.append((name, int(row.get("r", "0")), [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]))
                 yield pd.DataFrame(out, columns=["path", "row", "cells"])
 
-    return _files(spark, path).mapInPandas(run, "path string, row int, cells array<string>")
+    return found.select("path", "content").mapInPandas(run, "path string, row int, cells array<string>")
 
 
-def docx_blocks(spark: SparkSession, path: str) -> DataFrame:
+def docx_blocks(found: DataFrame) -> DataFrame:
     """path, place, text of paragraphs and table rows, cells joined by a padded bar (SRC-08)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +91,7 @@ def docx_blocks(spark: SparkSession, path: str) -> DataFrame:
                 kept = [b for b in blocks if b.strip()]
                 yield pd.DataFrame({"path": name, "place": range(len(kept)), "text": kept})
 
-    return _files(spark, path).mapInPandas(run, "path string, place int, text string")
+    return found.select("path", "content").mapInPandas(run, "path string, place int, text string")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
