@@ -204,7 +204,7 @@ def jn_17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAIN_SQL = """
-    WITH m AS (SELECT l_suppkey, arg_min(l_partkey, l_orderkey * 10 + l_linenumber) AS material, arg_min(l_orderkey, l_orderkey * 10 + l_linenumber) AS contract FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1),
+    WITH m AS (SELECT l_suppkey, first(l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS material, min(l_orderkey) AS contract FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1),
          p AS (SELECT p_partkey, p_name AS product FROM part WHERE p_size > 5), o AS (SELECT o_orderkey, o_orderstatus AS agreement FROM orders WHERE o_orderkey % 4 <> 0)
     SELECT s_suppkey, material, product, agreement, CASE WHEN material IS NULL THEN 'material' WHEN product IS NULL THEN 'product' WHEN agreement IS NULL THEN 'agreement' END AS broken
     FROM supplier LEFT JOIN m ON s_suppkey = l_suppkey LEFT JOIN p ON material = p_partkey LEFT JOIN o ON contract = o_orderkey"""
@@ -212,7 +212,7 @@ CHAIN_SQL = """
 
 @register("jn_18_scenario_chain", CHAIN_SQL)
 def jn_18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").filter("l_partkey % 3 <> 0").select("l_suppkey", F.col("l_partkey").alias("material"), F.col("l_orderkey").alias("contract"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"))
+    lines = read(spark, sf_dir, "lineitem").filter("l_partkey % 3 <> 0").select("l_suppkey", F.col("l_partkey").alias("material"), F.col("l_orderkey").alias("contract"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("row"))
     first = joins.first_match(lines, "l_suppkey", "row", "material", "contract")
     products = read(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("material"), F.col("p_name").alias("product"))
     agreements = read(spark, sf_dir, "orders").filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("contract"), F.col("o_orderstatus").alias("agreement"))
