@@ -4,13 +4,18 @@
 2. A class's five-word k-mers get their occurrence numbers. Each of
    ``SKETCHES`` hash functions selects the ``LEAST`` minimal ones and hashes
    them in text order: classes that share such a tuple meet in a bucket.
-3. A bucket links its members to its least one; a link stands if a banded
-   alignment of the k-mers finds a similarity of ``SIMILARITY`` or more:
-   aligned k-mers in order over all k-mers of both. Links make groups.
+3. A bucket has two centres: the member that meets most others over all
+   buckets, and one drawn by hash; they are compared with the other members. A link stands if a banded alignment
+   of the k-mers finds a similarity of ``SIMILARITY`` or more: aligned k-mers
+   in order over all k-mers of both. Links make groups.
 4. Members of a bucket that are in different groups after that are compared
-   pair by pair, so that no candidate is left out; buckets of one group, as
+   across groups, so that no candidate is left out; buckets of one group, as
    those of many near copies are, need no pairs.
 
+Before texts are fetched, a pair's overlap is estimated from the ``BOTTOM``
+least hashes of each text's numbered k-mers, inside the join that finds the
+pair: pairs more than four standard errors below the threshold go no further.
+
 A group is labelled by its smallest doc_id. Defined cases: a null text is near
 nothing; texts of fewer than five words are one k-mer; a text without words is
 near its equal copies only; a null doc_id is never a label if its group has
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.llm import words
@@ -36,6 +41,8 @@ K, SIMILARITY = 5, 0.8
 #: Tuples of a text, and k-mers in each: at 0.8 a pair is missed once in about a thousand times.
 SKETCHES, LEAST = 40, 8
 SEED = 0x51ED270B
+#: Least hashes kept of a text, and the estimated overlap below which a pair can't be similar: 0.8 less four standard errors.
+BOTTOM, LIKELY = 160, 0.674
 
 
 def kmer_hashes(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -112,28 +119,56 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return common >= 0 and common >= least * (n + m - common)
 
 
-def sketches(classes: DataFrame, k: int = K, count: int = SKETCHES, least: int = LEAST) -> DataFrame:
-    """digest, bucket: a row for each tuple of each text that has words."""
+def bottom(kmers: np.ndarray, count: int = BOTTOM) -> np.ndarray:
+    """The least hashes, of 32 bits, of the numbered k-mers."""
+    x = (numbered(kmers) >> np.uint64(32)).astype(np.uint32)
+    return (np.partition(x, count)[:count] if len(x) > count else x).view(np.int32)
+
+
+def sketches(texts: DataFrame, k: int = K, count: int = SKETCHES, least: int = LEAST) -> DataFrame:
+    """doc_id, digest, buckets, bottom of each text that has words: its tuples, and its least hashes."""
     salts = words.mixed(np.arange(SEED, SEED + count, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, buckets = [], []
-            for first, data, offsets in words.slabs(batch.column(1)):
+            rows, buckets, bottoms = [], [], []
+            for first, data, offsets in words.slabs(batch.column(2)):
                 hashes, counts = words.word_hashes(data, offsets)
                 for i in range(len(counts) - 1):
                     if counts[i + 1] > counts[i]:
+                        kmers = kmer_hashes(hashes[counts[i] : counts[i + 1]], k)
                         rows.append(first + i)
-                        buckets.append(sketch(kmer_hashes(hashes[counts[i] : counts[i + 1]], k), salts, least))
+                        buckets.append(sketch(kmers, salts, least))
+                        bottoms.append(bottom(kmers))
             values = np.concatenate(buckets).view(np.int64) if buckets else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * count, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), lists], names=["digest", "buckets"])
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in bottoms], dtype=np.int64)))
+            lows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bottoms) if bottoms else np.zeros(0, dtype=np.int32)))
+            kept = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), lists, lows], names=["doc_id", "digest", "buckets", "bottom"])
+
+    return texts.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, buckets array<long>, bottom array<int>")
+
 
-    return classes.select("digest", "text").mapInArrow(run, "digest binary, buckets array<long>").select("digest", F.explode("buckets").alias("bucket"))
+def of_firsts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """One of the rows of each class: that of its first document.
 
+    Joined by document and digest together, so that a text with very many copies is not one key.
+    """
+    own = firsts.select(F.col("first").alias("_first"), F.col("digest").alias("_digest"))
+    return rows.join(own, rows["doc_id"].eqNullSafe(own["_first"]) & (rows["digest"] == own["_digest"]), "left_semi").dropDuplicates(["doc_id", "digest"])
+
+
+def may_be_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
+    """Whether two texts can be similar by their least hashes; where both are short, that is all of them."""
+    common = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - common
+    short = (F.size(a) < BOTTOM) & (F.size(b) < BOTTOM)
+    return F.when(short, common >= union * (least - 0.02)).otherwise(common >= F.least(union, F.lit(BOTTOM)) * (LIKELY / SIMILARITY * least))
 
-def verified(pairs: DataFrame, classes: DataFrame, k: int = K, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of digests whose texts are similar."""
+
+def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, k: int = K, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of digests whose texts are similar; only the texts of pairs are fetched."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -148,7 +183,8 @@ def verified(pairs: DataFrame, classes: DataFrame, k: int = K, least: float = SI
             keep = [similar(kmers(a, s), kmers(b, t), least) for a, b, s, t in zip(frame["a"], frame["b"], frame["text_a"], frame["text_b"], strict=True)]
             yield frame.loc[keep, ["a", "b"]]
 
-    texts = classes.select("digest", "text")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    texts = written(of_firsts(texts, firsts.join(wanted, "digest", "left_semi")).select("digest", "text"))
     both = pairs.join(texts.withColumnsRenamed({"digest": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"digest": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
 
@@ -181,28 +217,37 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
     members = own.select("doc_id", digest.alias("digest"))
     firsts = members.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    labelled = own.select("doc_id", digest.alias("digest"), "text")
-    # one row of each class has its text: that of its first document
-    classes = labelled.join(firsts, "digest").filter("doc_id <=> first").dropDuplicates(["digest"]).select("digest", "text")
-    classes = written(classes)
-
-    found = written(sketches(classes, k, count, least))
-    heads = found.groupBy("bucket").agg(F.min("digest").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "a")
-    met = written(found.join(heads, "bucket").select("bucket", "a", F.col("digest").alias("b")))
-    stars = met.filter("a != b").select("a", "b").distinct()
-    links = written(verified(stars, classes, k, similarity))
+    texts = own.filter("text is not null").select("doc_id", digest.alias("digest"), "text")
+    firsts = written(firsts)
+
+    sketched = written(of_firsts(sketches(texts, k, count, least), firsts))
+    bottoms = sketched.select("digest", "bottom")
+    found = sketched.select("digest", F.explode("buckets").alias("bucket"))
+    shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = written(found.join(shared, "bucket"))
+    degree = met.groupBy("digest").agg(F.sum("n").alias("degree"))
+    best, drawn = F.max(F.struct("degree", "digest")), F.min(F.struct(F.xxhash64("bucket", "digest").alias("draw"), "digest"))
+    two = met.join(degree, "digest").groupBy("bucket").agg(best.alias("best"), drawn.alias("drawn"))
+    centres = two.select("bucket", F.explode(F.array_distinct(F.array("best.digest", "drawn.digest"))).alias("a"))
+    pairs = met.join(centres, "bucket").filter("a != digest").select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct()
+    with_a = pairs.join(bottoms.withColumnsRenamed({"digest": "a", "bottom": "bottom_a"}), "a")
+    with_b = with_a.join(bottoms.withColumnsRenamed({"digest": "b", "bottom": "bottom_b"}), "b")
+    stars = written(with_b.filter(may_be_similar(F.col("bottom_a"), F.col("bottom_b"), similarity)).select("a", "b"))
+    links = written(verified(stars, texts, firsts, k, similarity))
 
     # buckets that hold more than one group still: the pairs across groups that the stars didn't compare
     label = components(links)
-    grouped = met.join(label.withColumnRenamed("node", "b"), "b", "left").select("bucket", "a", F.col("b").alias("digest"), F.coalesce("label", F.col("b")).alias("label"))
+    grouped = met.join(label.withColumnRenamed("node", "digest"), "digest", "left").select("bucket", "digest", F.coalesce("label", "digest").alias("label"))
     split = grouped.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-    left = written(grouped.join(split, "bucket", "left_semi").select("bucket", "digest", "label"))
+    left = written(grouped.join(split, "bucket", "left_semi").join(bottoms, "digest"))
     sizes = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    minor = left.join(largest, "bucket").filter("label != largest").select("bucket", F.col("digest").alias("x"), F.col("label").alias("label_x"))
-    across = minor.join(left, "bucket").filter("label != label_x").select(F.least("x", "digest").alias("a"), F.greatest("x", "digest").alias("b"))
+    minor = left.join(largest, "bucket").filter("label != largest").select("bucket", F.col("digest").alias("x"), F.col("label").alias("label_x"), F.col("bottom").alias("bottom_x"))
+    differ = (minor["bucket"] == left["bucket"]) & (F.col("label") != F.col("label_x")) & may_be_similar(F.col("bottom"), F.col("bottom_x"), similarity)
+    across = minor.join(left, differ).select(F.least("x", "digest").alias("a"), F.greatest("x", "digest").alias("b"))
     rest = across.distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(verified(rest, classes, k, similarity))
+    rest = written(rest)
+    more = written(verified(rest, texts, firsts, k, similarity))
 
     every = written(links.unionByName(more))
     label = components(every) if not more.isEmpty() else label

@@ -58,7 +58,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_source_mixing, op4_secret_scan, op5_exact_top_k, op6_minhash_near_dedup, op7_quality_classifier, op8_html_extraction, op9_document_fingerprints, op10_substring_dedup)
 }
 
+def _secret_oracle() -> str:
+    """Spans by splitting a text at a rule's matches: a match starts after the pieces and matches before it."""
+    parts = []
+    for k, rule in enumerate(secrets.RULES):
+        pattern = ("(?i)" if rule.any_case else "") + rule.pattern.replace("'", "''")
+        parts.append(f"""
+            SELECT row_id, {k} AS kind_no, '{rule.kind}' AS kind, i, group_text,
+                CAST(list_sum(list_transform(pieces[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(matches[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, length(matches[i]) AS size
+            FROM (SELECT row_id, string_split_regex(text, '{pattern}') AS pieces, regexp_extract_all(text, '{pattern}') AS matches, regexp_extract_all(text, '{pattern}', {rule.group}) AS groups FROM d),
+                LATERAL (SELECT unnest(range(1, len(matches) + 1)) AS i), LATERAL (SELECT groups[i] AS group_text) WHERE length(groups[i]) >= {rule.least}""")
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE_RULES)
+    joined = "string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, kind_no)"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents), s AS ({" UNION ALL ".join(parts)}),
+        g AS (SELECT row_id, {counts}, {joined} FILTER (WHERE kind IN ({base})) AS base, {joined} AS spans FROM s GROUP BY row_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (row_id)"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_secret_scan": _secret_oracle(),
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(doc_id, 9223372036854775807) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT row_id, id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS p) WHERE len(w) >= 50),
+        firsts AS (SELECT h, min(id) AS low FROM windows GROUP BY h),
+        removed AS (SELECT DISTINCT row_id, p + o AS k FROM (SELECT row_id, p FROM windows JOIN firsts USING (h) WHERE id > low), LATERAL (SELECT unnest(range(0, 50)) AS o)),
+        gone AS (SELECT row_id, list(k) AS ks FROM removed GROUP BY row_id),
+        kept AS (SELECT d.row_id, doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed, CASE WHEN ks IS NULL THEN array_to_string(w, ' ') ELSE (SELECT coalesce(string_agg(x, ' ' ORDER BY i), '') FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i) WHERE NOT list_contains(ks, i)) END AS kept FROM d LEFT JOIN gone USING (row_id))
+        SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM kept
+    """,
     "op5_exact_top_k": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS v

@@ -138,12 +138,12 @@ def repeated(suffix: DataFrame, group: int = GROUP) -> DataFrame:
     total = suffix.count()
     slots = max(1, min(SLOTS, -(-total // group)))
     cut = suffix.withColumns({"a": F.floor(F.shiftright("slot", 8) * slots / SLOTS).cast("int"), "b": F.shiftright("slot", 4) % FINER, "c": F.col("slot") % FINER})
-    # a row for each slot of each level that is in use, at most 256 for every ``group`` suffixes
     sizes = cut.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
     n1, n2 = F.sum("n").over(Window.partitionBy("a")), F.sum("n").over(Window.partitionBy("a", "b"))
     level = F.when(n1 <= 2 * group, 1).when(n2 <= 2 * group, 2).when(F.col("n") <= 2 * group, 3).otherwise(4)
-    plan = written(sizes.withColumn("level", level).select("a", "b", "c", "level"))
-    dealt = cut.join(plan, ["a", "b", "c"])
+    # only slots of too many suffixes are listed, at most 256 rows for each
+    plan = written(sizes.withColumn("level", level).filter("level > 1").select("a", "b", "c", "level"))
+    dealt = cut.join(plan, ["a", "b", "c"], "left").withColumn("level", F.coalesce("level", F.lit(1)))
     small = (
         dealt.filter("level < 4")
         .select("id", "tie", "place", "h1", "h2", "a", F.when(F.col("level") >= 2, F.col("b")).otherwise(-1).alias("b"), F.when(F.col("level") == 3, F.col("c")).otherwise(-1).alias("c"))
