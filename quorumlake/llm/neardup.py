@@ -13,8 +13,9 @@
    those of many near copies are, need no pairs.
 
 Before texts are fetched, a pair's overlap is estimated from the ``BOTTOM``
-least hashes of each text's numbered k-mers, inside the join that finds the
-pair: pairs more than four standard errors below the threshold go no further.
+least hashes of each text's numbered k-mers and their number, inside the join
+that finds the pair: pairs more than ``ERRORS`` standard errors below the
+threshold go no further.
 
 A group is labelled by its smallest doc_id. Defined cases: a null text is near
 nothing; texts of fewer than five words are one k-mer; a text without words is
@@ -41,8 +42,8 @@ K, SIMILARITY = 5, 0.8
 #: Tuples of a text, and k-mers in each: at 0.8 a pair is missed once in about a thousand times.
 SKETCHES, LEAST = 40, 8
 SEED = 0x51ED270B
-#: Least hashes kept of a text, and the estimated overlap below which a pair can't be similar: 0.8 less four standard errors.
-BOTTOM, LIKELY = 160, 0.674
+#: Least hashes kept of a text, and the standard errors below the threshold at which an estimated overlap rules a pair out.
+BOTTOM, ERRORS = 400, 4
 
 
 def kmer_hashes(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -120,18 +121,18 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def bottom(kmers: np.ndarray, count: int = BOTTOM) -> np.ndarray:
-    """The least hashes, of 32 bits, of the numbered k-mers."""
-    x = (numbered(kmers) >> np.uint64(32)).astype(np.uint32)
-    return (np.partition(x, count)[:count] if len(x) > count else x).view(np.int32)
+    """The least hashes, of 31 bits, of the numbered k-mers, ascending."""
+    x = (numbered(kmers) >> np.uint64(33)).astype(np.int32)
+    return np.sort(np.partition(x, count)[:count] if len(x) > count else x)
 
 
 def sketches(texts: DataFrame, k: int = K, count: int = SKETCHES, least: int = LEAST) -> DataFrame:
-    """doc_id, digest, buckets, bottom of each text that has words: its tuples, and its least hashes."""
+    """doc_id, digest, buckets, sample of each text that has words: its tuples, its number of k-mers and their least hashes."""
     salts = words.mixed(np.arange(SEED, SEED + count, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, buckets, bottoms = [], [], []
+            rows, buckets, bottoms, sizes = [], [], [], []
             for first, data, offsets in words.slabs(batch.column(2)):
                 hashes, counts = words.word_hashes(data, offsets)
                 for i in range(len(counts) - 1):
@@ -140,14 +141,16 @@ def sketches(texts: DataFrame, k: int = K, count: int = SKETCHES, least: int = L
                         rows.append(first + i)
                         buckets.append(sketch(kmers, salts, least))
                         bottoms.append(bottom(kmers))
+                        sizes.append(len(kmers))
             values = np.concatenate(buckets).view(np.int64) if buckets else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * count, pa.int32()), pa.array(values))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in bottoms], dtype=np.int64)))
             lows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bottoms) if bottoms else np.zeros(0, dtype=np.int32)))
+            sample = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lows], names=["kmers", "bottom"])
             kept = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), lists, lows], names=["doc_id", "digest", "buckets", "bottom"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), lists, sample], names=["doc_id", "digest", "buckets", "sample"])
 
-    return texts.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, buckets array<long>, bottom array<int>")
+    return texts.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, buckets array<long>, sample struct<kmers: int, bottom: array<int>>")
 
 
 def of_firsts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -160,11 +163,15 @@ def of_firsts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def may_be_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
-    """Whether two texts can be similar by their least hashes; where both are short, that is all of them."""
-    common = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - common
-    short = (F.size(a) < BOTTOM) & (F.size(b) < BOTTOM)
-    return F.when(short, common >= union * (least - 0.02)).otherwise(common >= F.least(union, F.lit(BOTTOM)) * (LIKELY / SIMILARITY * least))
+    """Whether two texts can be similar by their samples; where both are short, those hold all k-mers.
+
+    Of the larger text's ``BOTTOM`` least hashes, those that the other text has too are a hypergeometric draw.
+    """
+    most, fewest = F.greatest(a["kmers"], b["kmers"]), F.least(a["kmers"], b["kmers"])
+    shared = (a["kmers"] + b["kmers"]) * (least / (1 + least))  # k-mers that similar texts have in common
+    drawn, part = F.least(most, F.lit(BOTTOM)), shared / most
+    error = F.sqrt(drawn * part * F.greatest(1 - part, F.lit(0.0)) * (1 - drawn / most))
+    return (fewest >= shared - 1) & (F.size(F.array_intersect(a["bottom"], b["bottom"])) >= drawn * part - ERRORS * error - 1)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, k: int = K, least: float = SIMILARITY) -> DataFrame:
@@ -221,7 +228,7 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     firsts = written(firsts)
 
     sketched = written(of_firsts(sketches(texts, k, count, least), firsts))
-    bottoms = sketched.select("digest", "bottom")
+    samples = sketched.select("digest", "sample")
     found = sketched.select("digest", F.explode("buckets").alias("bucket"))
     shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = written(found.join(shared, "bucket"))
@@ -230,21 +237,23 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     two = met.join(degree, "digest").groupBy("bucket").agg(best.alias("best"), drawn.alias("drawn"))
     centres = two.select("bucket", F.explode(F.array_distinct(F.array("best.digest", "drawn.digest"))).alias("a"))
     pairs = met.join(centres, "bucket").filter("a != digest").select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct()
-    with_a = pairs.join(bottoms.withColumnsRenamed({"digest": "a", "bottom": "bottom_a"}), "a")
-    with_b = with_a.join(bottoms.withColumnsRenamed({"digest": "b", "bottom": "bottom_b"}), "b")
-    stars = written(with_b.filter(may_be_similar(F.col("bottom_a"), F.col("bottom_b"), similarity)).select("a", "b"))
+    with_a = pairs.join(samples.withColumnsRenamed({"digest": "a", "sample": "sample_a"}), "a")
+    with_b = with_a.join(samples.withColumnsRenamed({"digest": "b", "sample": "sample_b"}), "b")
+    stars = written(with_b.filter(may_be_similar(F.col("sample_a"), F.col("sample_b"), similarity)).select("a", "b"))
     links = written(verified(stars, texts, firsts, k, similarity))
 
     # buckets that hold more than one group still: the pairs across groups that the stars didn't compare
     label = components(links)
     grouped = met.join(label.withColumnRenamed("node", "digest"), "digest", "left").select("bucket", "digest", F.coalesce("label", "digest").alias("label"))
     split = grouped.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-    left = written(grouped.join(split, "bucket", "left_semi").join(bottoms, "digest"))
-    sizes = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    minor = left.join(largest, "bucket").filter("label != largest").select("bucket", F.col("digest").alias("x"), F.col("label").alias("label_x"), F.col("bottom").alias("bottom_x"))
-    differ = (minor["bucket"] == left["bucket"]) & (F.col("label") != F.col("label_x")) & may_be_similar(F.col("bottom"), F.col("bottom_x"), similarity)
-    across = minor.join(left, differ).select(F.least("x", "digest").alias("a"), F.greatest("x", "digest").alias("b"))
+    left = grouped.join(split, "bucket", "left_semi").join(sketched.select("digest", "sample", "buckets"), "digest")
+    largest = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    left = written(left.join(largest, "bucket").withColumn("minor", F.expr("label != largest")).drop("largest"))
+    minor = left.filter("minor").select(*(F.col(c).alias(f"{c}_x") for c in ("bucket", "digest", "label", "sample", "buckets")))
+    # a pair is taken in the first bucket that both are in, and once where both are outside the largest group
+    once = (F.col("bucket") == F.array_min(F.array_intersect("buckets", "buckets_x"))) & (~F.col("minor") | (F.col("digest") < F.col("digest_x")))
+    differ = (F.col("bucket") == F.col("bucket_x")) & (F.col("label") != F.col("label_x")) & once & may_be_similar(F.col("sample"), F.col("sample_x"), similarity)
+    across = minor.join(left, differ).select(F.least("digest_x", "digest").alias("a"), F.greatest("digest_x", "digest").alias("b"))
     rest = across.distinct().join(stars, ["a", "b"], "left_anti")
     rest = written(rest)
     more = written(verified(rest, texts, firsts, k, similarity))

@@ -438,3 +438,24 @@ def test_word_hashes_follow_words():
     assert counts.tolist() == [0, 3, 3, 5, 6, 7, 10]
     flat = [w for t in texts for w in t.split()]
     assert len({(w, h) for w, h in zip(flat, hashes.tolist(), strict=True)}) == len(set(flat)) == len(set(hashes.tolist()))
+
+
+def test_samples_rule_out_no_similar_pair(spark):
+    """Pairs of 0.8 or a little more, short and long, of equal and unequal sizes, all pass; unlike pairs mostly don't."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for similarity in (0.8, 0.81, 0.5):
+        for n in (1, 10, 300, 399, 400, 401, 700, 5_000):
+            for left_out in (0.0, 0.5, 1.0):  # share of what differs that only the first text has
+                for _ in range(10):
+                    common = max(1, round(n * similarity)) if n > 1 else 1
+                    extra = int(common / similarity) - common
+                    own = round(extra * left_out)
+                    x = rng.integers(0, 1 << 63, common + extra, dtype=np.uint64)
+                    a, b = x[: common + own], np.concatenate((x[:common], x[common + own :]))
+                    rows.append((similarity, n, *((len(t), neardup.bottom(t).tolist()) for t in (a, b))))
+    kind = "struct<kmers: int, bottom: array<int>>"
+    pairs = spark.createDataFrame(rows, f"similarity double, n int, a {kind}, b {kind}")
+    found = pairs.select("similarity", "n", neardup.may_be_similar(F.col("a"), F.col("b")).alias("may")).toPandas()
+    assert found[found["similarity"] >= 0.8]["may"].all()
+    assert not found[(found["similarity"] == 0.5) & (found["n"] >= 300)]["may"].any()
