@@ -196,22 +196,38 @@ def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, k: int = K,
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
 
 
+def contracted(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """The edges (a, b) between the labels of their ends, each once, without those inside a label."""
+    ends = edges
+    for end in ("a", "b"):
+        of = label.select(F.col("node").alias(end), F.col("label").alias("_label"))
+        ends = ends.join(of, end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
+    return written(ends.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def relabelled(label: DataFrame, further: DataFrame) -> DataFrame:
+    """``label`` with its labels replaced by the labels that these have in ``further``."""
+    onward = further.select(F.col("node").alias("label"), F.col("label").alias("_onward"))
+    return label.join(onward, "label", "left").withColumn("label", F.coalesce("_onward", "label")).drop("_onward")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node that each node of ``links`` (a, b) is connected to.
 
-    Each round a node takes the least label among its neighbours', then that
-    label's own label, so that paths halve; it ends when no label changes.
+    Each round a node points to its least neighbour, if that is less than itself; the paths
+    are halved until all point to their ends, and the edges left between ends go on: each
+    round has far fewer.
     """
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    edges, labels = written(links.select("a", "b").distinct()), None
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
-        next_label = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("via"))
-        jumped = written(
-            next_label.join(labels.select(F.col("node").alias("via"), F.col("label").alias("further")), "via").select("node", "old", F.least("via", "further").alias("label"))
-        )
-        labels = jumped.select("node", "label")
-        if jumped.filter("old != label").isEmpty():
+        near = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("least"))
+        points, moved = written(near.select(F.col("a").alias("node"), F.least("a", "least").alias("label"))), True
+        while moved:
+            jumped = written(relabelled(points.withColumn("old", F.col("label")), points))
+            points, moved = jumped.select("node", "label"), not jumped.filter("old != label").isEmpty()
+        labels = points if labels is None else written(relabelled(labels, points))
+        edges = contracted(edges, points)
+        if edges.isEmpty():
             return labels
 
 
@@ -259,9 +275,10 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     more = written(verified(rest, texts, firsts, k, similarity))
 
     every = written(links.unionByName(more))
-    label = components(every) if not more.isEmpty() else label
+    further = components(contracted(more, label))
     counts = every.select("a").unionAll(every.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("n_links"))
     nodes = firsts.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    nodes = relabelled(nodes, further)
     groups = nodes.groupBy("label").agg(F.min("first").alias("group_id"))
     by_class = nodes.join(groups, "label").join(counts, "digest", "left").select("digest", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return members.join(by_class, "digest", "left").select(

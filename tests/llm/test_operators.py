@@ -459,3 +459,19 @@ def test_samples_rule_out_no_similar_pair(spark):
     found = pairs.select("similarity", "n", neardup.may_be_similar(F.col("a"), F.col("b")).alias("may")).toPandas()
     assert found[found["similarity"] >= 0.8]["may"].all()
     assert not found[(found["similarity"] == 0.5) & (found["n"] >= 300)]["may"].any()
+
+
+def test_components_match_a_plain_search(spark):
+    """Paths, stars with a large centre, cycles and random graphs; no links give no nodes."""
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(999, k) for k in range(200, 240)] + [(300, 301), (301, 302), (300, 302)]
+    edges += [tuple(sorted(rng.sample(range(400, 520), 2))) for _ in range(80)]
+    least = {}
+    for a, b in edges:
+        least.setdefault(a, a), least.setdefault(b, b)
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = neardup.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["label"] for r in found.collect()} == least
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
