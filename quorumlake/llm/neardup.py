@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,11 @@ SEED = 0x51ED270B
 BOTTOM, ERRORS = 400, 4
 
 
+def ratio(least: float) -> Fraction:
+    """A threshold as the fraction that it is written as: 0.8 is 4/5."""
+    return Fraction(str(least))
+
+
 def kmer_hashes(hashes: np.ndarray, k: int = K) -> np.ndarray:
     """Hashes of a text's k-mers in order; a shorter text is one k-mer."""
     if len(hashes) < k:
@@ -110,14 +116,16 @@ def aligned(a: list[int], b: list[int], most: int) -> int:
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether the k-mers aligned in order are ``least`` of all k-mers of both, or more."""
     n, m = len(a), len(b)
-    need = -(-least * (n + m) // (1 + least)) if n and m else 1  # common k-mers: c / (n + m - c) >= least
+    share = ratio(least)
+    part, whole = share.numerator, share.denominator
+    need = -(-part * (n + m) // (part + whole)) if n and m else 1  # common k-mers: c / (n + m - c) >= least, in whole numbers
     if min(n, m) < need:
         return False
     a, b = a.tolist(), b.tolist()
     if sum((Counter(a) & Counter(b)).values()) < need:  # not even in any order
         return False
-    common = aligned(a, b, int(n + m - 2 * need))
-    return common >= 0 and common >= least * (n + m - common)
+    common = aligned(a, b, n + m - 2 * need)
+    return common >= 0 and common * whole >= part * (n + m - common)
 
 
 def bottom(kmers: np.ndarray, count: int = BOTTOM) -> np.ndarray:

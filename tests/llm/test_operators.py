@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -259,6 +260,18 @@ def test_groups_are_those_of_all_pairs(spark):
     assert {r.group_id for r in out if r.doc_id in (24, 25)} == {24, 25}
 
 
+def test_similarity_is_exact_at_the_threshold():
+    """All sizes up to 200 k-mers, at the least common number that reaches 4/5 and one below it, by exact fractions."""
+    for n in range(1, 201):
+        for m in range(n, min(200, n + n // 4 + 2) + 1):
+            need = next(c for c in range(n + m + 1) if Fraction(c, max(1, n + m - c)) >= Fraction(4, 5))
+            for common in (need, need - 1):
+                if 0 < common <= n:
+                    a = np.arange(n, dtype=np.uint64)
+                    b = np.concatenate((a[:common], np.arange(1000, 1000 + m - common, dtype=np.uint64)))
+                    assert neardup.similar(a, b) == (common == need), (n, m, common)
+
+
 def test_alignment_is_the_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
