@@ -4,6 +4,9 @@
 2. A class's five-word k-mers get their occurrence numbers. Each of
    ``SKETCHES`` hash functions selects the ``LEAST`` minimal ones and hashes
    them in text order: classes that share such a tuple meet in a bucket.
+   Tuples say little of short texts, so classes of at most ``SHORT`` k-mers
+   also meet by their rarest ones: of n k-mers, similar texts share one of the
+   n - 0.8 n + 1 that come first in a common order. None of their pairs is missed.
 3. A bucket has two centres: the member that meets most others over all
    buckets, and one drawn by hash; they are compared with the other members. A link stands if a banded alignment
    of the k-mers finds a similarity of ``SIMILARITY`` or more: aligned k-mers
@@ -40,8 +43,10 @@ from quorumlake.llm import words
 from quorumlake.llm.common import written
 
 K, SIMILARITY = 5, 0.8
-#: Tuples of a text, and k-mers in each: at 0.8 a pair is missed once in about a thousand times.
+#: Tuples of a text, and k-mers in each: at 0.8 a pair of long texts is missed once in about a thousand times.
 SKETCHES, LEAST = 40, 8
+#: K-mers of the texts that also meet by their rarest k-mers, so that their pairs are found exactly.
+SHORT = 75
 SEED = 0x51ED270B
 #: Least hashes kept of a text, and the standard errors below the threshold at which an estimated overlap rules a pair out.
 BOTTOM, ERRORS = 400, 4
@@ -135,12 +140,15 @@ def bottom(kmers: np.ndarray, count: int = BOTTOM) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, k: int = K, count: int = SKETCHES, least: int = LEAST) -> DataFrame:
-    """doc_id, digest, buckets, sample of each text that has words: its tuples, its number of k-mers and their least hashes."""
+    """doc_id, digest, buckets, sample, short of each text that has words.
+
+    These are its tuples, its number of k-mers and their least hashes, and all numbered k-mers of a short text.
+    """
     salts = words.mixed(np.arange(SEED, SEED + count, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, buckets, bottoms, sizes = [], [], [], []
+            rows, buckets, bottoms, sizes, shorts = [], [], [], [], []
             for first, data, offsets in words.slabs(batch.column(2)):
                 hashes, counts = words.word_hashes(data, offsets)
                 for i in range(len(counts) - 1):
@@ -150,15 +158,32 @@ def sketches(texts: DataFrame, k: int = K, count: int = SKETCHES, least: int = L
                         buckets.append(sketch(kmers, salts, least))
                         bottoms.append(bottom(kmers))
                         sizes.append(len(kmers))
+                        shorts.append(numbered(kmers).view(np.int64) if len(kmers) <= SHORT else None)
             values = np.concatenate(buckets).view(np.int64) if buckets else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * count, pa.int32()), pa.array(values))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in bottoms], dtype=np.int64)))
             lows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bottoms) if bottoms else np.zeros(0, dtype=np.int32)))
             sample = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lows], names=["kmers", "bottom"])
             kept = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), lists, sample], names=["doc_id", "digest", "buckets", "sample"])
+            columns = [batch.column(0).take(kept), batch.column(1).take(kept), lists, sample, pa.array(shorts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "buckets", "sample", "short"])
+
+    return texts.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, buckets array<long>, sample struct<kmers: int, bottom: array<int>>, short array<long>")
+
 
-    return texts.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, buckets array<long>, sample struct<kmers: int, bottom: array<int>>")
+def rarest(sketched: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """digest, rare: the k-mers of each short text by which it meets all similar short texts.
+
+    The common order is by the number of short texts that hold a k-mer, so that the buckets are small.
+    """
+    share = ratio(least)
+    each = sketched.filter("short is not null").select("digest", F.explode("short").alias("kmer"))
+    held = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(held, "kmer").groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("n", "kmer"))).alias("all"))
+    # of n k-mers, similar texts have ceil(least * n) in common
+    first = F.size("all") - F.expr(f"(size(all) * {share.numerator}L + {share.denominator - 1}L) div {share.denominator}L").cast("int") + 1
+    met = F.filter(F.slice("all", F.lit(1), first), lambda x: x["n"] > 1)
+    return ordered.select("digest", F.transform(met, lambda x: x["kmer"]).alias("rare"))
 
 
 def of_firsts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -252,6 +277,8 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     firsts = written(firsts)
 
     sketched = written(of_firsts(sketches(texts, k, count, least), firsts))
+    buckets = F.when(F.col("rare").isNull(), F.col("buckets")).otherwise(F.array_union("buckets", "rare"))
+    sketched = written(sketched.join(rarest(sketched, similarity), "digest", "left").select("digest", "sample", buckets.alias("buckets")))
     samples = sketched.select("digest", "sample")
     found = sketched.select("digest", F.explode("buckets").alias("bucket"))
     shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

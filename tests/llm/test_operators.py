@@ -260,6 +260,31 @@ def test_groups_are_those_of_all_pairs(spark):
     assert {r.group_id for r in out if r.doc_id in (24, 25)} == {24, 25}
 
 
+def test_short_near_texts_all_meet(spark):
+    """One word appended, dropped or put before, and texts at 0.8: groups are those of all pairs of short texts."""
+    rng = random.Random(23)
+    texts = []
+    for n in [*range(5, 31), 45, 64, 79]:
+        w = prose(rng, n, 10**6).split()
+        texts += [" ".join(w), " ".join([*w, "tail"]), " ".join(w[:-1]), " ".join(["head", *w])]
+        texts += [" ".join(w + prose(rng, extra, 10**6).split()) for extra in range(2, 1 + (n - 4) // 4)[-2:]]
+    texts = list(dict.fromkeys(texts))
+    kmers = [[tuple(t.split()[i : i + 5]) for i in range(max(1, size_of(t) - 4))] for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(kmers):
+        for j, b in enumerate(kmers[:i]):
+            common = max((len(a) - k for k in range(len(a)) if a[k:] == b[: len(a) - k]), default=0)  # words don't repeat, so texts overlap in one run
+            common = max(common, max((len(b) - k for k in range(len(b)) if b[k:] == a[: len(b) - k]), default=0))
+            common = max(common, *(len(y) for x, y in ((a, b), (b, a)) if any(x[k : k + len(y)] == y for k in range(len(x)))), 0) if set(a) & set(b) else 0
+            if 5 * common >= 4 * (len(a) + len(b) - common):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    out = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    wrong = [r.doc_id for r in out if r.group_id != root[r.doc_id]]
+    assert not wrong, f"{len(wrong)} of {len(texts)} texts in another group"
+    assert len(set(root)) < len(texts) // 2
+
+
 def test_similarity_is_exact_at_the_threshold():
     """All sizes up to 200 k-mers, at the least common number that reaches 4/5 and one below it, by exact fractions."""
     for n in range(1, 201):
