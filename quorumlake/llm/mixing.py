@@ -2,7 +2,10 @@
 
 Equal-token blocks are apportioned twice by highest quotients: over the
 sources by their targets, then, within a source, over its shards by their
-words. A shard then takes its quota of blocks in seeded order.
+words. What whole blocks leave of a target, as where many small shards are at
+their caps, is handed out as part blocks. A shard, of one source and sized by
+the source's own documents, then takes its quota of words, by blocks in seeded
+order.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; sources without words get target 0; equal rows are separate
@@ -69,8 +72,22 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return out
 
 
+def part_blocks(goal: np.ndarray, given: np.ndarray, caps: np.ndarray, total: int) -> np.ndarray:
+    """Words, in all ``total`` less those ``given``, by how far each party is below its ``goal``; at most ``caps`` with those given."""
+    left = max(0, int(total) - int(given.sum()))
+    out = np.zeros(len(given), dtype=np.int64)
+    for room in (np.clip(np.floor(goal).astype(np.int64), given, caps) - given, caps - given):
+        room = np.maximum(room - out, 0)
+        order = np.argsort(-room, kind="stable")
+        part = np.zeros(len(given), dtype=np.int64)
+        part[order] = np.clip(left - (np.cumsum(room[order]) - room[order]), 0, room[order])
+        out += part
+        left -= int(part.sum())
+    return out
+
+
 def take_blocks(sizes: np.ndarray, quota: int, block: int, seed: int) -> np.ndarray:
-    """Words taken from each document of a stream cut into blocks of ``block`` words.
+    """Words taken, ``quota`` in all, from each document of a stream cut into blocks of ``block`` words.
 
     Whole passes come first; the rest of the quota is blocks in seeded order,
     the last one in part.
@@ -79,7 +96,7 @@ def take_blocks(sizes: np.ndarray, quota: int, block: int, seed: int) -> np.ndar
     words = int(sizes.sum())
     if not words or not quota:
         return np.zeros(len(sizes), dtype=np.int64)
-    passes, rest = divmod(quota * block, words)
+    passes, rest = divmod(quota, words)
     taken = sizes * passes
     if rest:
         starts = np.arange(0, words, block, dtype=np.int64)
@@ -105,7 +122,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     """doc_id, source, size, source_size, target, taken and tie, a hash of the text, of every row of ``docs``.
 
     The totals of the sources, a row per source, pass through the driver; all
-    else is grouped by shards of about ``shard_docs`` documents.
+    else is grouped by shards of about ``shard_docs`` documents of a source.
     """
     spark = docs.sparkSession
     ids = [F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id")]  # pandas has no null integers
@@ -116,23 +133,26 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     goal = targets(sizes, np.array([weights[i % len(weights)] for i in range(len(per))], dtype=float), float(sizes.sum()), max_epochs)
     least = goal[goal > 0].min() if (goal > 0).any() else 1.0
     block = int(min(512, max(1, least // 256)))
-    quotas = sainte_lague(goal, int(sizes.sum()) // block, np.floor(max_epochs * sizes / block).astype(np.int64))
-    n_shards = shards_for(sum(r["n"] for r in per), shard_docs)
+    most = np.floor(max_epochs * sizes).astype(np.int64)
+    quotas = block * sainte_lague(goal, int(sizes.sum()) // block, most // block)
+    quotas = quotas + part_blocks(goal, quotas, most, min(int(sizes.sum()), int(most.sum())))
 
     sources = spark.createDataFrame(
-        [(i, r["source"], int(sizes[i]), float(goal[i]), int(quotas[i])) for i, r in enumerate(per)],
-        "rank int, source string, source_size long, target double, quota long",
+        [(i, r["source"], int(sizes[i]), float(goal[i]), int(quotas[i]), shards_for(r["n"], shard_docs)) for i, r in enumerate(per)],
+        "rank int, source string, source_size long, target double, quota long, n_shards int",
     )
     ranked = (
         sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
         .drop(sources["source"])
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "copy"), F.lit(n_shards)).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "copy"), "n_shards").cast("int"))
     )
 
     def over_shards(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
         words = rows["words"].to_numpy()
-        rows["quota"] = sainte_lague(words, int(rows["quota"].iloc[0]), np.floor(max_epochs * words / block).astype(np.int64))
+        total, most = int(rows["quota"].iloc[0]), np.floor(max_epochs * words).astype(np.int64)
+        blocks = block * sainte_lague(words, total // block, most // block)
+        rows["quota"] = blocks + part_blocks(total * (words / max(1, words.sum())), blocks, most, total)
         return rows[["rank", "shard", "quota"]]
 
     shard_quotas = (
@@ -143,18 +163,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     )
 
     def choose(key: tuple, rows: pd.DataFrame, quota: pd.DataFrame) -> pd.DataFrame:
-        of = dict(zip(quota["rank"], quota["quota"], strict=True))
-        parts = []
-        for rank, part in rows.groupby("rank", sort=True):
-            part = part.sort_values(["place", "doc_id", "tie", "copy"], na_position="last")
-            parts.append(part.assign(taken=take_blocks(part["size"].to_numpy(), int(of.get(rank, 0)), block, _seed(seed, int(rank), int(key[0])))))
-        return pd.concat(parts)[COLUMNS] if parts else pd.DataFrame({c: [] for c in COLUMNS})
+        rows = rows.sort_values(["place", "doc_id", "tie", "copy"], na_position="last")
+        return rows.assign(taken=take_blocks(rows["size"].to_numpy(), int(quota["quota"].sum()), block, _seed(seed, *map(int, key))))[COLUMNS]
 
     return (
         ranked.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id", "tie", "copy"))
         .select("doc_id", "no_id", "source", "size", "source_size", "target", "tie", "rank", "shard", "copy", "place")
-        .groupBy("shard")
-        .cogroup(shard_quotas.groupBy("shard"))
+        .groupBy("rank", "shard")
+        .cogroup(shard_quotas.groupBy("rank", "shard"))
         .applyInPandas(choose, "doc_id long, no_id boolean, source string, size long, source_size long, target double, taken long, tie long")
         .withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id")))
         .drop("no_id")

@@ -156,6 +156,27 @@ def test_mix_of_hard_rows(spark, hard, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_small_source_beside_many_shards_reaches_its_target(spark):
+    """A source of 60 documents at three times its words beside one of many shards; and shards smaller than a block."""
+    hot = spark.sql("SELECT id AS doc_id, repeat('w ', 100) AS text, 'hot' AS source FROM range(4000)")
+    small = spark.sql("SELECT 10000 + id AS doc_id, repeat(concat('v', id, ' '), 170) AS text, 'small' AS source FROM range(60)")
+    for shard_docs in (2, 20):
+        rows = mixing.mix(hot.unionByName(small), shard_docs=shard_docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.expr("taken - 3 * size")).alias("over")).collect()
+        assert {r.source: r.target for r in rows}["small"] == 3 * 60 * 170
+        for r in rows:
+            assert abs(r.taken - r.target) < 3 * 60 * 170 // 256 and r.over <= 0, (shard_docs, r.source, r.taken, r.target)
+
+
+def test_part_blocks_hand_out_all_words_within_the_caps():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        words = rng.integers(0, 40, rng.integers(1, 9))
+        total, block = int(rng.integers(0, 3 * words.sum() + 1)), int(rng.integers(1, 60))
+        given = block * mixing.sainte_lague(words, total // block, 3 * words // block)
+        out = given + mixing.part_blocks(total * (words / max(1, words.sum())), given, 3 * words, total)
+        assert out.sum() == total and (out >= given).all() and (out <= 3 * words).all()
+
+
 def test_mixed_documents_have_the_words_taken(spark, hard):
     assert sum(size_of(r.text) for r in mixing.mixed_documents(hard).collect()) == sum(r.taken for r in mixing.mix(hard).collect())
 
