@@ -4,7 +4,8 @@ Each Arrow batch of documents is an index segment: postings of the trigrams
 that the rules' Boolean queries name, found in one pass over the batch's
 bytes. A rule's query, derived from its regex, intersects and unites postings;
 only candidates are verified with the regex. A rule without mandatory
-trigrams scans every text of the segment.
+trigrams scans every text of the segment. A private key's span goes on from
+its BEGIN line through the body to the END line.
 
 Defined cases: a null text counts as empty; equal rows are scanned alike; an
 empty table gives no rows; extra columns are ignored.
@@ -33,6 +34,7 @@ class Rule:
     any_case: bool = False
     group: int = 0
     least: int = 0  # characters of the group
+    tail: str = ""  # what goes on from a match of the pattern and belongs to the secret
 
     def compiled(self) -> re.Pattern[bytes]:
         return re.compile(self.pattern.encode(), re.IGNORECASE if self.any_case else 0)
@@ -43,12 +45,19 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}", least=24),  # the runs of [0-9a-f]+ that are long enough
 )
+#: A key's body: all up to the END line before another key begins; without one, headers and base64 lines, the last one shorter.
+PEM_BODY = (
+    r"(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:[\s>\"',#|*]|\\[nrt])*(?:Proc-Type|DEK-Info):\x20(?:(?!\\[nr])\S)+)*"
+    r"(?:(?:[\s>\"',#|*]|\\[nrt])*[A-Za-z0-9+/]{16,}={0,2})*"
+    r"(?:(?<=[A-Za-z0-9+/=]{16})(?:\r?\n|\x20|(?:\\r)?\\n)[>|#*\x20]{0,4}[A-Za-z0-9+/]{1,15}={0,2})?"
+)
 MORE_RULES = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", tail=PEM_BODY),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -181,6 +190,7 @@ def segment_postings(data: np.ndarray, offsets: np.ndarray, trigrams: list[str],
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = [(k, r, r.compiled(), trigram_query(r.pattern)) for k, r in enumerate(rules)]
+        self.tails = {k: re.compile(r.tail.encode()) for k, r in enumerate(rules) if r.tail}
         self.trigrams = sorted(set().union(*(trigrams_of(q) for *_, q in self.rules)))
 
     def spans(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
@@ -201,7 +211,8 @@ class Scanner:
                 for m in regex.finditer(text):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
                         start = len(bytes(text[: m.start()]).decode())
-                        out[i].append((start, k, start + m.end() - m.start()))
+                        end = self.tails[k].match(text, m.end()).end() if k in self.tails else m.end()
+                        out[i].append((start, k, start + len(bytes(text[m.start() : end]).decode())))
         for x in out:
             x.sort()
         return out
