@@ -154,6 +154,16 @@ def grf_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("start_id", "target_id", "target_name", "depth", F.array_join(F.transform("steps", lambda s: F.concat(F.lit(">"), s["relationship_name"])), "").alias("rels"))
 
 
+SUPPLIERS, ALL_STARTS = "entity_type_name = 'Supplier'", "SELECT id FROM ents WHERE type = 'Supplier'"
+
+
+@register("grf_02_paths_of_all_suppliers", _walk_sql("Product", 6, ALL_STARTS) + " SELECT start_id, node AS target_id, name AS target_name, depth, rels FROM walk WHERE depth > 0 AND type = 'Product'")
+def grf_02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, edges = _graph(spark, sf_dir)
+    paths = graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Product")
+    return paths.select("start_id", "target_id", "target_name", "depth", F.array_join(F.transform("steps", lambda s: F.concat(F.lit(">"), s["relationship_name"])), "").alias("rels"))
+
+
 @register("grf_01_tenant_graph", "SELECT l_suppkey % 5 AS tenant, count(*) AS edges, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 5 = 2 GROUP BY 1")
 def grf_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read(spark, sf_dir, "lineitem").withColumn("tenant", F.col("l_suppkey") % 5).filter("tenant = 2")  # noqa: E741
@@ -182,6 +192,15 @@ def win_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("start_id", "target_id", "depth", rels.alias("rels"), F.row_number().over(Window.partitionBy("start_id").orderBy(*order)).alias("place"))
 
 
+@register("win_03_path_order_of_all_suppliers", _walk_sql("Risk Event", 3, ALL_STARTS) + " SELECT start_id, node AS target_id, depth, rels, CAST(row_number() OVER (PARTITION BY start_id ORDER BY name, node, depth, rels) AS INT) AS place FROM walk WHERE depth > 0 AND type = 'Risk Event'")
+def win_03_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, edges = _graph(spark, sf_dir)
+    paths = graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Risk Event", 3)
+    order = graph.path_order(F.col("target_name"), F.col("target_id"), F.col("depth"), F.col("steps"))
+    rels = F.array_join(F.transform("steps", lambda s: F.concat(F.lit(">"), s["relationship_name"])), "")
+    return paths.select("start_id", "target_id", "depth", rels.alias("rels"), F.row_number().over(Window.partitionBy("start_id").orderBy(*order)).alias("place"))
+
+
 ONTOLOGY_SQL = "c AS (SELECT unnest(['Supplier','Material','BOM','Product','Facility','Region','Risk Event','Revenue Exposure','Alternate Supplier']) AS concept), b AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{a}', '{t}')" for r, a, t in graph.RELATIONS) + ") v(relation, source, target))"
 
 
@@ -216,3 +235,26 @@ def cvg_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = paths.groupBy("start_id").agg(F.array_sort(F.collect_set("target_name")).alias("names"))
     listed = F.coalesce("names", F.array().cast("array<string>"))
     return known.join(names, "start_id", "left").select("start_id", F.size(listed).alias("n"), questions.products_answer(F.col("entity_name"), listed).alias("answer"))
+
+
+NAMED_SQL = "SELECT e.id AS start_id, coalesce(len(names), 0)::INT AS n, CASE WHEN coalesce(len(names), 0) = 0 THEN 'The catalogue found 0 products connected to ' || e.name || ' through governed ontology relationships.' WHEN len(names) = 1 THEN '1 product depends on ' || e.name || ':' || chr(10) || '- ' || names[1] ELSE len(names) || ' products depend on ' || e.name || ':' || chr(10) || array_to_string(list_transform(names, lambda x: '- ' || x), chr(10)) END AS answer FROM ents e LEFT JOIN named ON start_id = e.id WHERE e.type = 'Supplier'"
+
+
+@register("cvg_08_ask_products_of_all_suppliers", _walk_sql("Product", 6, ALL_STARTS) + ", named AS (SELECT start_id, list_sort(list(DISTINCT name)) AS names FROM walk WHERE depth > 0 AND type = 'Product' GROUP BY 1) " + NAMED_SQL)
+def cvg_08_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, edges = _graph(spark, sf_dir)
+    suppliers = entities.filter(SUPPLIERS)
+    asked = suppliers.select("tenant_id", F.col("entity_id").alias("start_id"), questions.parse_question(F.concat(F.lit("which products depend on "), F.col("entity_name"), F.lit("?"))).alias("q"))
+    known = asked.join(suppliers.select("tenant_id", "entity_name"), F.lower("q.entity") == F.lower("entity_name")).select(asked["tenant_id"], "start_id", "entity_name")
+    products, ids = entities.filter("entity_type_name = 'Product'"), entities.select("entity_id")
+    # only what is reachable is asked: paths end at their first product, and at nodes that are no entities
+    hops = edges.join(ids.withColumnRenamed("entity_id", "to_entity_id"), "to_entity_id", "left_semi").join(products.select(F.col("entity_id").alias("from_entity_id")), "from_entity_id", "left_anti")
+    hops = hops.select(F.col("from_entity_id").alias("node"), F.col("to_entity_id").alias("next")).distinct()
+    front, fronts = known.select("start_id", F.col("start_id").alias("node")), []
+    for _ in range(graph.MAX_DEPTH):  # one row per pair and hop, so paths don't multiply
+        front = front.join(hops, "node").select("start_id", F.col("next").alias("node")).distinct()
+        fronts.append(front)
+    reached = reduce(DataFrame.unionByName, fronts).join(products.select(F.col("entity_id").alias("node"), "entity_name"), "node")
+    names = reached.groupBy("start_id").agg(F.array_sort(F.collect_set("entity_name")).alias("names"))
+    listed = F.coalesce("names", F.array().cast("array<string>"))
+    return known.join(names, "start_id", "left").select("start_id", F.size(listed).alias("n"), questions.products_answer(F.col("entity_name"), listed).alias("answer"))

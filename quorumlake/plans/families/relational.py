@@ -260,6 +260,11 @@ def agg_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.agreement(o, ["o_custkey"], "v")
 
 
+@register("agg_02_agreement_of_all_orders", "SELECT o_custkey, count(DISTINCT v) AS n_values, CASE count(DISTINCT v) WHEN 0 THEN 'MISSING' WHEN 1 THEN 'AGREE' ELSE 'CONFLICT' END AS state FROM (SELECT o_custkey, nullif(o_orderpriority, '5-LOW') AS v FROM orders) GROUP BY 1")
+def agg_02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.agreement(read(spark, sf_dir, "orders").select("o_custkey", F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("v")), ["o_custkey"], "v")
+
+
 @register("agg_03_source_trust", "SELECT l_partkey, count(DISTINCT l_suppkey) AS systems, count(DISTINCT l_suppkey) >= 2 AS corroborated, round(avg(t), 10) AS mean_trust FROM (SELECT DISTINCT l_partkey, l_suppkey, CASE WHEN l_suppkey % 4 = 0 THEN 0.5 WHEN l_suppkey % 4 = 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS t FROM lineitem) GROUP BY 1")
 def agg_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     trust = F.coalesce(F.get(F.array(F.lit(0.5), F.lit(2.0)), (F.col("l_suppkey") % 4).cast("int")), F.lit(1.0))
@@ -369,6 +374,12 @@ def win_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.posexplode("rows").alias("p", "r")).select("r.o_orderkey", (F.col("p") + 1).alias("place"))
 
 
+@register("win_05_queue_order_of_all_orders", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
+def win_05_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    age = -F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    return ranking.places(read(spark, sf_dir, "orders").select("o_orderkey", age.alias("age")), ["age", "o_orderkey"]).select("o_orderkey", "place")
+
+
 @register("win_06_latest_attempt", "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS o_orderkey, first(o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS o_orderstatus FROM orders GROUP BY 1")
 def win_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempts = read(spark, sf_dir, "orders").withColumn("attempt", F.col("o_orderkey"))

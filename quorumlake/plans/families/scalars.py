@@ -173,6 +173,14 @@ def scl_21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", questions.products_answer(F.col("s_name"), F.coalesce("names", F.array().cast("array<string>"))).alias("answer"))
 
 
+@register("scl_21_products_answer_of_all_lines", ANSWER_SQL.replace(" WHERE l_quantity >= 50 AND l_partkey % 40 = 0", ""))
+def scl_21_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    named = lines.join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
+    s = read(spark, sf_dir, "supplier").join(named, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    return s.select("s_suppkey", questions.products_answer(F.col("s_name"), F.coalesce("names", F.array().cast("array<string>"))).alias("answer"))
+
+
 @register("scl_22_path_text", "SELECT n_nationkey, 'Supplier → locatedIn → ' || n_name || ' → partOf → ' || r_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
 def scl_22(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

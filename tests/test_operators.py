@@ -229,3 +229,12 @@ def test_validation(spark):
     targets = spark.createDataFrame([("x",), ("",)], "k string")
     found = validation.issues([validation.repeated_keys(rows, "f", "id", "row"), validation.broken_references(rows, "f", "ref", "row", targets, "k")])
     assert sorted((r.row_index, r.problem) for r in found.collect()) == [(1, "BROKEN_REFERENCE"), (1, "DUPLICATE_KEY"), (2, "BROKEN_REFERENCE"), (3, "BROKEN_REFERENCE")]
+
+
+def test_places_are_those_of_the_whole_table(spark):
+    rows = [(k * 7919 % 13 if k % 10 else None, k) for k in range(500)] + [(5, 3), (5, 3)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    df = spark.createDataFrame(rows, "v long, k long")
+    for per_range in (20, 1000):
+        got = ranking.places(df, ["v", "k"], per_range).orderBy("place").collect()
+        assert [r["place"] for r in got] == list(range(1, len(rows) + 1)) and [(r["v"], r["k"]) for r in got] == order
