@@ -1,24 +1,28 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element. A line weighs the
-characters it has outside links; in menus, headers, footers, sidebars,
+characters it has outside links; ``BOOST`` times those and its links too where
+the page marks an article; nothing in menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments, told by tag or by class, id or
-role, it weighs nothing. Weights are summed over sliding windows of lines. A
-surge is where a window's sum rises over the threshold, the dive after it is
-where the sums fall to nothing; the weighing lines between them are kept. In
-a page that marks its article, lines outside it weigh nothing and any weight
-is a surge.
+role. Weights are summed over sliding windows of lines, which don't reach over
+an article's edges. A surge is where a window's sum rises to the threshold:
+``SURGE``, or a ``SHARE`` of the page's largest sum if that is more, or that
+sum itself in a page that has less. Each line of a marked article also weighs
+one threshold, so that its short lines surge too. The dive after a surge is
+where the sums fall to nothing; the weighing lines between them are kept.
 
 Defined cases: null html is empty; a page without text gives an empty text;
-unclosed comments, scripts and styles reach to the end of the page; equal
-rows are extracted alike; an empty table gives no rows; extra columns are
-ignored.
+unclosed comments, scripts and styles reach to the end of the page; end tags
+without an open element say nothing; a very long page is read whole, in time
+in proportion to its length; equal rows are extracted alike; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,8 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window, and the sum that makes a surge in a page that doesn't mark its article.
+#: Lines in a window, and the sum that makes a surge.
 WINDOW, SURGE = 3, 40
+#: How much more a marked article's characters weigh, and the part of the page's largest sum that a surge needs.
+BOOST, SHARE = 8, 1 / 16
 
 # Fixed values of HTML: elements whose content is no text, elements that start a line, elements without an end tag.
 SILENT = "script style noscript template svg math head title textarea select option button iframe object canvas audio video datalist"
@@ -78,6 +84,7 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
 def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, aside, article: each with what is around it
+    opened: Counter[str] = Counter()  # tags in the stack
     buffer: list[str] = []
     linked, links, last = 0, 0, 0
 
@@ -127,46 +134,60 @@ def lines_of(page: str) -> list[Line]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in _blocks and any(s[1] for s in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                if tag not in _blocks and any(s[1] for s in stack[k:]):
+                    flush()
+                opened.subtract(s[0] for s in stack[k:])
+                del stack[k:]
         elif not m[3].endswith("/"):
             if tag == "a":
                 links += 1
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
-                stack.pop()  # their end tags may be left out
+                opened[stack.pop()[0]] -= 1  # their end tags may be left out
             _, in_aside, in_article = stack[-1] if stack else ("", False, False)
             aside, article = _kind(tag, m[3], in_article)
             if aside and not in_aside and tag not in _blocks:
                 flush()
             stack.append((tag, in_aside or aside, in_article or article))
+            opened[tag] += 1
     flush()
     return out
 
 
+def block_sums(weight: np.ndarray, run: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Sum of the ``window`` weights that start at each line and lie in its run."""
+    before = np.concatenate(([0], np.cumsum(weight)))
+    ends = np.searchsorted(run, run, side="right")  # runs are numbered in order
+    at = np.arange(len(weight))
+    return before[np.minimum(at + window, ends)] - before[at]
+
+
+def kept_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
+    """Which lines lie between a surge and the dive after it, and weigh something."""
+    weight = np.array([0 if x.aside else BOOST * len(x.text) if x.article else len(x.text) - x.linked for x in lines], dtype=np.int64)
+    article = np.array([x.article for x in lines])
+    run = np.cumsum(np.concatenate(([False], article[1:] != article[:-1])))
+    peak = int(block_sums(weight, run, window).max(initial=0))
+    need = max(1, min(peak, max(surge, int(peak * SHARE))))
+    weight += need * (article & (weight > 0))
+    sums = block_sums(weight, run, window)
+    keep = np.zeros(len(lines), dtype=bool)
+    inside = -1  # the run in which a surge has not dived yet
+    for at in range(len(lines)):
+        if sums[at] == 0 or inside != run[at]:
+            inside = run[at] if weight[at] and sums[at] >= need else -1
+        keep[at] = inside >= 0 and weight[at] > 0
+    return keep
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(page)
     if not lines:
         return ""
-    marked = any(x.article and not x.aside for x in lines)
-    weight = np.array([0 if x.aside or marked and not x.article else len(x.text) - (0 if marked else x.linked) for x in lines], dtype=np.int64)
-    sums = np.convolve(weight, np.ones(window, dtype=np.int64))[window - 1 :]  # of the window that starts at each line
-    need = 1 if marked else min(surge, int(sums.max()))
-    keep = np.zeros(len(lines), dtype=bool)
-    at = 0
-    while at < len(lines):
-        if not weight[at] or sums[at] < max(1, need):  # no surge here
-            at += 1
-            continue
-        dive = at
-        while dive < len(lines) and sums[dive] > 0:
-            dive += 1
-        keep[at:dive] = True
-        at = dive
-    return "\n\n".join(x.text for x, k, w in zip(lines, keep, weight, strict=True) if k and w)
+    return "\n\n".join(x.text for x, keep in zip(lines, kept_lines(lines, window, surge), strict=True) if keep)
 
 
 def extract(pages: DataFrame, *, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

@@ -1,44 +1,51 @@
 """Substring dedup over prefix-partitioned suffix trees.
 
 A suffix begins at every word that 50 words follow in its document; trees are
-cut at that depth, so a node there is a window of 50 words. Edges carry hashes
-of words, 128 bits at full depth.
+cut at that depth. A suffix carries its path: hashes of its words up to depths
+4, 8, 16 and 32, 16 bits each, and up to depth 50, 128 bits.
 
 1. Only suffixes that can repeat go into trees. Equal windows have equal
    minimizers (least hash of their 10-word runs), so a window whose minimizer
    stands in one document alone is left out. Later copies of a whole text are
    settled by the text's digest.
-2. Suffixes are dealt to groups by prefixes of variable length: slots of the
-   8-word prefix; a slot of too many suffixes is split by the 20-word prefix,
-   then by the whole window. A group then fits in memory. A slot still too
-   large holds a window repeated very often: such deep nodes are formed by
-   partial aggregation instead.
-3. In a group's subtrees, the internal nodes at depth 50 are the repeats. A
-   suffix of a node that has a smaller doc_id elsewhere is removed.
+2. Suffixes are dealt to groups by prefixes of variable length: by the 4-word
+   prefix, several to a group; where one holds too many suffixes, by 8 words,
+   then 16, 32 and all 50, until a group fits in memory. A group that doesn't
+   fit even then holds a window repeated very often: its node at depth 50 is
+   formed by partial aggregation instead.
+3. A group's subtree is built from its suffixes in the order of their paths and
+   the depth of the common prefix of each two neighbours: a node is a run of
+   suffixes whose common prefix is as deep as the node. The internal nodes at
+   depth 50 are the repeats. A suffix below one that has a smaller doc_id
+   elsewhere is removed.
 
 Defined cases: a null text has no words; documents of fewer than 50 words lose
 none; rows of one doc_id remove nothing from each other; a null doc_id counts
-as larger than all others; an empty table gives no rows; extra columns are
-ignored.
+as larger than all others; equal rows are worked on once; very long texts are
+worked on whole; of windows in documents of one smallest doc_id all stay; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.llm import words
 from quorumlake.llm.common import written
 
 WINDOW, SEED_WORDS = 50, 10
-#: Words of the shorter prefixes, and slots of each level.
-PREFIXES, SLOTS, FINER = (8, 20), 1 << 16, 16
+#: Depths of a path's four hashes, of 16 bits each.
+DEPTHS, STEP_BITS = (4, 8, 16, 32), 16
+#: Tasks to which a hot window's suffixes are spread.
+SALTS = 32
 #: Suffixes that a group may hold, about.
 GROUP = 50_000
 NO_ID = (1 << 63) - 1
@@ -87,7 +94,7 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def suffixes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """id, tie, place, slot, h1, h2 of the windows of ``docs`` whose minimizer is one of the row's ``shared``."""
+    """id, tie, place, path, h1, h2 of the windows of ``docs`` whose minimizer is one of the row's ``shared``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,64 +117,149 @@ def suffixes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if not len(start):
                     continue
                 h1, h2 = words.rolling(hashes, window)[start], words.rolling(hashes, window, words.OTHER_BASE)[start]
-                short, longer = (words.mixed(words.rolling(hashes, min(p, window)))[start] for p in PREFIXES)
-                slot = (short % np.uint64(SLOTS)) << np.uint64(8) | (longer % np.uint64(FINER)) << np.uint64(4) | words.mixed(h1) % np.uint64(FINER)
+                path = np.zeros(len(start), dtype=np.uint64)
+                for depth in DEPTHS:
+                    step = words.mixed(words.rolling(hashes, min(depth, window)))[start] >> np.uint64(64 - STEP_BITS)
+                    path = path << np.uint64(STEP_BITS) | step
                 rows = pa.array(text + first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start - counts[text]).astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(_signed(h1)), pa.array(_signed(h2))],
-                    names=["id", "tie", "place", "slot", "h1", "h2"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start - counts[text]).astype(np.int32)), pa.array(_signed(path)), pa.array(_signed(h1)), pa.array(_signed(h2))],
+                    names=["id", "tie", "place", "path", "h1", "h2"],
                 )
 
-    return docs.select("id", "tie", "text", "shared").mapInArrow(run, "id long, tie long, place int, slot int, h1 long, h2 long")
+    return docs.select("id", "tie", "text", "shared").mapInArrow(run, "id long, tie long, place int, path long, h1 long, h2 long")
+
+
+class Tree(NamedTuple):
+    """A subtree's suffixes in order, and its internal nodes: runs of suffixes, ``first`` to ``last``, with a common prefix of ``depth`` steps."""
+
+    order: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    depth: np.ndarray
+
+
+#: Steps of a path in all: the prefixes, then the whole window.
+FULL = len(DEPTHS) + 1
+
+
+def common_steps(path: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Steps that each suffix has in common with the one before it."""
+    path, out = path.view(np.uint64), np.zeros(max(0, len(path) - 1), dtype=np.int8)
+    for step in range(1, FULL):
+        shift = np.uint64(STEP_BITS * (len(DEPTHS) - step))
+        out += path[1:] >> shift == path[:-1] >> shift
+    out += (out == FULL - 1) & (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+    return out
+
+
+def suffix_tree(path: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> Tree:
+    """The internal nodes of the tree of these suffixes; a node whose suffixes all go on alike is the deeper one."""
+    order = np.lexsort((h2, h1, path.view(np.uint64)))
+    common = common_steps(path[order], h1[order], h2[order])
+    found = []
+    for depth in range(1, FULL + 1):
+        joined = np.concatenate(([False], common >= depth, [False]))
+        first, last = np.flatnonzero(joined[1:] & ~joined[:-1]), np.flatnonzero(joined[:-1] & ~joined[1:])
+        if depth < FULL:  # it branches: some neighbours part at this very depth
+            branches = np.concatenate(([0], np.cumsum(common == depth)))
+            real = branches[last] > branches[first]
+            first, last = first[real], last[real]
+        found.append((first, last, np.full(len(first), depth)))
+    return Tree(order, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
     """The suffixes of a group that lie below a node of full depth with a smaller id."""
-    h1, h2, ids = rows["h1"].to_numpy(), rows["h2"].to_numpy(), rows["id"].to_numpy()
-    order = np.lexsort((h2, h1))
-    h1, h2, ids = h1[order], h2[order], ids[order]
-    opens = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
-    node = np.cumsum(opens) - 1
-    least = np.minimum.reduceat(ids, np.flatnonzero(opens))
-    later = order[ids > least[node]]
+    path, h1, h2, ids = (rows[c].to_numpy() for c in ("path", "h1", "h2", "id"))
+    tree = suffix_tree(path, h1, h2)
+    deep = tree.depth == FULL
+    first, last = tree.first[deep], tree.last[deep]
+    if not len(first):
+        return rows.iloc[:0][["id", "tie", "place"]]
+    size = last - first + 1
+    inside = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())  # places in order of the suffixes below deep nodes
+    below = ids[tree.order[inside]]
+    least = np.minimum.reduceat(below, np.cumsum(size) - size)
+    later = tree.order[inside[below > np.repeat(least, size)]]
     return rows.iloc[later][["id", "tie", "place"]]
 
 
+def prefix(steps: int) -> Column:
+    """The first ``steps`` steps of a path; at full depth, a digest of the whole window."""
+    if steps == FULL:
+        return F.xxhash64("h1", "h2")
+    return F.shiftrightunsigned("path", STEP_BITS * (len(DEPTHS) - steps)) if steps < len(DEPTHS) else F.col("path")
+
+
+def full_prefixes(suffix: DataFrame, group: int) -> list[DataFrame]:
+    """For each number of steps, the prefixes that hold more than ``group`` suffixes, and how many.
+
+    There are at most rows / ``group`` of them for a number of steps; the last list, where there is one, is of hot windows.
+    """
+    out: list[DataFrame] = []
+    for steps in range(1, FULL + 1):
+        found = written(suffix.groupBy(prefix(steps).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group))
+        if found.isEmpty():
+            break
+        out.append(found)
+        if steps < FULL:  # only they go on
+            longer = found.select(F.col("prefix").alias("full"))
+            suffix = suffix.join(longer, prefix(steps) == longer["full"], "left_semi")
+    return out
+
+
+def dealt(suffix: DataFrame, group: int) -> tuple[DataFrame, bool]:
+    """``suffix`` with its group, (steps, parent, part), and whether there are hot windows, which have no steps.
+
+    A suffix's prefix is the shortest that isn't full; prefixes of one parent share as many groups as the parent has ``group`` suffixes.
+    """
+    lists = full_prefixes(suffix, group)
+    out = suffix.withColumns({"steps": F.lit(1), "parent": F.lit(0).cast("long"), "parts": F.lit(max(1, -(-suffix.count() // group))).cast("long")})
+    for steps, found in enumerate(lists, 1):
+        longer = found.select(F.lit(steps).alias("full_steps"), F.col("prefix").alias("full"), "n")
+        full = F.col("n").isNotNull()
+        out = out.join(longer, (F.col("steps") == F.col("full_steps")) & (prefix(steps) == F.col("full")), "left").withColumns(
+            {
+                "steps": F.when(full, F.lit(steps + 1 if steps < FULL else 0)).otherwise(F.col("steps")),
+                "parent": F.when(full, F.col("full")).otherwise(F.col("parent")),
+                "parts": F.when(full, F.ceil(F.col("n") / group)).otherwise(F.col("parts")),
+            }
+        )
+        out = out.drop("full_steps", "full", "n")
+    own = F.coalesce(*[F.when(F.col("steps") == steps, prefix(steps)) for steps in range(1, FULL + 1)], F.lit(0).cast("long"))
+    return out.withColumn("part", F.pmod(F.xxhash64(own), F.col("parts"))).drop("parts"), len(lists) == FULL
+
+
 def repeated(suffix: DataFrame, group: int = GROUP) -> DataFrame:
     """id, tie, place of the suffixes whose window also starts in a document of a smaller id."""
-    total = suffix.count()
-    slots = max(1, min(SLOTS, -(-total // group)))
-    cut = suffix.withColumns({"a": F.floor(F.shiftright("slot", 8) * slots / SLOTS).cast("int"), "b": F.shiftright("slot", 4) % FINER, "c": F.col("slot") % FINER})
-    sizes = cut.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
-    n1, n2 = F.sum("n").over(Window.partitionBy("a")), F.sum("n").over(Window.partitionBy("a", "b"))
-    level = F.when(n1 <= 2 * group, 1).when(n2 <= 2 * group, 2).when(F.col("n") <= 2 * group, 3).otherwise(4)
-    # only slots of too many suffixes are listed, at most 256 rows for each
-    plan = written(sizes.withColumn("level", level).filter("level > 1").select("a", "b", "c", "level"))
-    dealt = cut.join(plan, ["a", "b", "c"], "left").withColumn("level", F.coalesce("level", F.lit(1)))
+    rows, hot = dealt(suffix, group)
     small = (
-        dealt.filter("level < 4")
-        .select("id", "tie", "place", "h1", "h2", "a", F.when(F.col("level") >= 2, F.col("b")).otherwise(-1).alias("b"), F.when(F.col("level") == 3, F.col("c")).otherwise(-1).alias("c"))
-        .groupBy("a", "b", "c")
+        rows.filter("steps > 0")
+        .select("id", "tie", "place", "path", "h1", "h2", "steps", "parent", "part")
+        .groupBy("steps", "parent", "part")
         .applyInPandas(_repeats, "id long, tie long, place int")
     )
-    if plan.filter("level = 4").isEmpty():
+    if not hot:
         return small
-    large = dealt.filter("level = 4").select("id", "tie", "place", "h1", "h2")
-    nodes = large.groupBy("h1", "h2").agg(F.min("id").alias("least"))
-    return small.unionByName(large.join(nodes, ["h1", "h2"]).filter("id > least").select("id", "tie", "place"))
+    large = rows.filter("steps = 0").select("id", "tie", "place", "h1", "h2", F.pmod(F.xxhash64("id", "tie", "place"), F.lit(SALTS)).alias("salt"))
+    nodes = large.groupBy("h1", "h2").agg(F.min("id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return small.unionByName(large.join(nodes, ["h1", "h2", "salt"]).filter("id > least").select("id", "tie", "place"))
 
 
 def dedup(docs: DataFrame, *, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs``."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tie"), "doc_id", "text")
+    keyed = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("tie"), "doc_id", "text")
+    # equal rows become one before a join, so that none is a key of very many
+    once = keyed.groupBy("id", "tie").agg(F.max("doc_id").alias("doc_id"), F.max("text").alias("text"), F.count(F.lit(1)).alias("rows"))
 
     digests = keyed.select("id", "tie", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min(F.struct("id", "tie")).alias("first")).select("first.*")
     found = written(anchors(keyed, window).join(firsts, ["id", "tie"], "left_semi").select("id", "tie", F.explode("anchors").alias("anchor")).distinct())
     common = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
     shared = found.join(common, "anchor", "left_semi").groupBy("id", "tie").agg(F.collect_list("anchor").alias("shared"))
-    suffix = written(suffixes(keyed.join(shared, ["id", "tie"]), window))
+    suffix = written(suffixes(once.join(shared, ["id", "tie"]), window))
     places = repeated(suffix, group).groupBy("id", "tie").agg(F.collect_set("place").alias("places"))
 
     copies = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
@@ -193,10 +285,12 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, group: int = GROUP) -> DataF
                 n_words.append(n)
                 n_removed.append(n - len(kept))
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), batch.column(4)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "rows"])
 
     return (
-        keyed.join(marks, ["id", "tie"], "left")
-        .select("doc_id", "text", "places", "copied")
-        .mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        once.join(marks, ["id", "tie"], "left")
+        .select("doc_id", "text", "places", "copied", "rows")
+        .mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, rows long")
+        .withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+        .drop("rows", "row")
     )

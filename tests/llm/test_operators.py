@@ -412,6 +412,64 @@ def test_unmarked_pages_are_cut_at_surge_and_dive():
     assert text.count("\n\n") == 4 and "link" not in text
 
 
+def plain_kept(lines, window=html_text.WINDOW):
+    """Window sums by their definition, a line at a time."""
+    weights = [0 if x.aside else html_text.BOOST * len(x.text) if x.article else len(x.text) - x.linked for x in lines]
+
+    def total(w, at):
+        out = 0
+        for j in range(at, min(at + window, len(lines))):
+            if lines[j].article != lines[at].article:
+                break
+            out += w[j]
+        return out
+
+    peak = max((total(weights, at) for at in range(len(lines))), default=0)
+    need = max(1, min(peak, max(html_text.SURGE, int(peak * html_text.SHARE))))
+    weights = [w + need if w and x.article else w for w, x in zip(weights, lines, strict=True)]
+    keep, surged = [], False
+    for at, x in enumerate(lines):
+        edge = at > 0 and lines[at - 1].article != x.article
+        if surged and not edge and total(weights, at):
+            pass
+        else:
+            surged = weights[at] > 0 and total(weights, at) >= need
+        keep.append(surged and weights[at] > 0)
+    return keep
+
+
+def test_window_sums_match_a_plain_version():
+    rng = random.Random(6)
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randrange(0, 40)):
+            text = "x" * rng.choice([1, 3, 20, 60, 400])
+            lines.append(html_text.Line(text, rng.choice([0, 0, len(text)]), rng.random() < 0.4, rng.random() < rng.choice([0.0, 0.5, 1.0])))
+        if lines:
+            assert html_text.kept_lines(lines).tolist() == plain_kept(lines)
+    assert html_text.main_text("") == ""
+
+
+def test_unmarked_text_beside_a_marked_article_needs_a_surge_of_its_own():
+    prose_line = "<p>" + "long words of prose " * 12 + "</p>"
+    page = f"<body><div>Sign here today</div><article>{prose_line}<p>Be.</p><aside>a</aside><aside>b</aside><aside>c</aside><aside>d</aside><p>End.</p></article><div>Some words under it, more than forty of its characters</div></body>"
+    assert html_text.main_text(page).split("\n\n")[1:] == ["Be.", "End."] and html_text.main_text(page).startswith("long words")
+
+
+def test_a_very_long_page_is_read_whole():
+    """Half a million lines, and as many end tags without an element, in one pass."""
+    page = "<article>" + "".join(f"<p>line {i}</i></b></span></div>" for i in range(200_000)) + "</article>"
+    deep = "<div><span>" * 20_000 + "<p>text in the depth of the page, of some length" + "</b>" * 20_000
+    assert html_text.main_text(page).count("\n\n") == 199_999
+    assert html_text.main_text(deep) == "text in the depth of the page, of some length"
+
+
+def test_extraction_ignores_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", PAGE, "x", 5)], "page_id long, url string, html string, text string, n_chars long")
+    (r,) = html_text.extract(rows).collect()
+    assert r.text == html_text.main_text(PAGE) and r.n_chars == len(r.text)
+
+
 @pytest.mark.parametrize("page, text", [("", ""), ("plain words", "plain words"), ("<p>open <b>tags", "open tags"), ("<script>var x", ""), ("<!-- never closed <p>x</p>", ""), ("<p>a</p><p>b", "a\n\nb"), ("< 3 and a<b", "< 3 and a")])
 def test_broken_pages(page, text):
     assert html_text.main_text(page) == text
@@ -478,24 +536,28 @@ def test_fingerprints_match_a_plain_version(spark, hard, empty):
 # ---- substrings
 
 def plain_dedup(rows):
+    return Counter(plain_dedup_rows(rows))
+
+
+def plain_dedup_rows(rows):
     first = {}
-    own = [((i if i is not None else substrings.NO_ID), (t or "").encode().split()) for i, t in rows]
-    for i, w in own:
+    own = [((i if i is not None else substrings.NO_ID), (t or "").encode().split(), i) for i, t in rows]
+    for i, w, _ in own:
         for p in range(len(w) - 49):
             key = tuple(w[p : p + 50])
             first[key] = min(i, first.get(key, i))
     out = []
-    for i, w in own:
+    for i, w, given in own:
         gone = set()
         for p in range(len(w) - 49):
             if first[tuple(w[p : p + 50])] < i:
                 gone.update(range(p, p + 50))
         kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
-        out.append((None if i == substrings.NO_ID else i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-    return Counter(out)
+        out.append((given, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return out
 
 
-@pytest.mark.parametrize("group", [50_000, 20])
+@pytest.mark.parametrize("group", [50_000, 20, 3])
 def test_removed_words_match_a_plain_version(spark, hard, group):
     rng = random.Random(9)
     passage = prose(rng, 80)
@@ -505,6 +567,51 @@ def test_removed_words_match_a_plain_version(spark, hard, group):
     assert Counter(map(tuple, substrings.dedup(docs, group=group).collect())) == plain_dedup(rows)
 
 
+def test_prefixes_are_split_at_each_level(spark):
+    """Texts that part after 5, 10, 20 and 40 words and others that don't: each has its suffixes dealt at another depth."""
+    rng = random.Random(15)
+    rows = []
+    for same in (0, 5, 10, 20, 40, 60):
+        head = prose(rng, same, 10**6)
+        rows += [(len(rows) + k, f"{head} {prose(rng, 60 - same, 10**6)} {prose(rng, 20, 10**6)}".strip()) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), "text")
+    shared = substrings.anchors(every).withColumnRenamed("anchors", "shared")
+    suffix = substrings.suffixes(every.join(shared, ["id", "tie"]))
+    placed, hot = substrings.dealt(suffix, 3)
+    assert hot and {r.steps for r in placed.select("steps").distinct().collect()} == {0, 1, 2, 3, 4, 5}
+    assert placed.count() == suffix.count() == sum(max(0, size_of(t) - 49) for _, t in rows)
+    assert Counter(map(tuple, substrings.dedup(docs, group=3).collect())) == plain_dedup(rows)
+
+
+def test_nodes_are_those_of_a_plain_tree():
+    """Every set of two or more suffixes with a common prefix, at the depth to which it is common to all of them."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n = int(rng.integers(1, 40))
+        steps = rng.integers(0, 3, (n, 5)).astype(np.uint64)
+        path = (steps[:, 0] << np.uint64(48) | steps[:, 1] << np.uint64(32) | steps[:, 2] << np.uint64(16) | steps[:, 3]).view(np.int64)
+        h1 = h2 = steps[:, 4].astype(np.int64)
+        expected = set()
+        for depth in range(1, 6):
+            below = {}
+            for i, row in enumerate(steps.tolist()):
+                below.setdefault(tuple(row[:depth]), []).append(i)
+            for held in below.values():
+                if len(held) > 1 and (depth == 5 or len({tuple(steps[i, : depth + 1].tolist()) for i in held}) > 1):
+                    expected.add((depth, frozenset(held)))
+        tree = substrings.suffix_tree(path, h1, h2)
+        assert {(int(d), frozenset(tree.order[a : b + 1].tolist())) for a, b, d in zip(tree.first, tree.last, tree.depth, strict=True)} == expected
+
+
+def test_dedup_ignores_clashing_columns_and_keeps_repeated_rows(spark):
+    rng = random.Random(16)
+    rows = [(1, prose(rng, 70))] * 3 + [(2, "x " + prose(rng, 60)), (None, "a"), (None, "a"), ((1 << 63) - 1, "a")]
+    rows += [(3, rows[0][1] + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS tie", "3 AS places", "4 AS path", "5 AS n", "6 AS rows")
+    assert Counter(map(tuple, substrings.dedup(docs).collect())) == plain_dedup(rows)
+
+
 def test_dedup_of_nothing(spark, empty):
     assert substrings.dedup(empty).count() == 0
 
