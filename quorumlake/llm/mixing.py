@@ -1,15 +1,18 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Equal-token blocks are apportioned twice by highest quotients: over the
-sources by their targets, then, within a source, over its shards by their
-words. What whole blocks leave of a target, as where many small shards are at
-their caps, is handed out as part blocks. A shard, of one source and sized by
-the source's own documents, then takes its quota of words, by blocks in seeded
-order.
+Equal-token blocks are apportioned by highest quotients: over the sources by
+their targets, then, within a source, over its shards by their words, so that
+each shard has an integer quota. Where there are many sources or shards, a
+thousand neighbours are first one party, and share its seats afterwards. What
+whole blocks leave of a quota is handed out as part blocks. A shard, of one
+source and sized by the source's own documents, then takes its quota: stretches
+of ``STRETCH`` blocks in seeded order, of the last one as many as are left.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; sources without words get target 0; equal rows are separate
-documents; an empty table gives no rows; extra columns are ignored.
+documents; equal quotients go to the party that is first in order, of sources
+by code point; very long texts are cut by blocks like all others; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,37 +20,25 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quorumlake.llm.common import numbered_copies, shards_for, word_count, written
+from quorumlake.llm.common import numbered_copies, word_count, written
 
 #: No source is repeated more often than this.
 MAX_EPOCHS = 3
 #: Weights by rank of the source, repeating.
 WEIGHTS = (1, 2, 3)
-COLUMNS = ["doc_id", "no_id", "source", "size", "source_size", "target", "taken", "tie"]
-
-
-def targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float = MAX_EPOCHS) -> np.ndarray:
-    """Shares of ``total`` by weight, each at most ``most * size``; the excess is shared again by weight."""
-    caps = most * sizes.astype(float)
-    out, free = np.zeros(len(sizes)), np.ones(len(sizes), dtype=bool)
-    left = float(total)
-    while free.any() and left > 0:
-        share = left * weights / weights[free].sum()
-        over = free & (share >= caps)
-        if not over.any():
-            out[free] = share[free]
-            break
-        out[over] = caps[over]
-        left -= caps[over].sum()
-        free &= ~over
-    return out
+#: Words of a block, the unit of quotas, and neighbouring blocks that are chosen together.
+BLOCK, STRETCH = 8, 32
+#: Neighbouring sources, or shards, that are one party at first.
+CELL = 1024
 
 
 def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
@@ -86,92 +77,156 @@ def part_blocks(goal: np.ndarray, given: np.ndarray, caps: np.ndarray, total: in
     return out
 
 
-def take_blocks(sizes: np.ndarray, quota: int, block: int, seed: int) -> np.ndarray:
-    """Words taken, ``quota`` in all, from each document of a stream cut into blocks of ``block`` words.
+def quotas(total: int, goal: np.ndarray, most: np.ndarray, block: int) -> np.ndarray:
+    """``total`` words by blocks and part blocks, by the parties' ``goal``, at most ``most`` words each."""
+    blocks = block * sainte_lague(goal, total // block, most // block)
+    return blocks + part_blocks(goal, blocks, most, total)
+
+
+class Taken(NamedTuple):
+    """What a shard takes of its documents: all of them ``passes`` times, and further runs of words of each."""
+
+    passes: int
+    starts: list[list[int]]
+    ends: list[list[int]]
+
+
+def take_blocks(sizes: np.ndarray, quota: int, block: int, seed: int) -> Taken:
+    """``quota`` words of a stream of documents cut into stretches of ``block`` words.
 
-    Whole passes come first; the rest of the quota is blocks in seeded order,
+    Whole passes come first; the rest of the quota is stretches in seeded order,
     the last one in part.
     """
     sizes = sizes.astype(np.int64)
-    words = int(sizes.sum())
+    words, n = int(sizes.sum()), len(sizes)
+    none = [[] for _ in range(n)]
     if not words or not quota:
-        return np.zeros(len(sizes), dtype=np.int64)
+        return Taken(0, none, none)
     passes, rest = divmod(quota, words)
-    taken = sizes * passes
-    if rest:
-        starts = np.arange(0, words, block, dtype=np.int64)
-        lengths = np.minimum(block, words - starts)
-        order = np.random.Generator(np.random.PCG64(seed)).permutation(len(starts))
-        before = np.cumsum(lengths[order]) - lengths[order]
-        used = np.zeros(len(starts), dtype=np.int64)
-        used[order] = np.clip(rest - before, 0, lengths[order])
-        # words taken before each point of the stream: whole blocks, then the head of the block it lies in
-        heads = np.concatenate(([0], np.cumsum(used)))
-        points = np.concatenate(([0], np.cumsum(sizes)))
-        at = np.minimum(points // block, len(starts) - 1)
-        upto = heads[at] + np.minimum(points - starts[at], used[at])
-        taken = taken + np.diff(upto)
-    return taken
+    if not rest:
+        return Taken(passes, none, none)
+    starts = np.arange(0, words, block, dtype=np.int64)
+    lengths = np.minimum(block, words - starts)
+    order = np.random.Generator(np.random.PCG64(seed)).permutation(len(starts))
+    before = np.cumsum(lengths[order]) - lengths[order]
+    used = np.zeros(len(starts), dtype=np.int64)
+    used[order] = np.clip(rest - before, 0, lengths[order])
+    # runs of the stream that are used, neighbouring stretches as one
+    some = np.flatnonzero(used)
+    low, high = starts[some], starts[some] + used[some]
+    joined = low[1:] == high[:-1]
+    low, high = low[np.concatenate(([True], ~joined))], high[np.concatenate((~joined, [True]))]
+    points = np.concatenate(([0], np.cumsum(sizes)))
+    first, last = np.searchsorted(high, points[:-1], side="right"), np.searchsorted(low, points[1:], side="left")
+    of = lambda i: slice(first[i], last[i])
+    own = [i for i in range(n) if sizes[i] and first[i] < last[i]]
+    begin, end = [[] for _ in range(n)], [[] for _ in range(n)]
+    for i in own:
+        begin[i] = np.maximum(low[of(i)] - points[i], 0).tolist()
+        end[i] = np.minimum(high[of(i)] - points[i], sizes[i]).tolist()
+    return Taken(passes, begin, end)
 
 
 def _seed(*parts: object) -> int:
     return int.from_bytes(hashlib.sha256(repr(parts).encode()).digest()[:8], "big")
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, shard_docs: int = 2000) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and tie, a hash of the text, of every row of ``docs``.
+def ranked_sources(sized: DataFrame, weights: tuple[int, ...], per_range: int = 100_000) -> DataFrame:
+    """source, source_size, n, rank, weight: the sources by code point, null last, in ranges that are counted and then numbered."""
+    order = F.col("source").isNull(), F.col("source")
+    per = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
+    ranges = max(1, -(-per.count() // per_range))
+    laid = written(per.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    counts = sorted((r["range"], r["count"]) for r in laid.groupBy("range").count().collect())  # a row per range
+    before = {range_: sum(n for r, n in counts if r < range_) for range_, _ in counts}
+    offset = F.coalesce(F.get(F.lit([before.get(k, 0) for k in range(max(before, default=-1) + 1)] or [0]), F.col("range")), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1 + offset
+    weight = F.get(F.lit(list(weights)), (F.col("rank") % len(weights)).cast("int"))
+    return written(laid.withColumn("rank", rank.cast("long")).withColumn("weight", weight.cast("long")).drop("range"))
 
-    The totals of the sources, a row per source, pass through the driver; all
-    else is grouped by shards of about ``shard_docs`` documents of a source.
+
+def with_targets(sources: DataFrame, total: int, most: int = MAX_EPOCHS) -> DataFrame:
+    """``sources`` with target: shares of ``total`` by weight, each at most ``most`` times its size, the excess shared again by weight.
+
+    The share of a unit of weight rises until no further source reaches its cap below it; each round is one sum over the sources.
+    """
+    cap = F.lit(most) * F.col("source_size")
+    reaches = cap / F.col("weight")  # the share at which a source stands at its cap
+    share, capped, left, weights = 0.0, -1, total, 0
+    while True:
+        row = sources.agg(
+            F.count_if(reaches <= share).alias("capped"),
+            F.coalesce(F.sum(F.when(reaches <= share, cap)), F.lit(0)).alias("given"),
+            F.coalesce(F.sum(F.when(reaches > share, F.col("weight"))), F.lit(0)).alias("weights"),
+        ).first()
+        if row["capped"] == capped:
+            break
+        capped, left, weights = row["capped"], total - row["given"], row["weights"]
+        if not weights:
+            break
+        share = max(share, left / weights)
+    return sources.withColumn("target", F.when(reaches <= share, cap.cast("double")).otherwise(F.lit(float(left)) * F.col("weight") / F.lit(float(max(1, weights)))))
+
+
+def apportioned(parties: DataFrame, groups: list[str], block: int) -> DataFrame:
+    """``parties`` (of a group with its words to give, ``total``; ``party``, ``goal``, ``most``) with each one's ``quota``."""
+
+    def share(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("party")
+        goal, most = rows["goal"].to_numpy(), rows["most"].to_numpy()
+        return rows.assign(quota=quotas(int(rows["total"].iloc[0]), goal, most, block))[[*groups, "party", "quota"]]
+
+    kinds = ", ".join(f"{c} {parties.schema[c].dataType.simpleString()}" for c in [*groups, "party"])
+    return parties.select(*groups, "total", "party", "goal", "most").groupBy(*groups).applyInPandas(share, f"{kinds}, quota long")
+
+
+def in_two_steps(parties: DataFrame, groups: list[str], block: int) -> DataFrame:
+    """As ``apportioned``, first to cells of ``CELL`` neighbouring parties and then within each: no group is larger than a thousandth of all, or than a cell."""
+    celled = parties.withColumn("cell", F.expr(f"party div {CELL}"))
+    exact = F.sum(F.col("goal").cast("decimal(38,6)")).cast("double").alias("goal")  # the same in whatever order
+    cells = celled.groupBy(*groups, "total", "cell").agg(exact, F.sum("most").alias("most"))
+    given = apportioned(cells.withColumnRenamed("cell", "party"), groups, block).withColumnRenamed("party", "cell")
+    return apportioned(celled.drop("total").join(given.withColumnRenamed("quota", "total"), [*groups, "cell"]), [*groups, "cell"], block).drop("cell")
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, shard_docs: int = 2000, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, passes, starts, ends and tie, a hash of the text, of every row of ``docs``.
+
+    A row is taken ``passes`` times, and its words from each of ``starts`` to before each of ``ends`` once more: ``taken`` words in all.
+    Sources, shards of about ``shard_docs`` documents of a source, and their quotas stay in tables; the driver sees sums.
     """
-    spark = docs.sparkSession
     ids = [F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id")]  # pandas has no null integers
     sized = written(numbered_copies(docs.select(*ids, "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "doc_id", "no_id", "source", "size", "tie"))
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()
-    per.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = np.array([r["source_size"] for r in per], dtype=np.int64)
-    goal = targets(sizes, np.array([weights[i % len(weights)] for i in range(len(per))], dtype=float), float(sizes.sum()), max_epochs)
-    least = goal[goal > 0].min() if (goal > 0).any() else 1.0
-    block = int(min(512, max(1, least // 256)))
-    most = np.floor(max_epochs * sizes).astype(np.int64)
-    quotas = block * sainte_lague(goal, int(sizes.sum()) // block, most // block)
-    quotas = quotas + part_blocks(goal, quotas, most, min(int(sizes.sum()), int(most.sum())))
-
-    sources = spark.createDataFrame(
-        [(i, r["source"], int(sizes[i]), float(goal[i]), int(quotas[i]), shards_for(r["n"], shard_docs)) for i, r in enumerate(per)],
-        "rank int, source string, source_size long, target double, quota long, n_shards int",
-    )
+    sources = ranked_sources(sized, weights)
+    words = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
+    sources = with_targets(sources, words, max_epochs)
+    most = F.lit(max_epochs) * F.col("source_size")
+    parties = sources.select(F.lit(0).alias("all"), F.lit(words).cast("long").alias("total"), F.col("rank").alias("party"), F.col("target").alias("goal"), most.alias("most"))
+    source_quotas = in_two_steps(parties, ["all"], block).select(F.col("party").alias("rank"), F.col("quota").alias("total"))
+    sources = sources.withColumn("n_shards", F.ceil(F.col("n") / shard_docs)).select(F.col("source").alias("_source"), "source_size", "target", "rank", "n_shards")
     ranked = (
-        sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
-        .drop(sources["source"])
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "copy"), "n_shards").cast("int"))
-    )
-
-    def over_shards(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("shard")
-        words = rows["words"].to_numpy()
-        total, most = int(rows["quota"].iloc[0]), np.floor(max_epochs * words).astype(np.int64)
-        blocks = block * sainte_lague(words, total // block, most // block)
-        rows["quota"] = blocks + part_blocks(total * (words / max(1, words.sum())), blocks, most, total)
-        return rows[["rank", "shard", "quota"]]
-
-    shard_quotas = (
-        ranked.groupBy("rank", "shard", "quota")
-        .agg(F.sum("size").alias("words"))
-        .groupBy("rank")
-        .applyInPandas(over_shards, "rank int, shard int, quota long")
+        sized.join(sources, sized["source"].eqNullSafe(F.col("_source")))
+        .drop("_source")
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "copy"), "n_shards"))
     )
+    shards = ranked.groupBy("rank", "shard").agg(F.sum("size").alias("words")).join(source_quotas, "rank")
+    goal = F.col("words").cast("double")
+    parties = shards.select("rank", "total", F.col("shard").alias("party"), goal.alias("goal"), (F.lit(max_epochs) * F.col("words")).alias("most"))
+    shard_quotas = in_two_steps(parties, ["rank"], block).select("rank", F.col("party").alias("shard"), "quota")
 
     def choose(key: tuple, rows: pd.DataFrame, quota: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["place", "doc_id", "tie", "copy"], na_position="last")
-        return rows.assign(taken=take_blocks(rows["size"].to_numpy(), int(quota["quota"].sum()), block, _seed(seed, *map(int, key))))[COLUMNS]
+        size = rows["size"].to_numpy()
+        got = take_blocks(size, int(quota["quota"].sum()), block * stretch, _seed(seed, *map(int, key)))
+        parts = np.array([sum(b) - sum(a) for a, b in zip(got.starts, got.ends, strict=True)], dtype=np.int64)
+        return rows.assign(taken=size * got.passes + parts, passes=got.passes, starts=got.starts, ends=got.ends).drop(columns=["rank", "shard", "copy", "place"])
 
     return (
         ranked.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id", "tie", "copy"))
         .select("doc_id", "no_id", "source", "size", "source_size", "target", "tie", "rank", "shard", "copy", "place")
         .groupBy("rank", "shard")
         .cogroup(shard_quotas.groupBy("rank", "shard"))
-        .applyInPandas(choose, "doc_id long, no_id boolean, source string, size long, source_size long, target double, taken long, tie long")
+        .applyInPandas(choose, "doc_id long, no_id boolean, source string, size long, source_size long, target double, tie long, taken long, passes long, starts array<long>, ends array<long>")
         .withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id")))
         .drop("no_id")
     )
@@ -180,36 +235,46 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def first_words(text: str, n: int) -> str:
-    """``text`` up to the end of its ``n``-th word."""
-    end = 0
-    for _, m in zip(range(n), _word.finditer(text), strict=False):
-        end = m.end()
-    return text[:end]
+def run_of_words(text: str, start: int, end: int) -> str:
+    """``text`` from its word ``start`` to before its word ``end``, as it stands there; all of it if these are all its words."""
+    low, high, more = 0, len(text), False
+    for k, m in enumerate(_word.finditer(text)):
+        if k == start:
+            low = m.start()
+        if k == end - 1:
+            high = m.end()
+        if k >= end:
+            more = True
+            break
+    return text[low:high] if start or more else text
 
 
 def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
-    """The mix as documents: each row of ``docs`` as often as the mix takes it whole, then the words it takes beyond.
+    """The mix as documents: each row of ``docs`` as often as the mix takes it whole, then each run of its words that the chosen blocks hold.
 
-    Equal rows are taken together; n_chars, where there is one, is that of the text.
+    Equal rows of which the same is taken are worked on once; n_chars, where there is one, is that of the text.
     """
-    keys = ["doc_id", "source", "tie"]
-    plan = mix(docs, **options).groupBy(*keys).agg(F.sum("taken").alias("all_taken"), F.max("size").alias("size")).filter("all_taken > 0")
-    plan = plan.withColumnsRenamed({k: f"plan_{k}" for k in keys})
+    keys, what = ["doc_id", "source", "tie"], ["passes", "starts", "ends"]
+    plan = mix(docs, **options).filter("taken > 0").groupBy(*keys, *what).agg(F.count(F.lit(1)).alias("rows"))
+    plan = plan.withColumnsRenamed({c: f"plan_{c}" for c in (*keys, *what, "rows")})
     names, schema, at = docs.columns, docs.schema, docs.columns.index("text")
-    once = docs.withColumn("tie", F.xxhash64("text")).dropDuplicates(keys)
-    joined = once.join(plan, [once[k].eqNullSafe(plan[f"plan_{k}"]) for k in keys])
+    once = docs.withColumn("plan_key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "plan_key"])
+    joined = once.join(plan, [once[c].eqNullSafe(plan[f"plan_{k}"]) for c, k in zip(("doc_id", "source", "plan_key"), keys, strict=True)])
+    n = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            passes, starts, ends = (batch.column(n + k).to_pylist() for k in range(3))
             for i in range(len(batch)):
-                row = batch.slice(i, 1)
-                whole, rest = divmod(row.column(len(names))[0].as_py(), row.column(len(names) + 1)[0].as_py())
-                texts = [row.column(at)[0].as_py()] * whole
-                if rest:
-                    texts.append(first_words(row.column(at)[0].as_py(), rest))
-                columns = [pa.array(texts, pa.string()) if k == at else row.column(k).take(pa.array([0] * len(texts), pa.int64())) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    out = joined.select(*[once[c] for c in names], "all_taken", "size").mapInArrow(run, schema)
+                text = batch.column(at)[i].as_py()
+                texts = ([text] if passes[i] else []) + [run_of_words(text, a, b) for a, b in zip(starts[i], ends[i], strict=True)]
+                times = ([passes[i]] if passes[i] else []) + [1] * len(starts[i])
+                again = pa.array([i] * len(texts), pa.int64())
+                columns = [pa.array(texts, pa.string()) if k == at else batch.column(k).take(again) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(n + 3).take(again), pa.array(times, pa.int64())], names=[*names, "plan_rows", "plan_times"])
+
+    out = joined.select(*[once[c] for c in names], *[f"plan_{c}" for c in (*what, "rows")])
+    wide = T.StructType([*schema, T.StructField("plan_rows", T.LongType()), T.StructField("plan_times", T.LongType())])
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("plan_rows") * F.col("plan_times")))
+    out = out.mapInArrow(run, wide).withColumn("plan_rows", copies).drop("plan_rows", "plan_times")
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -20,7 +20,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("tie")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("tie", "passes", "starts", "ends")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
