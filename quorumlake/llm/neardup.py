@@ -15,16 +15,17 @@
    across groups, so that no candidate is left out; buckets of one group, as
    those of many near copies are, need no pairs.
 
-Before texts are fetched, a pair's overlap is estimated from the ``BOTTOM``
-least hashes of each text's numbered k-mers and their number, inside the join
-that finds the pair: pairs more than ``ERRORS`` standard errors below the
-threshold go no further.
+Before texts are fetched, a pair's overlap is bounded from the ``BOTTOM`` least
+hashes of each text's numbered k-mers and their number, inside the join that
+finds the pair: only pairs that can't reach the threshold go no further, so the
+bound loses none.
 
 A group is labelled by its smallest doc_id. Defined cases: a null text is near
 nothing; texts of fewer than five words are one k-mer; a text without words is
-near its equal copies only; a null doc_id is never a label if its group has
-another; equal rows share a group; an empty table gives no rows; extra columns
-are ignored.
+near its equal copies only; very long texts are hashed and aligned whole; a
+null doc_id is never a label if its group has another; equal rows share a
+group; centres and buckets of equal rank are told apart by digest; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ SKETCHES, LEAST = 40, 8
 #: K-mers of the texts that also meet by their rarest k-mers, so that their pairs are found exactly.
 SHORT = 75
 SEED = 0x51ED270B
-#: Least hashes kept of a text, and the standard errors below the threshold at which an estimated overlap rules a pair out.
-BOTTOM, ERRORS = 400, 4
+#: Least hashes kept of a text.
+BOTTOM = 400
 
 
 def ratio(least: float) -> Fraction:
@@ -134,9 +135,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def bottom(kmers: np.ndarray, count: int = BOTTOM) -> np.ndarray:
-    """The least hashes, of 31 bits, of the numbered k-mers, ascending."""
-    x = (numbered(kmers) >> np.uint64(33)).astype(np.int32)
-    return np.sort(np.partition(x, count)[:count] if len(x) > count else x)
+    """The least different hashes, of 31 bits, of the numbered k-mers, ascending."""
+    return np.unique((numbered(kmers) >> np.uint64(33)).astype(np.int32))[:count]
 
 
 def sketches(texts: DataFrame, k: int = K, count: int = SKETCHES, least: int = LEAST) -> DataFrame:
@@ -196,15 +196,18 @@ def of_firsts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def may_be_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
-    """Whether two texts can be similar by their samples; where both are short, those hold all k-mers.
+    """Whether two texts can be similar by their samples; false for no pair that is.
 
-    Of the larger text's ``BOTTOM`` least hashes, those that the other text has too are a hypergeometric draw.
+    Up to the lesser of both last hashes, what two texts have in common stands in both samples. Of what
+    is not in the sample that ends there they can have all in common, and no more.
     """
-    most, fewest = F.greatest(a["kmers"], b["kmers"]), F.least(a["kmers"], b["kmers"])
-    shared = (a["kmers"] + b["kmers"]) * (least / (1 + least))  # k-mers that similar texts have in common
-    drawn, part = F.least(most, F.lit(BOTTOM)), shared / most
-    error = F.sqrt(drawn * part * F.greatest(1 - part, F.lit(0.0)) * (1 - drawn / most))
-    return (fewest >= shared - 1) & (F.size(F.array_intersect(a["bottom"], b["bottom"])) >= drawn * part - ERRORS * error - 1)
+    share = ratio(least)
+    part, whole = share.numerator, share.denominator
+    reaches = lambda common: F.lit(part) * (a["kmers"] + b["kmers"]) <= F.lit(part + whole) * common
+    last = lambda x: F.when(F.size(x["bottom"]) >= BOTTOM, F.element_at(x["bottom"], -1).cast("long")).otherwise(F.lit(1 << 31))
+    rest = lambda x: x["kmers"] - F.size(x["bottom"])
+    unseen = F.when(last(a) < last(b), rest(a)).when(last(b) < last(a), rest(b)).otherwise(F.least(rest(a), rest(b)))
+    return reaches(F.least(a["kmers"], b["kmers"])) & reaches(F.size(F.array_intersect(a["bottom"], b["bottom"])) + unseen)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, k: int = K, least: float = SIMILARITY) -> DataFrame:
@@ -265,10 +268,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARITY, count: int = SKETCHES, least: int = LEAST) -> DataFrame:
-    """doc_id, digest, group_id, n_links of every row of ``docs``; equal texts have one digest.
-
-    ``n_links`` counts the other texts that the row's text has a verified link to.
-    """
+    """doc_id, digest, group_id of every row of ``docs``; equal texts have one digest, near ones one group."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
     members = own.select("doc_id", digest.alias("digest"))
@@ -309,16 +309,13 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     rest = written(rest)
     more = written(verified(rest, texts, firsts, k, similarity))
 
-    every = written(links.unionByName(more))
     further = components(contracted(more, label))
-    counts = every.select("a").unionAll(every.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("n_links"))
     nodes = firsts.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     nodes = relabelled(nodes, further)
     groups = nodes.groupBy("label").agg(F.min("first").alias("group_id"))
-    by_class = nodes.join(groups, "label").join(counts, "digest", "left").select("digest", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return members.join(by_class, "digest", "left").select(
-        "doc_id", F.lower(F.hex("digest")).alias("digest"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    by_class = nodes.join(groups, "label").select("digest", "group_id")
+    group = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("group_id"))
+    return members.join(by_class, "digest", "left").select("doc_id", F.lower(F.hex("digest")).alias("digest"), group.alias("group_id"))
 
 
 def representatives(docs: DataFrame, **options: float) -> DataFrame:

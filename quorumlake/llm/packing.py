@@ -1,18 +1,25 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Several sequence lengths are permitted and optimised jointly: a shard is
-packed best-fit, longest piece first, once for each length up to which bins
-may be opened; a piece that fits no open bin opens the bin size of least price
-per word that holds it. In the end each bin is cut down to the smallest
-permitted length that holds its contents, and the cheapest packing is kept.
-
-Defined cases: documents longer than the largest length are cut into pieces
-of it; documents without words get one row with no bin; equal rows are packed
-separately; an empty table gives no rows; extra columns are ignored.
+Several sequence lengths are permitted and optimised jointly. A shard's pieces
+go longest first into the open bin that they leave least room in. A piece that
+fits no open bin opens one of the size of least cost: of each permitted length,
+the price per word of a bin filled with it and the longest pieces still to come
+that fit. In the end each bin is cut down to the smallest permitted length that
+holds its contents. The shard is also packed with the lengths up to each limit
+alone, by this rule and by opening the longest, and the cheapest packing is
+kept.
+
+Defined cases: null and empty texts and other documents without words get one
+row with no bin; documents longer than the largest length are cut into pieces
+of it; equal rows are packed separately; pieces of one length go by doc_id,
+copy and piece; of sizes of equal cost the smallest is opened, of equally cheap
+packings the first is kept; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -32,40 +39,63 @@ def price(length: int, per_bin: int = PER_BIN) -> int:
     return length + per_bin
 
 
+def fill(size: int, length: int, left: Counter[int], mask: int) -> int:
+    """Words of a bin of ``length`` with a piece of ``size`` and the longest pieces ``left`` that fit; ``mask`` has their sizes as bits."""
+    room = length - size
+    while mask := mask & ((2 << room) - 1):
+        next_size = mask.bit_length() - 1
+        room -= next_size * min(left[next_size], room // next_size)
+        mask ^= 1 << next_size
+    return length - room
+
+
+def packing(sizes: Sequence[int], lengths: Sequence[int], limit: int, joint: bool, per_bin: int) -> tuple[int, list[int], list[int]]:
+    """Cost, bin of each size and length of each bin, with bins of up to ``limit`` where a piece needs no longer one.
+
+    ``joint`` opens the size of least cost, otherwise it is the longest.
+    """
+    left, coming = Counter(sizes), 0
+    for size in left:
+        coming |= 1 << size
+    cut = dict(zip(range(1, lengths[-1] + 1), np.repeat(lengths, np.diff([0, *lengths])).tolist(), strict=True))
+    room: dict[int, list[int]] = {}
+    mask, where, filled = 0, [], []
+    for size in sizes:
+        left[size] -= 1
+        if not left[size]:
+            coming ^= 1 << size
+        fits = mask >> size
+        if fits:
+            spare = size + (fits & -fits).bit_length() - 1
+            bins = room[spare]
+            b = bins.pop()
+            if not bins:
+                mask ^= 1 << spare
+            filled[b] += size
+            spare -= size
+        else:
+            allowed = [c for c in lengths if size <= c <= limit] or [cut[size]]
+            if joint:
+                words = [fill(size, c, left, coming) for c in allowed]
+                spare = min(zip(allowed, words, strict=True), key=lambda x: (price(cut[x[1]], per_bin) / x[1], x[0]))[0] - size
+            else:
+                spare = allowed[-1] - size
+            b = len(filled)
+            filled.append(size)
+        where.append(b)
+        if spare:
+            room.setdefault(spare, []).append(b)
+            mask |= 1 << spare
+    out = [cut[n] for n in filled]
+    return sum(price(c, per_bin) for c in out), where, out
+
+
 def best_fit(sizes: Sequence[int], lengths: Sequence[int], per_bin: int = PER_BIN) -> tuple[np.ndarray, np.ndarray]:
     """Bin of each size, and the length of each bin. ``sizes`` are 1 to max(lengths), longest first."""
     lengths = sorted(lengths)
-    best: tuple[int, list[int], list[int]] | None = None
-    for most in range(len(lengths)):
-        opened = {}  # the length to open for the sizes in (lengths[k-1], lengths[k]]
-        for k, holds in enumerate(lengths):
-            fitting = [c for c in lengths[k:] if c <= lengths[most]] or [holds]
-            opened[k] = min(fitting, key=lambda c: (price(c, per_bin) / c, c))
-        step = np.searchsorted(lengths, sizes)
-        room: dict[int, list[int]] = {}
-        mask, where, filled = 0, [], []
-        for size, k in zip(sizes, step.tolist(), strict=True):
-            fits = mask >> size
-            if fits:
-                left = size + (fits & -fits).bit_length() - 1
-                bins = room[left]
-                b = bins.pop()
-                if not bins:
-                    mask &= ~(1 << left)
-                filled[b] += size
-                left -= size
-            else:
-                b, left = len(filled), opened[k] - size
-                filled.append(size)
-            where.append(b)
-            if left:
-                room.setdefault(left, []).append(b)
-                mask |= 1 << left
-        cut = [lengths[i] for i in np.searchsorted(lengths, filled).tolist()]
-        cost = sum(price(c, per_bin) for c in cut)
-        if best is None or cost < best[0]:
-            best = cost, where, cut
-    return np.array(best[1], dtype=np.int64), np.array(best[2], dtype=np.int64)
+    tried = [packing(sizes, lengths, limit, joint, per_bin) for joint in (True, False) for limit in reversed(lengths)]
+    _, where, cut = min(tried, key=lambda x: x[0])
+    return np.array(where, dtype=np.int64), np.array(cut, dtype=np.int64)
 
 
 def pack(docs: DataFrame, *, size: Column | None = None, lengths: Sequence[int] = LENGTHS, per_bin: int = PER_BIN, shard_pieces: int = 8192) -> DataFrame:
