@@ -21,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this session below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A folder of this session below ``spark.checkpoint.dir``; a temporary one where that is unset and all tasks run in this process.
+
+    On a cluster without that setting it is an error: executors don't see each other's local folders.
+    """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _roots[app] = f"{base or 'file://' + tempfile.mkdtemp(prefix='quorumlake-')}/quorumlake-{app}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]

@@ -9,7 +9,7 @@ that agree, and follows edit similarity rather than the bare set of k-mers.
 
 Defined cases: a null text counts as empty; a text of fewer than five words is
 one k-mer; a text without words has an empty fingerprint, like only another
-empty one (1.0); ties of doc_id are ordered by a hash of the text; a null
+empty one (1.0); very long texts, of up to 2**30 words, are read whole; ties of doc_id are ordered by a hash of the text; a null
 doc_id comes last; a single document is its own next; an empty table gives no
 rows; extra columns are ignored.
 """

@@ -11,8 +11,10 @@ The model is fitted on the driver from a bounded sample: at most
 
 Defined cases: a null text counts as empty, and an empty text scores as a
 chunk of zero bytes; without labelled rows of both kinds every score is 0.5;
-equal texts score alike; an empty table gives no rows; extra columns are
-ignored.
+of rows that repeat a doc_id the sample has the least text, and of labels that
+differ for one the lower; equal texts score alike; every chunk of a very long
+text counts; an empty table gives no rows; extra columns are kept, but for
+score and predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -120,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_per_label: int = SAMPLE_
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+        .agg(F.min("text").alias("text"))  # one row of an id that repeats, so that the sample stays within its bound
         .mapInArrow(cut, "doc_id long, quality int, chunk binary")
         .toPandas()
         .sort_values(["doc_id", "chunk"], ignore_index=True)

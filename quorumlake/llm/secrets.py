@@ -7,8 +7,10 @@ only candidates are verified with the regex. A rule without mandatory
 trigrams scans every text of the segment. A private key's span goes on from
 its BEGIN line through the body to the END line.
 
-Defined cases: a null text counts as empty; equal rows are scanned alike; an
-empty table gives no rows; extra columns are ignored.
+Defined cases: a null text counts as empty; equal rows are scanned alike; a very
+long text is scanned whole, in time in proportion to its length; spans that
+start together go by the rules' order; an empty table gives no rows; extra
+columns are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -171,6 +173,8 @@ LOWER[65:91] += 32
 
 def segment_postings(data: np.ndarray, offsets: np.ndarray, trigrams: list[str], slab: int = 1 << 22) -> dict[str, np.ndarray]:
     """Rows that hold each of the (at most 254) trigrams, from the UTF-8 bytes of a segment's texts."""
+    if len(trigrams) > 254:
+        raise ValueError("the rules' queries name more than 254 trigrams")
     number = np.zeros(1 << 24, dtype=np.uint8)
     for k, t in enumerate(trigrams):
         a, b, c = t.encode()
@@ -208,9 +212,10 @@ class Scanner:
             for i in lookup(query, postings, everything).tolist():
                 low, high = int(offsets[i]), int(offsets[i + 1])
                 text = view[low:high]
+                start, at = 0, 0  # code points up to a byte
                 for m in regex.finditer(text):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        start = len(bytes(text[: m.start()]).decode())
+                        start, at = start + len(bytes(text[at : m.start()]).decode()), m.start()
                         end = self.tails[k].match(text, m.end()).end() if k in self.tails else m.end()
                         out[i].append((start, k, start + len(bytes(text[m.start() : end]).decode())))
         for x in out:
@@ -243,7 +248,10 @@ def scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by [kind]; overlapping spans count as one of the first kind."""
+    """``docs`` with every secret in ``text`` replaced by [kind]; overlapping spans count as one of the first kind.
+
+    A null text stays null, an empty one empty; all rows and all other columns stay as they are; an empty table gives no rows.
+    """
     names, at = docs.columns, docs.columns.index("text")
     schema = docs.schema
 

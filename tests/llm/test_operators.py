@@ -88,6 +88,20 @@ def test_token_counts_of_hard_rows(spark, hard, empty, counts):
     assert tokens.edited_counts(empty).count() == 0
 
 
+def test_edited_counts_are_those_of_the_edited_texts(spark, hard, counts):
+    """The three edits through Spark, against whole counts of texts that are edited here."""
+    expected = Counter()
+    for i, t, *_ in hard_rows():
+        new, n = t or "", len(t or "")
+        at = n // 3
+        new = new[:at] + (t or "")[:24].upper() + new[at + 24 :]
+        at = min(2 * n // 3, len(new))
+        new = new[:at] + f" [edited: {n}] " + new[at:]
+        new = new[3:]
+        expected[i, len(new), len(counts.encoding.encode_ordinary(new))] += 1
+    assert Counter((r.doc_id, r.edited_chars, r.edited_tokens) for r in tokens.edited_counts(hard).collect()) == expected
+
+
 def test_an_edit_encodes_little(counts):
     text = prose(random.Random(1), 5000)
     tree = tokens.build(text, counts)
@@ -328,6 +342,11 @@ def test_runs_of_words_keep_the_space_between_them():
     assert mixing.run_of_words("a b c", 0, 2) == "a b" and mixing.run_of_words("a b c", 1, 2) == "b"
 
 
+def test_mix_ignores_clashing_columns(spark, hard):
+    same = lambda x: sorted(map(str, x.collect()))
+    assert same(mixing.mix(hard.selectExpr("*", "1 AS size", "2 AS rank", "3 AS shard", "4 AS quota", "5 AS tie", "6 AS total"))) == same(mixing.mix(hard))
+
+
 def test_mixed_documents_of_nothing(spark, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
@@ -396,6 +415,27 @@ def test_no_key_body_outlives_redaction(spark):
         assert spans and all(texts[r.doc_id][a:].startswith(begin) and b <= texts[r.doc_id].index("\n\nafter") for a, b in spans)
 
 
+def test_scan_and_redact_of_nothing_and_beside_clashing_columns(spark, hard, empty):
+    assert secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
+    texts = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    same = lambda x: sorted(map(str, x.collect()))
+    clashing = texts.selectExpr("*", "1 AS spans", "2 AS n_assign", "3 AS base_sha256")
+    assert same(secrets.scan(clashing)) == same(secrets.scan(texts))
+    assert secrets.redact(clashing).columns == clashing.columns and {r.spans for r in secrets.redact(clashing).collect()} == {1}
+
+
+def test_a_long_text_of_many_secrets(spark):
+    """Half a million characters, a secret in each twenty of them: spans lie where a plain scan finds them."""
+    text = "é token=abcdef ü xyz " * 25_000
+    (r,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.n_assign == 25_000 and r.base_sha256 == hashlib.sha256(plain_spans(text).encode()).hexdigest()
+
+
+def test_trigrams_beyond_a_byte_are_refused():
+    with pytest.raises(ValueError):
+        secrets.segment_postings(np.zeros(3, np.uint8), np.array([0, 3]), [f"{i:03d}" for i in range(255)])
+
+
 # ---- top-k
 
 def test_top_k_matches_brute_force(spark):
@@ -590,6 +630,41 @@ def test_hard_rows_are_scored(spark, hard):
     assert len({r.score for r in out if r.doc_id in (1, 2)}) == 1
 
 
+def plain_score(model, text):
+    """The network by its definition, a window and a chunk at a time."""
+    data, total, weight, at = (text or "").encode(), 0.0, 0, 0
+    while True:
+        chunk = data[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        top = [max(sum(float(model.taps[k][chunk[p + k]][f]) for k in range(quality.WIDTH)) for p in range(quality.CHUNK - quality.WIDTH + 1)) for f in range(quality.FILTERS)]
+        logit = sum(max(t + float(b), 0) * float(o) for t, b, o in zip(top, model.bias, model.out, strict=True)) + model.out_bias
+        last = at + quality.CHUNK >= len(data)
+        n = max(1, len(data) - at) if last else quality.CHUNK
+        total, weight = total + logit * n, weight + n
+        if last:
+            return 1 / (1 + math.exp(-total / weight))
+        at += quality.CHUNK - quality.OVERLAP
+
+
+def test_scores_match_a_plain_version(spark):
+    rng = np.random.default_rng(0)
+    model = quality.fit(rng.integers(0, 255, (20, quality.CHUNK)).astype(np.uint8), np.array([0, 1] * 10), epochs=2)
+    texts = ["", None, "short", "é" * 300, prose(random.Random(1), 200), "x" * quality.CHUNK, "y" * (2 * quality.CHUNK - quality.OVERLAP)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "7 AS score", "8 AS predicted", "9 AS chunk")
+    out = quality.score(docs, model)
+    assert sorted(out.columns) == ["chunk", "doc_id", "predicted", "score", "text"]
+    for r in out.collect():
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-5) and r.predicted == int(r.score >= 0.3) and r.chunk == 9
+
+
+def test_training_on_nothing_and_on_repeated_ids(spark, empty):
+    """A doc_id that repeats adds no rows to the sample; without rows there is no model."""
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int")
+    assert quality.train(empty, labels) is None
+    rows = [(i, f"text {i} " * 20) for i in range(1, 9)]
+    once, often = (quality.train(spark.createDataFrame(r, "doc_id long, text string"), labels, epochs=1) for r in (rows, rows * 5))
+    assert (once.taps == often.taps).all() and once.out_bias == often.out_bias
+
+
 # ---- HTML
 
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
@@ -730,6 +805,11 @@ def test_fingerprints_match_a_plain_version(spark, hard, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
+def test_fingerprints_ignore_clashing_columns(spark, hard):
+    same = lambda x: sorted(map(str, x.collect()))
+    assert same(fingerprints.edited_fingerprints(hard.selectExpr("*", "1 AS tie", "2 AS bins", "3 AS range", "4 AS id", "5 AS next_text"))) == same(fingerprints.edited_fingerprints(hard))
+
+
 # ---- substrings
 
 def plain_dedup(rows):

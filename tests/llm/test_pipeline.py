@@ -51,3 +51,44 @@ def test_stages_take_effect_in_order(spark, corpus, tmp_path):
 
 def test_run_is_all_stages(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).count() > 0
+
+
+def hard_docs():
+    long_text = " ".join(f"w{i * i % 7919}" for i in range(9000))
+    rows = [(1, long_text, "en", "a", 5), (2, long_text, "en", "b", 5), (2, long_text, "en", "b", 5), (3, "", "en", "a", 0), (4, None, None, None, None), (None, None, None, None, None)]
+    rows += [(None, "no id, and a secret: abcdef123", "en", None, 3), (None, "no id, and a secret: abcdef123", "en", None, 3), (6, "tie tie tie tie tie tie", "fr", "a", 2), (7, "tie tie tie tie tie tie", "fr", "a", 2), (8, " \n ", "en", "ä", 3)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def hard_corpus(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("hard"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stage_on_hard_rows_and_on_nothing(spark, hard_corpus, name, stage):
+    """Nulls, empty and long texts, repeats, ties and clashing columns: what each stage's docstring says of them."""
+    rows = hard_docs()
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS score", "2 AS digest", "3 AS tie", "4 AS size", "5 AS predicted")
+    out = stage(spark, docs, hard_corpus)
+    got = [r.asDict() for r in out.collect()]
+    ids = sorted((r["doc_id"] or -1) for r in got)
+    n_words = sum(len((t or "").split()) for _, t, *_ in rows)
+    if name == "quality classifier":
+        assert ids == sorted((r[0] or -1) for r in rows)
+    elif name == "near-duplicates":
+        assert sorted((r["doc_id"] or -1, r["text"] is None) for r in got) == [(-1, False), (-1, True), (1, False), (3, False), (4, True), (6, False), (8, False)]
+    elif name == "secrets":
+        assert len(got) == len(rows) and sum("[assign]" in (r["text"] or "") for r in got) == 2 and not any("abcdef123" in (r["text"] or "") for r in got)
+    elif name == "source mix":
+        assert all(r["text"] and r["n_chars"] == len(r["text"]) for r in got) and abs(sum(len(r["text"].split()) for r in got) - n_words) <= 1
+    else:
+        assert sum(r["n_words"] for r in got) == n_words and sum(r["bin_id"] is None for r in got) == 4
+    if name != "packing":
+        assert out.columns == corpus_pipeline.COLUMNS
+    assert stage(spark, spark.createDataFrame([], SCHEMA), hard_corpus).count() == 0
