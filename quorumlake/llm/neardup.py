@@ -17,8 +17,10 @@
 
 Before texts are fetched, a pair's overlap is bounded from the ``BOTTOM`` least
 hashes of each text's numbered k-mers and their number, inside the join that
-finds the pair: only pairs that can't reach the threshold go no further, so the
-bound loses none.
+finds the pair: pairs that can't reach the threshold go no further. For texts
+of more k-mers than that the overlap is also estimated, and pairs more than
+``ERRORS`` standard errors below the threshold go no further either; with
+``errors=None`` only the bound counts, which loses no pair.
 
 A group is labelled by its smallest doc_id. Defined cases: a null text is near
 nothing; texts of fewer than five words are one k-mer; a text without words is
@@ -49,8 +51,8 @@ SKETCHES, LEAST = 40, 8
 #: K-mers of the texts that also meet by their rarest k-mers, so that their pairs are found exactly.
 SHORT = 75
 SEED = 0x51ED270B
-#: Least hashes kept of a text.
-BOTTOM = 400
+#: Least hashes kept of a text, and the standard errors below the threshold at which an estimated overlap rules a pair out.
+BOTTOM, ERRORS = 400, 4.0
 
 
 def ratio(least: float) -> Fraction:
@@ -195,11 +197,12 @@ def of_firsts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     return rows.join(own, rows["doc_id"].eqNullSafe(own["_first"]) & (rows["digest"] == own["_digest"]), "left_semi").dropDuplicates(["doc_id", "digest"])
 
 
-def may_be_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
-    """Whether two texts can be similar by their samples; false for no pair that is.
+def may_be_similar(a: Column, b: Column, least: float = SIMILARITY, errors: float | None = ERRORS) -> Column:
+    """Whether two texts can be similar by their samples; without ``errors``, false for no pair that is.
 
     Up to the lesser of both last hashes, what two texts have in common stands in both samples. Of what
-    is not in the sample that ends there they can have all in common, and no more.
+    is not in the sample that ends there they can have all in common, and no more. With ``errors``, of the
+    larger text's least hashes those that the other text has too are also taken as a hypergeometric draw.
     """
     share = ratio(least)
     part, whole = share.numerator, share.denominator
@@ -207,7 +210,14 @@ def may_be_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
     last = lambda x: F.when(F.size(x["bottom"]) >= BOTTOM, F.element_at(x["bottom"], -1).cast("long")).otherwise(F.lit(1 << 31))
     rest = lambda x: x["kmers"] - F.size(x["bottom"])
     unseen = F.when(last(a) < last(b), rest(a)).when(last(b) < last(a), rest(b)).otherwise(F.least(rest(a), rest(b)))
-    return reaches(F.least(a["kmers"], b["kmers"])) & reaches(F.size(F.array_intersect(a["bottom"], b["bottom"])) + unseen)
+    common = F.size(F.array_intersect(a["bottom"], b["bottom"]))
+    possible = reaches(F.least(a["kmers"], b["kmers"])) & reaches(common + unseen)
+    if errors is None:
+        return possible
+    most = F.greatest(a["kmers"], b["kmers"])
+    drawn, needed = F.least(most, F.lit(BOTTOM)), (a["kmers"] + b["kmers"]) * (least / (1 + least)) / most
+    error = F.sqrt(drawn * needed * F.greatest(1 - needed, F.lit(0.0)) * (1 - drawn / most))
+    return possible & ((most <= BOTTOM) | (common >= drawn * needed - errors * error - 1))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, k: int = K, least: float = SIMILARITY) -> DataFrame:
@@ -267,7 +277,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARITY, count: int = SKETCHES, least: int = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARITY, count: int = SKETCHES, least: int = LEAST, errors: float | None = ERRORS) -> DataFrame:
     """doc_id, digest, group_id of every row of ``docs``; equal texts have one digest, near ones one group."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
@@ -290,7 +300,7 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     pairs = met.join(centres, "bucket").filter("a != digest").select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct()
     with_a = pairs.join(samples.withColumnsRenamed({"digest": "a", "sample": "sample_a"}), "a")
     with_b = with_a.join(samples.withColumnsRenamed({"digest": "b", "sample": "sample_b"}), "b")
-    stars = written(with_b.filter(may_be_similar(F.col("sample_a"), F.col("sample_b"), similarity)).select("a", "b"))
+    stars = written(with_b.filter(may_be_similar(F.col("sample_a"), F.col("sample_b"), similarity, errors)).select("a", "b"))
     links = written(verified(stars, texts, firsts, k, similarity))
 
     # buckets that hold more than one group still: the pairs across groups that the stars didn't compare
@@ -303,7 +313,7 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     minor = left.filter("minor").select(*(F.col(c).alias(f"{c}_x") for c in ("bucket", "digest", "label", "sample", "buckets")))
     # a pair is taken in the first bucket that both are in, and once where both are outside the largest group
     once = (F.col("bucket") == F.array_min(F.array_intersect("buckets", "buckets_x"))) & (~F.col("minor") | (F.col("digest") < F.col("digest_x")))
-    differ = (F.col("bucket") == F.col("bucket_x")) & (F.col("label") != F.col("label_x")) & once & may_be_similar(F.col("sample"), F.col("sample_x"), similarity)
+    differ = (F.col("bucket") == F.col("bucket_x")) & (F.col("label") != F.col("label_x")) & once & may_be_similar(F.col("sample"), F.col("sample_x"), similarity, errors)
     across = minor.join(left, differ).select(F.least("digest_x", "digest").alias("a"), F.greatest("digest_x", "digest").alias("b"))
     rest = across.distinct().join(stars, ["a", "b"], "left_anti")
     rest = written(rest)

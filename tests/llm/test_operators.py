@@ -919,8 +919,9 @@ def test_samples_rule_out_no_similar_pair(spark):
                         rows.append((similarity, n, *((len(t), neardup.bottom(t).tolist()) for t in (a, b))))
     kind = "struct<kmers: int, bottom: array<int>>"
     pairs = spark.createDataFrame(rows, f"similarity double, n int, a {kind}, b {kind}")
-    found = pairs.select("similarity", "n", neardup.may_be_similar(F.col("a"), F.col("b")).alias("may")).toPandas()
-    assert found[found["similarity"] >= 0.8]["may"].all()
+    for errors in (None, neardup.ERRORS):
+        found = pairs.select("similarity", "n", neardup.may_be_similar(F.col("a"), F.col("b"), errors=errors).alias("may")).toPandas()
+        assert found[found["similarity"] >= 0.8]["may"].all()
     assert not found[(found["similarity"] == 0.5) & (found["n"] >= 300) & (found["n"] <= 1000)]["may"].any()
 
 
