@@ -40,6 +40,23 @@ def evidence_availability(fields: DataFrame, evidence: DataFrame, field: str = "
     return j.select(field, state.alias("availability"), F.coalesce("n", F.lit(0).cast("long")).alias("n_evidence"))
 
 
+def evidence_ids(fields: DataFrame, evidence: DataFrame, field: str = "source_field_id") -> DataFrame:
+    """field, availability, evidence_ids in order of their spelling, error where an id repeats for a field (CVG-03).
+
+    ``evidence`` has field, evidence_id and observed; a field of which an id repeats has no availability, and no ids.
+    """
+    found = evidence.groupBy(field).agg(
+        F.bool_and(F.col("observed") == "").alias("_empty"),
+        F.array_sort(F.collect_set(F.col("evidence_id").cast("string"))).alias("_ids"),
+        F.count("evidence_id").alias("_n"),
+    )
+    j = fields.join(found, field, "left")
+    error = F.when(F.size("_ids") < F.col("_n"), "DUPLICATE_EVIDENCE_ID")
+    state = F.when(F.col("_n").isNull(), "NO_EVIDENCE").when(F.col("_empty"), "EVIDENCE_EMPTY").otherwise("EVIDENCE_PRESENT")
+    ids = F.coalesce("_ids", F.array().cast("array<string>"))
+    return j.select(field, F.when(error.isNull(), state).alias("availability"), F.when(error.isNull(), ids).alias("evidence_ids"), error.alias("error"))
+
+
 def context(coverage: DataFrame, availability: DataFrame, element: str = "element_id") -> DataFrame:
     """Coverage with evidence, and what is inconsistent between them (CVG-04)."""
     j = coverage.join(availability, "source_field_id", "full")

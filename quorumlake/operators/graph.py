@@ -58,6 +58,40 @@ def tenant_graph(entities: DataFrame, types: DataFrame, relations: DataFrame, re
     return own, edges
 
 
+# The segments of a supplier's impact, their ends' types and their depths.
+SEGMENTS = (("Supplier", "Material", 1), ("Material", "Product", 2), ("Product", "Facility", 1), ("Product", "Revenue Exposure", 1), ("Supplier", "Risk Event", 2))
+
+
+def impact(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """tenant_id, supplier_id, entity_type_name, entity_id, entity_name, revenue_exposure_id: what each supplier's failure reaches (GRF-03).
+
+    A segment is walked once for all its starts and put together by distinct pairs, so paths of one segment
+    don't multiply with those of the next. Of a material, the first revenue exposure in path order is named.
+    """
+    keys = ["tenant_id", "supplier_id"]
+
+    def segment(source: str, target: str, depth: int) -> DataFrame:
+        starts = entities.filter(F.col("entity_type_name") == source).select("tenant_id", F.col("entity_id").alias("start_id"))
+        return paths_to_type(starts, entities, edges, target, depth).select("tenant_id", "start_id", "target_id", "target_name").distinct()
+
+    def then(reached: DataFrame, onward: DataFrame) -> DataFrame:
+        at = onward.select("tenant_id", F.col("start_id").alias("target_id"), F.col("target_id").alias("next_id"), F.col("target_name").alias("next_name"))
+        return reached.join(at, ["tenant_id", "target_id"]).select(*keys, F.col("next_id").alias("target_id"), F.col("next_name").alias("target_name")).distinct()
+
+    walked = {(a, b): segment(a, b, depth) for a, b, depth in SEGMENTS}
+    materials, risks = (walked["Supplier", x].withColumnRenamed("start_id", "supplier_id") for x in ("Material", "Risk Event"))
+    products = then(materials, walked["Material", "Product"])
+    facilities, revenue = then(products, walked["Product", "Facility"]), then(products, walked["Product", "Revenue Exposure"])
+    of_product = walked["Product", "Revenue Exposure"].groupBy("tenant_id", F.col("start_id").alias("target_id")).agg(F.min(F.struct("target_name", F.col("target_id").alias("id"))).alias("exposure"))
+    first = F.min(F.struct(F.col("target_name").alias("product_name"), F.col("target_id").alias("product_id"), "exposure"))
+    of_material = walked["Material", "Product"].join(of_product, ["tenant_id", "target_id"]).groupBy("tenant_id", F.col("start_id").alias("target_id")).agg(first.alias("first"))
+    named = materials.join(of_material, ["tenant_id", "target_id"], "left").withColumn("revenue_exposure_id", F.col("first.exposure.id"))
+    parts = [(named, "Material"), (products, "Product"), (facilities, "Facility"), (revenue, "Revenue Exposure"), (risks, "Risk Event")]
+    none = F.lit(None).cast("string").alias("revenue_exposure_id")
+    rows = [x.select(*keys, F.lit(kind).alias("entity_type_name"), F.col("target_id").alias("entity_id"), F.col("target_name").alias("entity_name"), "revenue_exposure_id" if kind == "Material" else none) for x, kind in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def path_order(name: Column, target: Column, depth: Column, steps: Column) -> list[Column]:
     """Stable order of paths: target name and id, then the shortest, then by steps (WIN-03)."""
     return [name, target, depth, F.transform(steps, lambda s: F.struct(s["relationship_name"], s["entity_id"]))]

@@ -60,6 +60,25 @@ def cvg_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seen(spark, sf_dir)
 
 
+IDS = """
+    WITH e AS (SELECT event_id % 997 AS f, CASE WHEN event_id % 997 = 5 THEN event_id % 7 ELSE event_id END AS id, CASE WHEN event_id % 997 % 10 = 3 THEN '' ELSE event_type END AS observed FROM events WHERE event_id % 997 % 11 <> 0),
+    g AS (SELECT f, bool_and(observed = '') AS empty, list_sort(list(DISTINCT id::VARCHAR)) AS ids, count(*) AS n FROM e GROUP BY 1)
+    SELECT r AS source_field_id, CASE WHEN n > len(ids) THEN NULL WHEN n IS NULL THEN 'NO_EVIDENCE' WHEN empty THEN 'EVIDENCE_EMPTY' ELSE 'EVIDENCE_PRESENT' END AS availability,
+        CASE WHEN n > len(ids) THEN NULL ELSE coalesce(array_to_string(ids, ','), '') END AS evidence_ids, CASE WHEN n > len(ids) THEN 'DUPLICATE_EVIDENCE_ID' END AS error
+    FROM range(997) t(r) LEFT JOIN g ON f = r"""
+
+
+@register("cvg_03_evidence_ids", IDS)
+def cvg_03_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events are evidence of fields; one field's ids repeat, some fields have none, some only empty values."""
+    field = F.col("event_id") % 997
+    evidence = read(spark, sf_dir, "events").filter(field % 11 != 0).select(
+        field.alias("source_field_id"), F.when(field == 5, F.col("event_id") % 7).otherwise(F.col("event_id")).alias("evidence_id"), F.when(field % 10 == 3, "").otherwise(F.col("event_type")).alias("observed")
+    )
+    found = coverage.evidence_ids(spark.range(997).withColumnRenamed("id", "source_field_id"), evidence)
+    return found.withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
 CONTEXT = f"SELECT element_id, source_field_id, coverage, availability, CASE WHEN element_id IS NULL THEN 'ORPHAN_EVIDENCE' WHEN coverage = 'MAPPED' AND availability IS NULL THEN 'MISSING_EVIDENCE' WHEN coverage <> 'MAPPED' AND availability IS NOT NULL THEN 'UNEXPECTED_EVIDENCE' END AS problem FROM ({MAPPED}) FULL JOIN (SELECT * FROM ({SEEN}) WHERE source_field_id % 11 <> 0) USING (source_field_id)"
 
 

@@ -177,6 +177,51 @@ def grf_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.countDistinct("l_partkey").alias("materials"), F.countDistinct("o_orderkey").alias("products"), F.countDistinct("o_custkey").alias("exposures"))
 
 
+IMPACT_SQL = f"""WITH {ENTITIES_SQL},
+    more AS (SELECT * FROM ents UNION ALL SELECT DISTINCT 'F:' || o_custkey % 40, 'Site ' || o_custkey % 40, 'Facility' FROM orders UNION ALL SELECT 'C:' || c_custkey, c_name, 'Revenue Exposure' FROM customer),
+    mat AS (SELECT DISTINCT 'S:' || l_suppkey AS s, 'P:' || l_partkey AS m FROM lineitem WHERE l_quantity > 40),
+    pro AS (SELECT DISTINCT 'P:' || l_partkey AS m, 'O:' || l_orderkey AS p FROM lineitem WHERE l_quantity > 40),
+    ord AS (SELECT 'O:' || o_orderkey AS p, 'F:' || o_custkey % 40 AS f, CASE WHEN o_orderkey % 3 <> 0 THEN 'C:' || o_custkey END AS c FROM orders),
+    fin AS (SELECT m, first(c ORDER BY 'Order ' || substr(p, 3), p) AS c FROM pro JOIN ord USING (p) WHERE c IS NOT NULL GROUP BY 1),
+    near AS (SELECT s_suppkey, s_nationkey AS n FROM supplier), risk AS (SELECT 'S:' || s_suppkey AS s, 'R:' || n_regionkey AS r FROM near JOIN nation ON n = n_nationkey),
+    pairs AS (SELECT s, 'Material' AS kind, m AS id, fin.c AS exposure FROM mat LEFT JOIN fin USING (m) UNION SELECT s, 'Product', p, NULL FROM mat JOIN pro USING (m)
+        UNION SELECT s, 'Facility', f, NULL FROM mat JOIN pro USING (m) JOIN ord USING (p) UNION SELECT s, 'Revenue Exposure', ord.c, NULL FROM mat JOIN pro USING (m) JOIN ord USING (p) WHERE ord.c IS NOT NULL UNION SELECT s, 'Risk Event', r, NULL FROM risk)
+    SELECT s AS supplier_id, kind AS entity_type_name, pairs.id AS entity_id, name AS entity_name, exposure AS revenue_exposure_id FROM pairs JOIN more USING (id)"""
+
+
+@register("grf_03_impact_of_all_suppliers", IMPACT_SQL)
+def grf_03_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are products, made at sites and paid for by customers; orders by threes have no customer to name."""
+    entities, edges = _graph(spark, sf_dir)
+    orders, key = read(spark, sf_dir, "orders"), lambda prefix, column: F.concat(F.lit(prefix), column.cast("string"))
+    node = lambda df, i, label, kind: df.select(F.lit("t").alias("tenant_id"), i.alias("entity_id"), label.alias("entity_name"), F.lit(kind).alias("entity_type_name"))
+    edge = lambda df, rel, b: df.select(F.lit("t").alias("tenant_id"), F.lit(rel).alias("relationship_name"), key("O:", F.col("o_orderkey")).alias("from_entity_id"), b.alias("to_entity_id"))
+    site = F.col("o_custkey") % 40
+    entities = entities.unionByName(node(orders, key("F:", site), key("Site ", site), "Facility").distinct()).unionByName(node(read(spark, sf_dir, "customer"), key("C:", F.col("c_custkey")), F.col("c_name"), "Revenue Exposure"))
+    edges = edges.unionByName(edge(orders, "assembledAt", key("F:", site))).unionByName(edge(orders.filter("o_orderkey % 3 <> 0"), "generatesRevenue", key("C:", F.col("o_custkey"))))
+    return graph.impact(entities, edges).drop("tenant_id")
+
+
+GRAPH_SQL = """SELECT 'node' AS kind, 'S:' || s_suppkey AS id, s_name AS label, CASE WHEN s_acctbal < 0 THEN 'Alternate Supplier' ELSE 'Supplier' END AS type_name, NULL AS to_id FROM supplier WHERE s_suppkey % 5 = 2
+    UNION ALL SELECT 'edge', 'S:' || l_suppkey, NULL, CASE l_returnflag WHEN 'A' THEN 'candidateFor' WHEN 'N' THEN 'supplies' END, 'P:' || l_partkey FROM lineitem WHERE l_suppkey % 5 = 2 AND l_returnflag IN ('A', 'N')"""
+
+
+@register("grf_01_graph_of_a_tenant", GRAPH_SQL)
+def grf_01_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities and relations by the ids of their types; a relation of an unknown type is no edge."""
+    tenant = lambda c: (F.col(c) % 5).cast("string").alias("tenant_id")
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    entities = read(spark, sf_dir, "supplier").select(tenant("s_suppkey"), key("S:", "s_suppkey").alias("entity_id"), F.col("s_name").alias("entity_name"), F.when(F.col("s_acctbal") < 0, 2).otherwise(1).alias("entity_type_id"))
+    relations = read(spark, sf_dir, "lineitem").select(tenant("l_suppkey"), F.ascii("l_returnflag").alias("relationship_type_id"), key("S:", "l_suppkey").alias("from_entity_id"), key("P:", "l_partkey").alias("to_entity_id"))
+    types = spark.createDataFrame([(1, "Supplier"), (2, "Alternate Supplier")], "entity_type_id int, entity_type_name string")
+    relation_types = spark.createDataFrame([(ord("N"), "supplies"), (ord("A"), "candidateFor")], "relationship_type_id int, relationship_name string")
+    nodes, edges = graph.tenant_graph(entities, types, relations, relation_types, "2")
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    return nodes.select(F.lit("node").alias("kind"), F.col("entity_id").alias("id"), F.col("entity_name").alias("label"), F.col("entity_type_name").alias("type_name"), none("to_id")).unionByName(
+        edges.select(F.lit("edge").alias("kind"), F.col("from_entity_id").alias("id"), none("label"), F.col("relationship_name").alias("type_name"), F.col("to_entity_id").alias("to_id"))
+    )
+
+
 @register("grf_04_first_risk_event", _walk_sql("Risk Event", 2, "SELECT id FROM ents WHERE type = 'Supplier'") + " SELECT start_id, first(node ORDER BY name, node) AS target_id, first(name ORDER BY name, node) AS target_name FROM walk WHERE depth > 0 AND type = 'Risk Event' GROUP BY 1")
 def grf_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges = _graph(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.functions import buckets
@@ -51,24 +51,47 @@ def alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("alternate"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal") > 2000).alias("qualified"), (F.col("s_acctbal") > 1000).alias("capacity"))
 
 
+def unit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tenant_id, supplier, material and the three facts about each that its units share."""
+    materials = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("material")).distinct()
+    single = aggregates.single_source(materials, valid_relations(spark, sf_dir), ["supplier", "material"])
+    return single.join(severity_facts(spark, sf_dir), "supplier").join(revenue_facts(spark, sf_dir), "material").withColumn("tenant_id", F.lit("t"))
+
+
+def classified(units: DataFrame) -> tuple[Column, Column]:
+    """Outcome and reason of units with their facts and their alternate's."""
+    c = F.col
+    return policy.classify(c("severe"), c("single"), c("material_revenue"), c("alternate").isNotNull(), c("qualified"), c("capacity"))
+
+
 def impact_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every supplier, material and alternate of the tenant, classified (POL-16).
+    """Every supplier, material and alternate of the tenant, classified (POL-13).
 
     All alternates of a tenant stand against each of its materials, so the
     tenant is the join key; a tenant without alternates keeps its materials.
     """
-    materials = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("material")).distinct()
-    single = aggregates.single_source(materials, valid_relations(spark, sf_dir), ["supplier", "material"])
-    facts = single.join(severity_facts(spark, sf_dir), "supplier").join(revenue_facts(spark, sf_dir), "material").withColumn("tenant_id", F.lit("t"))
-    units = facts.join(alternates(spark, sf_dir).withColumn("tenant_id", F.lit("t")), "tenant_id", "left")
-    c = F.col
-    outcome, reason = policy.classify(c("severe"), c("single"), c("material_revenue"), c("alternate").isNotNull(), c("qualified"), c("capacity"))
+    units = unit_facts(spark, sf_dir).join(alternates(spark, sf_dir).withColumn("tenant_id", F.lit("t")), "tenant_id", "left")
+    outcome, reason = classified(units)
     return units.select("supplier", "material", "alternate", outcome.alias("outcome"), reason.alias("reason"))
 
 
+def counted_units(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """``by``, outcome, reason, n: the units of POL-13 counted without being made.
+
+    Materials with equal facts and alternates with equal ones are counted first; of these
+    kinds there are at most 27 for each of ``by`` and at most 9 a tenant, and only they meet.
+    """
+    facts = unit_facts(spark, sf_dir).groupBy("tenant_id", *by, "severe", "single", "material_revenue").agg(F.count(F.lit(1)).alias("n_materials"))
+    kinds = alternates(spark, sf_dir).withColumn("tenant_id", F.lit("t")).groupBy("tenant_id", "qualified", "capacity").agg(F.min("alternate").alias("alternate"), F.count(F.lit(1)).alias("n_alternates"))
+    units = facts.join(kinds, "tenant_id", "left")
+    outcome, reason = classified(units)
+    n = F.sum(F.col("n_materials") * F.coalesce("n_alternates", F.lit(1)))
+    return units.withColumns({"outcome": outcome, "reason": reason}).groupBy(*by, "outcome", "reason").agg(n.alias("n"))
+
+
 @register("pol_16_gate_f_summary", f"WITH {UNITS_CTE} SELECT outcome, reason, count(*) AS n FROM decided GROUP BY ALL")
 def pol_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact_units(spark, sf_dir).groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return counted_units(spark, sf_dir)
 
 
 @register("pol_13_gate_f_units", f"WITH {UNITS_CTE} SELECT supplier, material, alternate, outcome, reason FROM decided WHERE supplier % 25 = 0")
@@ -76,10 +99,15 @@ def pol_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_units(spark, sf_dir).filter("supplier % 25 = 0")
 
 
+@register("pol_13_gate_f_units_of_all_suppliers", f"WITH {UNITS_CTE} SELECT supplier, material, alternate, outcome, reason FROM decided")
+def pol_13_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_units(spark, sf_dir)
+
+
 @register("pol_15_gate_f_governance", f"WITH {UNITS_CTE} SELECT supplier, count(*) FILTER (WHERE outcome IS NOT NULL) AS decisions, CASE WHEN count(*) FILTER (WHERE outcome IS NOT NULL) > 0 THEN 'REQUIRES_REVIEW' END AS governance FROM decided GROUP BY 1")
 def pol_15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count("outcome")
-    return impact_units(spark, sf_dir).groupBy("supplier").agg(n.alias("decisions"), F.when(n > 0, "REQUIRES_REVIEW").alias("governance"))
+    n = F.coalesce(F.sum(F.when(F.col("outcome").isNotNull(), F.col("n"))), F.lit(0).cast("long"))
+    return counted_units(spark, sf_dir, "supplier").groupBy("supplier").agg(n.alias("decisions"), F.when(n > 0, "REQUIRES_REVIEW").alias("governance"))
 
 
 @register("pol_09_severity", f"SELECT s_suppkey AS supplier, {SEVERE} AS severe FROM supplier JOIN nation ON s_nationkey = n_nationkey")

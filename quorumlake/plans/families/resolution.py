@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlake.functions import text
 from quorumlake.operators import policy, resolution, temporal
 from quorumlake.plans.registry import register
 from quorumlake.plans.tables import read
@@ -167,3 +168,11 @@ def er_14(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("jn_07_similar_pairs")
 def jn_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return er_01(spark, sf_dir)
+
+
+@register("jn_07_similar_names")
+def jn_07_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of names themselves, each once, whatever number of cases and entities bear them."""
+    cases, entities = _named(spark, sf_dir)
+    a, b = cases.select("tenant_id", text.name_key(F.col("name")).alias("a")), entities.select("tenant_id", text.name_key(F.col("entity_name")).alias("b"))
+    return resolution.similar_names(a, b, 0.65)

@@ -238,3 +238,20 @@ def test_places_are_those_of_the_whole_table(spark):
     for per_range in (20, 1000):
         got = ranking.places(df, ["v", "k"], per_range).orderBy("place").collect()
         assert [r["place"] for r in got] == list(range(1, len(rows) + 1)) and [(r["v"], r["k"]) for r in got] == order
+
+
+@pytest.mark.parametrize("threshold", [0.65, 0.9, 1.0])
+def test_similar_names_are_those_of_all_pairs(spark, threshold):
+    """Every pair of distinct names of a tenant by the plain measure: the native bounds lose none."""
+    import difflib
+    import random
+
+    rng = random.Random(4)
+    names = [(t, "".join(rng.choice("aab c1") for _ in range(rng.randrange(0, 9)))) for t in "xy" for _ in range(60)]
+    names += [("x", "acme corp"), ("x", "acme corp"), ("y", "acme corp."), ("x", "acme co"), ("x", None)]
+    rows = spark.createDataFrame(names, "tenant_id string, a string")
+    out = resolution.similar_names(rows, rows.withColumnRenamed("a", "b"), threshold).collect()
+    known = {n for n in names if n[1] is not None}
+    expected = {(t, a, b): difflib.SequenceMatcher(None, a, b).ratio() for t, a in known for u, b in known if t == u}
+    assert {(r.tenant_id, r.a, r.b): r.score for r in out} == {k: v for k, v in expected.items() if v >= threshold}
+    assert len(out) == len({(r.tenant_id, r.a, r.b) for r in out})
