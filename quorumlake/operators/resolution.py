@@ -22,6 +22,23 @@ TYPES = (
     "REGISTERED_ADDRESS_MATCH", "POSTAL_CODE_MATCH", *policy.STRONG, "PARENT_SUBSIDIARY_DISTINCTION", "SOURCE_SYSTEM_PROVENANCE",
 )
 NEGATIVE_TYPES = ("DOMAIN_VERIFIED", "EMAIL_DOMAIN_VERIFIED", "REGISTERED_ADDRESS_MATCH", "POSTAL_CODE_MATCH")
+# What an explanation calls an attribute (other types by their own name), and how it words a positive finding.
+LABELS = {
+    "LEGAL_NAME_MATCH": "Legal Name",
+    "TRADING_NAME_MATCH": "Trading Name",
+    "ALIAS_MATCH": "Approved Alias",
+    "DOMAIN_VERIFIED": "Website Domain",
+    "EMAIL_DOMAIN_VERIFIED": "Business Email Domain",
+    "COUNTRY_MATCH": "Country",
+    "REGISTERED_ADDRESS_MATCH": "Registered Address",
+    "POSTAL_CODE_MATCH": "Postal Code",
+}
+EXACT_NAME, AGREES = "%s matches the candidate exactly for: %s.", "%s agrees across: %s."
+ACRONYM, SUFFIX = "Derived acronym '%s' matches: %s.", "A governed legal suffix was normalized for: %s."
+PARENT, SYSTEMS = "Declared parent/subsidiary relationships are consistent with the candidate.", "%d independent source systems corroborate this case: %s."
+VETO, STRONG_MATCH = "Veto: %s conflicts (%s)", "Strong identifier match: %s"
+CORROBORATING, ONE_OF = "Corroborating non-name attributes: %d (policy requires %d)", "Policy requires one of: %s"
+REVIEW, NOTHING = "Country or parent/subsidiary conflict forces steward review", "No positive, negative, or veto evidence was available."
 
 
 def similar_names(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
@@ -48,6 +65,16 @@ def candidates_by_name(cases: DataFrame, entities: DataFrame, threshold: float)
     return found.groupBy("tenant_id", "case_id", "entity_id").agg(F.max("score").alias("score"))
 
 
+def concept_candidates(terms: DataFrame, concepts: DataFrame, threshold: float) -> DataFrame:
+    """tenant_id, entity_id, concept, score: concepts by the best of an entity's terms, where it reaches ``threshold`` (ER-03).
+
+    ``terms`` has tenant_id, entity_id, term; ``concepts`` tenant_id, concept.
+    """
+    cases = terms.select("tenant_id", F.col("entity_id").alias("case_id"), F.col("term").alias("name"))
+    found = candidates_by_name(cases, concepts.select("tenant_id", F.col("concept").alias("entity_id"), F.col("concept").alias("entity_name")), threshold)
+    return found.select("tenant_id", F.col("case_id").alias("entity_id"), F.col("entity_id").alias("concept"), "score")
+
+
 def resolve_by_name(cases: DataFrame, found: DataFrame, *, resolved: float, high: float, medium: float, keep_all: bool = False) -> DataFrame:
     """tenant_id, case_id, entity_id, score, outcome, confidence of every case; an override decides (ER-02, ER-04).
 
@@ -102,7 +129,11 @@ def observations(representations: DataFrame, candidates: DataFrame) -> DataFrame
 
 
 def evidence(representations: DataFrame, candidates: DataFrame, policies: DataFrame, trust: dict[str, float] | None = None) -> DataFrame:
-    """case_id, policy, evidence_type, place, classification, contribution, sources: one row per case, policy and type (ER-05 to ER-11)."""
+    """One row per case, policy and type (ER-05 to ER-11): case_id, policy, evidence_type, place, classification, contribution, sources, values, provenance.
+
+    ``values`` are the normalized values; those of conflicting strong identifiers are masked as ``fp:conflict:i``.
+    ``provenance`` names the sources, by value where they disagree; values of strong identifiers don't stand in it.
+    """
     c = F.col
     spark = representations.sparkSession
     weight = F.create_map(*[F.lit(x) for pair in policy.WEIGHTS.items() for x in pair])
@@ -114,6 +145,7 @@ def evidence(representations: DataFrame, candidates: DataFrame, policies: DataFr
         F.count("value").alias("n"),
         F.avg(trust_of).alias("trust"),
         F.array_sort(F.collect_set("value")).alias("values"),
+        F.array_sort(F.collect_list(F.when(c("value").isNotNull(), F.struct("value", F.array_sort("by").alias("by"))))).alias("said"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(c("value").isNotNull(), c("by")))))).alias("sources"),
     )
     cases = candidates.select("case_id", text.canonical_name(_present(c("candidate_parent_entity_name"))).alias("parent"))
@@ -133,7 +165,67 @@ def evidence(representations: DataFrame, candidates: DataFrame, policies: DataFr
     own = F.coalesce(weight[kind], F.lit(0.0))
     adds = F.when(kind == "SOURCE_SYSTEM_PROVENANCE", F.least(F.lit(1.0), own * c("trust") * (c("n") - 1))).otherwise(own)
     contribution = F.when(found == "POSITIVE", adds).when(found == "NEGATIVE", -own).otherwise(0.0)
-    return p.select("case_id", "policy", kind, "place", found.alias("classification"), contribution.alias("contribution"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+    none = F.array().cast("array<string>")
+    parties = lambda x: F.array_join(x["by"], ", ")
+    strong, many = kind.isin(*policy.STRONG), c("n") > 1
+    by_value = F.transform("said", lambda x: F.concat(x["value"], F.lit(": "), parties(x)))
+    differing = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("said", lambda x: x["value"] != c("parent")), lambda x: x["by"]))))
+    provenance = (
+        F.when(c("n") == 0, "none")
+        .when(kind == "SOURCE_SYSTEM_PROVENANCE", F.array_join("values", ", "))
+        .when(kind == "PARENT_SUBSIDIARY_DISTINCTION", F.array_join(F.when(differs, differing).otherwise(c("sources")), ", "))
+        .when(many & strong, F.array_join(F.array_sort(F.transform("said", parties)), "; "))
+        .when(many, F.array_join(by_value, "; "))
+        .otherwise(F.array_join("sources", ", "))
+    )
+    masked = F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: F.concat(F.lit("fp:conflict:"), (i - 1).cast("string")))
+    values = F.when(many & strong, masked).when(kind == "LEGAL_SUFFIX_NORMALIZED", F.coalesce("sources", none)).otherwise(F.coalesce("values", none))
+    return p.select("case_id", "policy", kind, "place", found.alias("classification"), contribution.alias("contribution"), F.coalesce("sources", none).alias("sources"), values.alias("values"), provenance.alias("provenance"))
+
+
+def explanation(kind: Column, values: Column, provenance: Column) -> Column:
+    """What a positive item says (ER-12)."""
+    label = F.coalesce(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])[kind], kind)
+    return (
+        F.when(kind.isin("LEGAL_NAME_MATCH", "TRADING_NAME_MATCH", "ALIAS_MATCH"), F.format_string(EXACT_NAME, label, provenance))
+        .when(kind == "ACRONYM_MATCH", F.format_string(ACRONYM, F.get(values, F.lit(0)), provenance))
+        .when(kind == "LEGAL_SUFFIX_NORMALIZED", F.format_string(SUFFIX, provenance))
+        .when(kind == "PARENT_SUBSIDIARY_DISTINCTION", F.lit(PARENT))
+        .when(kind == "SOURCE_SYSTEM_PROVENANCE", F.format_string(SYSTEMS, F.size(values), provenance))
+        .otherwise(F.format_string(AGREES, label, provenance))
+    )
+
+
+def reasons(items: DataFrame, policies: DataFrame) -> DataFrame:
+    """case_id, policy, triggered_veto, triggered_mandatory, reasons of each profile: arrays of sentences (ER-12).
+
+    Vetoes silence the other rules; where no rule was triggered the positive items explain themselves, in the types' order.
+    """
+    c = F.col
+    said = F.when(c("classification") == "POSITIVE", explanation(c("evidence_type"), c("values"), c("provenance")))
+    one = items.select("case_id", "policy", F.struct("place", "evidence_type", "classification", "provenance", said.alias("said")).alias("item"))
+    profile = one.groupBy("case_id", "policy").agg(F.array_sort(F.collect_list("item")).alias("items")).join(F.broadcast(policies), "policy")  # a few policies
+    of = lambda kind: F.filter("items", lambda x: x["classification"] == kind)
+    strong = F.array_sort(F.transform(F.filter(of("POSITIVE"), lambda x: x["evidence_type"].isin(*policy.STRONG)), lambda x: x["evidence_type"]))
+    other = F.size(F.filter(of("POSITIVE"), lambda x: ~x["evidence_type"].isin(*policy.NAME_ONLY)))
+    review = F.exists(of("NEGATIVE"), lambda x: x["evidence_type"].isin(*policy.REVIEW_FORCING))
+    rules = F.array(
+        F.when(F.size(strong) > 0, F.format_string(STRONG_MATCH, F.array_join(strong, ", "))),
+        F.when(other >= c("min_corroborating"), F.format_string(CORROBORATING, other, c("min_corroborating"))),
+        F.when(c("strong_mandatory") & (F.size(strong) == 0), ONE_OF % ", ".join(sorted(policy.STRONG))),
+        F.when(review, REVIEW),
+    )
+    veto = F.transform(of("VETO"), lambda x: F.format_string(VETO, x["evidence_type"], x["provenance"]))
+    facts = profile.select(
+        "case_id",
+        "policy",
+        veto.alias("triggered_veto"),
+        F.when(F.size(veto) == 0, F.array_compact(rules)).otherwise(F.array().cast("array<string>")).alias("triggered_mandatory"),
+        F.transform(of("POSITIVE"), lambda x: F.concat(x["evidence_type"], F.lit(": "), x["said"])).alias("plain"),
+    )
+    rule = F.concat("triggered_veto", "triggered_mandatory")
+    why = F.when(F.size(rule) > 0, rule).when(F.size("plain") > 0, c("plain")).otherwise(F.array(F.lit(NOTHING)))
+    return facts.select("case_id", "policy", "triggered_veto", "triggered_mandatory", why.alias("reasons"))
 
 
 def decide(items: DataFrame, policies: DataFrame) -> DataFrame:

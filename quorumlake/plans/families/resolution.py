@@ -69,6 +69,40 @@ def er_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir)
 
 
+COUNTRIES = "CASE WHEN case_id % 9 = 0 AND case_id % 7 = 0 THEN 'DE: candidate; TW: CRM; US: ERP' WHEN case_id % 9 = 0 THEN 'DE: candidate; TW: CRM, ERP' ELSE 'TW: CRM, candidate; US: ERP' END"
+REASONS = f"""
+    SELECT case_id, policy, concat_ws('|', country, tax, parent) AS triggered_veto,
+        CASE WHEN coalesce(country, tax, parent) IS NULL THEN concat_ws('|', 'Strong identifier match: STRONG_IDENTIFIER_TAX_REGISTRATION', CASE WHEN n >= least_n THEN 'Corroborating non-name attributes: ' || n || ' (policy requires ' || least_n || ')' END,
+            CASE WHEN review THEN 'Country or parent/subsidiary conflict forces steward review' END) ELSE '' END AS triggered_mandatory
+    FROM (SELECT case_id, policy, CASE policy WHEN 'Conservative' THEN 3 WHEN 'Balanced' THEN 2 ELSE 1 END AS least_n,
+        2 + (NOT domain_conflict)::INT + (NOT country_conflict)::INT + postal::INT + (parent AND NOT parent_conflict)::INT AS n,
+        (country_conflict AND NOT country_veto) OR (parent_conflict AND NOT parent_veto) AS review,
+        CASE WHEN country_conflict AND country_veto THEN 'Veto: COUNTRY_MATCH conflicts (' || {COUNTRIES} || ')' END AS country,
+        CASE WHEN tax_conflict THEN 'Veto: STRONG_IDENTIFIER_TAX_REGISTRATION conflicts (CRM; ERP)' END AS tax,
+        CASE WHEN parent_conflict AND parent_veto THEN 'Veto: PARENT_SUBSIDIARY_DISTINCTION conflicts (CRM)' END AS parent
+        FROM ({FACTS}) f, {POLICIES})"""
+
+
+@register("er_12_reasons", REASONS)
+def er_12_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that a case triggers, as sentences; every case here triggers one, so they are its reasons too."""
+    policies = policy.presets(read(spark, sf_dir, "supplier"))
+    found = resolution.reasons(resolution.evidence(*_cases(spark, sf_dir), policies), policies)
+    return found.select("case_id", "policy", F.array_join("triggered_veto", "|").alias("triggered_veto"), F.array_join("triggered_mandatory", "|").alias("triggered_mandatory"))
+
+
+@register("er_09_masked_values", f"""
+    SELECT case_id, evidence_type, CASE WHEN evidence_type = 'COUNTRY_MATCH' THEN CASE WHEN NOT country_conflict THEN 'TW' WHEN case_id % 9 = 0 AND case_id % 7 = 0 THEN 'DE,TW,US' WHEN case_id % 9 = 0 THEN 'DE,TW' ELSE 'TW,US' END WHEN tax_conflict THEN 'fp:conflict:0,fp:conflict:1' END AS said,
+        CASE WHEN evidence_type = 'COUNTRY_MATCH' THEN CASE WHEN country_conflict THEN {COUNTRIES} ELSE 'CRM, ERP, candidate' END WHEN tax_conflict THEN 'CRM; ERP' WHEN case_id % 2 = 0 THEN 'CRM, ERP' ELSE 'CRM' END AS provenance
+    FROM ({FACTS}) f, (SELECT unnest(['COUNTRY_MATCH', 'STRONG_IDENTIFIER_TAX_REGISTRATION']) AS evidence_type)""")
+def er_09_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What countries and tax registrations were compared: of registrations that agree there is a fingerprint (not shown here), of others a mask."""
+    kind = F.col("evidence_type")
+    found = resolution.evidence(*_cases(spark, sf_dir), policy.presets(read(spark, sf_dir, "supplier"))).filter((F.col("policy") == "Balanced") & kind.isin("COUNTRY_MATCH", "STRONG_IDENTIFIER_TAX_REGISTRATION"))
+    shown = (kind == "COUNTRY_MATCH") | (F.col("classification") == "VETO")
+    return found.select("case_id", kind, F.when(shown, F.array_join("values", ",")).alias("said"), "provenance")
+
+
 @register("er_13_presets", "SELECT * FROM (VALUES ('Conservative', 0.92::DOUBLE, 3, true), ('Balanced', 0.85::DOUBLE, 2, false), ('Exploratory', 0.75::DOUBLE, 1, false)) v(policy, resolved, min_corroborating, strong_mandatory)")
 def er_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.presets(read(spark, sf_dir, "region")).filter(F.size(policy.policy_errors()) == 0).select("policy", "resolved", "min_corroborating", "strong_mandatory")
@@ -128,6 +162,17 @@ def er_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.candidates_by_name(*_named(spark, sf_dir), 1.0).select("tenant_id", "case_id", "entity_id")
 
 
+@register("er_03_concept_candidates", f"""
+    SELECT {K} % 10 AS tenant_id, {K} AS entity_id, CASE {K} % 4 WHEN 0 THEN 'Supplier' WHEN 1 THEN 'Risk Event' WHEN 2 THEN 'Material' END AS concept, 1.0::DOUBLE AS score FROM supplier WHERE {K} % 4 <> 3""")
+def er_03_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity's terms against the governed concepts of its tenant; a concept counts by its best term."""
+    s, k = read(spark, sf_dir, "supplier"), F.col(K)
+    terms = F.expr(f"CASE {K} % 4 WHEN 0 THEN array('vendor', ' SUPPLIER ') WHEN 1 THEN array('risk  event') WHEN 2 THEN array('Material', 'zzzz') ELSE array('qqqq') END")
+    entities = s.select((k % 10).alias("tenant_id"), k.alias("entity_id"), F.explode(terms).alias("term"))
+    concepts = spark.range(10).select(F.col("id").alias("tenant_id"), F.explode(F.array(*[F.lit(x) for x in ("Supplier", "Material", "Risk Event")])).alias("concept"))
+    return resolution.concept_candidates(entities, concepts, 0.9)
+
+
 @register("er_06_acronym", f"SELECT case_id, evidence_type, classification FROM ({EVIDENCE_SQL}) WHERE policy = 'Balanced' AND evidence_type IN ('ACRONYM_MATCH')")
 def er_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return er_05(spark, sf_dir).filter("policy = 'Balanced' and evidence_type in ('ACRONYM_MATCH')").drop("policy")
