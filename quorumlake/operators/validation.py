@@ -11,6 +11,38 @@ from pyspark.sql import functions as F
 from quorumlake.operators import ranking
 
 ISSUE = ["file", "row_index", "field", "problem"]
+# The keys of a dataset's files, the references between them, and the proposed mappings of their fields.
+KEYS = (
+    ("suppliers.csv", "supplier_id"),
+    ("materials.csv", "material_id"),
+    ("products.csv", "product_id"),
+    ("facilities.csv", "facility_id"),
+    ("supply_agreements.csv", "agreement_id"),
+    ("risk_events.csv", "risk_event_id"),
+    ("revenue_exposure.csv", "product_id"),
+)
+REFERENCES = (
+    ("materials.csv", "supplier_id", "suppliers.csv"),
+    ("products.csv", "material_id", "materials.csv"),
+    ("products.csv", "facility_id", "facilities.csv"),
+    ("supply_agreements.csv", "material_id", "materials.csv"),
+    ("supply_agreements.csv", "supplier_id", "suppliers.csv"),
+    ("revenue_exposure.csv", "product_id", "products.csv"),
+)
+MAPPINGS = (
+    # file, field, inferred type, concept, role, confidence
+    ("suppliers.csv", "supplier_id", "Identifier", "Supplier identifier", "attribute", 0.99),
+    ("suppliers.csv", "supplier_name", "Text", "Supplier name", "attribute", 0.98),
+    ("suppliers.csv", "region_id", "Foreign key", "Located in Region", "relationship", 0.97),
+    ("materials.csv", "material_id", "Identifier", "Material identifier", "attribute", 0.99),
+    ("materials.csv", "supplier_id", "Foreign key", "Supplied by Supplier", "relationship", 0.98),
+    ("products.csv", "material_id", "Foreign key", "Uses Material", "relationship", 0.98),
+    ("products.csv", "facility_id", "Foreign key", "Assembled at Facility", "relationship", 0.97),
+    ("revenue_exposure.csv", "product_id", "Foreign key", "Revenue generated by Product", "relationship", 0.96),
+    ("risk_events.csv", "region_id", "Foreign key", "Risk affects Region", "relationship", 0.96),
+    ("supply_agreements.csv", "material_id", "Foreign key", "Agreement covers Material", "relationship", 0.97),
+)
+DUPLICATE, BROKEN = 'Duplicate %s "%s" — first seen at row %d.', '%s "%s" does not match any record in %s.'
 
 
 def repeated_keys(rows: DataFrame, file: str, key: str, order: str) -> DataFrame:
@@ -29,6 +61,58 @@ def issues(found: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def dataset_issues(files: Mapping[str, DataFrame]) -> DataFrame:
+    """file, row_index, field, message: all seven duplicate and six reference checks of a dataset (QLY-01).
+
+    Each file has row_index and its fields; a null key or reference is taken as empty. Keys are counted by
+    partial aggregation before their rows are looked at, so a hot key is no group of its own.
+    """
+    value = lambda field: F.coalesce(F.col(field).cast("string"), F.lit(""))
+    found = []
+    for file, field in KEYS:
+        rows = files[file].select("row_index", value(field).alias("_v"))
+        first = rows.groupBy("_v").agg(F.min("row_index").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        message = F.format_string(DUPLICATE, F.lit(field), F.col("_v"), F.col("_first") + 1)
+        found.append(rows.join(first, "_v").filter("row_index > _first").select(F.lit(file).alias("file"), "row_index", F.lit(field).alias("field"), message.alias("message")))
+    key_of = dict(KEYS)
+    for file, field, target in REFERENCES:
+        known = files[target].select(value(key_of[target]).alias("_v")).distinct()
+        lacking = files[file].select("row_index", value(field).alias("_v")).join(known, "_v", "left_anti")
+        found.append(lacking.select(F.lit(file).alias("file"), "row_index", F.lit(field).alias("field"), F.format_string(BROKEN, F.lit(field), F.col("_v"), F.lit(target)).alias("message")))
+    return issues(found)
+
+
+def mapped_fields(files: Mapping[str, DataFrame]) -> DataFrame:
+    """The proposed mappings of the fields that the files have, with the number of values that each would map (QLY-03)."""
+    spark = next(iter(files.values())).sparkSession
+    catalogue = spark.createDataFrame(list(MAPPINGS), "file string, field string, inferred_type string, concept string, role string, confidence double")
+    counted = []
+    for file, rows in files.items():
+        fields = [m[1] for m in MAPPINGS if m[0] == file and m[1] in rows.columns]
+        if fields:
+            counts = rows.agg(*[F.count_if(F.coalesce(F.col(f).cast("string"), F.lit("")) != "").alias(f) for f in fields])
+            counted.append(counts.select(F.inline(F.array(*[F.struct(F.lit(file).alias("file"), F.lit(f).alias("field"), F.col(f).alias("n_values")) for f in fields]))))
+    return catalogue.join(F.broadcast(issues(counted)), ["file", "field"])  # a row per mapping
+
+
+def manifest_differences(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """path, problem of the paths that don't verify (QLY-05): both sides have path and sha256.
+
+    In order of precedence: DUPLICATE_ENTRY, INVALID_DIGEST, MISSING (listed only), UNREGISTERED (found only), CHECKSUM_MISMATCH.
+    """
+    listed = manifest.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min("sha256").alias("_listed"))
+    j = listed.join(found.select("path", F.col("sha256").alias("_found"), F.lit(True).alias("_there")), "path", "full")
+    wellformed = F.coalesce(F.col("_listed").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    problem = (
+        F.when(F.col("_n") > 1, "DUPLICATE_ENTRY")
+        .when(F.col("_n").isNotNull() & ~wellformed, "INVALID_DIGEST")
+        .when(F.col("_there").isNull(), "MISSING")
+        .when(F.col("_n").isNull(), "UNREGISTERED")
+        .when(~F.col("_listed").eqNullSafe(F.col("_found")), "CHECKSUM_MISMATCH")
+    )
+    return j.select("path", problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
 def shared_keys(tables: Mapping[str, DataFrame], suffix: str = "_id") -> list[tuple[str, list[str]]]:
     """Columns with the suffix that stand in more than one table, from the schemas alone (QLY-02)."""
     where: dict[str, list[str]] = {}

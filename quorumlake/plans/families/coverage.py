@@ -172,6 +172,68 @@ def qly_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.join(found, "doc_id").select("doc_id", F.when(F.col("listed") == F.col("found"), "SAME").otherwise("CHANGED").alias("state"))
 
 
+# a dataset of seven files from the driver's tables, with some keys repeated and some references broken
+FILES = {
+    "suppliers.csv": ("supplier", "s_suppkey AS row_index, CAST(CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey - 1 ELSE s_suppkey END AS STRING) AS supplier_id, s_name AS supplier_name, CASE WHEN s_nationkey % 5 <> 0 THEN CAST(s_nationkey AS STRING) END AS region_id", "TRUE"),
+    "materials.csv": ("part", "p_partkey AS row_index, CAST(CASE WHEN p_partkey % 50 = 0 THEN p_partkey - 1 ELSE p_partkey END AS STRING) AS material_id, CASE WHEN p_size <> 7 THEN CAST(p_size AS STRING) END AS supplier_id", "TRUE"),
+    "products.csv": ("orders", "o_orderkey AS row_index, CAST(o_orderkey AS STRING) AS product_id, CAST(o_custkey AS STRING) AS material_id, CAST(o_custkey AS STRING) AS facility_id", "TRUE"),
+    "facilities.csv": ("customer", "c_custkey AS row_index, CAST(CASE WHEN c_custkey % 25 = 0 THEN c_custkey - 1 ELSE c_custkey END AS STRING) AS facility_id", "TRUE"),
+    "supply_agreements.csv": ("lineitem", "l_orderkey * 10 + l_linenumber AS row_index, CAST(l_orderkey AS STRING) AS agreement_id, CAST(l_partkey AS STRING) AS material_id, CAST(l_suppkey AS STRING) AS supplier_id", "TRUE"),
+    "risk_events.csv": ("events", "event_id AS row_index, CAST(CASE WHEN event_id % 7 = 0 THEN event_id - 1 ELSE event_id END AS STRING) AS risk_event_id, event_type AS region_id", "TRUE"),
+    "revenue_exposure.csv": ("lineitem", "l_orderkey * 10 + l_linenumber AS row_index, CAST(CASE WHEN l_orderkey % 9 = 0 THEN -l_orderkey ELSE l_orderkey END AS STRING) AS product_id", "l_linenumber = 2"),
+}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {file: read(spark, sf_dir, table).filter(condition).selectExpr(*_columns(columns)) for file, (table, columns, condition) in FILES.items()}
+
+
+def _columns(listed: str) -> list[str]:
+    return listed.split(", ")
+
+
+def _file_sql(file: str) -> str:
+    table, columns, condition = FILES[file]
+    return f"(SELECT {columns} FROM {table} WHERE {condition})"
+
+
+def _issues_sql() -> str:
+    keys = dict(validation.KEYS)
+    parts = [
+        f"""SELECT '{file}' AS file, r.row_index, '{field}' AS field, 'Duplicate {field} "' || coalesce(r.{field}, '') || '" — first seen at row ' || (f.first + 1) || '.' AS message
+        FROM {_file_sql(file)} r JOIN (SELECT coalesce({field}, '') AS v, min(row_index) AS first FROM {_file_sql(file)} GROUP BY 1) f ON coalesce(r.{field}, '') = f.v AND r.row_index > f.first"""
+        for file, field in validation.KEYS
+    ] + [
+        f"""SELECT '{file}', row_index, '{field}', '{field} "' || coalesce({field}, '') || '" does not match any record in {target}.' FROM {_file_sql(file)}
+        WHERE coalesce({field}, '') NOT IN (SELECT coalesce({keys[target]}, '') FROM {_file_sql(target)})"""
+        for file, field, target in validation.REFERENCES
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@register("qly_01_whole_dataset", _issues_sql())
+def qly_01_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.dataset_issues(_files(spark, sf_dir))
+
+
+@register("qly_03_mapped_fields", " UNION ALL ".join(f"SELECT '{f}' AS file, '{c}' AS field, '{t}' AS inferred_type, '{k}' AS concept, '{r}' AS role, {p}::DOUBLE AS confidence, count(*) FILTER (WHERE coalesce({c}, '') <> '') AS n_values FROM {_file_sql(f)}" for f, c, t, k, r, p in validation.MAPPINGS))
+def qly_03_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.mapped_fields(_files(spark, sf_dir))
+
+
+@register("qly_05_manifest_differences", """
+    SELECT 'docs/' || doc_id AS path, CASE WHEN doc_id % 31 = 0 THEN 'UNREGISTERED' WHEN doc_id % 41 = 0 THEN 'DUPLICATE_ENTRY' WHEN doc_id % 37 = 0 THEN 'INVALID_DIGEST' ELSE 'CHECKSUM_MISMATCH' END AS problem FROM documents WHERE doc_id % 31 = 0 OR doc_id % 41 = 0 OR doc_id % 37 = 0 OR doc_id % 29 = 0
+    UNION ALL SELECT 'gone/' || doc_id, 'MISSING' FROM documents WHERE doc_id % 43 = 0""")
+def qly_05_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest that leaves documents out, lists some twice, some that are gone, and some with a digest that is wrong or no digest."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    k = F.col("doc_id")
+    digest = F.when(k % 37 == 0, "none").when(k % 29 == 0, F.sha2("path", 256)).otherwise(F.col("sha256"))
+    listed = d.filter(k % 31 != 0).select("path", digest.alias("sha256"), F.explode(F.array_repeat(F.lit(1), F.when(k % 41 == 0, 2).otherwise(1)))).drop("col")
+    gone = d.filter(k % 43 == 0).select(F.concat(F.lit("gone/"), k.cast("string")).alias("path"), "sha256")
+    return validation.manifest_differences(listed.unionByName(gone), d)
+
+
 SCHEMA_SCRIPT = "CREATE TABLE supplier (s_suppkey BIGINT, s_name VARCHAR(25), s_nationkey INT, s_phone VARCHAR(15));\nCREATE TABLE nation (n_nationkey INT, n_name VARCHAR(25));"
 
 

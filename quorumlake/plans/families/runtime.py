@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlake.operators import pipeline, policy, ranking
+from quorumlake.operators import graph, pipeline, policy, ranking, temporal
 from quorumlake.plans.registry import register
 from quorumlake.plans.tables import read, scratch
 from quorumlake.sources import archives, sinks, text_formats
@@ -264,6 +264,21 @@ def src_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.select(F.explode(F.split("categories", ",")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+CONNECTOR_SQL = ", ".join(f"('{i}', [{', '.join(repr(x) for x in c)}], '{m}')" for i, _, c, _, m in text_formats.CONNECTORS)
+
+
+@register("src_13_connector_reach", f"""
+    WITH k AS (SELECT connector_id, unnest(categories) AS concept, maturity FROM (VALUES {CONNECTOR_SQL}) v(connector_id, categories, maturity)),
+    e AS (SELECT [{', '.join(repr(x) for x in graph.CONCEPTS)}][p_partkey % 10 + 1] AS concept, count(*) AS n FROM part GROUP BY 1)
+    SELECT connector_id, maturity, count(*) AS n_categories, sum(coalesce(n, 0))::BIGINT AS n_elements FROM k LEFT JOIN e USING (concept) GROUP BY 1, 2""")
+def src_13_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements, parts here, each connector's categories would cover."""
+    concept = F.get(F.array(*[F.lit(c) for c in graph.CONCEPTS]), (F.col("p_partkey") % 10).cast("int"))
+    elements = read(spark, sf_dir, "part").groupBy(concept.alias("concept")).agg(F.count(F.lit(1)).alias("n"))
+    offered = text_formats.connectors(spark).select("connector_id", "maturity", F.explode("categories").alias("concept"))
+    return offered.join(elements, "concept", "left").groupBy("connector_id", "maturity").agg(F.count(F.lit(1)).alias("n_categories"), F.sum(F.coalesce("n", F.lit(0))).alias("n_elements"))
+
+
 # ---- sinks
 
 @register("snk_01_checked_append", "SELECT l_returnflag, count(*) FILTER (WHERE l_partkey % 6 <> 0) AS appended, count(*) FILTER (WHERE l_partkey % 6 = 0) AS quarantined FROM lineitem GROUP BY 1")
@@ -283,6 +298,19 @@ def snk_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(e.schema).parquet(folder).groupBy("user_id").agg(F.max("event_id").alias("current"), (F.count(F.lit(1)) - 1).alias("n_prior"))
 
 
+@register("snk_02_last_appended", """
+    WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS batch, -event_id AS position FROM events)
+    SELECT user_id, event_id, row_number() OVER w = count(*) OVER (PARTITION BY user_id) AS is_current, lag(event_id) OVER w AS prior FROM e WINDOW w AS (PARTITION BY user_id ORDER BY batch, position)""")
+def snk_02_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last appended record is the current one; even ids are appended first, and greater ids before smaller ones."""
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", (-F.col("event_id")).alias("position"))
+    sinks.append_batch(e.filter("event_id % 2 = 0"), folder, 1)
+    sinks.append_batch(e.filter("event_id % 2 = 1"), folder, 2)
+    chained = temporal.with_prior(spark.read.parquet(folder), ["user_id"], ["batch", "position"], "event_id")
+    return chained.select("user_id", "event_id", "is_current", "prior")
+
+
 @register("snk_03_compare_and_append", "SELECT o_orderkey, CASE WHEN head IS NULL THEN 'NOT_FOUND' WHEN o_orderkey % 3 <> head THEN 'STALE' WHEN o_orderkey = min(o_orderkey) FILTER (WHERE o_orderkey % 3 = head) OVER (PARTITION BY o_custkey) THEN 'OK' ELSE 'SUPERSEDED' END AS status FROM orders LEFT JOIN (SELECT c_custkey, c_custkey % 3 AS head FROM customer WHERE c_custkey % 9 <> 0) ON c_custkey = o_custkey")
 def snk_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = read(spark, sf_dir, "customer").filter("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 3).alias("head"))
@@ -307,6 +335,25 @@ def snk_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.linked_data(*sinks.ontology_rows(read(spark, sf_dir, "region")))
 
 
+@register("snk_06_linked_nodes", """
+    SELECT json_object('@id', 'shop:concept:' || p_partkey, '@type', 'Concept', 'name', p_partkey::VARCHAR, 'definition', p_name, 'governanceStatus', CASE WHEN p_size > 25 THEN 'Approved' ELSE 'Proposed' END)::VARCHAR AS node FROM part
+    UNION ALL SELECT json_object('@id', 'shop:relationship:' || l_orderkey || '-' || l_linenumber, '@type', 'Relationship', 'name', l_orderkey || '-' || l_linenumber, 'source', 'shop:concept:' || l_suppkey, 'target', 'shop:concept:' || l_partkey)::VARCHAR FROM lineitem""")
+def snk_06_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda column: F.col(column).cast("string")
+    concepts = read(spark, sf_dir, "part").select(text("p_partkey").alias("name"), F.col("p_name").alias("definition"), F.when(F.col("p_size") > 25, "Approved").otherwise("Proposed").alias("status"))
+    relations = read(spark, sf_dir, "lineitem").select(F.concat_ws("-", text("l_orderkey"), text("l_linenumber")).alias("name"), text("l_suppkey").alias("source"), text("l_partkey").alias("target"))
+    return sinks.linked_nodes(concepts, relations, "shop")
+
+
+@register("snk_07_digests_of_files", "SELECT c_nationkey, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha256, sum(octet_length(encode(c_name)) + 1)::BIGINT AS length FROM customer GROUP BY 1")
+def snk_07_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file of customers' names for each nation, then the inventory of those files."""
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    rows.select("c_name", "c_nationkey").write.partitionBy("c_nationkey").text(folder)
+    return archives.digests(spark, folder).select(F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int").alias("c_nationkey"), "sha256", "length")
+
+
 @register("snk_07_file_digests", "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS length FROM documents")
 def snk_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("length"))

@@ -56,6 +56,19 @@ def linked_data(concepts: DataFrame, relations: DataFrame) -> DataFrame:
     return c.unionByName(r)
 
 
+def linked_nodes(concepts: DataFrame, relations: DataFrame, prefix: str) -> DataFrame:
+    """node: a JSON-LD node per concept (name, definition, status) and per relation (name, source, target), ids below ``prefix`` (SNK-06)."""
+    of = lambda kind, name: F.concat(F.lit(f"{prefix}:{kind}:"), F.col(name))
+    c = F.struct(of("concept", "name").alias("@id"), F.lit("Concept").alias("@type"), "name", "definition", F.col("status").alias("governanceStatus"))
+    r = F.struct(of("relationship", "name").alias("@id"), F.lit("Relationship").alias("@type"), "name", of("concept", "source").alias("source"), of("concept", "target").alias("target"))
+    return concepts.select(F.to_json(c).alias("node")).unionByName(relations.select(F.to_json(r).alias("node")))
+
+
+def append_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """An append whose rows carry its number, so the log keeps the order of appends whatever files Spark writes (SNK-02)."""
+    append(rows.withColumn("batch", F.lit(batch)), path)
+
+
 def sealed(payload: Column, key: Column, version: Column, key_id: str) -> Column:
     """Authenticated encryption, bound to the key's id and a version (SNK-09)."""
     bound = F.concat(F.lit(key_id), F.lit(":"), version)

@@ -66,3 +66,23 @@ def closed_json(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
             "well_formed": keys.isNotNull(),
         }
     )
+
+
+# The connectors that are described; none of them has an adapter.
+CONNECTORS = (
+    # id, kind of system, categories, health, maturity
+    ("sap-s4hana", "ERP", ("Supplier", "Material", "BOM", "Product"), "Not configured", "Skeleton Available"),
+    ("sap-ariba", "Procurement", ("Supplier", "Contract"), "Not configured", "Skeleton Available"),
+    ("salesforce", "CRM", ("Supplier",), "Not configured", "Roadmap"),
+    ("snowflake", "Data Warehouse", ("Material", "Product", "Revenue Exposure"), "Not configured", "Skeleton Available"),
+    ("databricks", "Data Platform / Lakehouse", ("Material", "Product", "Revenue Exposure"), "Not configured", "Skeleton Available"),
+    ("microsoft-fabric", "Data Platform / Lakehouse", ("Material", "Product", "Revenue Exposure"), "Not configured", "Roadmap"),
+    ("document-repository", "Unstructured Document Store", ("Contract", "Risk Event"), "Not configured", "Roadmap"),
+    ("rest-api", "Generic HTTP", ("Supplier", "Material", "BOM", "Product", "Facility", "Contract", "Risk Event"), "Available", "Skeleton Available"),
+    ("mcp", "Model Context Protocol", ("Supplier", "Material", "BOM", "Product", "Facility", "Contract", "Risk Event"), "Not configured", "Roadmap"),
+)
+
+
+def connectors(spark: SparkSession) -> DataFrame:
+    """connector_id, system, categories, health, maturity (SRC-13)."""
+    return spark.createDataFrame([(i, s, list(c), h, m) for i, s, c, h, m in CONNECTORS], "connector_id string, system string, categories array<string>, health string, maturity string")
