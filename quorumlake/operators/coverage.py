@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.operators import graph
@@ -78,49 +78,60 @@ def gaps(statuses: DataFrame, elements: DataFrame, relations: DataFrame) -> Data
     return j.select("element_id", "concept", F.coalesce("n_out", F.lit(0).cast("long")).alias("n_out"), F.coalesce("n_in", F.lit(0).cast("long")).alias("n_in"), remedy.alias("remedy"))
 
 
-def ontology_quality(concepts: DataFrame, relations: DataFrame) -> DataFrame:
-    """dimension, score, passed: seven ratios against the required ontology (CVG-06, AGG-10).
+def ontologies_quality(concepts: DataFrame, relations: DataFrame, by: str = "ontology") -> DataFrame:
+    """by, dimension, score, passed: seven ratios of each ontology against the required one (CVG-06, AGG-10).
 
-    ``concepts`` has concept, definition, status; ``relations`` has relation, source, target, status.
+    ``concepts`` has by, concept, definition, status; ``relations`` has by, relation, source, target, status. An ontology
+    without any of the required concepts has no row.
     """
     spark = concepts.sparkSession
-    c = spark.createDataFrame([(x,) for x in graph.CONCEPTS], "concept string").join(concepts, "concept")
+    wanted_names = spark.createDataFrame([(x,) for x in graph.CONCEPTS], "concept string")
     wanted = spark.createDataFrame(list(graph.RELATIONS), "relation string, source string, target string")
-    names = concepts.select("concept").distinct()
-    r = wanted.join(relations, ["relation", "source", "target"])
-    ends = r.join(names.withColumn("_s", F.lit(1)).withColumnRenamed("concept", "source"), "source", "left").join(names.withColumn("_t", F.lit(1)).withColumnRenamed("concept", "target"), "target", "left")
-    a = c.agg(
+    c = concepts.join(F.broadcast(wanted_names), "concept")  # ten names
+    names = concepts.select(by, "concept").distinct()
+    r = relations.join(F.broadcast(wanted), ["relation", "source", "target"])  # the required relations
+    side = lambda end: names.select(by, F.col("concept").alias(end), F.lit(True).alias(f"_{end}"))
+    ends = r.join(side("source"), [by, "source"], "left").join(side("target"), [by, "target"], "left")
+    a = c.groupBy(by).agg(
         F.count(F.lit(1)).alias("c_n"),
         F.count_if(F.trim("definition") != "").alias("c_def"),
-        F.count_if(F.coalesce(F.col("status"), F.lit("")) != "").alias("c_prov"),
+        F.count_if(F.coalesce("status", F.lit("")) != "").alias("c_prov"),
         F.count_if(F.col("status") == "Approved").alias("c_ok"),
     )
-    b = ends.agg(
+    b = ends.groupBy(by).agg(
         F.count(F.lit(1)).alias("r_n"),
-        F.count_if(F.col("_s").isNotNull() & F.col("_t").isNotNull()).alias("r_map"),
-        F.count_if(F.coalesce(F.col("status"), F.lit("")) != "").alias("r_prov"),
+        F.count_if(F.col("_source") & F.col("_target")).alias("r_map"),
+        F.count_if(F.coalesce("status", F.lit("")) != "").alias("r_prov"),
         F.count_if(F.col("status") == "Approved").alias("r_ok"),
     )
-    nc, nr = len(graph.CONCEPTS), len(graph.RELATIONS)
+    both = a.join(b, by, "left").na.fill(0, ["r_n", "r_map", "r_prov", "r_ok"])
+    return both.select(by, _ratios()).withColumn("passed", F.col("score") == 1.0)
+
+
+def _ratios() -> Column:
+    """dimension, score from counts of concepts (c_) and relations (r_)."""
+    nc, nr, c = len(graph.CONCEPTS), len(graph.RELATIONS), F.col
     ratio = lambda name, x: F.struct(F.lit(name).alias("dimension"), x.alias("score"))
-    both = a.crossJoin(F.broadcast(b))  # one row each
-    rows = both.select(
-        F.inline(
-            F.array(
-                ratio("concept_coverage", F.col("c_n") / nc),
-                ratio("relationship_coverage", F.col("r_n") / nr),
-                ratio("definition_completeness", F.col("c_def") / nc),
-                ratio("mapping_completeness", F.col("r_map") / nr),
-                ratio("provenance_completeness", (F.col("c_prov") + F.col("r_prov")) / (nc + nr)),
-                ratio("valid_relationship_endpoints", F.col("r_n") / nr),
-                ratio("governance_status_completeness", (F.col("c_ok") + F.col("r_ok")) / (nc + nr)),
-            )
+    return F.inline(
+        F.array(
+            ratio("concept_coverage", c("c_n") / nc),
+            ratio("relationship_coverage", c("r_n") / nr),
+            ratio("definition_completeness", c("c_def") / nc),
+            ratio("mapping_completeness", c("r_map") / nr),
+            ratio("provenance_completeness", (c("c_prov") + c("r_prov")) / (nc + nr)),
+            ratio("valid_relationship_endpoints", c("r_n") / nr),
+            ratio("governance_status_completeness", (c("c_ok") + c("r_ok")) / (nc + nr)),
         )
     )
-    return rows.withColumn("passed", F.col("score") == 1.0)
 
 
-def overall(dimensions: DataFrame) -> DataFrame:
-    """Mean of the dimensions, rounded half to even, and the names of those that fail (SCL-24, AGG-12)."""
+def ontology_quality(concepts: DataFrame, relations: DataFrame) -> DataFrame:
+    """dimension, score, passed of one ontology: ``concepts`` has concept, definition, status; ``relations`` relation, source, target, status."""
+    one = F.lit(1)
+    return ontologies_quality(concepts.withColumn("ontology", one), relations.withColumn("ontology", one)).drop("ontology")
+
+
+def overall(dimensions: DataFrame, *by: str) -> DataFrame:
+    """Mean of the dimensions, rounded half to even, and the names of those that fail (SCL-24, AGG-12), for each ``by``."""
     failed = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("dimension"))))
-    return dimensions.agg(F.bround(F.avg("score"), 4).alias("overall"), F.array_join(failed, ",").alias("failed"))
+    return dimensions.groupBy(*by).agg(F.bround(F.avg("score"), 4).alias("overall"), F.array_join(failed, ",").alias("failed"))

@@ -133,3 +133,59 @@ def semantic_path(resolved: DataFrame, steps: tuple[str, ...] = PATH_STEPS) -> D
     """place, relation, source, target of the path's steps that the ontology has (GRF-05)."""
     order = resolved.sparkSession.createDataFrame(list(enumerate(steps)), "place int, relation string")
     return order.join(resolved, "relation").select("place", "relation", "source", "target")
+
+
+# The relations of a scenario as (id, kind of source, kind of target, label, on the risk path), and the label of a severe event.
+SCENARIO_EDGES = (
+    ("e-supplies", "supplier", "material", "supplies", True),
+    ("e-used-in", "material", "product", "used in", True),
+    ("e-assembled-at", "product", "facility", "assembled at", True),
+    ("e-generates-revenue", "facility", "revenue", "generates revenue", True),
+    ("e-located-in", "supplier", "region", "located in", True),
+    ("e-affected-by", "region", "riskEvent", "affected by", True),
+    ("e-covered-by", "material", "agreement", "covered by", True),
+    ("e-alternate-for", "candidate", "material", "candidate alternate for", False),
+)
+SEVERE_EVENT = "Severe Regional Logistics Disruption"
+
+
+def scenario_nodes(facts: DataFrame) -> DataFrame:
+    """scenario_id, id, kind, label, details, on_risk_path: nine nodes of each row of facts (GRF-07).
+
+    ``facts`` has scenario_id and the structs supplier (id, name, status), region (id, name), material (id, name, unit_cost),
+    product (id, name), facility (id, name, region), revenue (annual), event (id, severity, description),
+    agreement (id, percent, terms) and candidate (id, name, status, capacity, lead_days).
+    """
+    c, text = F.col, lambda name: F.col(name).cast("string")
+    say = lambda form, *names: F.format_string(form, *[text(n) for n in names])
+
+    def node(prefix: str, label: Column, *details: Column, kind: str | None = None, at: Column | None = None, risk: bool = True) -> Column:
+        key = F.concat(F.lit(f"{prefix}:"), text(f"{prefix}.id") if at is None else at)
+        lines = F.array(*details) if details else F.array().cast("array<string>")
+        return F.struct(key.alias("id"), F.lit(kind or prefix).alias("kind"), label.alias("label"), lines.alias("details"), F.lit(risk).alias("on_risk_path"))
+
+    nodes = (
+        node("supplier", c("supplier.name"), say("Status: %s", "supplier.status"), say("Region: %s", "region.name")),
+        node("material", c("material.name"), F.format_string("Unit cost: $%.2f", c("material.unit_cost"))),
+        node("product", c("product.name")),
+        node("facility", c("facility.name"), say("Region: %s", "facility.region")),
+        node("revenue", F.format_string("$%.0fM Annual Revenue", c("revenue.annual") / 1_000_000), F.lit("Annual revenue tied to this product."), at=F.lit("primary")),
+        node("region", c("region.name")),
+        node("riskEvent", F.when(c("event.severity") == "Severe", SEVERE_EVENT).otherwise(c("event.description")), c("event.description"), at=text("event.id")),
+        node("agreement", say("Supply Agreement %s", "agreement.id"), say("%s%% sourced from %s", "agreement.percent", "supplier.name"), c("agreement.terms")),
+        node("candidate", c("candidate.name"), say("Status: %s", "candidate.status"), say("Available capacity: %s%%", "candidate.capacity"), say("Activation lead time: %s days", "candidate.lead_days"), kind="candidateSupplier", risk=False),
+    )
+    return facts.select("scenario_id", F.inline(F.array(*nodes)))
+
+
+def scenario_edges(facts: DataFrame) -> DataFrame:
+    """scenario_id, id, source, target, label, on_risk_path: eight edges of each row of facts (GRF-07)."""
+    struct = {"riskEvent": "event"}
+    end = lambda kind: F.lit("revenue:primary") if kind == "revenue" else F.concat(F.lit(f"{kind}:"), F.col(f"{struct.get(kind, kind)}.id").cast("string"))
+    edge = lambda i, a, b, label, risk: F.struct(F.lit(i).alias("id"), end(a).alias("source"), end(b).alias("target"), F.lit(label).alias("label"), F.lit(risk).alias("on_risk_path"))
+    return facts.select("scenario_id", F.inline(F.array(*[edge(*e) for e in SCENARIO_EDGES])))
+
+
+def scenario_summary(facts: DataFrame) -> DataFrame:
+    """scenario_id, annual_exposure, secondary_source_active of each row of facts; a scenario has one of each other thing (GRF-07)."""
+    return facts.select("scenario_id", F.col("revenue.annual").alias("annual_exposure"), (F.col("agreement.percent") < 100).alias("secondary_source_active"))

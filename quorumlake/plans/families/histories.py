@@ -271,6 +271,61 @@ def grf_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select("s_suppkey", F.inline(nodes))
 
 
+FACTS_SQL = """SELECT c_custkey AS k, s_suppkey, s_name, n_name, n_nationkey, p_partkey, p_name, p_retailprice, o_orderkey, o_orderpriority, o_totalprice * 1000 AS annual, event_id, event_type, a_key, a_name
+    FROM customer JOIN supplier ON s_suppkey = c_custkey % 10 + 1 JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey = c_custkey JOIN orders ON o_orderkey = c_custkey JOIN events ON event_id = c_custkey
+    JOIN (SELECT s_suppkey AS a_key, s_name AS a_name FROM supplier) ON a_key = (c_custkey + 3) % 10 + 1"""
+SCENARIO_SQL = f"""WITH f AS ({FACTS_SQL})
+    SELECT k AS scenario_id, n.id, n.kind, n.label, n.d AS details, n.risk AS on_risk_path FROM (SELECT k, unnest([
+        {{'id': 'supplier:' || s_suppkey, 'kind': 'supplier', 'label': s_name, 'd': 'Status: Approved|Region: ' || n_name, 'risk': true}},
+        {{'id': 'material:' || p_partkey, 'kind': 'material', 'label': p_name, 'd': printf('Unit cost: $%.2f', p_retailprice), 'risk': true}},
+        {{'id': 'product:' || o_orderkey, 'kind': 'product', 'label': o_orderpriority, 'd': '', 'risk': true}},
+        {{'id': 'facility:' || k, 'kind': 'facility', 'label': 'Site ' || k, 'd': 'Region: ' || n_name, 'risk': true}},
+        {{'id': 'revenue:primary', 'kind': 'revenue', 'label': printf('$%.0fM Annual Revenue', annual / 1000000), 'd': 'Annual revenue tied to this product.', 'risk': true}},
+        {{'id': 'region:' || n_nationkey, 'kind': 'region', 'label': n_name, 'd': '', 'risk': true}},
+        {{'id': 'riskEvent:' || event_id, 'kind': 'riskEvent', 'label': CASE WHEN k % 3 = 0 THEN 'Severe Regional Logistics Disruption' ELSE event_type END, 'd': event_type, 'risk': true}},
+        {{'id': 'agreement:' || (k + 7), 'kind': 'agreement', 'label': 'Supply Agreement ' || (k + 7), 'd': (k % 101) || '% sourced from ' || s_name || '|net 30', 'risk': true}},
+        {{'id': 'candidate:' || a_key, 'kind': 'candidateSupplier', 'label': a_name, 'd': 'Status: Qualified|Available capacity: ' || (k % 50) || '%|Activation lead time: 14 days', 'risk': false}}]) AS n FROM f)
+    UNION ALL SELECT k, e.id, 'edge', e.label, e.s || '|' || e.t, e.risk FROM (SELECT k, unnest([
+        {{'id': 'e-supplies', 's': 'supplier:' || s_suppkey, 't': 'material:' || p_partkey, 'label': 'supplies', 'risk': true}}, {{'id': 'e-used-in', 's': 'material:' || p_partkey, 't': 'product:' || o_orderkey, 'label': 'used in', 'risk': true}},
+        {{'id': 'e-assembled-at', 's': 'product:' || o_orderkey, 't': 'facility:' || k, 'label': 'assembled at', 'risk': true}}, {{'id': 'e-generates-revenue', 's': 'facility:' || k, 't': 'revenue:primary', 'label': 'generates revenue', 'risk': true}},
+        {{'id': 'e-located-in', 's': 'supplier:' || s_suppkey, 't': 'region:' || n_nationkey, 'label': 'located in', 'risk': true}}, {{'id': 'e-affected-by', 's': 'region:' || n_nationkey, 't': 'riskEvent:' || event_id, 'label': 'affected by', 'risk': true}},
+        {{'id': 'e-covered-by', 's': 'material:' || p_partkey, 't': 'agreement:' || (k + 7), 'label': 'covered by', 'risk': true}}, {{'id': 'e-alternate-for', 's': 'candidate:' || a_key, 't': 'material:' || p_partkey, 'label': 'candidate alternate for', 'risk': false}}]) AS e FROM f)"""
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scenario for each customer that has a part, an order and an event of its number."""
+    s, k = read(spark, sf_dir, "supplier"), F.col("c_custkey")
+    other = s.select(F.col("s_suppkey").alias("a_key"), F.col("s_name").alias("a_name"))
+    j = read(spark, sf_dir, "customer").join(s, F.col("s_suppkey") == k % 10 + 1).join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    j = j.join(read(spark, sf_dir, "part"), F.col("p_partkey") == k).join(read(spark, sf_dir, "orders"), F.col("o_orderkey") == k).join(read(spark, sf_dir, "events"), F.col("event_id") == k).join(other, F.col("a_key") == (k + 3) % 10 + 1)
+    return j.selectExpr(
+        "c_custkey AS scenario_id",
+        "named_struct('id', s_suppkey, 'name', s_name, 'status', 'Approved') AS supplier",
+        "named_struct('id', n_nationkey, 'name', n_name) AS region",
+        "named_struct('id', p_partkey, 'name', p_name, 'unit_cost', p_retailprice) AS material",
+        "named_struct('id', o_orderkey, 'name', o_orderpriority) AS product",
+        "named_struct('id', c_custkey, 'name', 'Site ' || c_custkey, 'region', n_name) AS facility",
+        "named_struct('annual', o_totalprice * 1000) AS revenue",
+        "named_struct('id', event_id, 'severity', if(c_custkey % 3 = 0, 'Severe', 'Minor'), 'description', event_type) AS event",
+        "named_struct('id', c_custkey + 7, 'percent', c_custkey % 101, 'terms', 'net 30') AS agreement",
+        "named_struct('id', a_key, 'name', a_name, 'status', 'Qualified', 'capacity', c_custkey % 50, 'lead_days', 14) AS candidate",
+    )
+
+
+@register("grf_07_scenarios", SCENARIO_SQL)
+def grf_07_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, and edges with their ends as details."""
+    facts = _facts(spark, sf_dir)
+    nodes = graph.scenario_nodes(facts).withColumn("details", F.array_join("details", "|"))
+    edges = graph.scenario_edges(facts).select("scenario_id", "id", F.lit("edge").alias("kind"), "label", F.concat_ws("|", "source", "target").alias("details"), "on_risk_path")
+    return nodes.unionByName(edges)
+
+
+@register("grf_07_scenario_summaries", f"SELECT k AS scenario_id, annual AS annual_exposure, k % 101 < 100 AS secondary_source_active FROM ({FACTS_SQL})")
+def grf_07_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.scenario_summary(_facts(spark, sf_dir))
+
+
 @register("cvg_08_ask_products", _walk_sql("Product", 6, STARTS) + ", named AS (SELECT start_id, list_sort(list(DISTINCT name)) AS names FROM walk WHERE depth > 0 AND type = 'Product' GROUP BY 1) SELECT e.id AS start_id, coalesce(len(names), 0)::INT AS n, CASE WHEN coalesce(len(names), 0) = 0 THEN 'The catalogue found 0 products connected to ' || e.name || ' through governed ontology relationships.' WHEN len(names) = 1 THEN '1 product depends on ' || e.name || ':' || chr(10) || '- ' || names[1] ELSE len(names) || ' products depend on ' || e.name || ':' || chr(10) || array_to_string(list_transform(names, lambda x: '- ' || x), chr(10)) END AS answer FROM ents e LEFT JOIN named ON start_id = e.id WHERE e.id IN (" + STARTS + ")")
 def cvg_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges = _graph(spark, sf_dir)
