@@ -11,24 +11,42 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def admitted_stream(requests: DataFrame, key: str, order: str, digest: str, request_id: str) -> DataFrame:
-    """request_id, status NEW, REPLAY or CONFLICT (ST-01)."""
+    """request_id, status NEW, REPLAY or CONFLICT (ST-01).
+
+    A key's first request of all decides; the others only need its digest, so they pass in batches as they come. Rows are
+    held only in the micro-batch in which a key is new: bound that at the source (``maxFilesPerTrigger``, files in
+    order of time). A key never expires, since a replay may come at any time; null digests are equal.
+    """
+
+    def judged(frame: pd.DataFrame, first: str | None, new: int | None) -> pd.DataFrame:
+        same = frame["_d"].isna() if first is None else frame["_d"] == first
+        status = same.map({True: "REPLAY", False: "CONFLICT"})
+        if new is not None:
+            status = status.mask((frame["_id"] == new) & ~(frame["_id"] == new).duplicated(), "NEW")
+        return pd.DataFrame({"request_id": frame["_id"], "status": status})
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["_at", "_id"])
-        first = state.get[0] if state.exists else None
-        status = []
-        for d in rows["_d"]:
-            status.append("NEW" if first is None else "REPLAY" if d == first else "CONFLICT")
-            first = d if first is None else first
+        if state.exists:
+            for frame in frames:
+                yield judged(frame, state.get[0], None)
+            return
+        held = list(frames)
+        lead = min((f.nsmallest(1, ["_at", "_id"]) for f in held), key=lambda f: (f["_at"].iloc[0], f["_id"].iloc[0]))
+        first, new = lead["_d"].iloc[0], lead["_id"].iloc[0]
         state.update((first,))
-        yield pd.DataFrame({"request_id": rows["_id"], "status": status})
+        for frame in held:
+            yield judged(frame, first, new)
+            new = None if new is not None and (frame["_id"] == new).any() else new
 
-    shaped = requests.select(F.col(key).cast("string").alias("_k"), F.col(order).cast("timestamp").cast("long").alias("_at"), F.col(digest).alias("_d"), F.col(request_id).cast("long").alias("_id"))
+    shaped = requests.select(F.col(key).cast("string").alias("_k"), F.unix_micros(F.col(order).cast("timestamp")).alias("_at"), F.col(digest).alias("_d"), F.col(request_id).cast("long").alias("_id"))
     return shaped.groupBy("_k").applyInPandasWithState(run, "request_id long, status string", "first string", "append", GroupStateTimeout.NoTimeout)
 
 
 def per_window(events: DataFrame, ts: str, kind: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Events of each kind by window of event time; rows later than ``late`` behind are dropped by the watermark."""
+    """Events of each kind by window of event time; rows later than ``late`` behind are dropped by the watermark.
+
+    In append mode a window is given once the watermark has passed its end, so windows that are open when the input ends are not given.
+    """
     timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
     return timed.groupBy(F.window("_ts", width), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), kind, "n")
 

@@ -255,3 +255,57 @@ def test_similar_names_are_those_of_all_pairs(spark, threshold):
     expected = {(t, a, b): difflib.SequenceMatcher(None, a, b).ratio() for t, a in known for u, b in known if t == u}
     assert {(r.tenant_id, r.a, r.b): r.score for r in out} == {k: v for k, v in expected.items() if v >= threshold}
     assert len(out) == len({(r.tenant_id, r.a, r.b) for r in out})
+
+
+def test_reasons_of_cases_without_rules_are_their_explanations(spark):
+    schema = "case_id int, source_system_name string, display_name string, trading_name string, aliases array<string>, acronym string, website_domain string, email_domain string, country string, registered_address string, postal_code string, strong_identifiers array<struct<type: string, value: string>>, parent_entity_name string"
+    lei = "STRONG_IDENTIFIER_LEI"
+    rows = [
+        (1, "CRM", "Acme Inc", None, None, None, None, None, None, None, None, [], None),
+        (2, "CRM", "Acme", None, None, None, None, None, None, None, None, [(lei, "A")], None),
+        (2, "ERP", "Acme", None, None, None, None, None, None, None, None, [(lei, "B"), (lei, " ")], None),
+        (3, "CRM", "Zeta", None, None, None, None, None, "TW", None, None, [], None),
+    ]
+    candidates = spark.createDataFrame([(1, "Acme", None, None), (2, "Acme", None, None), (3, "Other Name", "US", None)], "case_id int, candidate_name string, candidate_country string, candidate_parent_entity_name string")
+    policies = policy.presets(candidates)
+    items = resolution.evidence(spark.createDataFrame(rows, schema), candidates, policies)
+    masked = items.filter(f"case_id = 2 and policy = 'Balanced' and evidence_type = '{lei}'").first()
+    assert (masked["values"], masked.provenance) == (["fp:conflict:0", "fp:conflict:1"], "CRM; ERP")
+    got = {(r.case_id, r.policy): (r.triggered_veto, r.triggered_mandatory, r.reasons) for r in resolution.reasons(items, policies).collect()}
+    assert got[1, "Balanced"] == ([], [], ["LEGAL_NAME_MATCH: Legal Name matches the candidate exactly for: CRM.", "ACRONYM_MATCH: Derived acronym 'A' matches: CRM.", "LEGAL_SUFFIX_NORMALIZED: A governed legal suffix was normalized for: CRM."])
+    needed = "Policy requires one of: SOURCE_SYSTEM_CROSSWALK, STRONG_IDENTIFIER_EXTERNAL_ID, STRONG_IDENTIFIER_LEI, STRONG_IDENTIFIER_TAX_REGISTRATION"
+    assert got[1, "Conservative"] == ([], [needed], [needed])
+    veto = [f"Veto: {lei} conflicts (CRM; ERP)"]
+    assert got[2, "Exploratory"] == (veto, [], veto)
+    assert got[3, "Conservative"][0] == ["Veto: COUNTRY_MATCH conflicts (TW: CRM; US: candidate)"]
+    assert got[3, "Balanced"][1] == ["Country or parent/subsidiary conflict forces steward review"]
+
+
+def test_manifest_differences_and_dataset_issues_of_empty_and_null_rows(spark):
+    listed = spark.createDataFrame([("a", "0" * 64), ("b", None), ("c", "1" * 64), ("c", "1" * 64), ("d", "2" * 64)], "path string, sha256 string")
+    found = spark.createDataFrame([("a", "0" * 64), ("b", "3" * 64), ("c", "1" * 64), ("e", "4" * 64)], "path string, sha256 string")
+    got = {r.path: r.problem for r in validation.manifest_differences(listed, found).collect()}
+    assert got == {"b": "INVALID_DIGEST", "c": "DUPLICATE_ENTRY", "d": "MISSING", "e": "UNREGISTERED"}
+    assert validation.manifest_differences(listed.limit(0), found.limit(0)).count() == 0
+    fields = {f: "row_index long, " + ", ".join(sorted({c + " string" for g, c in validation.KEYS if g == f} | {c + " string" for g, c, _ in validation.REFERENCES if g == f})) for f, _ in validation.KEYS}
+    files = {f: spark.createDataFrame([], schema) for f, schema in fields.items()}
+    assert validation.dataset_issues(files).count() == 0
+    files["suppliers.csv"] = spark.createDataFrame([(0, None), (1, None), (2, "s")], "row_index long, supplier_id string")
+    files["materials.csv"] = spark.createDataFrame([(0, "m", "s"), (1, "n", "t"), (2, "o", None)], "row_index long, material_id string, supplier_id string")
+    issues = {(r.file, r.row_index, r.message) for r in validation.dataset_issues(files).collect()}
+    assert issues == {("suppliers.csv", 1, 'Duplicate supplier_id "" — first seen at row 1.'), ("materials.csv", 1, 'supplier_id "t" does not match any record in suppliers.csv.')}
+
+
+def test_a_later_micro_batch_replays_conflicts_and_keeps_the_log(spark, tmp_path):
+    """Two appended files, one a trigger: states live from one micro-batch to the next."""
+    schema = "key string, ts timestamp, id long, digest string"
+    at = datetime.datetime(2024, 1, 1)
+    late = at + datetime.timedelta(seconds=30)
+    parts = [[("a", at, 1, "x"), ("a", at, 2, "y"), ("b", at, 3, None), ("b", at, 4, None)], [("a", late, 5, "x"), ("a", late, 6, "z"), ("b", late, 7, "q"), ("c", late, 8, "x")]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/p{i}")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/p*")
+    got = {r.request_id: r.status for r in admission.finished(admission.admitted_stream(stream(), "key", "ts", "digest", "id"), f"{tmp_path}/a").collect()}
+    assert got == {1: "NEW", 2: "CONFLICT", 3: "NEW", 4: "REPLAY", 5: "REPLAY", 6: "CONFLICT", 7: "CONFLICT", 8: "NEW"}
+    calls = {r.call_id: r.admitted for r in admission.finished(rate_limit.limited_stream(stream(), "key", "ts", "id", limit=3), f"{tmp_path}/b").collect()}
+    assert calls == {1: True, 2: True, 3: True, 4: True, 5: True, 6: False, 7: True, 8: True}

@@ -38,6 +38,47 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(tuple(plain(v) for v in row) for row in df.collect()) == expected
 
 
+def rounded(rows):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_names_of_whole_tables_against_all_pairs(spark, duck):
+    """er_01, er_02, er_04, jn_07 and scl_12 by the plain measure over every pair."""
+    import difflib
+    import re
+
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    key = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip()
+    suppliers = duck.execute("SELECT s_suppkey, s_name FROM supplier").fetchall()
+    name = {k: (n, n.upper(), n + " int")[k % 3] for k, n in suppliers}
+    scores = {(c, e): ratio(key(name[c]), key(n)) for c in name for e, n in suppliers if c % 10 == e % 10}
+    run = lambda q: [tuple(r) for r in registry.queries()[q](spark, SF).collect()]
+    expected = rounded((c % 10, c, f"E{e}", s) for (c, e), s in scores.items() if s >= 0.65)
+    assert rounded(run("er_01_candidates_by_name")) == expected and rounded(run("jn_07_similar_pairs")) == expected
+    pairs = {(c % 10, key(name[c]), key(n), ratio(key(name[c]), key(n))) for c in name for e, n in suppliers if c % 10 == e % 10}
+    assert rounded(run("jn_07_similar_names")) == rounded(p for p in pairs if p[3] >= 0.65)
+
+    def resolved(least, sure, keep_all):
+        for c in name:
+            found = sorted((-s, f"E{e}") for (k, e), s in scores.items() if k == c and s >= least)
+            if c % 20 == 0:
+                yield c % 10, c, "forced", 1.0, "Resolved", "High"
+            elif not found:
+                yield c % 10, c, None, 0.0, "Unresolved", "Low"
+            else:
+                score = -found[0][0]
+                possible = score < sure
+                entity = ",".join(e for _, e in found) if possible and keep_all else found[0][1]
+                yield c % 10, c, entity, score, "Possible Resolution" if possible else "Resolved", "High" if score >= 0.9 else "Medium" if score >= 0.65 else "Low"
+
+    assert rounded(run("er_02_resolve_by_name")) == rounded(resolved(0.65, 0.97, False))
+    assert rounded(run("er_04_resolve_meanings")) == rounded(resolved(0.9, 0.99, True))
+    parts = duck.execute("SELECT p_size, p_name FROM part").fetchall()
+    similar = [(a, b, ratio(a, b)) for i, a in parts for j, b in parts if i == j and a < b]
+    assert rounded(run("scl_12_similarity")) == rounded(x for x in similar if x[2] >= 0.8)
+
+
 def test_entry_lives_without_the_training_data_operators(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("quorumlake.llm") or name == "corpus_pipeline" else real(name, *a))
