@@ -119,20 +119,38 @@ RELATIONS = (
 PATH_STEPS = ("supplies", "usedIn", "defines", "generatesRevenue")
 
 
-def resolve_ontology(concepts: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Bindings (relation, source, target) whose ends are concepts, and whether the ontology is complete (GRF-06)."""
+def resolve_ontologies(concepts: DataFrame, bindings: DataFrame, by: str = "ontology") -> DataFrame:
+    """by, relation, source, target, status, n_lacking: each ontology's bindings whose ends are its concepts, and whether it is complete (GRF-06).
+
+    ``concepts`` has by, concept; ``bindings`` by, relation, source, target.
+    """
     spark = concepts.sparkSession
-    ends = bindings.join(concepts.select(F.col("concept").alias("source")), "source").join(concepts.select(F.col("concept").alias("target")), "target")
-    wanted_c, wanted_r = spark.createDataFrame([(c,) for c in CONCEPTS], "concept string"), spark.createDataFrame(list(RELATIONS), "relation string, source string, target string")
-    lacking = wanted_c.join(concepts, "concept", "left_anti").select(F.col("concept").alias("x")).unionByName(wanted_r.join(ends, ["relation", "source", "target"], "left_anti").select(F.col("relation").alias("x")))
-    status = lacking.agg(F.when(F.count(F.lit(1)) == 0, "Published").otherwise("Draft").alias("status"), F.count(F.lit(1)).alias("n_lacking"))
-    return ends.select("relation", "source", "target").crossJoin(F.broadcast(status))  # one row
+    side = lambda end: concepts.select(by, F.col("concept").alias(end))
+    ends = bindings.join(side("source"), [by, "source"]).join(side("target"), [by, "target"]).select(by, "relation", "source", "target")
+    names = spark.createDataFrame([(c,) for c in CONCEPTS], "concept string")
+    wanted = spark.createDataFrame(list(RELATIONS), "relation string, source string, target string")
+    has = concepts.join(F.broadcast(names), "concept", "left_semi").groupBy(by).agg(F.countDistinct("concept").alias("_c"))  # ten names
+    bound = ends.join(F.broadcast(wanted), ["relation", "source", "target"], "left_semi").groupBy(by).agg(F.countDistinct("relation", "source", "target").alias("_r"))  # the required relations
+    lacking = F.lit(len(CONCEPTS) + len(RELATIONS)) - F.coalesce("_c", F.lit(0)) - F.coalesce("_r", F.lit(0))
+    j = ends.join(has, by, "left").join(bound, by, "left").withColumn("n_lacking", lacking.cast("long"))
+    return j.select(by, "relation", "source", "target", F.when(F.col("n_lacking") == 0, "Published").otherwise("Draft").alias("status"), "n_lacking")
+
+
+def resolve_ontology(concepts: DataFrame, bindings: DataFrame) -> DataFrame:
+    """The same of one ontology, without ``by``."""
+    return resolve_ontologies(concepts.withColumn("ontology", F.lit(1)), bindings.withColumn("ontology", F.lit(1))).drop("ontology")
 
 
-def semantic_path(resolved: DataFrame, steps: tuple[str, ...] = PATH_STEPS) -> DataFrame:
-    """place, relation, source, target of the path's steps that the ontology has (GRF-05)."""
+def semantic_path(resolved: DataFrame, steps: tuple[str, ...] = PATH_STEPS, *by: str) -> DataFrame:
+    """by, place, relation, source, target of the path's steps that the ontology has (GRF-05)."""
     order = resolved.sparkSession.createDataFrame(list(enumerate(steps)), "place int, relation string")
-    return order.join(resolved, "relation").select("place", "relation", "source", "target")
+    return resolved.join(F.broadcast(order), "relation").select(*by, "place", "relation", "source", "target")  # a row per step
+
+
+def grid(index: Column, columns: int = 4, width: int = 220, height: int = 110) -> tuple[Column, Column]:
+    """x and y of the node of an index, from 0, on a grid that fills row by row (GRF-08)."""
+    row = F.floor(index / columns)
+    return (index % columns) * width, row * height
 
 
 # The relations of a scenario as (id, kind of source, kind of target, label, on the risk path), and the label of a severe event.

@@ -118,11 +118,12 @@ def agg_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # one ontology per region: its nations' numbers say which concepts and relations are there, defined and approved
-BY_REGION = f"""
+ONTOLOGIES = f"""
     WITH n AS (SELECT n_regionkey AS g, n_nationkey AS k FROM nation), want AS (SELECT * FROM (VALUES {RELATION_VALUES}) v(relation, source, target)),
     names AS (SELECT i, {CONCEPT_LIST}[i + 1] AS concept FROM range(10) t(i)),
     c AS (SELECT g, concept, bool_or(k % 2 = 0) AS defined, bool_or(k % 3 = 0) AS approved FROM n JOIN names ON i = k % 10 OR i = k % 7 GROUP BY 1, 2),
-    r AS (SELECT g, relation, source, target, bool_or(k % 2 = 1) AS approved FROM n JOIN (SELECT *, row_number() OVER (ORDER BY relation, source, target) - 1 AS i FROM want) w ON i = k % 8 GROUP BY 1, 2, 3, 4),
+    r AS (SELECT g, relation, source, target, bool_or(k % 2 = 1) AS approved FROM n JOIN (SELECT *, row_number() OVER (ORDER BY relation, source, target) - 1 AS i FROM want) w ON i = k % 8 GROUP BY 1, 2, 3, 4)"""
+BY_REGION = f"""{ONTOLOGIES},
     a AS (SELECT g, count(*) AS c_n, count(*) FILTER (WHERE defined) AS c_def, count(*) FILTER (WHERE approved) AS c_ok FROM c GROUP BY 1),
     b AS (SELECT g, count(*) AS r_n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM c x WHERE x.g = r.g AND x.concept = r.source) AND EXISTS (SELECT 1 FROM c x WHERE x.g = r.g AND x.concept = r.target)) AS r_map, count(*) FILTER (WHERE approved) AS r_ok FROM r GROUP BY 1),
     t AS (SELECT (SELECT count(*) FROM want) AS nr)
@@ -153,6 +154,32 @@ def agg_10_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.overall(coverage.ontologies_quality(*_ontologies(spark, sf_dir)), "ontology")
 
 
+RESOLVED = f"""{ONTOLOGIES}, ends AS (SELECT g, relation, source, target FROM r WHERE EXISTS (SELECT 1 FROM c x WHERE x.g = r.g AND x.concept = r.source) AND EXISTS (SELECT 1 FROM c x WHERE x.g = r.g AND x.concept = r.target)),
+    resolved AS (SELECT e.*, (SELECT 10 + count(*) FROM want) - (SELECT count(*) FROM c WHERE c.g = e.g) - (SELECT count(*) FROM ends x WHERE x.g = e.g) AS n_lacking FROM ends e),
+    path AS (SELECT g, list_position(['supplies', 'usedIn', 'defines', 'generatesRevenue'], relation)::INT - 1 AS place, relation, source, target FROM resolved WHERE relation IN ('supplies', 'usedIn', 'defines', 'generatesRevenue'))"""
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    concepts, relations = _ontologies(spark, sf_dir)
+    return graph.resolve_ontologies(concepts.select("ontology", "concept"), relations.select("ontology", "relation", "source", "target"))
+
+
+@register("grf_06_resolved_ontologies", f"{RESOLVED} SELECT g AS ontology, relation, source, target, CASE WHEN n_lacking = 0 THEN 'Published' ELSE 'Draft' END AS status, n_lacking FROM resolved")
+def grf_06_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)
+
+
+@register("grf_05_semantic_paths", f"{RESOLVED} SELECT g AS ontology, place, relation, source, target FROM path")
+def grf_05_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.semantic_path(_resolved(spark, sf_dir), graph.PATH_STEPS, "ontology")
+
+
+@register("grf_08_grid", "SELECT s_suppkey, (s_suppkey % 4) * 220 AS x, (s_suppkey // 4) * 110 AS y FROM supplier")
+def grf_08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = graph.grid(F.col("s_suppkey"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", x.alias("x"), y.alias("y"))
+
+
 @register("cvg_07_activation", "SELECT 'Draft' AS status, 4::BIGINT AS n_steps, 'Supplier → supplies → Material → usedIn → BOM → defines → Product → generatesRevenue → Revenue Exposure' AS path")
 def cvg_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts, relations = _ontology(spark)

@@ -234,6 +234,12 @@ def jn_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").join(groups, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey")
 
 
+@register("jn_20_records_of_all_groups", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def jn_20_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return read(spark, sf_dir, "lineitem").join(groups, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey")
+
+
 @register("jn_22_reconciled_owners", "SELECT l_orderkey, l_linenumber, CASE WHEN c IS NULL OR s IS NULL THEN 'UNRESOLVED_ENDPOINT' WHEN c <> s THEN 'OWNERS_DISAGREE' END AS reason, CASE WHEN c = s THEN c END AS owner FROM lineitem LEFT JOIN (SELECT p_partkey, p_size % 4 AS c FROM part WHERE p_partkey % 8 <> 0) ON p_partkey = l_partkey LEFT JOIN (SELECT p_partkey AS k, p_size % 4 AS s FROM part WHERE p_partkey % 8 <> 0) ON k = l_suppkey")
 def jn_22(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = read(spark, sf_dir, "part").filter("p_partkey % 8 <> 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("owner"))

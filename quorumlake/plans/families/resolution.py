@@ -108,6 +108,18 @@ def er_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.presets(read(spark, sf_dir, "region")).filter(F.size(policy.policy_errors()) == 0).select("policy", "resolved", "min_corroborating", "strong_mandatory")
 
 
+# every customer proposes a policy, some of them out of bounds
+PROPOSED = "c_custkey, c_acctbal / 10000 AS resolved, (c_custkey % 13) / 10.0 AS possible, (c_custkey % 7) / 6.0 AS high, (c_custkey % 5) / 4.0 AS medium, c_custkey % 4 AS min_corroborating"
+
+
+@register("er_13_policy_errors", f"""
+    SELECT c_custkey, concat_ws(',', CASE WHEN high < medium THEN 'bands' END, CASE WHEN min_corroborating < 1 THEN 'corroborating' END, CASE WHEN resolved <= possible THEN 'order' END,
+        CASE WHEN NOT (resolved BETWEEN 0 AND 1 AND possible BETWEEN 0 AND 1) THEN 'thresholds' END) AS errors FROM (SELECT {PROPOSED} FROM customer)""")
+def er_13_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proposed = read(spark, sf_dir, "customer").selectExpr(*PROPOSED.replace(".0 AS", ".0D AS").split(", "))
+    return proposed.select("c_custkey", F.array_join(policy.policy_errors(), ",").alias("errors"))
+
+
 ACTION = "CASE case_id % 4 WHEN 0 THEN 'CONFIRM' WHEN 1 THEN 'REJECT' WHEN 2 THEN 'UNRESOLVED' ELSE 'BLOCK' END"
 
 
