@@ -19,11 +19,11 @@ def admitted_stream(requests: DataFrame, key: str, order: str, digest: str, requ
     """
 
     def judged(frame: pd.DataFrame, first: str | None, new: int | None) -> pd.DataFrame:
-        same = frame["_d"].isna() if first is None else frame["_d"] == first
-        status = same.map({True: "REPLAY", False: "CONFLICT"})
-        if new is not None:
-            status = status.mask((frame["_id"] == new) & ~(frame["_id"] == new).duplicated(), "NEW")
-        return pd.DataFrame({"request_id": frame["_id"], "status": status})
+        status = ["REPLAY" if d == first else "CONFLICT" for d in frame["_d"].tolist()]
+        ids = frame["_id"].tolist()
+        if new in ids:
+            status[ids.index(new)] = "NEW"
+        return pd.DataFrame({"request_id": ids, "status": status})
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
@@ -31,12 +31,13 @@ def admitted_stream(requests: DataFrame, key: str, order: str, digest: str, requ
                 yield judged(frame, state.get[0], None)
             return
         held = list(frames)
-        lead = min((f.nsmallest(1, ["_at", "_id"]) for f in held), key=lambda f: (f["_at"].iloc[0], f["_id"].iloc[0]))
-        first, new = lead["_d"].iloc[0], lead["_id"].iloc[0]
+        rows = (row for f in held for row in zip(f["_at"].tolist(), f["_id"].tolist(), f["_d"].tolist(), strict=True))
+        _, new, first = min(rows, key=lambda row: row[:2])
         state.update((first,))
         for frame in held:
-            yield judged(frame, first, new)
-            new = None if new is not None and (frame["_id"] == new).any() else new
+            out = judged(frame, first, new)
+            new = None if "NEW" in out["status"].tolist() else new
+            yield out
 
     shaped = requests.select(F.col(key).cast("string").alias("_k"), F.unix_micros(F.col(order).cast("timestamp")).alias("_at"), F.col(digest).alias("_d"), F.col(request_id).cast("long").alias("_id"))
     return shaped.groupBy("_k").applyInPandasWithState(run, "request_id long, status string", "first string", "append", GroupStateTimeout.NoTimeout)
