@@ -79,6 +79,14 @@ def test_names_of_whole_tables_against_all_pairs(spark, duck):
     assert rounded(run("scl_12_similarity")) == rounded(x for x in similar if x[2] >= 0.8)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_closed_windows_of_the_stream(spark, duck):
+    """Hours that had ended by the last event, counted plainly; the open hour is left out."""
+    got = sorted((r.start, r.event_type, r.n) for r in registry.queries()["st_windows_stream"](spark, SF).collect())
+    plain_count = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)"
+    assert got == sorted(duck.execute(plain_count).fetchall())
+
+
 def test_entry_lives_without_the_training_data_operators(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("quorumlake.llm") or name == "corpus_pipeline" else real(name, *a))
