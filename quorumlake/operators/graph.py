@@ -40,15 +40,13 @@ def paths_to_type(starts: DataFrame, entities: DataFrame, edges: DataFrame, targ
 
 
 def reachable(starts: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """start_id, node, depth: nodes by their shortest distance; a hop keeps one row per pair, so paths don't multiply."""
-    hops = edges.select(F.col("from_entity_id").alias("node"), F.col("to_entity_id").alias("next")).distinct()
-    front = starts.select("start_id", F.col("start_id").alias("node")).distinct()
-    seen = front.withColumn("depth", F.lit(0))
+    """tenant_id, start_id, node, depth: other nodes within ``max_depth`` hops, by the fewest; a hop keeps one row per pair, so paths don't multiply."""
+    hops = edges.select("tenant_id", F.col("from_entity_id").alias("node"), F.col("to_entity_id").alias("next")).distinct()
+    front, fronts = starts.select("tenant_id", "start_id", F.col("start_id").alias("node")).distinct(), []
     for depth in range(1, max_depth + 1):
-        ahead = front.join(hops, "node").select("start_id", F.col("next").alias("node")).distinct()
-        front = ahead.join(seen.select("start_id", "node"), ["start_id", "node"], "left_anti")
-        seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
-    return seen.filter("depth > 0")
+        front = front.join(hops, ["tenant_id", "node"]).select("tenant_id", "start_id", F.col("next").alias("node")).distinct()
+        fronts.append(front.withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, fronts).filter("node <> start_id").groupBy("tenant_id", "start_id", "node").agg(F.min("depth").alias("depth"))
 
 
 def tenant_graph(entities: DataFrame, types: DataFrame, relations: DataFrame, relation_types: DataFrame, tenant: str) -> tuple[DataFrame, DataFrame]:

@@ -134,7 +134,7 @@ def _starts(entities: DataFrame, condition: str) -> DataFrame:
     return entities.filter(condition).select("tenant_id", F.col("entity_id").alias("start_id"))
 
 
-TEN = "entity_id in ('S:1', 'S:2', 'S:3', 'S:4', 'S:5', 'S:6', 'S:7', 'S:8', 'S:9', 'S:10')"
+SUPPLIERS, ALL_STARTS = "entity_type_name = 'Supplier'", "SELECT id FROM ents WHERE type = 'Supplier'"
 
 
 def _walk_sql(target: str, depth: int, starts: str) -> str:
@@ -144,21 +144,8 @@ def _walk_sql(target: str, depth: int, starts: str) -> str:
         FROM walk w JOIN edges g ON g.a = w.node JOIN ents n ON n.id = g.b WHERE w.depth < {depth} AND NOT list_contains(w.seen, n.id) AND (w.depth = 0 OR w.type <> '{target}'))"""
 
 
-STARTS = ", ".join(f"'S:{i}'" for i in range(1, 11))
-
-
-@register("grf_02_paths_to_type", _walk_sql("Product", 6, STARTS) + " SELECT start_id, node AS target_id, name AS target_name, depth, rels FROM walk WHERE depth > 0 AND type = 'Product'")
+@register("grf_02_paths_to_type", _walk_sql("Product", 6, ALL_STARTS) + " SELECT start_id, node AS target_id, name AS target_name, depth, rels FROM walk WHERE depth > 0 AND type = 'Product'")
 def grf_02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities, edges = _graph(spark, sf_dir)
-    paths = graph.paths_to_type(_starts(entities, TEN), entities, edges, "Product")
-    return paths.select("start_id", "target_id", "target_name", "depth", F.array_join(F.transform("steps", lambda s: F.concat(F.lit(">"), s["relationship_name"])), "").alias("rels"))
-
-
-SUPPLIERS, ALL_STARTS = "entity_type_name = 'Supplier'", "SELECT id FROM ents WHERE type = 'Supplier'"
-
-
-@register("grf_02_paths_of_all_suppliers", _walk_sql("Product", 6, ALL_STARTS) + " SELECT start_id, node AS target_id, name AS target_name, depth, rels FROM walk WHERE depth > 0 AND type = 'Product'")
-def grf_02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges = _graph(spark, sf_dir)
     paths = graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Product")
     return paths.select("start_id", "target_id", "target_name", "depth", F.array_join(F.transform("steps", lambda s: F.concat(F.lit(">"), s["relationship_name"])), "").alias("rels"))
@@ -222,23 +209,14 @@ def grf_01_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("grf_04_first_risk_event", _walk_sql("Risk Event", 2, "SELECT id FROM ents WHERE type = 'Supplier'") + " SELECT start_id, first(node ORDER BY name, node) AS target_id, first(name ORDER BY name, node) AS target_name FROM walk WHERE depth > 0 AND type = 'Risk Event' GROUP BY 1")
+@register("grf_04_first_risk_event", _walk_sql("Risk Event", 2, ALL_STARTS) + " SELECT start_id, first(node ORDER BY name, node) AS target_id, first(name ORDER BY name, node) AS target_name FROM walk WHERE depth > 0 AND type = 'Risk Event' GROUP BY 1")
 def grf_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges = _graph(spark, sf_dir)
-    return graph.first_path(graph.paths_to_type(_starts(entities, "entity_type_name = 'Supplier'"), entities, edges, "Risk Event", 2), "start_id")
+    return graph.first_path(graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Risk Event", 2), "start_id")
 
 
-@register("win_03_path_order", _walk_sql("Risk Event", 3, "'S:1', 'S:2'") + " SELECT start_id, node AS target_id, depth, rels, CAST(row_number() OVER (PARTITION BY start_id ORDER BY name, node, depth, rels) AS INT) AS place FROM walk WHERE depth > 0 AND type = 'Risk Event'")
+@register("win_03_path_order", _walk_sql("Risk Event", 3, ALL_STARTS) + " SELECT start_id, node AS target_id, depth, rels, CAST(row_number() OVER (PARTITION BY start_id ORDER BY name, node, depth, rels) AS INT) AS place FROM walk WHERE depth > 0 AND type = 'Risk Event'")
 def win_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities, edges = _graph(spark, sf_dir)
-    paths = graph.paths_to_type(_starts(entities, "entity_id in ('S:1', 'S:2')"), entities, edges, "Risk Event", 3)
-    order = graph.path_order(F.col("target_name"), F.col("target_id"), F.col("depth"), F.col("steps"))
-    rels = F.array_join(F.transform("steps", lambda s: F.concat(F.lit(">"), s["relationship_name"])), "")
-    return paths.select("start_id", "target_id", "depth", rels.alias("rels"), F.row_number().over(Window.partitionBy("start_id").orderBy(*order)).alias("place"))
-
-
-@register("win_03_path_order_of_all_suppliers", _walk_sql("Risk Event", 3, ALL_STARTS) + " SELECT start_id, node AS target_id, depth, rels, CAST(row_number() OVER (PARTITION BY start_id ORDER BY name, node, depth, rels) AS INT) AS place FROM walk WHERE depth > 0 AND type = 'Risk Event'")
-def win_03_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges = _graph(spark, sf_dir)
     paths = graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Risk Event", 3)
     order = graph.path_order(F.col("target_name"), F.col("target_id"), F.col("depth"), F.col("steps"))
@@ -326,35 +304,20 @@ def grf_07_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.scenario_summary(_facts(spark, sf_dir))
 
 
-@register("cvg_08_ask_products", _walk_sql("Product", 6, STARTS) + ", named AS (SELECT start_id, list_sort(list(DISTINCT name)) AS names FROM walk WHERE depth > 0 AND type = 'Product' GROUP BY 1) SELECT e.id AS start_id, coalesce(len(names), 0)::INT AS n, CASE WHEN coalesce(len(names), 0) = 0 THEN 'The catalogue found 0 products connected to ' || e.name || ' through governed ontology relationships.' WHEN len(names) = 1 THEN '1 product depends on ' || e.name || ':' || chr(10) || '- ' || names[1] ELSE len(names) || ' products depend on ' || e.name || ':' || chr(10) || array_to_string(list_transform(names, lambda x: '- ' || x), chr(10)) END AS answer FROM ents e LEFT JOIN named ON start_id = e.id WHERE e.id IN (" + STARTS + ")")
-def cvg_08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities, edges = _graph(spark, sf_dir)
-    asked = entities.filter(TEN).select("tenant_id", F.col("entity_id").alias("start_id"), questions.parse_question(F.concat(F.lit("which products depend on "), F.col("entity_name"), F.lit("?"))).alias("q"))
-    known = asked.join(entities.filter("entity_type_name = 'Supplier'").select("tenant_id", F.col("entity_name"), F.col("entity_id")), (F.lower("q.entity") == F.lower("entity_name"))).select(asked["tenant_id"], F.col("start_id"), "entity_name")
-    paths = graph.paths_to_type(known.select("tenant_id", "start_id"), entities, edges, "Product")
-    names = paths.groupBy("start_id").agg(F.array_sort(F.collect_set("target_name")).alias("names"))
-    listed = F.coalesce("names", F.array().cast("array<string>"))
-    return known.join(names, "start_id", "left").select("start_id", F.size(listed).alias("n"), questions.products_answer(F.col("entity_name"), listed).alias("answer"))
-
-
 NAMED_SQL = "SELECT e.id AS start_id, coalesce(len(names), 0)::INT AS n, CASE WHEN coalesce(len(names), 0) = 0 THEN 'The catalogue found 0 products connected to ' || e.name || ' through governed ontology relationships.' WHEN len(names) = 1 THEN '1 product depends on ' || e.name || ':' || chr(10) || '- ' || names[1] ELSE len(names) || ' products depend on ' || e.name || ':' || chr(10) || array_to_string(list_transform(names, lambda x: '- ' || x), chr(10)) END AS answer FROM ents e LEFT JOIN named ON start_id = e.id WHERE e.type = 'Supplier'"
 
 
-@register("cvg_08_ask_products_of_all_suppliers", _walk_sql("Product", 6, ALL_STARTS) + ", named AS (SELECT start_id, list_sort(list(DISTINCT name)) AS names FROM walk WHERE depth > 0 AND type = 'Product' GROUP BY 1) " + NAMED_SQL)
-def cvg_08_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("cvg_08_ask_products", _walk_sql("Product", 6, ALL_STARTS) + ", named AS (SELECT start_id, list_sort(list(DISTINCT name)) AS names FROM walk WHERE depth > 0 AND type = 'Product' GROUP BY 1) " + NAMED_SQL)
+def cvg_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges = _graph(spark, sf_dir)
     suppliers = entities.filter(SUPPLIERS)
     asked = suppliers.select("tenant_id", F.col("entity_id").alias("start_id"), questions.parse_question(F.concat(F.lit("which products depend on "), F.col("entity_name"), F.lit("?"))).alias("q"))
     known = asked.join(suppliers.select("tenant_id", "entity_name"), F.lower("q.entity") == F.lower("entity_name")).select(asked["tenant_id"], "start_id", "entity_name")
-    products, ids = entities.filter("entity_type_name = 'Product'"), entities.select("entity_id")
+    of = lambda df, name: df.select("tenant_id", F.col("entity_id").alias(name))
+    products = entities.filter("entity_type_name = 'Product'")
     # only what is reachable is asked: paths end at their first product, and at nodes that are no entities
-    hops = edges.join(ids.withColumnRenamed("entity_id", "to_entity_id"), "to_entity_id", "left_semi").join(products.select(F.col("entity_id").alias("from_entity_id")), "from_entity_id", "left_anti")
-    hops = hops.select(F.col("from_entity_id").alias("node"), F.col("to_entity_id").alias("next")).distinct()
-    front, fronts = known.select("start_id", F.col("start_id").alias("node")), []
-    for _ in range(graph.MAX_DEPTH):  # one row per pair and hop, so paths don't multiply
-        front = front.join(hops, "node").select("start_id", F.col("next").alias("node")).distinct()
-        fronts.append(front)
-    reached = reduce(DataFrame.unionByName, fronts).join(products.select(F.col("entity_id").alias("node"), "entity_name"), "node")
-    names = reached.groupBy("start_id").agg(F.array_sort(F.collect_set("entity_name")).alias("names"))
+    hops = edges.join(of(entities, "to_entity_id"), ["tenant_id", "to_entity_id"], "left_semi").join(of(products, "from_entity_id"), ["tenant_id", "from_entity_id"], "left_anti")
+    reached = graph.reachable(known, hops).join(products.select("tenant_id", F.col("entity_id").alias("node"), F.col("entity_name").alias("product")), ["tenant_id", "node"])
+    names = reached.groupBy("tenant_id", "start_id").agg(F.array_sort(F.collect_set("product")).alias("names"))
     listed = F.coalesce("names", F.array().cast("array<string>"))
-    return known.join(names, "start_id", "left").select("start_id", F.size(listed).alias("n"), questions.products_answer(F.col("entity_name"), listed).alias("answer"))
+    return known.join(names, ["tenant_id", "start_id"], "left").select("start_id", F.size(listed).alias("n"), questions.products_answer(F.col("entity_name"), listed).alias("answer"))

@@ -94,13 +94,8 @@ def pol_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted_units(spark, sf_dir)
 
 
-@register("pol_13_gate_f_units", f"WITH {UNITS_CTE} SELECT supplier, material, alternate, outcome, reason FROM decided WHERE supplier % 25 = 0")
+@register("pol_13_gate_f_units", f"WITH {UNITS_CTE} SELECT supplier, material, alternate, outcome, reason FROM decided")
 def pol_13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact_units(spark, sf_dir).filter("supplier % 25 = 0")
-
-
-@register("pol_13_gate_f_units_of_all_suppliers", f"WITH {UNITS_CTE} SELECT supplier, material, alternate, outcome, reason FROM decided")
-def pol_13_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_units(spark, sf_dir)
 
 

@@ -159,7 +159,7 @@ def scl_20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ANSWER_SQL = """
     WITH n AS (SELECT s_suppkey, s_name, list_sort(list(DISTINCT p_name) FILTER (WHERE p_name IS NOT NULL)) AS names
-               FROM supplier LEFT JOIN (SELECT l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_partkey % 40 = 0) ON l_suppkey = s_suppkey GROUP BY ALL)
+               FROM supplier LEFT JOIN (SELECT l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey) ON l_suppkey = s_suppkey GROUP BY ALL)
     SELECT s_suppkey, CASE WHEN coalesce(len(names), 0) = 0 THEN 'The catalogue found 0 products connected to ' || s_name || ' through governed ontology relationships.'
         WHEN len(names) = 1 THEN '1 product depends on ' || s_name || ':' || chr(10) || '- ' || names[1]
         ELSE len(names) || ' products depend on ' || s_name || ':' || chr(10) || array_to_string(list_transform(names, lambda x: '- ' || x), chr(10)) END AS answer FROM n"""
@@ -167,14 +167,6 @@ ANSWER_SQL = """
 
 @register("scl_21_products_answer", ANSWER_SQL)
 def scl_21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_partkey % 40 = 0").select("l_suppkey", "l_partkey").distinct()
-    named = lines.join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
-    s = read(spark, sf_dir, "supplier").join(named, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    return s.select("s_suppkey", questions.products_answer(F.col("s_name"), F.coalesce("names", F.array().cast("array<string>"))).alias("answer"))
-
-
-@register("scl_21_products_answer_of_all_lines", ANSWER_SQL.replace(" WHERE l_quantity >= 50 AND l_partkey % 40 = 0", ""))
-def scl_21_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     named = lines.join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
     s = read(spark, sf_dir, "supplier").join(named, F.col("s_suppkey") == F.col("l_suppkey"), "left")

@@ -35,6 +35,25 @@ def test_paths(spark):
     assert walk(spark, chain, [*links, ("r", "n2", "gone")], "n4", "End", 5) == [("n9", 5)]
 
 
+def test_reachable_nodes_are_those_of_a_plain_search(spark):
+    """Cycles, loops and parallel edges, in two tenants that share ids."""
+    links = {t: [(i, (i * k + 3) % 40) for i in range(40) for k in ks] + [(7, 7), (1, 4), (1, 4)] for t, ks in (("a", (2, 5)), ("b", (1,)))}
+    edges = spark.createDataFrame([(t, f"n{a}", f"n{b}") for t, pairs in links.items() for a, b in pairs], "tenant_id string, from_entity_id string, to_entity_id string")
+    starts = [(t, f"n{i}") for t in links for i in range(0, 40, 3)] + [("a", "n0"), ("a", "lone")]
+    expected = set()
+    for tenant, start in starts:
+        depths, queue = {start: 0}, deque([start])
+        while queue:
+            at = queue.popleft()
+            for a, b in links[tenant]:
+                if f"n{a}" == at and f"n{b}" not in depths and depths[at] < 3:
+                    depths[f"n{b}"] = depths[at] + 1
+                    queue.append(f"n{b}")
+        expected |= {(tenant, start, node, depth) for node, depth in depths.items() if depth}
+    got = [tuple(r) for r in graph.reachable(spark.createDataFrame(starts, "tenant_id string, start_id string"), edges, 3).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
 SOURCES = "case_id int, source_system_name string, display_name string, trading_name string, aliases array<string>, acronym string, website_domain string, email_domain string, country string, registered_address string, postal_code string, strong_identifiers array<struct<type:string,value:string>>, parent_entity_name string"
 TARGETS = "case_id int, candidate_name string, candidate_country string, candidate_parent_entity_name string"
 TAX = "STRONG_IDENTIFIER_TAX_REGISTRATION"
