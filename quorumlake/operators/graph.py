@@ -8,22 +8,24 @@ deduplicated, so parallel edges give parallel paths.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 6
+Keep = Callable[[DataFrame], DataFrame]
 STEP = "array<struct<relationship_name:string,entity_id:string,entity_name:string>>"
 
 
-def paths_to_type(starts: DataFrame, entities: DataFrame, edges: DataFrame, target_type: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def paths_to_type(starts: DataFrame, entities: DataFrame, edges: DataFrame, target_type: str, max_depth: int = MAX_DEPTH, keep: Keep = lambda hops: hops) -> DataFrame:
     """tenant_id, start_id, target_id, target_name, depth, steps of every simple path that ends at its first ``target_type`` (GRF-02).
 
-    ``starts`` has tenant_id and start_id. Nodes that aren't in ``entities`` end a path.
+    ``starts`` has tenant_id and start_id. Nodes that aren't in ``entities`` end a path. ``keep`` may store the hops, which are read at every depth.
     """
     nodes = entities.select("tenant_id", F.col("entity_id").alias("to_entity_id"), F.col("entity_name").alias("_name"), F.col("entity_type_name").alias("_type"))
-    hops = edges.join(nodes, ["tenant_id", "to_entity_id"]).select("tenant_id", "relationship_name", F.col("from_entity_id").alias("at"), F.col("to_entity_id").alias("next"), "_name", "_type")
+    hops = keep(edges.join(nodes, ["tenant_id", "to_entity_id"]).select("tenant_id", "relationship_name", F.col("from_entity_id").alias("at"), F.col("to_entity_id").alias("next"), "_name", "_type"))
     known = entities.select("tenant_id", F.col("entity_id").alias("start_id"))
     front = starts.join(known, ["tenant_id", "start_id"], "left_semi").select("tenant_id", "start_id", F.col("start_id").alias("at"), F.array("start_id").alias("seen"), F.array().cast(STEP).alias("steps"))
     found = []
@@ -39,10 +41,13 @@ def paths_to_type(starts: DataFrame, entities: DataFrame, edges: DataFrame, targ
     return reduce(DataFrame.unionByName, found)
 
 
-def reachable(starts: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """tenant_id, start_id, node, depth: other nodes within ``max_depth`` hops, by the fewest; a hop keeps one row per pair, so paths don't multiply."""
-    hops = edges.select("tenant_id", F.col("from_entity_id").alias("node"), F.col("to_entity_id").alias("next")).distinct()
-    front, fronts = starts.select("tenant_id", "start_id", F.col("start_id").alias("node")).distinct(), []
+def reachable(starts: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, keep: Keep = lambda hops: hops) -> DataFrame:
+    """tenant_id, start_id, node, depth: other nodes within ``max_depth`` hops, by the fewest; a hop keeps one row per pair, so paths don't multiply.
+
+    ``keep`` may store the hops, which are read at every depth.
+    """
+    hops = keep(edges.select("tenant_id", F.col("from_entity_id").alias("node"), F.col("to_entity_id").alias("next")).distinct())
+    front, fronts = keep(starts.select("tenant_id", "start_id", F.col("start_id").alias("node")).distinct()), []
     for depth in range(1, max_depth + 1):
         front = front.join(hops, ["tenant_id", "node"]).select("tenant_id", "start_id", F.col("next").alias("node")).distinct()
         fronts.append(front.withColumn("depth", F.lit(depth)))

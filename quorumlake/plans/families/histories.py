@@ -11,7 +11,7 @@ from quorumlake.functions import questions
 from quorumlake.operators import graph, temporal
 from quorumlake.operators.filters import valid_as_of
 from quorumlake.plans.registry import register
-from quorumlake.plans.tables import read
+from quorumlake.plans.tables import read, stored
 
 KEY, ORDER = ["user_id", "event_type"], ["ts", "event_id"]
 CUT = "TIMESTAMP_NTZ '2024-01-15 00:00:00'"
@@ -147,7 +147,7 @@ def _walk_sql(target: str, depth: int, starts: str) -> str:
 @register("grf_02_paths_to_type", _walk_sql("Product", 6, ALL_STARTS) + " SELECT start_id, node AS target_id, name AS target_name, depth, rels FROM walk WHERE depth > 0 AND type = 'Product'")
 def grf_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges = _graph(spark, sf_dir)
-    paths = graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Product")
+    paths = graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Product", keep=stored)
     return paths.select("start_id", "target_id", "target_name", "depth", F.array_join(F.transform("steps", lambda s: F.concat(F.lit(">"), s["relationship_name"])), "").alias("rels"))
 
 
@@ -317,7 +317,7 @@ def cvg_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = entities.filter("entity_type_name = 'Product'")
     # only what is reachable is asked: paths end at their first product, and at nodes that are no entities
     hops = edges.join(of(entities, "to_entity_id"), ["tenant_id", "to_entity_id"], "left_semi").join(of(products, "from_entity_id"), ["tenant_id", "from_entity_id"], "left_anti")
-    reached = graph.reachable(known, hops).join(products.select("tenant_id", F.col("entity_id").alias("node"), F.col("entity_name").alias("product")), ["tenant_id", "node"])
+    reached = graph.reachable(known, hops, keep=stored).join(products.select("tenant_id", F.col("entity_id").alias("node"), F.col("entity_name").alias("product")), ["tenant_id", "node"])
     names = reached.groupBy("tenant_id", "start_id").agg(F.array_sort(F.collect_set("product")).alias("names"))
     listed = F.coalesce("names", F.array().cast("array<string>"))
     return known.join(names, ["tenant_id", "start_id"], "left").select("start_id", F.size(listed).alias("n"), questions.products_answer(F.col("entity_name"), listed).alias("answer"))
