@@ -34,7 +34,7 @@ SEGMENT = LANES * STEPS
 
 def frequencies(counts: np.ndarray) -> tuple[np.ndarray, int]:
     """Frequencies of 1 or more in proportion to ``counts`` (all positive), and the power of two they sum to."""
-    bits = min(24, max(12, int(16 * len(counts) - 1).bit_length()))
+    bits = min(24, max(12, int(8 * len(counts) - 1).bit_length()))
     if not len(counts):
         return np.zeros(0, dtype=np.uint32), bits
     size = 1 << bits
@@ -51,15 +51,26 @@ def _starts(freq: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(freq.astype(np.uint64))[:-1])).astype(np.uint64) if len(freq) else np.zeros(0, dtype=np.uint64)
 
 
+def _coded(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids in order, the place of each id among them, and their counts."""
+    if not len(ids) or ids.max() >= 1 << 22:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), dtype=np.int32)
+    place[symbols] = np.arange(len(symbols), dtype=np.int32)
+    return symbols, place[ids], counts[symbols]
+
+
 def pack(ids: np.ndarray) -> bytes:
     """A frame of ``ids``."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
-    symbols, codes, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, codes, counts = _coded(ids)
     freq, bits = frequencies(counts)
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     rows = -(-min(n, BLOCK) // LANES)
     # one row of lanes per step; places beyond the last id are not coded
-    padded = np.zeros(blocks * BLOCK, dtype=np.int64)
+    padded = np.zeros(blocks * BLOCK, dtype=np.int32)
     padded[:n] = codes.reshape(-1)
     table = padded.reshape(blocks, BLOCK // LANES, LANES)
     wide, first, shift = freq.astype(np.uint64), _starts(freq), np.uint64(bits)
@@ -79,7 +90,8 @@ def pack(ids: np.ndarray) -> bytes:
         owners.append(block)
         written += np.bincount(block, minlength=blocks)
         x = np.where(out, state >> WORD, state)
-        coded = ((x // f) << shift) + x % f + first[code]
+        whole = x // f
+        coded = (whole << shift) + (x - whole * f) + first[code]
         state = np.where(here, coded, state)
         if step % STEPS == 0:
             marks[step // STEPS], states[step // STEPS] = written.copy(), state.copy()
@@ -144,12 +156,12 @@ class Frame:
         word_base = np.concatenate(([0], np.cumsum(self.blocks[:, 1].astype(np.int64))))
         place = word_base[np.arange(low, high) // per] + self.first_word[low:high]
         state = self.states[low:high].astype(np.uint64)
-        which = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
+        which = np.repeat(np.arange(len(self.freq), dtype=np.uint16 if len(self.freq) < 1 << 16 else np.uint32), self.freq)
         wide, first = self.freq.astype(np.uint64), _starts(self.freq)
         mask, shift, lane = np.uint64((1 << self.bits) - 1), np.uint64(self.bits), np.arange(LANES)
         words = np.append(self.words, np.uint32(0)).astype(np.uint64)
         steps = -(-int(size.max()) // LANES)
-        out = np.zeros((high - low, STEPS, LANES), dtype=np.uint32)
+        out = np.zeros((high - low, STEPS, LANES), dtype=which.dtype)
         for step in range(steps):
             here = size[:, None] > step * LANES + lane
             slot = state & mask

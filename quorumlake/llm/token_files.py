@@ -8,10 +8,9 @@ range (``part``), the place of its first id in the range, the documents in it
 and the coded ids. Frames, their blocks and the checkpoints in these are read
 independently of each other; a damaged frame is an error.
 
-Texts are cut into units where byte-level pre-tokens always end (a letter or
-other visible character before white space, an ASCII letter or digit before
-common punctuation), so each unit that is not remembered is given to the
-tokenizer once; ids are those of the whole text.
+Texts are cut into units where byte-level pre-tokens always end (before white
+space, between letters, digits and punctuation), so each unit that is not
+remembered is given to the tokenizer once; ids are those of the whole text.
 
 Defined cases: a null text counts as empty and has the end id only; a null
 doc_id comes after all others; rows of one doc_id stand in the order of a hash
@@ -40,70 +39,145 @@ from quorumlake.llm.words import slabs
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
-#: Ids of a frame, about.
-FRAME = 1 << 21
+#: Ids of a frame, about; units that are given to the tokenizer as one text; bytes of texts that are cut into units together.
+FRAME, LINES, UNITS_SLAB = 1 << 21, 4096, 1 << 23
 FILES = "part int, at long, n_ids long, cut boolean, doc_start long, doc_id array<long>, n array<int>, frame binary"
 
 
-def _flags(*codes: int) -> np.ndarray:
-    out = np.zeros(256, dtype=bool)
-    out[list(codes)] = True
+#: Classes of bytes. "<" may begin a special token and "|" ends words within one, so neither is an ordinary sign.
+OTHER, SPACE, FEED, SIGN, BAR, LESS, LETTER, DIGIT, LATIN, TWO, INNER, WIDE = range(12)
+
+
+def _classes() -> np.ndarray:
+    out = np.full(256, OTHER, dtype=np.uint8)
+    out[0x21:0x7F] = SIGN
+    out[0x20], out[[0x09, 0x0A, 0x0D]] = SPACE, FEED
+    out[ord("|")], out[ord("<")] = BAR, LESS
+    out[ord("0") : ord("9") + 1] = DIGIT
+    out[ord("A") : ord("Z") + 1] = out[ord("a") : ord("z") + 1] = LETTER
+    # first bytes of two-byte characters from U+00C0 on, none of which is white space, and further bytes
+    out[0xC3], out[0xC4:0xE0], out[0x80:0xC0] = LATIN, TWO, INNER
     return out
 
 
-BLANK = _flags(0x09, 0x0A, 0x0D, 0x20)
-VISIBLE = _flags(*range(0x21, 0x7F))
-WORDLIKE = _flags(*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B))
-POINTS = _flags(*b",.;:!?")
-#: First bytes of two-byte characters from U+00C0 on: none of them is white space.
-TWO_BYTES = _flags(*range(0xC3, 0xE0))
+CLASS = _classes()
+SIGNS = (0x97, 0xB7)  # second bytes of the two characters from U+00C0 to U+00FF that are no letters
+
+
+def _cuts() -> tuple[np.ndarray, np.ndarray]:
+    """Whether a pre-token ends between two bytes by their classes, and whether the first is a last blank before a word."""
+    cut, opens = np.zeros((16, 16), dtype=bool), np.zeros((16, 16), dtype=bool)
+    cut[np.ix_([SIGN, BAR, LESS, LETTER, DIGIT, WIDE], [SPACE, FEED])] = True
+    cut[np.ix_([LETTER, DIGIT], [SIGN, LESS])] = cut[LETTER, DIGIT] = cut[DIGIT, LETTER] = True
+    opens[np.ix_([SPACE, FEED], [SIGN, BAR, LETTER, DIGIT, LATIN, TWO])] = True
+    return cut.reshape(-1), opens.reshape(-1)
+
+
+CUT, OPENS = _cuts()
 
 
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where units of the texts begin; ``offsets`` are the texts' own bounds."""
-    cut = np.zeros(len(data), dtype=bool)
+    cut = np.zeros(len(data) + 1, dtype=bool)
     if len(data) > 1:
-        before, here = data[:-1], data[1:]
-        solid = VISIBLE[before]
-        solid[1:] |= TWO_BYTES[data[:-2]] & (before[1:] >= 0x80)
-        cut[1:] = (BLANK[here] & solid) | (POINTS[here] & WORDLIKE[before])
-    starts = offsets[:-1]
-    cut[starts[starts < len(data)]] = True
+        here = CLASS[data]
+        before = here[:-1].copy()  # the class of the character that ends there
+        inner = before[1:] == INNER
+        latin = inner & (here[:-2] == LATIN)
+        latin &= (data[1:-1] != SIGNS[0]) & (data[1:-1] != SIGNS[1])
+        before[1:][inner & (here[:-2] >= LATIN) & (here[:-2] <= TWO)] = WIDE
+        before[1:][latin] = LETTER
+        pair = (before << 4) | here[1:]
+        cut[1:-1] = CUT[pair]
+        last = OPENS[pair]  # the last blank of a run goes with the word, or alone if it is no space
+        bounds = offsets[1:-1]
+        last[bounds[(bounds > 0) & (bounds < len(data))] - 1] = False  # the next text doesn't follow
+        cut[:-2] |= last
+        cut[1:-1] |= last & (before == FEED)
+    cut[offsets[:-1]] = True
+    cut[len(data)] = False
     return np.flatnonzero(cut)
 
 
+def plain_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which units stay as they are between line feeds: one blank or none before a visible character, none after the last, no line feed."""
+    first, last = CLASS[data[starts]], CLASS[data[ends - 1]]
+    second = CLASS[data[np.minimum(starts + 1, ends - 1)]]
+    before_last = CLASS[data[np.maximum(ends - 2, starts)]]
+    visible = lambda x: (x >= SIGN) & (x <= DIGIT)
+    solid = lambda x: (x >= SIGN) & (x <= TWO)
+    opens = solid(first) | ((first == SPACE) & solid(second))
+    closes = visible(last) | ((last == INNER) & ((before_last == LATIN) | (before_last == TWO)))
+    feeds = np.concatenate(([0], np.cumsum(data == 0x0A)))
+    return opens & closes & (feeds[ends] == feeds[starts])
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library; the latest units are remembered."""
+    """Ids of texts by the tokenizers library; units that were met are remembered."""
 
     def __init__(self, vocabulary: bytes, most: int = 1 << 18) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
-        self.seen: dict[bytes, np.ndarray] = {}
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts = all(t[:1] == b"<" and len(unit_starts(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))) == 1 for t in special)
+        self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most = most
 
-    def units(self, units: list[bytes]) -> list[np.ndarray]:
+    def _each(self, units: list[bytes]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
+        return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
+
+    def _together(self, units: list[bytes]) -> list[bytes]:
+        """As ``_each``, of plain units, as lines of one text: a line feed is a token of its own there."""
+        out = []
+        for low in range(0, len(units), LINES):
+            lines = units[low : low + LINES]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(lines).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(ids == self.feed[0]) if len(self.feed) == 1 else np.zeros(0, dtype=np.int64)
+            if len(at) != len(lines) - 1:  # a vocabulary that joins line feeds with others
+                out += self._each(lines)
+                continue
+            raw, bounds = ids.tobytes(), (4 * np.concatenate(([-1], at, [len(ids)]))).tolist()
+            out += [raw[x + 4 : y] for x, y in zip(bounds, bounds[1:])]
+        return out
+
+    def units(self, units: list[bytes], plain: np.ndarray) -> list[bytes]:
+        """The ids of each of ``units``, little-endian."""
         out = list(map(self.seen.get, units))
-        new = [i for i, ids in enumerate(out) if ids is None]
-        if len(self.seen) + len(new) > self.most:
-            self.seen.clear()
-        keep = len(new) <= self.most
-        for i, coded in zip(new, self.tokenizer.encode_batch_fast([units[i].decode() for i in new], add_special_tokens=False)):
-            out[i] = np.array(coded.ids, dtype=np.uint32)
-            if keep:
-                self.seen[units[i]] = out[i]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in missing:
+            ids = out[i] = self.older.get(units[i])
+            if ids is None:
+                new.append(i)
+        for code, chosen in ((self._together, [i for i in new if plain[i]]), (self._each, [i for i in new if not plain[i]])):
+            own = [units[i] for i in chosen]
+            for i, ids in zip(chosen, code(own) if own else []):
+                out[i] = ids
+        # two generations: what was not met since the last change goes with the older one
+        if len(self.seen) + len(missing) > self.most:
+            self.seen, self.older = {}, self.seen
+        if len(missing) <= self.most:
+            self.seen.update((units[i], out[i]) for i in missing)
         return out
 
     def texts(self, texts: pa.Array, end: int = END) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts in order: all their ids, each text's followed by ``end``, and the number of ids of each."""
-        for _, data, offsets in slabs(texts):
-            starts = unit_starts(data, offsets)
+        for _, data, offsets in slabs(texts, UNITS_SLAB):
+            # special tokens that a cut could split leave whole texts as units
+            starts = unit_starts(data, offsets) if self.cuts else np.unique(offsets[:-1][np.diff(offsets) > 0])
             bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
             units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
-            coded = self.units(units.dictionary.to_pylist())
-            size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-            flat = np.concatenate([*coded, np.array([end], dtype=np.uint32)])
+            own = units.dictionary.buffers()
+            own_bounds = np.frombuffer(own[1], dtype=np.int64, count=len(units.dictionary) + 1)
+            plain = plain_units(np.frombuffer(own[2] or b"", dtype=np.uint8), own_bounds[:-1], own_bounds[1:])
+            coded = self.units(units.dictionary.to_pylist(), plain)
+            size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+            flat = np.frombuffer(b"".join(coded) + end.to_bytes(4, "little"), dtype="<u4")
             which = units.indices.to_numpy(zero_copy_only=False)
             # the end id is a unit of its own after the units of each text
             ends = np.searchsorted(starts, offsets[1:])
@@ -235,9 +309,9 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
         rows = rows.sort_values("at")
         return rows.head(1).assign(ids=b"".join(rows["ids"]))
 
-    whole = files.filter("not cut").mapInArrow(decode, kind)
+    whole = files.filter("cut = false").mapInArrow(decode, kind)
     # a document of several frames is one row in the end, as long as its text
-    long = files.filter("cut").mapInArrow(decode, kind).groupBy("part", "doc_start").applyInPandas(lambda key, rows: joined(rows), kind)
+    long = files.filter("cut = true").mapInArrow(decode, kind).groupBy("part", "doc_start").applyInPandas(lambda key, rows: joined(rows), kind)
     totals = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before, so_far = [], 0
     for part, n in totals:

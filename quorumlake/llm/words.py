@@ -40,7 +40,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def slabs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slabs(texts: pa.Array, size: int = SLAB) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of texts: the first one's index, their UTF-8 bytes, and where each begins and the last ends."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     n = len(texts)
@@ -50,7 +50,7 @@ def slabs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLAB, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
