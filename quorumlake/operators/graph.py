@@ -1,9 +1,10 @@
 """Bounded simple paths over a typed property graph, for all starts at once.
 
 Entities are (tenant_id, entity_id, entity_name, entity_type_name), edges
-(tenant_id, relationship_name, from_entity_id, to_entity_id). The loop over
-hops is unrolled: one join per hop, pruned before the next. Edges are not
-deduplicated, so parallel edges give parallel paths.
+(tenant_id, relationship_name, from_entity_id, to_entity_id). Walks go hop by
+hop; each front is stored, so a hop is joined once however often its rows are
+read, and a walk ends when a front is empty. Edges are not deduplicated, so
+parallel edges give parallel paths.
 """
 
 from __future__ import annotations
@@ -19,39 +20,74 @@ Keep = Callable[[DataFrame], DataFrame]
 STEP = "array<struct<relationship_name:string,entity_id:string,entity_name:string>>"
 
 
+def distances(hops: DataFrame, target_type: str, max_depth: int, keep: Keep = lambda hops: hops) -> DataFrame:
+    """tenant_id, at, far: nodes from which a ``target_type`` is ``max_depth`` hops away or fewer, and the fewest.
+
+    Found backwards from the targets: only nodes that are new in a round lead to the next, and rounds end when none is.
+    Targets themselves are not walked through. ``hops`` has tenant_id, at, next and the type of next, ``_type``.
+    """
+    onward = hops.filter(F.col("_type") != target_type).select("tenant_id", "at", "next").distinct()
+    front = keep(hops.filter(F.col("_type") == target_type).select("tenant_id", "at").distinct().withColumn("far", F.lit(1)))
+    found = front
+    for far in range(2, max_depth + 1):
+        ends = front.select("tenant_id", F.col("at").alias("next"))
+        new = onward.join(ends, ["tenant_id", "next"], "left_semi").select("tenant_id", "at").distinct()
+        front = keep(new.join(found, ["tenant_id", "at"], "left_anti").withColumn("far", F.lit(far)))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found
+
+
 def paths_to_type(starts: DataFrame, entities: DataFrame, edges: DataFrame, target_type: str, max_depth: int = MAX_DEPTH, keep: Keep = lambda hops: hops) -> DataFrame:
     """tenant_id, start_id, target_id, target_name, depth, steps of every simple path that ends at its first ``target_type`` (GRF-02).
 
-    ``starts`` has tenant_id and start_id. Nodes that aren't in ``entities`` end a path. ``keep`` may store the hops, which are read at every depth.
+    ``starts`` has tenant_id and start_id. Nodes that aren't in ``entities`` end a path. A hop is taken only to a target,
+    or to a node from which one can still be reached in the hops that are left. ``keep`` stores the hops and each front.
     """
     nodes = entities.select("tenant_id", F.col("entity_id").alias("to_entity_id"), F.col("entity_name").alias("_name"), F.col("entity_type_name").alias("_type"))
     hops = keep(edges.join(nodes, ["tenant_id", "to_entity_id"]).select("tenant_id", "relationship_name", F.col("from_entity_id").alias("at"), F.col("to_entity_id").alias("next"), "_name", "_type"))
+    found = []
     known = entities.select("tenant_id", F.col("entity_id").alias("start_id"))
     front = starts.join(known, ["tenant_id", "start_id"], "left_semi").select("tenant_id", "start_id", F.col("start_id").alias("at"), F.array("start_id").alias("seen"), F.array().cast(STEP).alias("steps"))
-    found = []
+    if max_depth > 1:
+        far = distances(hops, target_type, max_depth - 1, keep).select("tenant_id", F.col("at").alias("next"), "far")
+        target = F.col("_type") == target_type
+        hops = keep(hops.join(far, ["tenant_id", "next"], "left").withColumn("left", F.when(target, 0).otherwise(F.col("far"))).filter("left IS NOT NULL").drop("far"))
+    else:
+        hops = hops.filter(F.col("_type") == target_type).withColumn("left", F.lit(0))
     for depth in range(1, max_depth + 1):
         step = F.struct("relationship_name", F.col("next").alias("entity_id"), F.col("_name").alias("entity_name"))
-        ahead = (
-            front.join(hops, ["tenant_id", "at"])
+        ahead = keep(
+            front.join(hops.filter(F.col("left") <= max_depth - depth), ["tenant_id", "at"])
             .filter(~F.array_contains("seen", F.col("next")))
-            .select("tenant_id", "start_id", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), F.concat("steps", F.array(step)).alias("steps"), "_type", F.col("_name"))
+            .select("tenant_id", "start_id", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), F.concat("steps", F.array(step)).alias("steps"), "left", F.col("_name"))
         )
-        found.append(ahead.filter(F.col("_type") == target_type).select("tenant_id", "start_id", F.col("at").alias("target_id"), F.col("_name").alias("target_name"), F.lit(depth).alias("depth"), "steps"))
-        front = ahead.filter(F.col("_type") != target_type).drop("_type", "_name")
+        arrived = F.col("left") == 0
+        found.append(ahead.filter(arrived).select("tenant_id", "start_id", F.col("at").alias("target_id"), F.col("_name").alias("target_name"), F.lit(depth).alias("depth"), "steps"))
+        front = ahead.filter(~arrived).drop("left", "_name")
+        if depth < max_depth and front.isEmpty():
+            break
     return reduce(DataFrame.unionByName, found)
 
 
 def reachable(starts: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, keep: Keep = lambda hops: hops) -> DataFrame:
-    """tenant_id, start_id, node, depth: other nodes within ``max_depth`` hops, by the fewest; a hop keeps one row per pair, so paths don't multiply.
+    """tenant_id, start_id, node, depth: other nodes within ``max_depth`` hops, by the fewest.
 
-    ``keep`` may store the hops, which are read at every depth.
+    A hop starts only from pairs that the hop before found first, so no pair is walked from twice, cycles included, and
+    the walk ends when nothing is new. ``keep`` stores the hops and what each hop finds.
     """
     hops = keep(edges.select("tenant_id", F.col("from_entity_id").alias("node"), F.col("to_entity_id").alias("next")).distinct())
-    front, fronts = keep(starts.select("tenant_id", "start_id", F.col("start_id").alias("node")).distinct()), []
+    pair = ["tenant_id", "start_id", "node"]
+    front = keep(starts.select("tenant_id", "start_id", F.col("start_id").alias("node")).distinct().withColumn("depth", F.lit(0)))
+    seen = front
     for depth in range(1, max_depth + 1):
-        front = front.join(hops, ["tenant_id", "node"]).select("tenant_id", "start_id", F.col("next").alias("node")).distinct()
-        fronts.append(front.withColumn("depth", F.lit(depth)))
-    return reduce(DataFrame.unionByName, fronts).filter("node <> start_id").groupBy("tenant_id", "start_id", "node").agg(F.min("depth").alias("depth"))
+        ahead = front.join(hops, ["tenant_id", "node"]).select("tenant_id", "start_id", F.col("next").alias("node")).distinct()
+        front = keep(ahead.join(seen, pair, "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.filter("depth > 0")
 
 
 def tenant_graph(entities: DataFrame, types: DataFrame, relations: DataFrame, relation_types: DataFrame, tenant: str) -> tuple[DataFrame, DataFrame]:
@@ -65,17 +101,18 @@ def tenant_graph(entities: DataFrame, types: DataFrame, relations: DataFrame, re
 SEGMENTS = (("Supplier", "Material", 1), ("Material", "Product", 2), ("Product", "Facility", 1), ("Product", "Revenue Exposure", 1), ("Supplier", "Risk Event", 2))
 
 
-def impact(entities: DataFrame, edges: DataFrame) -> DataFrame:
+def impact(entities: DataFrame, edges: DataFrame, keep: Keep = lambda hops: hops) -> DataFrame:
     """tenant_id, supplier_id, entity_type_name, entity_id, entity_name, revenue_exposure_id: what each supplier's failure reaches (GRF-03).
 
     A segment is walked once for all its starts and put together by distinct pairs, so paths of one segment
     don't multiply with those of the next. Of a material, the first revenue exposure in path order is named.
+    ``keep`` stores what is read more than once: the hops, fronts and segments.
     """
     keys = ["tenant_id", "supplier_id"]
 
     def segment(source: str, target: str, depth: int) -> DataFrame:
         starts = entities.filter(F.col("entity_type_name") == source).select("tenant_id", F.col("entity_id").alias("start_id"))
-        return paths_to_type(starts, entities, edges, target, depth).select("tenant_id", "start_id", "target_id", "target_name").distinct()
+        return keep(paths_to_type(starts, entities, edges, target, depth, keep).select("tenant_id", "start_id", "target_id", "target_name").distinct())
 
     def then(reached: DataFrame, onward: DataFrame) -> DataFrame:
         at = onward.select("tenant_id", F.col("start_id").alias("target_id"), F.col("target_id").alias("next_id"), F.col("target_name").alias("next_name"))

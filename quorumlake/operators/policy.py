@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.operators.filters import errors
+from quorumlake.operators.intervals import interval_join
 
 # Evidence types in order, their weights, and the three preset policies.
 WEIGHTS = {
@@ -122,6 +123,43 @@ def exception_granted(authority_known: Column, same_policy: Column, effective: C
     return F.coalesce(authority_known & same_policy & (start <= effective) & (effective < end), F.lit(False))
 
 
+# Why an exception can't be granted, in the order in which it is checked.
+EXCEPTION_ERRORS = (
+    "Exception Authorization is allowed only for Exception Granted",
+    "Exception Granted requires an Exception Authorization",
+    "Exception Authority is not authorized",
+    "Exception Authorization does not match the governing policy",
+    "Exception Authorization is not effective for this evaluation",
+)
+
+
+def exception_errors(evaluations: DataFrame, authorizations: DataFrame, authorities: DataFrame) -> DataFrame:
+    """evaluation_id, authorization_id, error: what is wrong with each evaluation's exception, null where nothing is (POL-05).
+
+    ``evaluations`` has evaluation_id, outcome, policy, version, effective_from and the authorization_id that it names;
+    ``authorizations`` authorization_id, policy, version, authority, effective_from, expiration; ``authorities`` authority.
+    An authorization that isn't there is none; one without an end never expires.
+    """
+    known = authorizations.join(authorities.select("authority").distinct().withColumn("_known", F.lit(True)), "authority", "left")
+    a = known.select("authorization_id", *[F.col(c).alias(f"_{c}") for c in ("policy", "version", "effective_from", "expiration")], "_known", F.lit(True).alias("_found"))
+    j = evaluations.join(a, "authorization_id", "left")
+    c = F.col
+    some, granted = c("_found").isNotNull(), c("outcome") == "Exception Granted"
+    same = (c("_policy") == c("policy")) & (c("_version") == c("version"))
+    inside = (c("_effective_from") <= c("effective_from")) & (c("_expiration").isNull() | (c("effective_from") < c("_expiration")))
+    holds = lambda check: F.coalesce(check, F.lit(False))
+    checks = (holds(granted) | ~some, ~holds(granted) | some, ~some | c("_known").isNotNull(), ~some | holds(same), ~some | holds(inside))
+    error = F.coalesce(*[F.when(~ok, F.lit(text)) for text, ok in zip(EXCEPTION_ERRORS, checks, strict=True)])
+    return j.select("evaluation_id", "authorization_id", error.alias("error"))
+
+
+def authorizations_in_force(evaluations: DataFrame, authorizations: DataFrame) -> DataFrame:
+    """evaluation_id, authorization_id: every authorization of an evaluation's policy and version that is in force at it (POL-05, TMP-06)."""
+    points = evaluations.select("evaluation_id", "policy", "version", F.col("effective_from").alias("_at_time"))
+    spans = authorizations.select("authorization_id", "policy", "version", "effective_from", "expiration")
+    return interval_join(points, spans, ["policy", "version"], "_at_time", "effective_from", "expiration").select("evaluation_id", "authorization_id")
+
+
 def four_rules(severity: Column, sourcing_pct: Column, revenue: Column, threshold: float, capacity: Column, qualified: Column) -> tuple[Column, Column]:
     """Whether the four display rules pass, and the share that an alternate may take (POL-17)."""
     passed = (severity == "High") & (sourcing_pct == 100) & (revenue > threshold) & (capacity > 0) & (qualified == "Qualified")

@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.functions import buckets, similarity, text
+from quorumlake.functions import buckets, text
 from quorumlake.operators import policy
+from quorumlake.operators.names import similar_names
 
 # Evidence types in the order in which they are evaluated.
 TYPES = (
@@ -41,22 +42,6 @@ CORROBORATING, ONE_OF = "Corroborating non-name attributes: %d (policy requires
 REVIEW, NOTHING = "Country or parent/subsidiary conflict forces steward review", "No positive, negative, or veto evidence was available."
 
 
-def similar_names(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """tenant_id, a, b, score: the pairs of different names of a tenant whose similarity reaches ``threshold`` (JN-07).
-
-    Equal names meet by equality, which is all that a threshold of 1 asks for. Of others each distinct pair is
-    scored once, after two exact bounds in native expressions: by lengths, and by the characters in common.
-    """
-    one, other = a.select("tenant_id", "a").distinct(), b.select("tenant_id", "b").distinct()
-    equal = one.join(other.withColumn("_b", F.col("b")).withColumnRenamed("b", "a"), ["tenant_id", "a"]).select("tenant_id", "a", F.col("_b").alias("b"), F.lit(1.0).alias("score"))
-    if threshold >= 1:
-        return equal
-    pairs = one.withColumn("_a", similarity.letters(F.col("a"))).join(other.withColumn("_b", similarity.letters(F.col("b"))), "tenant_id")
-    may = (F.col("a") != F.col("b")) & similarity.may_reach(F.col("a"), F.col("b"), threshold) & similarity.may_reach_by_letters(F.col("_a"), F.col("_b"), threshold)
-    scored = pairs.filter(may).select("tenant_id", "a", "b", similarity.similarity("a", "b").alias("score"))
-    return equal.unionByName(scored.filter(F.col("score") >= threshold))
-
-
 def candidates_by_name(cases: DataFrame, entities: DataFrame, threshold: float) -> DataFrame:
     """tenant_id, case_id, entity_id, score: each case's best similarity to each entity, where it reaches ``threshold`` (ER-01, ER-03)."""
     a = cases.select("tenant_id", "case_id", text.name_key(F.col("name")).alias("a")).distinct()

@@ -44,6 +44,11 @@ def policy_trace(records: DataFrame, reference: str, version: str, item: str) ->
     return records.groupBy(reference, version).agg(F.count(F.lit(1)).alias("records"), F.min(item).alias("first"), F.max(item).alias("last"))
 
 
+def policy_records(records: DataFrame, reference: str, version: str, item: str) -> DataFrame:
+    """The items of the records made under each policy version, in order (TMP-04): a row's list is as long as its version has records."""
+    return records.groupBy(reference, version).agg(F.array_sort(F.collect_list(item)).alias("records"))
+
+
 def in_force(now: Column, issued: Column, expires: Column) -> Column:
     """TMP-06."""
     return (issued <= now) & (now < expires)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions import questions
 from quorumlake.operators import graph, temporal
 from quorumlake.operators.filters import valid_as_of
+from quorumlake.operators.intervals import latest_fact
 from quorumlake.plans.registry import register
 from quorumlake.plans.tables import read, stored
 
@@ -87,6 +88,35 @@ def jn_21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").join(latest, "o_custkey", "left").select("o_custkey", "o_orderkey", "latest_event")
 
 
+@register("jn_21_fact_as_of_order", """
+    WITH o AS (SELECT o_custkey AS user_id, o_orderkey, TIMESTAMP '2024-01-01' + (o_orderkey * 37 % 43200) * INTERVAL 1 MINUTE AS at FROM orders),
+    f AS (SELECT user_id, ts, max(event_id) AS latest_event FROM events WHERE event_type <> 'error' GROUP BY ALL)
+    SELECT o_orderkey, latest_event, value AS latest_value FROM (SELECT o.*, f.latest_event FROM o ASOF LEFT JOIN f ON f.user_id = o.user_id AND f.ts <= o.at) LEFT JOIN events ON event_id = latest_event""")
+def jn_21_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with its customer's latest approved event up to the order, not of all time."""
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_dt_interval(mins=(F.col("o_orderkey") * 37 % 43200).cast("int"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", at.alias("at"))
+    facts = _records(spark, sf_dir).filter("event_type <> 'error'").select("user_id", "ts", F.col("event_id").alias("latest_event"), F.col("value").alias("latest_value"))
+    return latest_fact(orders, facts, ["user_id"], "at", ["ts", "latest_event"], ["latest_event", "latest_value"], stored).drop("user_id", "at")
+
+
+@register("tmp_02_current_as_of_rows", """
+    WITH f AS (SELECT o_orderstatus AS status, o_orderdate, max(o_orderkey) AS current_order FROM orders GROUP BY ALL)
+    SELECT l_orderkey, l_linenumber, l_partkey, current_order FROM lineitem l ASOF LEFT JOIN f ON f.status = l.l_linestatus AND f.o_orderdate <= l.l_shipdate""")
+def tmp_02_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line with the record of its status that was current when it was shipped; a status has a third of all rows and more."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"), "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    records = read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), "o_orderdate", F.col("o_orderkey").alias("current_order"))
+    return latest_fact(lines, records, ["status"], "l_shipdate", ["o_orderdate", "current_order"], ["current_order"], stored).drop("status", "l_shipdate")
+
+
+@register("tmp_04_policy_records", "SELECT event_type, hour(ts)::INT AS version, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS records FROM events GROUP BY ALL")
+def tmp_04_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records themselves, by id."""
+    records = temporal.policy_records(_records(spark, sf_dir).withColumn("version", F.hour("ts")), "event_type", "version", "event_id")
+    return records.select("event_type", "version", F.array_join(F.col("records").cast("array<string>"), ",").alias("records"))
+
+
 @register("win_04_record_order", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts::DATE DESC, value DESC, event_id DESC) AS INT) AS place FROM events")
 def win_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.to_date("ts").desc(), F.col("value").desc(), F.col("event_id").desc()]
@@ -186,7 +216,7 @@ def grf_03_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = F.col("o_custkey") % 40
     entities = entities.unionByName(node(orders, key("F:", site), key("Site ", site), "Facility").distinct()).unionByName(node(read(spark, sf_dir, "customer"), key("C:", F.col("c_custkey")), F.col("c_name"), "Revenue Exposure"))
     edges = edges.unionByName(edge(orders, "assembledAt", key("F:", site))).unionByName(edge(orders.filter("o_orderkey % 3 <> 0"), "generatesRevenue", key("C:", F.col("o_custkey"))))
-    return graph.impact(entities, edges).drop("tenant_id")
+    return graph.impact(entities, edges, stored).drop("tenant_id")
 
 
 GRAPH_SQL = """SELECT 'node' AS kind, 'S:' || s_suppkey AS id, s_name AS label, CASE WHEN s_acctbal < 0 THEN 'Alternate Supplier' ELSE 'Supplier' END AS type_name, NULL AS to_id FROM supplier WHERE s_suppkey % 5 = 2
@@ -212,13 +242,13 @@ def grf_01_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("grf_04_first_risk_event", _walk_sql("Risk Event", 2, ALL_STARTS) + " SELECT start_id, first(node ORDER BY name, node) AS target_id, first(name ORDER BY name, node) AS target_name FROM walk WHERE depth > 0 AND type = 'Risk Event' GROUP BY 1")
 def grf_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges = _graph(spark, sf_dir)
-    return graph.first_path(graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Risk Event", 2), "start_id")
+    return graph.first_path(graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Risk Event", 2, stored), "start_id")
 
 
 @register("win_03_path_order", _walk_sql("Risk Event", 3, ALL_STARTS) + " SELECT start_id, node AS target_id, depth, rels, CAST(row_number() OVER (PARTITION BY start_id ORDER BY name, node, depth, rels) AS INT) AS place FROM walk WHERE depth > 0 AND type = 'Risk Event'")
 def win_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges = _graph(spark, sf_dir)
-    paths = graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Risk Event", 3)
+    paths = graph.paths_to_type(_starts(entities, SUPPLIERS), entities, edges, "Risk Event", 3, stored)
     order = graph.path_order(F.col("target_name"), F.col("target_id"), F.col("depth"), F.col("steps"))
     rels = F.array_join(F.transform("steps", lambda s: F.concat(F.lit(">"), s["relationship_name"])), "")
     return paths.select("start_id", "target_id", "depth", rels.alias("rels"), F.row_number().over(Window.partitionBy("start_id").orderBy(*order)).alias("place"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions import buckets
 from quorumlake.operators import aggregates, policy
 from quorumlake.operators.filters import errors, valid_as_of
+from quorumlake.operators.intervals import interval_join
 from quorumlake.plans.registry import register
 from quorumlake.plans.tables import read
 
@@ -209,6 +210,45 @@ def pol_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", granted.alias("granted"))
 
 
+AUTHORIZATIONS = """a AS (SELECT event_id AS authorization_id, event_type AS policy, user_id % 3 AS version, user_id % 5 AS authority, ts AS effective_from, CASE WHEN event_id % 1000 <> 0 THEN ts + (event_id % 97 + 1) * INTERVAL 1 MINUTE END AS expiration FROM events),
+    e AS (SELECT event_id AS evaluation_id, CASE WHEN value > 5 THEN 'Exception Granted' ELSE 'Compliant' END AS outcome, event_type AS policy, event_id % 3 AS version, ts + INTERVAL 30 MINUTE AS effective_from, CASE WHEN event_id % 11 <> 0 THEN event_id - event_id % 7 END AS named FROM events)"""
+
+
+def _authorizations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluations of the policies, and authorizations of exceptions from them; every thousandth has no end."""
+    e, k = read(spark, sf_dir, "events"), F.col("event_id")
+    expiration = F.when(k % 1000 != 0, F.col("ts") + F.make_dt_interval(mins=(k % 97 + 1).cast("int")))
+    authorizations = e.select(k.alias("authorization_id"), F.col("event_type").alias("policy"), (F.col("user_id") % 3).alias("version"), (F.col("user_id") % 5).alias("authority"), F.col("ts").alias("effective_from"), expiration.alias("expiration"))
+    outcome = F.when(F.col("value") > 5, "Exception Granted").otherwise("Compliant")
+    evaluations = e.select(k.alias("evaluation_id"), outcome.alias("outcome"), F.col("event_type").alias("policy"), (k % 3).alias("version"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("effective_from"), F.when(k % 11 != 0, k - k % 7).alias("authorization_id"))
+    return evaluations, authorizations
+
+
+@register("pol_05_exception_errors", f"""WITH {AUTHORIZATIONS}
+    SELECT evaluation_id, named AS authorization_id, CASE WHEN outcome <> 'Exception Granted' AND a.authorization_id IS NOT NULL THEN '{policy.EXCEPTION_ERRORS[0]}' WHEN outcome <> 'Exception Granted' THEN NULL
+        WHEN a.authorization_id IS NULL THEN '{policy.EXCEPTION_ERRORS[1]}' WHEN authority NOT IN (1, 2, 3) THEN '{policy.EXCEPTION_ERRORS[2]}' WHEN a.policy <> e.policy OR a.version <> e.version THEN '{policy.EXCEPTION_ERRORS[3]}'
+        WHEN NOT (a.effective_from <= e.effective_from AND (expiration IS NULL OR e.effective_from < expiration)) THEN '{policy.EXCEPTION_ERRORS[4]}' END AS error FROM e LEFT JOIN a ON a.authorization_id = named""")
+def pol_05_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("authority")).filter("authority BETWEEN 1 AND 3").distinct()
+    return policy.exception_errors(*_authorizations(spark, sf_dir), known)
+
+
+@register("pol_05_authorizations_in_force", f"WITH {AUTHORIZATIONS} SELECT evaluation_id, authorization_id FROM e JOIN a ON a.policy = e.policy AND a.version = e.version AND a.effective_from <= e.effective_from AND (expiration IS NULL OR e.effective_from < expiration)")
+def pol_05_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.authorizations_in_force(*_authorizations(spark, sf_dir))
+
+
+@register("flt_03_relations_in_force", """SELECT o_orderkey, l_orderkey, l_linenumber FROM orders JOIN lineitem ON l_suppkey = o_custkey % 100 AND l_linestatus = 'O' AND l_shipdate <= o_orderdate
+    AND (l_quantity > 49 OR o_orderdate < l_shipdate + l_linenumber * INTERVAL 1 DAY)""")
+def flt_03_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active relations of each order's supplier that are in force when it is placed; large ones have no end."""
+    lines = read(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'")
+    until = F.when(F.col("l_quantity") <= 49, F.col("l_shipdate") + F.make_dt_interval(days="l_linenumber"))
+    relations = lines.select(F.col("l_suppkey").alias("supplier"), "l_orderkey", "l_linenumber", "l_shipdate", until.alias("until"))
+    orders = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("supplier"), "o_orderkey", "o_orderdate")
+    return interval_join(orders, relations, ["supplier"], "o_orderdate", "l_shipdate", "until").select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
 @register("pol_17_four_rules", "SELECT s_suppkey, s_nationkey < 12 AND s_suppkey % 2 = 0 AND s_acctbal > 1000 AND s_suppkey % 60 > 0 AND s_suppkey % 5 <> 0 AS passed, CASE WHEN s_nationkey < 12 AND s_suppkey % 2 = 0 AND s_acctbal > 1000 AND s_suppkey % 60 > 0 AND s_suppkey % 5 <> 0 THEN least(s_suppkey % 60, 40)::DOUBLE END AS share FROM supplier")
 def pol_17(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")

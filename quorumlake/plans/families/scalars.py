@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.functions import buckets, ids, questions, similarity, text
+from quorumlake.functions import buckets, ids, questions, text
+from quorumlake.operators.names import similar_names
 from quorumlake.plans.registry import register
 from quorumlake.plans.tables import read
 
@@ -80,11 +81,10 @@ def scl_11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("scl_12_similarity")
 def scl_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part")
-    a = p.select("p_size", F.col("p_name").alias("a"))
-    b = p.select(F.col("p_size").alias("size"), F.col("p_name").alias("b"))
-    pairs = a.join(b, (F.col("p_size") == F.col("size")) & (F.col("a") < F.col("b"))).filter(similarity.may_reach(F.col("a"), F.col("b"), 0.8))
-    return pairs.select("a", "b", similarity.similarity("a", "b").alias("score")).filter("score >= 0.8")
+    p = read(spark, sf_dir, "part").select(F.col("p_size").alias("tenant_id"), "p_name")
+    named = lambda name: p.select("tenant_id", F.col("p_name").alias(name))
+    found = similar_names(named("a"), named("b"), 0.8).filter("a < b")
+    return found.join(named("a"), ["tenant_id", "a"]).join(named("b"), ["tenant_id", "b"]).select("a", "b", "score")
 
 
 UUID5 = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1)::INT, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
