@@ -176,16 +176,17 @@ class Encoder:
             own_bounds = np.frombuffer(own[1], dtype=np.int64, count=len(units.dictionary) + 1)
             plain = plain_units(np.frombuffer(own[2] or b"", dtype=np.uint8), own_bounds[:-1], own_bounds[1:])
             coded = self.units(units.dictionary.to_pylist(), plain)
-            size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+            size = np.fromiter(map(len, coded), dtype=np.int32, count=len(coded)) >> 2
             flat = np.frombuffer(b"".join(coded) + end.to_bytes(4, "little"), dtype="<u4")
             which = units.indices.to_numpy(zero_copy_only=False)
             # the end id is a unit of its own after the units of each text
             ends = np.searchsorted(starts, offsets[1:])
             which = np.insert(which, ends, len(coded))
-            size, first = np.append(size, 1), np.append(np.cumsum(size) - size, len(flat) - 1)
+            kind = np.int32 if len(data) < 1 << 28 else np.int64  # fewer ids than bytes and texts together
+            size, first = np.append(size, np.int32(1)), np.append(np.cumsum(size, dtype=kind) - size, kind(len(flat) - 1))
             taken = size[which]
-            total = np.cumsum(taken)
-            ids = flat[np.arange(total[-1]) + np.repeat(first[which] - (total - taken), taken)]
+            total = np.cumsum(taken, dtype=kind)
+            ids = flat[np.arange(total[-1], dtype=kind) + np.repeat(first[which] - (total - taken), taken)]
             last = ends + np.arange(1, len(ends) + 1)
             yield ids, np.diff(total[last - 1], prepend=0)
 
@@ -279,7 +280,7 @@ def write_ids(docs: DataFrame, folder: str, *, vocabulary: str | None = None, en
     order = F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("place")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
     laid = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    laid.select("doc_id", "text").mapInArrow(run, FILES).write.parquet(folder)
+    laid.select("doc_id", "text").mapInArrow(run, FILES).write.option("compression", "none").parquet(folder)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
