@@ -34,20 +34,30 @@ GATES = {
 }
 
 
+def opened(requests: DataFrame) -> DataFrame:
+    """``requests`` before their first stage."""
+    return requests.withColumns({"gate_code": F.lit(None).cast("string"), "failed_stage": F.lit(None).cast("string"), "n_records": F.lit(0)})
+
+
+def run_stage(requests: DataFrame, stage: Stage) -> DataFrame:
+    """One stage over requests that are ``opened`` or come from the stage before; a gated or failed request passes unchanged."""
+    open_ = F.col("gate_code").isNull() & F.col("failed_stage").isNull()
+    failed = F.lit(False) if stage.failed is None else F.coalesce(stage.failed, F.lit(False))
+    return requests.withColumns(
+        {
+            f"{stage.name}_value": F.when(open_ & ~failed, stage.value),
+            "failed_stage": F.when(open_ & failed, stage.name).otherwise(F.col("failed_stage")),
+            "gate_code": F.when(open_ & ~failed, stage.gate).otherwise(F.col("gate_code")),
+            "n_records": F.col("n_records") + F.when(open_ & ~failed & stage.recorded, 1).otherwise(0),
+        }
+    )
+
+
 def run_stages(requests: DataFrame, stages: Sequence[Stage]) -> DataFrame:
     """``requests`` with <stage>_value, gate_code, failed_stage and n_records (ST-02, ST-03)."""
-    out = requests.withColumns({"gate_code": F.lit(None).cast("string"), "failed_stage": F.lit(None).cast("string"), "n_records": F.lit(0)})
-    for s in stages:
-        open_ = F.col("gate_code").isNull() & F.col("failed_stage").isNull()
-        failed = F.lit(False) if s.failed is None else F.coalesce(s.failed, F.lit(False))
-        out = out.withColumns(
-            {
-                f"{s.name}_value": F.when(open_ & ~failed, s.value),
-                "failed_stage": F.when(open_ & failed, s.name).otherwise(F.col("failed_stage")),
-                "gate_code": F.when(open_ & ~failed, s.gate).otherwise(F.col("gate_code")),
-                "n_records": F.col("n_records") + F.when(open_ & ~failed & s.recorded, 1).otherwise(0),
-            }
-        )
+    out = opened(requests)
+    for stage in stages:
+        out = run_stage(out, stage)
     return out
 
 

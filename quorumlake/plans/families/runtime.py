@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ from quorumlake.operators import graph, pipeline, policy, ranking, temporal
 from quorumlake.plans.registry import register
 from quorumlake.plans.tables import read, scratch
 from quorumlake.sources import archives, sinks, text_formats
-from quorumlake.streaming import admission, rate_limit
+from quorumlake.streaming import admission, keyed, rate_limit, staged
 
 # ---- the six stages, with orders as requests
 
@@ -28,8 +29,11 @@ RUN_SQL = """
     FROM (SELECT o_orderkey AS k, least(1.0, o_totalprice / 400000) AS s, o_orderpriority AS p FROM orders)"""
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.least(F.lit(1.0), F.col("o_totalprice") / 400000).alias("s"), F.col("o_orderpriority").alias("p"))
+def _requests_of(orders: DataFrame) -> DataFrame:
+    return orders.select(F.col("o_orderkey").alias("k"), F.least(F.lit(1.0), F.col("o_totalprice") / 400000).alias("s"), F.col("o_orderpriority").alias("p"))
+
+
+def _stages() -> list[pipeline.Stage]:
     k, s, p = F.col("k"), F.col("s"), F.col("p")
     gates = pipeline.GATES
     conflicting = k % 11 == 0
@@ -37,7 +41,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     verified = F.when(k % 2 == 0, F.array(F.lit("audit"))).otherwise(F.array().cast("array<string>"))
     standing, actionable = policy.standing(k % 7 != 0, F.lit(False), conditions, verified)
     yes = F.lit(True)
-    stages = [
+    return [
         pipeline.Stage("erm", F.when(k % 10 == 1, "Possible Resolution").otherwise("Resolved"), F.when(k % 10 == 1, gates["erm"]), yes),
         pipeline.Stage("srm", F.when(k % 10 == 2, "Possible").otherwise("Resolved"), F.when(k % 10 == 2, gates["srm"]), yes),
         pipeline.Stage("asm", F.when(conflicting, F.lit(None)).otherwise(F.when(s >= 0.3, "Established").otherwise("Rejected")), F.when(conflicting, "EVIDENCE_INDETERMINATE").when(s < 0.3, gates["asm"]), ~conflicting),
@@ -45,7 +49,10 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         pipeline.Stage("drm", F.when(p == "5-LOW", "ESCALATE_FOR_HUMAN_REVIEW").otherwise("ACTIVATE_APPROVED_SECOND_SOURCE"), F.when(p == "5-LOW", gates["drm"]), yes),
         pipeline.Stage("grm", standing, F.when(~actionable, gates["grm"]), yes),
     ]
-    return pipeline.run_stages(requests, stages)
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.run_stages(_requests_of(read(spark, sf_dir, "orders")), _stages())
 
 
 @register("st_02_pipeline_gates", RUN_SQL)
@@ -59,6 +66,66 @@ def st_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).groupBy(result.alias("result"), "n_records").agg(F.count(F.lit(1)).alias("n"))
 
 
+class Stopped(RuntimeError):
+    """What ends a run in the middle, in place of a lost driver."""
+
+
+def _resumed(spark: SparkSession, sf_dir: str) -> staged.StagedRun:
+    """The six stages over a stream of orders, stopped in the fourth and taken up again."""
+
+    def stop(rows: DataFrame) -> DataFrame:
+        raise Stopped
+
+    orders = read(spark, sf_dir, "orders")
+    stream = pipeline.opened(_requests_of(spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parquet*")))
+    steps = [staged.Step(s.name, lambda rows, s=s: pipeline.run_stage(rows, s)) for s in _stages()]
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    try:
+        staged.StagedRun(spark, folder, [*steps[:3], staged.Step("krm", stop)]).finished(stream)
+    except StreamingQueryException as stopped:
+        if "Stopped" not in str(stopped):
+            raise
+    run = staged.StagedRun(spark, folder, steps)
+    run.finished(stream)
+    return run
+
+
+@register("st_06_resumed_run", RUN_SQL)
+def st_06_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resumed(spark, sf_dir).output().select("k", "gate_code", "failed_stage", "n_records")
+
+
+@register("st_05_run_chain", "SELECT stage_ordinal, stage_name, n AS rows, stage_ordinal > 0 AS follows FROM (SELECT count(*) AS n FROM orders), (VALUES (0, 'erm'), (1, 'srm'), (2, 'asm'), (3, 'krm'), (4, 'drm'), (5, 'grm')) v(stage_ordinal, stage_name) WHERE n > 0")
+def st_05_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored stages of a run that was taken up again, and whether each took what the one before left."""
+    history = _resumed(spark, sf_dir).history()
+    before = F.lag("output_digest").over(Window.partitionBy("batch").orderBy("stage_ordinal"))
+    return history.select("stage_ordinal", "stage_name", "rows", F.coalesce(before == F.col("input_digest"), F.lit(False)).alias("follows"))
+
+
+RECOVERY_SQL = f"""
+    WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, CASE WHEN conv_id % 7 = 0 AND turn = 2 THEN 'other' ELSE [{', '.join(f"'{s}'" for s in staged.STAGES)}][turn + 1] END AS name,
+        role <> 'assistant' OR length(text) % 2 = 0 AS committed, length(text) % 5 <> 0 AS whole, NOT (conv_id % 9 = 0 AND turn % 4 = 3) AS certain FROM conversations),
+    d AS (SELECT *, CASE WHEN turn <> pos OR name IS DISTINCT FROM [{', '.join(f"'{s}'" for s in staged.STAGES)}][pos + 1] OR pos > 5 THEN '{staged.INVALID_ORDER}' WHEN NOT certain THEN '{staged.UNCERTAIN}' END AS refused FROM c),
+    f AS (SELECT conv_id, min(pos) FILTER (WHERE refused IS NOT NULL OR NOT (committed AND whole)) AS pos, count(*) AS n FROM d GROUP BY 1)
+    SELECT f.conv_id, CASE WHEN refused IS NULL THEN coalesce(f.pos, n) END::INT AS resume_at, refused FROM f LEFT JOIN d ON d.conv_id = f.conv_id AND d.pos = f.pos"""
+
+
+@register("st_06_recovery", RECOVERY_SQL)
+def st_06_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every execution goes on, or why it must not; turns of conversations are the checkpoints."""
+    name = F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 2), "other").otherwise(F.get(F.array(*[F.lit(s) for s in staged.STAGES]), F.col("turn").cast("int")))
+    checkpoints = read(spark, sf_dir, "conversations").select(
+        "conv_id",
+        name.alias("stage_name"),
+        F.col("turn").alias("stage_ordinal"),
+        ((F.col("role") != "assistant") | (F.length("text") % 2 == 0)).alias("committed"),
+        (F.length("text") % 5 != 0).alias("integrity_valid"),
+        (~((F.col("conv_id") % 9 == 0) & (F.col("turn") % 4 == 3))).alias("side_effect_certain"),
+    )
+    return staged.resume_points(checkpoints, "conv_id")
+
+
 ADMIT_SQL = "SELECT event_id, CASE WHEN event_id = f THEN 'NEW' WHEN d = fd THEN 'REPLAY' ELSE 'CONFLICT' END AS status FROM (SELECT event_id, length(props) % 2 AS d, first_value(event_id) OVER w AS f, first_value(length(props) % 2) OVER w AS fd FROM events WINDOW w AS (PARTITION BY user_id, event_type, ts::DATE ORDER BY ts, event_id))"
 
 
@@ -79,6 +146,14 @@ def st_01_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.finished(admission.admitted_stream(shaped, "key", "ts", "digest", "event_id"), f"{scratch(spark)}/{uuid.uuid4().hex}")
 
 
+@register("st_01_admission_state", "SELECT event_id AS request_id, status FROM (" + ADMIT_SQL + ")")
+def st_01_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = read(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    shaped = stream.withColumns({"key": F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.to_date("ts").cast("string")), "digest": (F.length("props") % 2).cast("string")})
+    return keyed.finished(keyed.admitted(shaped, "key", "ts", "digest", "event_id"), f"{scratch(spark)}/{uuid.uuid4().hex}")
+
+
 @register("st_windows_stream")
 def st_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = read(spark, sf_dir, "events")
@@ -90,12 +165,22 @@ def st_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATES = "CASE turn WHEN 0 THEN 'Accepted' WHEN 1 THEN CASE WHEN conv_id % 5 = 0 THEN 'Completed' ELSE 'Executing' END WHEN 2 THEN 'Completed' ELSE 'Failed' END"
 
 
-@register("st_04_illegal_transitions", f"SELECT conv_id, turn, before, state FROM (SELECT conv_id, turn, state, lag(state) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT conv_id, turn, {STATES} AS state FROM conversations)) WHERE NOT CASE WHEN before IS NULL THEN state = 'Accepted' WHEN before = 'Accepted' THEN state IN ('Executing', 'Failed') WHEN before = 'Executing' THEN state IN ('Completed', 'Failed') ELSE false END")
+TRANSITIONS_SQL = f"SELECT conv_id, turn, before, state FROM (SELECT conv_id, turn, state, lag(state) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT conv_id, turn, {STATES} AS state FROM conversations)) WHERE NOT CASE WHEN before IS NULL THEN state = 'Accepted' WHEN before = 'Accepted' THEN state IN ('Executing', 'Failed') WHEN before = 'Executing' THEN state IN ('Completed', 'Failed') ELSE false END"
+
+
+@register("st_04_illegal_transitions", TRANSITIONS_SQL)
 def st_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(STATES).alias("state"))
     return pipeline.illegal_transitions(states, "conv_id", "turn", "state").select("conv_id", "turn", "before", "state")
 
 
+@register("st_04_transition_stream", f"SELECT conv_id::VARCHAR AS execution, turn::BIGINT AS ordinal, before, state FROM ({TRANSITIONS_SQL})")
+def st_04_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = read(spark, sf_dir, "conversations")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/conversations.parquet*").select("conv_id", "turn", F.expr(STATES).alias("state"))
+    return keyed.finished(keyed.illegal_transitions(stream, "conv_id", "turn", "state"), f"{scratch(spark)}/{uuid.uuid4().hex}")
+
+
 @register("st_05_broken_chain", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sha256(CASE WHEN turn % 3 = 2 AND conv_id % 4 = 0 THEN 'x' ELSE p END) AS taken, lag(sha256(text)) OVER w AS expected FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE expected IS NOT NULL AND expected <> taken")
 def st_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
@@ -142,6 +227,13 @@ def st_09_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.finished(rate_limit.limited_stream(stream, "user_id", "ts", "event_id", limit=2, seconds=86_400), f"{scratch(spark)}/{uuid.uuid4().hex}")
 
 
+@register("st_09_rate_limit_state", LIMIT_SQL)
+def st_09_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = read(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    return keyed.finished(keyed.limited(stream, "user_id", "ts", "event_id", limit=2, seconds=86_400), f"{scratch(spark)}/{uuid.uuid4().hex}")
+
+
 @register("st_10_audit_events", """SELECT event_id, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}') AS integrity_digest FROM events""")
 def st_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.audit_events(read(spark, sf_dir, "events"), ["event_id", "event_type", "user_id"]).select("event_id", "integrity_digest")
