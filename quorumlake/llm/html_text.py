@@ -7,9 +7,10 @@ notices, adverts, forms and reader comments, told by tag or by class, id or
 role. Weights are summed over sliding windows of lines, which don't reach over
 an article's edges. A surge is where a window's sum rises to the threshold:
 ``SURGE``, or a ``SHARE`` of the page's largest sum if that is more, or that
-sum itself in a page that has less. Each line of a marked article also weighs
-one threshold, so that its short lines surge too. The dive after a surge is
-where the sums fall to nothing; the weighing lines between them are kept.
+sum itself in a page that has less. A mark alone makes no surge: a marked line
+counts as one ``BOOST`` times as long, and is outvoted where the page has runs
+that are much longer still. The dive after a surge is where the sums fall to
+nothing; the weighing lines between them are kept.
 
 Defined cases: null html is empty; a page without text gives an empty text;
 unclosed comments, scripts and styles reach to the end of the page; end tags
@@ -32,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Lines in a window, and the sum that makes a surge.
-WINDOW, SURGE = 3, 40
+WINDOW, SURGE = 5, 40
 #: How much more a marked article's characters weigh, and the part of the page's largest sum that a surge needs.
-BOOST, SHARE = 8, 1 / 16
+BOOST, SHARE = 8, 1 / 32
 
 # Fixed values of HTML: elements whose content is no text, elements that start a line, elements without an end tag.
 SILENT = "script style noscript template svg math head title textarea select option button iframe object canvas audio video datalist"
@@ -170,10 +171,9 @@ def kept_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> n
     weight = np.array([0 if x.aside else BOOST * len(x.text) if x.article else len(x.text) - x.linked for x in lines], dtype=np.int64)
     article = np.array([x.article for x in lines])
     run = np.cumsum(np.concatenate(([False], article[1:] != article[:-1])))
-    peak = int(block_sums(weight, run, window).max(initial=0))
-    need = max(1, min(peak, max(surge, int(peak * SHARE))))
-    weight += need * (article & (weight > 0))
     sums = block_sums(weight, run, window)
+    peak = int(sums.max(initial=0))
+    need = max(1, min(peak, max(surge, int(peak * SHARE))))
     keep = np.zeros(len(lines), dtype=bool)
     inside = -1  # the run in which a surge has not dived yet
     for at in range(len(lines)):
