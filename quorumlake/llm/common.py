@@ -7,7 +7,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters that are not ASCII white space.
@@ -72,5 +72,19 @@ def numbered_copies(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def running(rows: DataFrame, group: str, order: list[Column], value: str) -> DataFrame:
+    """``rows`` with before, the sum of ``value`` over the rows of their ``group`` that come before them in ``order``.
+
+    Rows lie in sorted ranges; what stands before a range is a sum over ranges, not over rows. ``order`` has no ties.
+    """
+    laid = written(rows.repartitionByRange(F.col(group), *order).withColumn("range", F.spark_partition_id()))
+    per = laid.groupBy("range", group).agg(F.sum(value).alias("in_range"))
+    earlier = F.sum("in_range").over(Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("range", group, F.coalesce(earlier, F.lit(0)).alias("in_earlier"))
+    within = F.sum(value).over(Window.partitionBy("range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = laid.withColumn("in_own", F.coalesce(within, F.lit(0))).join(per, ["range", group])
+    return out.withColumn("before", F.col("in_own") + F.col("in_earlier")).drop("range", "in_own", "in_earlier")
+
+
 def shards_for(rows: int, per_shard: int) -> int:
     return max(1, math.ceil(rows / per_shard))

@@ -2,9 +2,10 @@
 
 Equal-token blocks are apportioned by highest quotients: over the sources by
 their targets, then, within a source, over its shards by their words, so that
-each shard has an integer quota. Where there are many sources or shards, a
-thousand neighbours are first one party, and share its seats afterwards. What
-whole blocks leave of a quota is handed out as part blocks. A shard, of one
+each shard has an integer quota. The divisor that the quotients must reach is
+bisected, for up to ``WHOLE`` parties in a task and for more by sums over a
+table; the quotas are the same. What whole blocks leave of a quota is handed
+out as part blocks, the parties that are farthest below first. A shard, of one
 source and sized by the source's own documents, then takes its quota: stretches
 of ``STRETCH`` blocks in seeded order, of the last one as many as are left.
 
@@ -25,11 +26,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlake.llm.common import numbered_copies, word_count, written
+from quorumlake.llm.common import numbered_copies, running, word_count, written
 
 #: No source is repeated more often than this.
 MAX_EPOCHS = 3
@@ -37,8 +38,10 @@ MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 #: Words of a block, the unit of quotas, and neighbouring blocks that are chosen together.
 BLOCK, STRETCH = 8, 32
-#: Neighbouring sources, or shards, that are one party at first.
-CELL = 1024
+#: Parties that one task apportions; divisors that a pass over a table of more tries, and passes.
+WHOLE, TRIED, PASSES = 4096, 64, 11
+#: Divisors that differ by less than this part are not told apart: what lies between them goes by exact quotients.
+CLOSE = 1e-9
 
 
 def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
@@ -52,14 +55,17 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
         return np.zeros(len(votes), dtype=np.int64)
     won = lambda d: np.where(votes > 0, np.minimum(np.floor(votes / d + 0.5), caps), 0).astype(np.int64)
     low, high = votes[votes > 0].min() / (2.0 * seats + 2), 2.0 * votes.max() + 1
-    for _ in range(200):
-        middle = (low + high) / 2
+    while high > low * (1 + CLOSE / 8):
+        middle = float(np.sqrt(low) * np.sqrt(high))
+        if not low < middle < high:
+            break
         low, high = (middle, high) if won(middle).sum() > seats else (low, middle)
-    out = won(high)
+    out = won(high * (1 + CLOSE))
     while (rest := seats - int(out.sum())) > 0:
         quotient = np.where((out < caps) & (votes > 0), votes / (2 * out + 1), -1.0)
-        best = np.argsort(-quotient, kind="stable")[: max(1, rest if np.isclose(low, high) else 1)]
-        out[best[quotient[best] > 0]] += 1
+        best = np.argsort(-quotient, kind="stable")[:rest]
+        near = best[quotient[best] >= low / 2 * (1 - CLOSE)]
+        out[near if len(near) else best[quotient[best] > 0][:1]] += 1
     return out
 
 
@@ -180,13 +186,68 @@ def apportioned(parties: DataFrame, groups: list[str], block: int) -> DataFrame:
     return parties.select(*groups, "total", "party", "goal", "most").groupBy(*groups).applyInPandas(share, f"{kinds}, quota long")
 
 
-def in_two_steps(parties: DataFrame, groups: list[str], block: int) -> DataFrame:
-    """As ``apportioned``, first to cells of ``CELL`` neighbouring parties and then within each: no group is larger than a thousandth of all, or than a cell."""
-    celled = parties.withColumn("cell", F.expr(f"party div {CELL}"))
-    exact = F.sum(F.col("goal").cast("decimal(38,6)")).cast("double").alias("goal")  # the same in whatever order
-    cells = celled.groupBy(*groups, "total", "cell").agg(exact, F.sum("most").alias("most"))
-    given = apportioned(cells.withColumnRenamed("cell", "party"), groups, block).withColumnRenamed("party", "cell")
-    return apportioned(celled.drop("total").join(given.withColumnRenamed("quota", "total"), [*groups, "cell"]), [*groups, "cell"], block).drop("cell")
+def _won(votes: Column, divisor: Column, cap: Column) -> Column:
+    return F.least(F.floor(votes / divisor + F.lit(0.5)), cap)
+
+
+def seats_by_sums(parties: DataFrame, group: str) -> DataFrame:
+    """``parties`` (``group``, party, votes, cap, seats of the group) with each one's blocks, as ``sainte_lague`` gives them.
+
+    Every pass tries ``TRIED`` divisors of every group at once, a partial aggregate, and keeps the two between which the
+    seats run out. Quotients that lie closer together than that are ranked in sorted ranges.
+    """
+    some = parties.filter("votes > 0")
+    per = some.groupBy(group).agg(F.first("seats").alias("seats"), F.sum("cap").alias("caps"), F.min("votes").alias("least"), F.max("votes").alias("largest"))
+    count = F.greatest(F.lit(0).cast("long"), F.least("seats", "caps"))
+    bounds = written(per.select(group, count.alias("blocks_in_all"), (F.col("least") / (2.0 * count + 2)).alias("low"), (2.0 * F.col("largest") + 1).alias("high")))
+    for _ in range(PASSES):
+        step = F.pow(F.col("high") / F.col("low"), F.lit(1.0 / TRIED))
+        tried = [F.col("low") * F.pow(step, F.lit(float(i))) for i in range(1, TRIED)]
+        sums = some.join(bounds, group).groupBy(group, "blocks_in_all", "low", "high").agg(*[F.sum(_won(F.col("votes"), d, F.col("cap"))).alias(f"won_{i}") for i, d in enumerate(tried, 1)])
+        # the last divisor that gives too many seats, and the one after it
+        last = sum((F.when(F.col(f"won_{i}") > F.col("blocks_in_all"), 1).otherwise(0) for i in range(1, TRIED)), F.lit(0))
+        at = lambda i: F.when(i == 0, F.col("low")).when(i == TRIED, F.col("high")).otherwise(F.col("low") * F.pow(step, i.cast("double")))
+        bounds = written(sums.withColumn("last", last).select(group, "blocks_in_all", at(F.col("last")).alias("low"), at(F.col("last") + 1).alias("high")))
+    sure = _won(F.col("votes"), F.col("high") * (1 + CLOSE), F.col("cap"))
+    given = parties.join(bounds, group, "left").withColumn("blocks", F.when((F.col("votes") > 0) & (F.col("blocks_in_all") > 0), sure).otherwise(0).cast("long"))
+    while True:
+        given = written(given)
+        short = given.groupBy(group).agg((F.first("blocks_in_all", ignorenulls=True) - F.sum("blocks")).alias("rest")).filter("rest > 0")
+        quotient = F.col("votes") / (2 * F.col("blocks") + 1)
+        near = given.filter((F.col("votes") > 0) & (F.col("blocks") < F.col("cap")) & (quotient >= F.col("low") / 2 * (1 - CLOSE)))
+        ranked = running(near.join(short, group).select(group, "party", "rest", quotient.alias("quotient"), F.lit(1).cast("long").alias("one")), group, [F.col("quotient").desc(), F.col("party")], "one")
+        more = written(ranked.filter("before < rest").select(group, "party", F.lit(1).cast("long").alias("more")))
+        if more.isEmpty():
+            return given.select(*parties.columns, "blocks")
+        given = given.join(more, [group, "party"], "left").withColumn("blocks", F.col("blocks") + F.coalesce("more", F.lit(0))).drop("more")
+
+
+def quotas_by_sums(parties: DataFrame, group: str, block: int) -> DataFrame:
+    """``group``, party, quota as ``apportioned`` has them, for groups of any number of parties."""
+    shaped = parties.withColumns({"votes": F.col("goal"), "cap": F.expr(f"most div {block}"), "seats": F.expr(f"total div {block}")})
+    rows = seats_by_sums(shaped, group).withColumn("given", F.col("blocks") * block)
+    left = rows.groupBy(group).agg(F.greatest(F.lit(0).cast("long"), F.first("total") - F.sum("given")).alias("left"))
+    rows = rows.join(left, group).withColumn("extra", F.lit(0).cast("long"))
+    # first up to the goal, then up to the most, where a party has the most room
+    target = F.least(F.greatest(F.floor("goal"), F.col("given")), F.col("most"))
+    for upto in (target, F.col("most")):
+        room = F.greatest(F.lit(0).cast("long"), upto - F.col("given") - F.col("extra")).cast("long")
+        ranked = running(rows.withColumn("room", room), group, [F.col("room").desc(), F.col("party")], "room")
+        part = F.least(F.greatest(F.col("left") - F.col("before"), F.lit(0)), F.col("room")).cast("long")
+        rows = written(ranked.withColumn("part", part).withColumn("extra", F.col("extra") + F.col("part")).drop("room", "before"))
+        spent = rows.groupBy(group).agg(F.sum("part").alias("spent"))
+        rows = rows.join(spent, group).withColumn("left", F.col("left") - F.col("spent")).drop("part", "spent")
+    return rows.select(group, "party", (F.col("given") + F.col("extra")).alias("quota"))
+
+
+def all_quotas(parties: DataFrame, group: str, block: int) -> DataFrame:
+    """``group``, party, quota: groups of up to ``WHOLE`` parties in a task each, larger ones by sums; one rule for both."""
+    parties = written(parties.select(group, "total", "party", "goal", "most"))
+    sizes = parties.groupBy(group).agg((F.count(F.lit(1)) > WHOLE).alias("large"))
+    if sizes.filter("large").isEmpty():
+        return apportioned(parties, [group], block)
+    sized = written(parties.join(sizes, group))
+    return apportioned(sized.filter("not large").drop("large"), [group], block).unionByName(quotas_by_sums(sized.filter("large").drop("large"), group, block))
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, shard_docs: int = 2000, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
@@ -202,7 +263,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     sources = with_targets(sources, words, max_epochs)
     most = F.lit(max_epochs) * F.col("source_size")
     parties = sources.select(F.lit(0).alias("all"), F.lit(words).cast("long").alias("total"), F.col("rank").alias("party"), F.col("target").alias("goal"), most.alias("most"))
-    source_quotas = in_two_steps(parties, ["all"], block).select(F.col("party").alias("rank"), F.col("quota").alias("total"))
+    source_quotas = all_quotas(parties, "all", block).select(F.col("party").alias("rank"), F.col("quota").alias("total"))
     sources = sources.withColumn("n_shards", F.ceil(F.col("n") / shard_docs)).select(F.col("source").alias("_source"), "source_size", "target", "rank", "n_shards")
     ranked = (
         sized.join(sources, sized["source"].eqNullSafe(F.col("_source")))
@@ -212,7 +273,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     shards = ranked.groupBy("rank", "shard").agg(F.sum("size").alias("words")).join(source_quotas, "rank")
     goal = F.col("words").cast("double")
     parties = shards.select("rank", "total", F.col("shard").alias("party"), goal.alias("goal"), (F.lit(max_epochs) * F.col("words")).alias("most"))
-    shard_quotas = in_two_steps(parties, ["rank"], block).select("rank", F.col("party").alias("shard"), "quota")
+    shard_quotas = all_quotas(parties, "rank", block).select("rank", F.col("party").alias("shard"), "quota")
 
     def choose(key: tuple, rows: pd.DataFrame, quota: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["place", "doc_id", "tie", "copy"], na_position="last")

@@ -244,17 +244,36 @@ def test_blocks_are_those_of_a_plain_version():
             at += size
 
 
-def test_cells_give_each_party_about_its_share(spark, monkeypatch):
-    """Parties beyond one cell: quotas add up, keep their caps and lie within a block or two of their shares."""
-    monkeypatch.setattr(mixing, "CELL", 4)
+def party_rows(rng, n, group, share, ties):
+    words = rng.integers(0, 30 if ties else 40_000, n)
+    total = int(words.sum() * share)
+    return [(group, total, i, float(w) * (share if share < 3 else 1), 3 * int(w)) for i, w in enumerate(words.tolist())]
+
+
+PARTIES = "g int, total long, party long, goal double, most long"
+
+
+def test_quotas_of_many_parties_are_those_of_one_step(spark):
+    """5,000 parties by sums over a table, and all of them at once: the same quotas, ties among equal parties included."""
     rng = np.random.default_rng(3)
-    words = rng.integers(0, 4000, 50).tolist()
-    rows = [(g, sum(words) // 2 * g, i, float(w), 3 * w) for g in (1, 2) for i, w in enumerate(words)]
-    out = mixing.in_two_steps(spark.createDataFrame(rows, "g int, total long, party long, goal double, most long"), ["g"], 64).collect()
-    for g in (1, 2):
-        got = {r.party: r.quota for r in out if r.g == g}
-        assert sum(got.values()) == sum(words) // 2 * g and all(got[i] <= 3 * w for i, w in enumerate(words))
-        assert all(abs(got[i] - w * g / 2) <= 3 * 64 for i, w in enumerate(words))
+    for ties in (False, True):
+        rows = party_rows(rng, 5000, 1, 0.7, ties)
+        got = {r.party: r.quota for r in mixing.all_quotas(spark.createDataFrame(rows, PARTIES), "g", 8).collect()}
+        expected = mixing.quotas(rows[0][1], np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), 8)
+        assert [got[i] for i in range(5000)] == expected.tolist()
+
+
+def test_quotas_by_sums_for_all_kinds_of_groups(spark, monkeypatch):
+    """Few parties and many, of nothing, all alike, one that has nearly all, and totals beyond the caps, in one pass each."""
+    rng = np.random.default_rng(9)
+    rows = party_rows(rng, 40, 1, 0.4, False) + party_rows(rng, 40, 2, 2.9, True) + party_rows(rng, 7, 3, 3.0, False)
+    rows += [(4, 100, i, 5.0, 15) for i in range(30)] + [(5, 0, i, 3.0, 9) for i in range(4)] + [(6, 50, i, 0.0, 0) for i in range(3)]
+    rows += [(7, 10**9, 0, 1e9, 3 * 10**9)] + [(7, 10**9, i, 1.0, 3) for i in range(1, 20)]
+    rows += [(8, 5, 0, 2.5, 3), (8, 5, 1, 2.5, 3)]
+    df = spark.createDataFrame(rows, PARTIES)
+    whole = {(r.g, r.party): r.quota for r in mixing.all_quotas(df, "g", 8).collect()}
+    monkeypatch.setattr(mixing, "WHOLE", 0)
+    assert {(r.g, r.party): r.quota for r in mixing.all_quotas(df, "g", 8).collect()} == whole and len(whole) == len(rows)
 
 
 def test_highest_quotients_match_one_seat_at_a_time():
