@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.operators import ranking
@@ -123,6 +123,25 @@ def shared_keys(tables: Mapping[str, DataFrame], suffix: str = "_id") -> list[tu
     return sorted((c, t) for c, t in where.items() if len(t) > 1)
 
 
+def inclusions(tables: Mapping[str, Mapping[str, Column]], frames: Mapping[str, DataFrame]) -> DataFrame:
+    """a, b, n_values, n_broken: of every two columns with a value in common, how many distinct values of ``a`` are not in ``b`` (QLY-02, JN-11).
+
+    ``tables`` names the columns to compare, as ``name`` to expression of each table. Values are shuffled once, with the
+    set of columns that have them; sets are counted, and only the different sets meet, of which there are few. Where
+    n_broken is 0, ``a`` may refer to ``b``. Nulls are no values.
+    """
+    each = []
+    for table, columns in tables.items():
+        found = F.array(*[F.struct(F.lit(f"{table}.{name}").alias("column"), value.cast("string").alias("value")) for name, value in columns.items()])
+        each.append(frames[table].select(F.inline(found)).filter("value IS NOT NULL").distinct())
+    where = issues(each).groupBy("value").agg(F.array_sort(F.collect_set("column")).alias("columns"))
+    sets = where.groupBy("columns").agg(F.count(F.lit(1)).alias("n"))
+    total = sets.select(F.explode("columns").alias("a"), "n").groupBy("a").agg(F.sum("n").alias("n_values"))
+    pairs = sets.select(F.explode("columns").alias("a"), "columns", "n").select("a", F.explode("columns").alias("b"), "n").filter("a <> b")
+    shared = pairs.groupBy("a", "b").agg(F.sum("n").alias("n_shared"))
+    return shared.join(total, "a").select("a", "b", "n_values", (F.col("n_values") - F.col("n_shared")).alias("n_broken"))
+
+
 def header_differences(df: DataFrame, expected: Sequence[str]) -> list[tuple[str, str]]:
     """Columns that are missing or unexpected against a catalogue (QLY-04, SRC-10)."""
     return [(c, "MISSING") for c in expected if c not in df.columns] + [(c, "UNEXPECTED") for c in df.columns if c not in expected]

@@ -217,6 +217,22 @@ def qly_02(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAPPINGS = (("supplier", "s_name", "Supplier", 0.98), ("supplier", "s_nationkey", "Region", 0.9), ("part", "p_name", "Material", 0.95), ("orders", "o_orderkey", "Product", 0.9), ("lineitem", "l_extendedprice", "Revenue Exposure", 0.85))
 
 
+#: Columns that look like keys, and what their values are called.
+KEYS = {
+    "region": ("r_regionkey",), "nation": ("n_nationkey", "n_regionkey"), "customer": ("c_custkey", "c_nationkey"), "supplier": ("s_suppkey", "s_nationkey"), "part": ("p_partkey",),
+    "orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey"), "events": ("event_id", "user_id"), "documents": ("doc_id",), "embeddings": ("vec_id",),
+    "pages": ("page_id",), "benchmark": ("item_id",), "labels": ("doc_id",), "conversations": ("conv_id",),
+}
+INCLUSIONS_SQL = "WITH v AS (" + " UNION ".join(f"SELECT '{t}.{c}' AS c, {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL" for t, cs in KEYS.items() for c in cs) + """), n AS (SELECT c, count(*) AS n FROM v GROUP BY 1)
+    SELECT x.c AS a, y.c AS b, n AS n_values, n - count(*) AS n_broken FROM v x JOIN v y ON x.v = y.v AND x.c <> y.c JOIN n ON n.c = x.c GROUP BY x.c, y.c, n"""
+
+
+@register("qly_02_inclusions", INCLUSIONS_SQL)
+def qly_02_inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which key-like columns of all tables may refer to which, found in their values."""
+    return validation.inclusions({t: {c: F.col(c) for c in cs} for t, cs in KEYS.items()}, {t: read(spark, sf_dir, t) for t in KEYS})
+
+
 @register("qly_03_column_mappings", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{k}', {p}::DOUBLE)" for t, c, k, p in MAPPINGS) + ") v(table_name, column_name, concept, confidence)")
 def qly_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(MAPPINGS), "table_name string, column_name string, concept string, confidence double")

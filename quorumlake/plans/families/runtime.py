@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from quorumlake.operators import graph, pipeline, policy, ranking, temporal
 from quorumlake.plans.registry import register
 from quorumlake.plans.tables import read, scratch
-from quorumlake.sources import archives, sinks, text_formats
+from quorumlake.sources import archives, documents, members, registries, sinks, text_formats
 from quorumlake.streaming import admission, keyed, rate_limit, staged
 
 # ---- the six stages, with orders as requests
@@ -300,6 +301,95 @@ def src_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "parsed.amount", F.coalesce(F.array_join("unknown_keys", ","), F.lit("")).alias("unknown"), "well_formed")
 
 
+REQUEST_ID = "00000000-0000-4000-8000-000000000000"
+ASSESSMENTS_SQL = """SELECT o_orderkey, x.path, x.problem FROM (SELECT o_orderkey, o_orderkey % 7 AS m, unnest([
+        {'path': '$', 'problem': CASE WHEN o_orderkey % 7 = 6 THEN 'not JSON' END}, {'path': '$.surplus', 'problem': CASE WHEN o_orderkey % 7 = 1 THEN 'unknown key' END},
+        {'path': '$.identity_score', 'problem': CASE WHEN o_orderkey % 7 = 2 THEN 'out of bounds' END}, {'path': '$.observations[1].note', 'problem': CASE WHEN o_orderkey % 7 = 3 AND o_orderkey % 13 <> 0 THEN 'unknown key' END},
+        {'path': '$.supplier_names[1]', 'problem': CASE WHEN o_orderkey % 7 = 4 THEN 'blank' END}, {'path': '$.effective_at', 'problem': CASE WHEN o_orderkey % 7 = 5 THEN 'not in UTC' END},
+        {'path': '$.supplier_eligibility[0].qualified', 'problem': CASE WHEN o_orderkey % 7 <> 6 AND o_orderkey % 11 = 0 THEN 'not a boolean' END}, {'path': '$.observations', 'problem': CASE WHEN o_orderkey % 7 <> 6 AND o_orderkey % 13 = 0 THEN 'too few' END}]) AS x FROM orders) WHERE x.problem IS NOT NULL"""
+
+
+def _assessment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, body: a request for each order, with something wrong in most."""
+    k, i = F.col("o_orderkey"), F.lit(REQUEST_ID)
+    at = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 7 == 5, "+02:00").otherwise("Z"))
+    text = lambda **fields: ", ".join(f'"{n}": {v}' for n, v in fields.items())
+    one = text(observation_id=f'"{REQUEST_ID}"', source_system_reference=f'"{REQUEST_ID}"', source_record_reference='"r"', subject_type='"Supplier"', subject_id=f'"{REQUEST_ID}"', observation_type='"delay"', value='"12"', severity='"HIGH"', observed_at='"2024-01-01T00:00:00Z"', evidence_reference='"e"')
+    observations = F.when(k % 13 == 0, "[]").when(k % 7 == 3, f'[{{{one}}}, {{{one}, "note": 1}}]').otherwise(f"[{{{one}}}]")
+    named = F.concat(F.lit('["'), F.col("o_orderpriority"), F.lit('"'), F.when(k % 7 == 4, ', "  "').otherwise(""), F.lit("]"))
+    eligible = F.concat(F.lit(f'[{{"supplier_entity_id": "{REQUEST_ID}", "qualified": '), F.when(k % 11 == 0, '"yes"').otherwise("true"), F.lit(', "approved": true, "contractually_eligible": false, "usable_capacity": true, "operationally_ready": true}]'))
+    fixed = text(source_object_ids=f'["{REQUEST_ID}"]', enterprise_candidates=f'[["{REQUEST_ID}", "Acme"]]', semantic_terms='["delay"]', semantic_candidates="[]", context_id=f'"{REQUEST_ID}"', material_id=f'"{REQUEST_ID}"', facility_or_region_id=f'"{REQUEST_ID}"', acceptance_evidence="null", **{n: "0.5" for n in documents.SCORES[1:]}, **{n: '"1"' for n in documents.VERSIONS}, **{n: '"p"' for n in documents.NAMES})
+    body = F.concat(F.lit("{" + fixed + ', "supplier_names": '), named, F.lit(', "effective_at": "'), at, F.lit('", "observations": '), observations, F.lit(', "supplier_eligibility": '), eligible, F.lit(', "identity_score": '), F.when(k % 7 == 2, "1.5").otherwise("1"), F.when(k % 7 == 1, ', "surplus": {}').otherwise(""), F.when(k % 7 == 6, "").otherwise("}"))
+    return read(spark, sf_dir, "orders").select(k, body.alias("body"), i.alias("request"))
+
+
+@register("src_12_assessment_requests", ASSESSMENTS_SQL)
+def src_12_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that is wrong in a request for each order, at every depth."""
+    return documents.violations(_assessment_texts(spark, sf_dir), "body", documents.ASSESSMENT, "o_orderkey")
+
+
+PROPS = documents.Object({"k": documents.Number(0, 49)})
+
+
+@register("src_12_event_properties", """SELECT event_id, '$.' || key AS path, CASE WHEN key <> 'k' THEN 'unknown key' ELSE 'out of bounds' END AS problem FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) WHERE key <> 'k' OR NOT (json_extract(props, '$.k')::DOUBLE BETWEEN 0 AND 49)""")
+def src_12_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.violations(read(spark, sf_dir, "events"), "props", PROPS, "event_id")
+
+
+# ---- registries: suppliers as entries, a file per nation, nations' suppliers in sections by status
+
+REGISTRY_SQL = """
+    r AS (SELECT s_suppkey AS k, 'n' || s_nationkey || '.md' AS file, s_nationkey % 3 AS part, CASE s_nationkey % 3 WHEN 0 THEN 'Authoritative artifacts' WHEN 1 THEN 'Historical baseline' ELSE 'Drafts' END AS section,
+        'SUP-' || lpad((s_suppkey % 50)::VARCHAR, 3, '0') || ' Supplier ' || s_suppkey AS name, '1.' || s_suppkey % 4 AS version, CASE WHEN s_suppkey % 9 = 0 THEN 'BROKEN' WHEN s_nationkey % 3 = 0 THEN 'FROZEN' WHEN s_nationkey % 3 = 1 THEN 'SUPERSEDED' ELSE 'DEVELOPMENT' END AS status,
+        CASE WHEN s_suppkey % 10 = 0 THEN '' WHEN s_nationkey % 3 = 0 THEN 'YES' ELSE 'NO' END AS current, CASE WHEN s_nationkey % 3 = 0 THEN 'AUTHORITATIVE' ELSE 'NON-AUTHORITATIVE' END AS authority, CASE WHEN s_nationkey % 3 = 1 AND s_suppkey % 4 <> 0 THEN 'next' ELSE '—' END AS replacement
+        FROM supplier WHERE s_suppkey % 13 <> 0)"""
+
+
+def _registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, line, value: a heading, a header, a rule and the entries; some entries lack a cell and are no rows."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    section = F.when(n % 3 == 0, "Authoritative artifacts").when(n % 3 == 1, "Historical baseline").otherwise("Drafts")
+    file = F.concat(F.lit("n"), n.cast("string"), F.lit(".md")).alias("file")
+    status = F.when(k % 9 == 0, "BROKEN").when(n % 3 == 0, "FROZEN").when(n % 3 == 1, "SUPERSEDED").otherwise("DEVELOPMENT")
+    name = F.concat(F.lit("SUP-"), F.lpad((k % 50).cast("string"), 3, "0"), F.lit(" Supplier "), k.cast("string"))
+    cells = [name, F.concat(F.lit("1."), (k % 4).cast("string")), status, F.when(k % 10 == 0, "").when(n % 3 == 0, "YES").otherwise("NO"), F.when(n % 3 == 0, "AUTHORITATIVE").otherwise("NON-AUTHORITATIVE"), F.when((n % 3 == 1) & (k % 4 != 0), "next").otherwise("—"), F.concat(F.lit("[file](released/v1.1/s%20"), k.cast("string"), F.lit(".md)"))]
+    s = read(spark, sf_dir, "supplier")
+    body = s.select(file, (k + 10).cast("int").alias("line"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.when(k % 13 == 0, " | extra |").otherwise(" |")).alias("value"))
+    head = ("| Document | Version | Status | Current | Authority | Superseded By | Location |", "|---|:-:|---|---|---|---|---|")
+    first = s.select(n).distinct().select(file, F.inline(F.array(*[F.struct(F.lit(i).alias("line"), v.alias("value")) for i, v in enumerate((F.lit("# Registry"), F.concat(F.lit("## "), section), F.lit(head[0]), F.lit(head[1])))])))
+    return body.unionByName(first)
+
+
+@register("src_09_registry_fields", f"""WITH {REGISTRY_SQL} SELECT file, CAST(k + 10 AS INT) AS line, section, x.field, x.value FROM (SELECT *, unnest([{{'field': 'Document', 'value': name}}, {{'field': 'Version', 'value': version}}, {{'field': 'Status', 'value': status}}, {{'field': 'Current', 'value': current}},
+    {{'field': 'Authority', 'value': authority}}, {{'field': 'Superseded By', 'value': replacement}}, {{'field': 'Location', 'value': '[file](released/v1.1/s%20' || k || '.md)'}}]) AS x FROM r)""")
+def src_09_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registries.registry_fields(registries.registry_rows(_registry_lines(spark, sf_dir)))
+
+
+@register("qly_05_registry_governance", f"""WITH {REGISTRY_SQL},
+    e AS (SELECT file, CAST(k + 10 AS INT) AS line, name, CASE WHEN current = '' THEN 'MISSING_GOVERNANCE' WHEN status = 'BROKEN' THEN 'INVALID_COMBINATION' WHEN status = 'SUPERSEDED' AND replacement = '—' THEN 'NO_REPLACEMENT' END AS error FROM r)
+    SELECT * FROM e WHERE error IS NOT NULL UNION ALL SELECT file, NULL, left(name, 7), 'SEVERAL_AUTHORITIES' FROM r WHERE part = 0 GROUP BY file, left(name, 7) HAVING count(*) > 1""")
+def qly_05_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registries.governance_errors(registries.entries(registries.registry_rows(_registry_lines(spark, sf_dir))))
+
+
+@register("qly_05_dependency_matrix", f"""WITH {REGISTRY_SQL},
+    c AS (SELECT left(name, 7) AS identifier, arg_max(version, (file, k)) AS version, arg_max(status, (file, k)) AS status FROM r WHERE part = 0 GROUP BY 1),
+    m AS (SELECT o_orderkey AS "row", 'SUP-' || lpad((o_custkey % 50)::VARCHAR, 3, '0') AS a, '1.' || o_custkey % 4 AS av, 'SUP-' || lpad((o_orderkey % 55)::VARCHAR, 3, '0') AS b, '1.' || o_orderkey % 4 AS bv, CASE WHEN o_orderkey % 6 = 0 THEN 'DRAFT' ELSE 'FROZEN' END AS s, CASE WHEN o_orderkey % 8 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE 'Compatible' END AS compatible FROM orders),
+    j AS (SELECT "row", CASE WHEN compatible = '' THEN 'MISSING_VALUE' WHEN ca.identifier IS NULL THEN 'DEPENDENT_NOT_CURRENT' WHEN cb.identifier IS NULL THEN 'DEPENDENCY_NOT_CURRENT' WHEN av <> ca.version THEN 'DEPENDENT_VERSION' WHEN bv <> cb.version THEN 'DEPENDENCY_VERSION'
+        WHEN ca.status <> 'FROZEN' OR cb.status <> 'FROZEN' OR s <> 'FROZEN' THEN 'NOT_FROZEN' WHEN compatible <> 'Compatible' THEN 'NOT_COMPATIBLE' END AS error FROM m LEFT JOIN c ca ON ca.identifier = a LEFT JOIN c cb ON cb.identifier = b)
+    SELECT "row", error FROM j WHERE error IS NOT NULL""")
+def qly_05_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of the matrix, their customers' and their own numbers as the entries they join."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    entry = lambda n: F.concat(F.lit("SUP-"), F.lpad(n.cast("string"), 3, "0"))
+    version = lambda n: F.concat(F.lit("1."), (n % 4).cast("string"))
+    values = (entry(c % 50), version(c), entry(k % 55), version(k), F.when(k % 6 == 0, "DRAFT").otherwise("FROZEN"), F.lit("uses"), F.when(k % 8 == 0, "").when(k % 3 == 0, "Unknown").otherwise("Compatible"), F.lit("A-1"))
+    matrix = read(spark, sf_dir, "orders").select(k.alias("row"), *[v.alias(n) for n, v in zip(registries.MATRIX, values, strict=True)])
+    return registries.dependency_errors(matrix, registries.entries(registries.registry_rows(_registry_lines(spark, sf_dir))))
+
+
 def _packed(spark: SparkSession, sf_dir: str, member: str, head: str, row: object, tail: str) -> DataFrame:
     """path, content: a zip per region whose member holds a line per nation."""
     lines = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("line")))).alias("l"))
@@ -340,6 +430,31 @@ def src_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.docx_blocks(_packed(spark, sf_dir, "word/document.xml", head, row, "</w:body></w:document>"))
 
 
+@register("src_01_archive_members", """SELECT 'nation-' || s_nationkey || '.zip' AS archive, 'part-' || s_suppkey % 2 || '.csv' AS member, CAST(row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) - 1 AS INT) AS row, s_suppkey::VARCHAR AS id, s_name AS name FROM supplier""")
+def src_01_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive per nation with two members, written to the shared folder and read as partitions; only id and name are taken of the members' columns."""
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    line = F.concat(F.col("s_suppkey").cast("string"), F.lit(',"'), "s_name", F.lit('",'), F.col("s_acctbal").cast("string"), F.lit("\n"))
+    parts = read(spark, sf_dir, "supplier").groupBy("s_nationkey", (F.col("s_suppkey") % 2).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))), lambda x: x["line"]), "").alias("text"))
+    archived = parts.groupBy("s_nationkey").agg(F.collect_list(F.struct("part", "text")).alias("parts"))
+    local = members._local(folder)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(local, exist_ok=True)
+        for frame in frames:
+            for nation, own in zip(frame["s_nationkey"], frame["parts"], strict=True):
+                whole = f"{local}/nation-{nation}.zip"
+                with zipfile.ZipFile(part := f"{local}/_{uuid.uuid4().hex}", "w", zipfile.ZIP_DEFLATED) as z:
+                    for p in own:
+                        z.writestr(f"part-{p['part']}.csv", "id,name,balance\n" + p["text"])
+                os.replace(part, whole)  # a task that runs again leaves one archive
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    archived.mapInPandas(pack, "n int").agg(F.sum("n")).collect()
+    spark.dataSource.register(members.Members)
+    return spark.read.format("zip_members").option("path", folder).option("kind", "csv").schema("archive string, member string, row int, id string, name string").load()
+
+
 @register("src_10_strict_csv", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
 def src_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
