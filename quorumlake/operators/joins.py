@@ -82,3 +82,18 @@ def reconciled(edges: DataFrame, owners: DataFrame, source: str, target: str, id
 def unambiguous(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` with ``ambiguous``, true where another row has the same keys (JN-04)."""
     return df.withColumn("ambiguous", F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
+
+
+def in_slices(left: DataFrame, right: DataFrame, key: Sequence[str], left_id: str, right_id: str, size: int) -> DataFrame:
+    """Every pair of a row of ``left`` and one of ``right`` with the same ``key``, as an inner join gives them.
+
+    Keys that many rows of both have are cut: each side is dealt by its id to slices of about ``size`` rows, and each
+    slice of one meets each of the other in a task of its own, so no task has more than a product of two slices.
+    """
+    counted = lambda rows, name: rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    parts = counted(left, "_of_a").join(counted(right, "_of_b"), list(key))
+    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.join(parts, list(key)).withColumn("_slice_a", dealt(left_id, "_of_a")).withColumn("_slice_b", upto("_of_b")).drop("_of_a", "_of_b")
+    other = right.join(parts, list(key)).withColumn("_slice_b", dealt(right_id, "_of_b")).withColumn("_slice_a", upto("_of_a")).drop("_of_a", "_of_b")
+    return one.join(other, [*key, "_slice_a", "_slice_b"]).drop("_slice_a", "_slice_b")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,28 +25,19 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def places(df: DataFrame, order: Sequence[str], per_range: int = 1_000_000) -> DataFrame:
+def places(df: DataFrame, order: Sequence[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``df`` with each row's place, from 1, in the ascending order of the columns ``order``; nulls come first (WIN-05).
 
-    Ranges of about ``per_range`` rows are bounded by a sample, placed apart and
-    shifted by the rows of the ranges before, so no task orders the whole table.
+    Rows are dealt to sorted ranges once and stored by ``keep``. A row's number in its range is shifted by the rows of the
+    ranges before, a row a range, so neither a task nor the driver orders the whole table.
     """
-    n = df.count()
-    ranges = math.ceil(n / per_range)
-    at = F.struct(*order)
-    within, place = F.lit(0), F.lit(0).cast("long")
-    if ranges > 1:
-        sample = df.select(*order).sample(min(1.0, 100 * ranges / n), seed=1).orderBy(*order).collect()
-        bounds = [sample[k * len(sample) // ranges] for k in range(1, ranges)] if sample else []
-        row = lambda b: F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b, strict=True)))
-        within = F.size(F.filter(F.array(*map(row, bounds)), lambda b: b <= at)) if bounds else within
-    keyed = df.withColumn("_range", within)
-    counts = {r["_range"]: r["n"] for r in keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()} if ranges > 1 else {}
-    if counts:  # a row per range
-        before = [sum(c for k, c in counts.items() if k < r) for r in range(ranges)]
-        place = F.get(F.array(*map(F.lit, before)), F.col("_range")).cast("long")
-    w = Window.partitionBy("_range").orderBy(*order)
-    return keyed.withColumn("place", place + F.row_number().over(w)).drop("_range")
+    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    laid = keep(numbered).withColumn("_range", F.shiftright("_row", 33).cast("int"))
+    ranges = laid.groupBy("_range").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = ranges.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    place = F.col("_row") - F.col("_first") + F.col("_before") + 1
+    return laid.join(F.broadcast(shifts), "_range").withColumn("place", place).drop("_row", "_range", "_first", "_before")
 
 
 def last_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from quorumlake.functions import buckets
 from quorumlake.operators import aggregates, policy
 from quorumlake.operators.filters import errors, valid_as_of
 from quorumlake.operators.intervals import interval_join
+from quorumlake.operators.joins import in_slices
 from quorumlake.plans.registry import register
 from quorumlake.plans.tables import read
 
@@ -68,10 +69,12 @@ def classified(units: DataFrame) -> tuple[Column, Column]:
 def impact_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier, material and alternate of the tenant, classified (POL-13).
 
-    All alternates of a tenant stand against each of its materials, so the
-    tenant is the join key; a tenant without alternates keeps its materials.
+    All alternates of a tenant stand against each of its materials, so both are dealt to slices of the tenant; a
+    tenant without alternates keeps its materials.
     """
-    units = unit_facts(spark, sf_dir).join(alternates(spark, sf_dir).withColumn("tenant_id", F.lit("t")), "tenant_id", "left")
+    materials, others = unit_facts(spark, sf_dir), alternates(spark, sf_dir).withColumn("tenant_id", F.lit("t"))
+    alone = materials.join(others.select("tenant_id").distinct(), "tenant_id", "left_anti")
+    units = in_slices(materials, others, ["tenant_id"], "material", "alternate", 20_000).unionByName(alone, allowMissingColumns=True)
     outcome, reason = classified(units)
     return units.select("supplier", "material", "alternate", outcome.alias("outcome"), reason.alias("reason"))
 

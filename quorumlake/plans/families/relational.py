@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.operators import aggregates, filters, joins, ranking, temporal
 from quorumlake.plans.registry import register
-from quorumlake.plans.tables import read
+from quorumlake.plans.tables import read, stored
 
 AS_OF = "TIMESTAMP_NTZ '1998-06-01 00:00:00'"
 
@@ -363,7 +363,7 @@ def win_02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("win_05_queue_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
 def win_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = -F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    return ranking.places(read(spark, sf_dir, "orders").select("o_orderkey", age.alias("age")), ["age", "o_orderkey"]).select("o_orderkey", "place")
+    return ranking.places(read(spark, sf_dir, "orders").select("o_orderkey", age.alias("age")), ["age", "o_orderkey"], stored).select("o_orderkey", "place")
 
 
 @register("win_06_latest_attempt", "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS o_orderkey, first(o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS o_orderstatus FROM orders GROUP BY 1")

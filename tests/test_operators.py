@@ -250,13 +250,31 @@ def test_validation(spark):
     assert sorted((r.row_index, r.problem) for r in found.collect()) == [(1, "BROKEN_REFERENCE"), (1, "DUPLICATE_KEY"), (2, "BROKEN_REFERENCE"), (3, "BROKEN_REFERENCE")]
 
 
-def test_places_are_those_of_the_whole_table(spark):
+def test_slices_give_the_whole_product(spark):
+    """A key with most rows on both sides, keys of one side only, and slices smaller than either."""
+    left = spark.createDataFrame([("a", i) for i in range(60)] + [("b", 1), ("only", 2), (None, 3)], "k string, x int")
+    right = spark.createDataFrame([("a", i) for i in range(25)] + [("b", 1), ("b", 1), ("other", 2), (None, 3)], "k string, y int")
+    expected = sorted(tuple(r) for r in left.join(right, "k").collect())
+    for size in (7, 1000):
+        assert sorted(tuple(r) for r in joins.in_slices(left, right, ["k"], "x", "y", size).collect()) == expected
+
+
+def test_places_are_those_of_the_whole_table(spark, tmp_path):
     rows = [(k * 7919 % 13 if k % 10 else None, k) for k in range(500)] + [(5, 3), (5, 3)]
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     df = spark.createDataFrame(rows, "v long, k long")
-    for per_range in (20, 1000):
-        got = ranking.places(df, ["v", "k"], per_range).orderBy("place").collect()
+
+    def keep(frame):
+        path = str(tmp_path / f"n{len(list(tmp_path.iterdir()))}")
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    for coalesce in ("true", "false"):  # one range, and several
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        got = ranking.places(df, ["v", "k"], keep).orderBy("place").collect()
         assert [r["place"] for r in got] == list(range(1, len(rows) + 1)) and [(r["v"], r["k"]) for r in got] == order
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranking.places(df.limit(0), ["v", "k"], keep).isEmpty()
 
 
 @pytest.mark.parametrize("threshold", [0.65, 0.9, 1.0])
