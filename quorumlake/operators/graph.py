@@ -176,11 +176,6 @@ def resolve_ontologies(concepts: DataFrame, bindings: DataFrame, by: str = "onto
     return j.select(by, "relation", "source", "target", F.when(F.col("n_lacking") == 0, "Published").otherwise("Draft").alias("status"), "n_lacking")
 
 
-def resolve_ontology(concepts: DataFrame, bindings: DataFrame) -> DataFrame:
-    """The same of one ontology, without ``by``."""
-    return resolve_ontologies(concepts.withColumn("ontology", F.lit(1)), bindings.withColumn("ontology", F.lit(1))).drop("ontology")
-
-
 def semantic_path(resolved: DataFrame, steps: tuple[str, ...] = PATH_STEPS, *by: str) -> DataFrame:
     """by, place, relation, source, target of the path's steps that the ontology has (GRF-05)."""
     order = resolved.sparkSession.createDataFrame(list(enumerate(steps)), "place int, relation string")

@@ -113,16 +113,6 @@ def manifest_differences(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return j.select("path", problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
-def shared_keys(tables: Mapping[str, DataFrame], suffix: str = "_id") -> list[tuple[str, list[str]]]:
-    """Columns with the suffix that stand in more than one table, from the schemas alone (QLY-02)."""
-    where: dict[str, list[str]] = {}
-    for name in sorted(tables):
-        for column in tables[name].columns:
-            if column.endswith(suffix):
-                where.setdefault(column, []).append(name)
-    return sorted((c, t) for c, t in where.items() if len(t) > 1)
-
-
 def inclusions(tables: Mapping[str, Mapping[str, Column]], frames: Mapping[str, DataFrame]) -> DataFrame:
     """a, b, n_values, n_broken: of every two columns with a value in common, how many distinct values of ``a`` are not in ``b`` (QLY-02, JN-11).
 
@@ -142,21 +132,31 @@ def inclusions(tables: Mapping[str, Mapping[str, Column]], frames: Mapping[str,
     return shared.join(total, "a").select("a", "b", "n_values", (F.col("n_values") - F.col("n_shared")).alias("n_broken"))
 
 
-def header_differences(df: DataFrame, expected: Sequence[str]) -> list[tuple[str, str]]:
-    """Columns that are missing or unexpected against a catalogue (QLY-04, SRC-10)."""
-    return [(c, "MISSING") for c in expected if c not in df.columns] + [(c, "UNEXPECTED") for c in df.columns if c not in expected]
+def header_differences(files: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """file, column_name, difference: columns that the header lines of ``files`` (file, header) lack or have beyond ``expected`` (QLY-04, SRC-10)."""
+    has = F.transform(F.split("header", ","), lambda c: F.trim(c))
+    wanted = F.array(*[F.lit(c) for c in expected])
+    rows = lambda names, what: F.transform(names, lambda c: F.struct(c.alias("column_name"), F.lit(what).alias("difference")))
+    return files.select("file", F.inline(F.concat(rows(F.array_except(wanted, has), "MISSING"), rows(F.array_except(has, wanted), "UNEXPECTED"))))
 
 
-def table_checks(columns: DataFrame, required: Sequence[tuple[str, str]], n_tables: int) -> DataFrame:
-    """check, ok over (table_name, column_name) rows of a parsed schema (QLY-07)."""
-    spark = columns.sparkSession
-    need = spark.createDataFrame(list(required), "table_name string, column_name string")
-    lacking = need.join(columns, ["table_name", "column_name"], "left_anti")
-    counted = columns.agg((F.countDistinct("table_name") == n_tables).alias("ok")).select(F.lit("table_count").alias("check"), "ok")
-    return counted.unionByName(lacking.agg((F.count(F.lit(1)) == 0).alias("ok")).select(F.lit("required_columns").alias("check"), "ok"))
+def schema_checks(columns: DataFrame, schemas: DataFrame, by: str, required: Sequence[str]) -> DataFrame:
+    """by, check, ok: whether each schema has the number of tables that ``schemas`` (by, n_tables) expects, and each of its tables the ``required`` columns (QLY-07).
+
+    ``columns`` has by, table_name, column_name; a schema without tables has neither.
+    """
+    has = [F.bool_or(F.col("column_name") == c) for c in required]
+    whole = has[0]
+    for h in has[1:]:
+        whole = whole & h
+    tables = columns.groupBy(by, "table_name").agg(whole.alias("whole"))
+    counted = tables.groupBy(by).agg(F.count(F.lit(1)).alias("found"), F.bool_and("whole").alias("all_whole"))
+    j = schemas.join(counted, by, "left")
+    check = lambda name, ok: F.struct(F.lit(name).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    return j.select(by, F.inline(F.array(check("table_count", F.coalesce("found", F.lit(0)) == F.col("n_tables")), check("required_columns", F.col("all_whole")))))
 
 
 def traceability(columns: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Columns with their dictionary entry: category A where there is one, B where not (QLY-06)."""
-    known = dictionary.withColumn("_there", F.lit(True))
+    known = dictionary.select("table_name", "column_name").distinct().withColumn("_there", F.lit(True))
     return columns.join(known, ["table_name", "column_name"], "left").withColumn("category", F.when(F.col("_there"), "A").otherwise("B")).drop("_there")

@@ -98,25 +98,6 @@ def cvg_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.gaps(_mapped(spark, sf_dir), elements, spark.createDataFrame(list(graph.RELATIONS), "relation string, source string, target string"))
 
 
-def _ontology(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    concepts = spark.createDataFrame([(c, "" if c == "BOM" else "defined", "Proposed" if c == "Region" else "Approved") for c in graph.CONCEPTS if c != "Contract"], "concept string, definition string, status string")
-    relations = spark.createDataFrame([(*r, "" if r[0] == "defines" else "Approved") for r in graph.RELATIONS if r[0] != "candidateFor"], "relation string, source string, target string, status string")
-    return concepts, relations
-
-
-QUALITY = "(VALUES ('concept_coverage', 0.9::DOUBLE), ('relationship_coverage', 0.9), ('definition_completeness', 0.8), ('mapping_completeness', 0.7), ('provenance_completeness', 0.85), ('valid_relationship_endpoints', 0.9), ('governance_status_completeness', 0.8)) v(dimension, score)"
-
-
-@register("cvg_06_ontology_quality", f"SELECT dimension, score, score = 1.0 AS passed FROM {QUALITY}")
-def cvg_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.ontology_quality(*_ontology(spark))
-
-
-@register("agg_10_overall_quality", f"SELECT round_even(avg(score), 4) AS overall, string_agg(dimension, ',' ORDER BY dimension) AS failed FROM {QUALITY}")
-def agg_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.overall(coverage.ontology_quality(*_ontology(spark)))
-
-
 # one ontology per region: its nations' numbers say which concepts and relations are there, defined and approved
 ONTOLOGIES = f"""
     WITH n AS (SELECT n_regionkey AS g, n_nationkey AS k FROM nation), want AS (SELECT * FROM (VALUES {RELATION_VALUES}) v(relation, source, target)),
@@ -174,21 +155,22 @@ def grf_05_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.semantic_path(_resolved(spark, sf_dir), graph.PATH_STEPS, "ontology")
 
 
+@register("cvg_07_activation", f"""{RESOLVED} SELECT g AS ontology, CASE WHEN n_lacking = 0 THEN 'Published' ELSE 'Draft' END AS status, count(*) AS n_steps,
+    first(p.source ORDER BY place) || string_agg(' → ' || p.relation || ' → ' || p.target, '' ORDER BY place) AS path FROM path p JOIN (SELECT DISTINCT g, n_lacking FROM resolved) USING (g) GROUP BY g, n_lacking""")
+def cvg_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each ontology would be activated with: its status and its main path, as far as it has one."""
+    resolved = _resolved(spark, sf_dir)
+    steps = F.array_sort(F.collect_list(F.struct("place", "relation", "source", "target")))
+    path = graph.semantic_path(resolved, graph.PATH_STEPS, "ontology").groupBy("ontology").agg(steps.alias("steps"), F.count(F.lit(1)).alias("n_steps"))
+    return path.join(resolved.select("ontology", "status").distinct(), "ontology").select("ontology", "status", "n_steps", questions.path_text(F.col("steps")).alias("path"))
+
+
 @register("grf_08_grid", "SELECT s_suppkey, (s_suppkey % 4) * 220 AS x, (s_suppkey // 4) * 110 AS y FROM supplier")
 def grf_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = graph.grid(F.col("s_suppkey"))
     return read(spark, sf_dir, "supplier").select("s_suppkey", x.alias("x"), y.alias("y"))
 
 
-@register("cvg_07_activation", "SELECT 'Draft' AS status, 4::BIGINT AS n_steps, 'Supplier → supplies → Material → usedIn → BOM → defines → Product → generatesRevenue → Revenue Exposure' AS path")
-def cvg_07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    concepts, relations = _ontology(spark)
-    resolved = graph.resolve_ontology(concepts.select("concept"), relations.select("relation", "source", "target"))
-    steps = F.array_sort(F.collect_list(F.struct("place", "relation", "source", "target")))
-    path = graph.semantic_path(resolved).agg(steps.alias("steps"), F.count(F.lit(1)).alias("n_steps"))
-    return path.crossJoin(F.broadcast(resolved.select("status").distinct())).select("status", "n_steps", questions.path_text(F.col("steps")).alias("path"))
-
-
 @register("cvg_09_ask_context", "SELECT element_id, 'Legal Name ' || element_id || ': ' || coverage || '/' || coalesce(availability, 'none') AS short, CASE WHEN coverage = 'MAPPED' THEN 'The catalogue has an Approved semantic mapping for this requirement.' ELSE 'The catalogue does not currently have an Approved semantic mapping for this requirement.' END AS first_sentence FROM (SELECT m.element_id, m.coverage, s.availability FROM (" + MAPPED + ") m LEFT JOIN (" + SEEN + ") s USING (source_field_id))")
 def cvg_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _mapped(spark, sf_dir).join(_seen(spark, sf_dir), "source_field_id", "left")
@@ -208,15 +190,6 @@ def qly_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.issues(found)
 
 
-@register("qly_02_shared_keys", "SELECT * FROM (VALUES ('doc_id', 'documents,labels')) v(key, tables)")
-def qly_02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("documents", "labels", "events", "pages", "embeddings", "benchmark", "conversations")
-    return spark.createDataFrame([(c, ",".join(t)) for c, t in validation.shared_keys({n: read(spark, sf_dir, n) for n in names})], "key string, tables string")
-
-
-MAPPINGS = (("supplier", "s_name", "Supplier", 0.98), ("supplier", "s_nationkey", "Region", 0.9), ("part", "p_name", "Material", 0.95), ("orders", "o_orderkey", "Product", 0.9), ("lineitem", "l_extendedprice", "Revenue Exposure", 0.85))
-
-
 #: Columns that look like keys, and what their values are called.
 KEYS = {
     "region": ("r_regionkey",), "nation": ("n_nationkey", "n_regionkey"), "customer": ("c_custkey", "c_nationkey"), "supplier": ("s_suppkey", "s_nationkey"), "part": ("p_partkey",),
@@ -233,16 +206,6 @@ def qly_02_inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.inclusions({t: {c: F.col(c) for c in cs} for t, cs in KEYS.items()}, {t: read(spark, sf_dir, t) for t in KEYS})
 
 
-@register("qly_03_column_mappings", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{k}', {p}::DOUBLE)" for t, c, k, p in MAPPINGS) + ") v(table_name, column_name, concept, confidence)")
-def qly_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(MAPPINGS), "table_name string, column_name string, concept string, confidence double")
-
-
-@register("qly_04_header_differences", "SELECT * FROM (VALUES ('s_phone', 'MISSING'), ('s_acctbal', 'UNEXPECTED')) v(column_name, difference)")
-def qly_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(validation.header_differences(read(spark, sf_dir, "supplier"), ["s_suppkey", "s_name", "s_nationkey", "s_phone"]), "column_name string, difference string")
-
-
 @register("qly_05_manifest_digests", "SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN 'CHANGED' ELSE 'SAME' END AS state FROM documents")
 def qly_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
@@ -313,17 +276,47 @@ def qly_05_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.manifest_differences(listed.unionByName(gone), d)
 
 
-SCHEMA_SCRIPT = "CREATE TABLE supplier (s_suppkey BIGINT, s_name VARCHAR(25), s_nationkey INT, s_phone VARCHAR(15));\nCREATE TABLE nation (n_nationkey INT, n_name VARCHAR(25));"
+@register("qly_04_header_differences", """
+    SELECT 'supplier-' || s_suppkey || '.csv' AS file, x.column_name, x.difference FROM (SELECT s_suppkey, unnest([{'column_name': 's_phone', 'difference': CASE WHEN s_suppkey % 2 = 0 THEN 'MISSING' END}, {'column_name': 's_acctbal', 'difference': CASE WHEN s_suppkey % 3 = 0 THEN 'UNEXPECTED' END},
+        {'column_name': 's_name', 'difference': CASE WHEN s_suppkey % 5 = 0 THEN 'MISSING' END}]) AS x FROM supplier) WHERE x.difference IS NOT NULL""")
+def qly_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per supplier, whose headers lack columns or have others."""
+    k = F.col("s_suppkey")
+    parts = F.array(F.lit("s_suppkey"), F.when(k % 5 != 0, F.lit(" s_name")), F.when(k % 2 != 0, F.lit("s_phone")), F.when(k % 3 == 0, F.lit("s_acctbal")))
+    files = read(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier-"), k.cast("string"), F.lit(".csv")).alias("file"), F.array_join(F.array_compact(parts), ",").alias("header"))
+    return validation.header_differences(files, ["s_suppkey", "s_name", "s_phone"])
+
+
+# a schema per nation, a table per supplier of it, declared by scripts
+TABLES_SQL = """t AS (SELECT s_nationkey AS g, 't' || s_suppkey AS table_name, s_suppkey AS k, unnest(CASE WHEN s_suppkey % 4 = 0 THEN ['id', 'name'] ELSE ['id', 'name', 'score'] END) AS column_name FROM supplier)"""
+
+
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    score = F.when(k % 4 != 0, ",\n score NUMERIC(5, 2)").otherwise("")
+    script = F.concat(F.when(k % 2 == 0, "CREATE TABLE t").otherwise("create table if not exists t"), k.cast("string"), F.lit(" (\n id UUID NOT NULL,\n name VARCHAR("), (k % 100 + 1).cast("string"), F.lit(")"), score, F.lit(",\n PRIMARY KEY (id)\n);"))
+    scripts = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("schema_id")).agg(F.array_join(F.array_sort(F.collect_list(script)), "\n").alias("value"))
+    return text_formats.ddl_columns(scripts)
+
+
+@register("src_11_ddl_columns", f"WITH {TABLES_SQL} SELECT g AS schema_id, table_name, column_name, CASE column_name WHEN 'id' THEN 'UUID' WHEN 'name' THEN 'VARCHAR' ELSE 'NUMERIC' END AS kind FROM t")
+def src_11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that scripts declare, a script per nation with a table for each of its suppliers."""
+    return _declared(spark, sf_dir)
 
 
-@register("qly_06_traceability", "SELECT * FROM (VALUES ('supplier', 's_suppkey', 'A'), ('supplier', 's_name', 'A'), ('supplier', 's_nationkey', 'A'), ('supplier', 's_phone', 'B'), ('nation', 'n_nationkey', 'A'), ('nation', 'n_name', 'A')) v(table_name, column_name, category)")
+@register("qly_06_traceability", f"WITH {TABLES_SQL} SELECT table_name, column_name, CASE WHEN column_name = 'name' AND k % 3 = 0 OR column_name = 'id' AND k % 7 <> 0 THEN 'A' ELSE 'B' END AS category FROM t")
 def qly_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = text_formats.ddl_columns(spark.createDataFrame([(SCHEMA_SCRIPT,)], "value string"))
-    entries = [(t, c) for t in ("supplier", "nation") for c in read(spark, sf_dir, t).columns]
-    return validation.traceability(columns, spark.createDataFrame(entries, "table_name string, column_name string")).select("table_name", "column_name", "category")
+    """Declared columns against a dictionary with entries for some of them, some twice, and for columns that nothing declares."""
+    k = F.col("s_suppkey")
+    entries = F.array(F.when(k % 3 == 0, "name"), F.when(k % 7 != 0, "id"), F.when(k % 7 != 0, "id"), F.lit("gone"))
+    dictionary = read(spark, sf_dir, "supplier").select(F.concat(F.lit("t"), k.cast("string")).alias("table_name"), F.explode(F.array_compact(entries)).alias("column_name"))
+    return validation.traceability(_declared(spark, sf_dir), dictionary).select("table_name", "column_name", "category")
 
 
-@register("qly_07_schema_checks", "SELECT * FROM (VALUES ('table_count', true), ('required_columns', false)) v(\"check\", ok)")
+@register("qly_07_schema_checks", f"""WITH {TABLES_SQL}, n AS (SELECT g, count(DISTINCT table_name) AS tables, count(*) FILTER (WHERE column_name = 'score') AS scores FROM t GROUP BY 1)
+    SELECT n_nationkey AS schema_id, x.check, x.ok FROM (SELECT n_nationkey, unnest([{{'check': 'table_count', 'ok': coalesce(tables, 0) = 4}}, {{'check': 'required_columns', 'ok': tables IS NOT NULL AND scores = tables}}]) AS x FROM nation LEFT JOIN n ON g = n_nationkey)""")
 def qly_07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = text_formats.ddl_columns(spark.createDataFrame([(SCHEMA_SCRIPT,)], "value string"))
-    return validation.table_checks(columns, [("supplier", "s_name"), ("nation", "n_regionkey")], 2)
+    """Each nation's schema: whether it has four tables, and whether all of its tables have the columns that are required."""
+    schemas = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("schema_id"), F.lit(4).alias("n_tables"))
+    return validation.schema_checks(_declared(spark, sf_dir), schemas, "schema_id", ["id", "name", "score"])

@@ -254,24 +254,6 @@ def win_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("start_id", "target_id", "depth", rels.alias("rels"), F.row_number().over(Window.partitionBy("start_id").orderBy(*order)).alias("place"))
 
 
-ONTOLOGY_SQL = "c AS (SELECT unnest(['Supplier','Material','BOM','Product','Facility','Region','Risk Event','Revenue Exposure','Alternate Supplier']) AS concept), b AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{a}', '{t}')" for r, a, t in graph.RELATIONS) + ") v(relation, source, target))"
-
-
-def _ontology(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    concepts = spark.createDataFrame([(c,) for c in graph.CONCEPTS if c != "Contract"], "concept string")
-    return concepts, spark.createDataFrame(list(graph.RELATIONS), "relation string, source string, target string")
-
-
-@register("grf_06_resolve_ontology", f"WITH {ONTOLOGY_SQL} SELECT relation, source, target, 'Draft' AS status, 3::BIGINT AS n_lacking FROM b WHERE source IN (SELECT concept FROM c) AND target IN (SELECT concept FROM c)")
-def grf_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.resolve_ontology(*_ontology(spark))
-
-
-@register("grf_05_semantic_path", "SELECT * FROM (VALUES (0, 'supplies', 'Supplier', 'Material'), (1, 'usedIn', 'Material', 'BOM'), (2, 'defines', 'BOM', 'Product'), (3, 'generatesRevenue', 'Product', 'Revenue Exposure')) v(place, relation, source, target)")
-def grf_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.semantic_path(graph.resolve_ontology(*_ontology(spark)))
-
-
 @register("grf_07_scenario_model", "SELECT s_suppkey, kind, label FROM supplier, LATERAL (SELECT unnest(['supplier', 'nation', 'risk']) AS kind) k, LATERAL (SELECT CASE kind WHEN 'supplier' THEN s_name WHEN 'nation' THEN 'N:' || s_nationkey ELSE CASE WHEN s_acctbal < 0 THEN 'at risk' ELSE 'clear' END END AS label) l")
 def grf_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = lambda kind, label: F.struct(F.lit(kind).alias("kind"), label.alias("label"))

@@ -103,10 +103,6 @@ def er_09_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("case_id", kind, F.when(shown, F.array_join("values", ",")).alias("said"), "provenance")
 
 
-@register("er_13_presets", "SELECT * FROM (VALUES ('Conservative', 0.92::DOUBLE, 3, true), ('Balanced', 0.85::DOUBLE, 2, false), ('Exploratory', 0.75::DOUBLE, 1, false)) v(policy, resolved, min_corroborating, strong_mandatory)")
-def er_13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.presets(read(spark, sf_dir, "region")).filter(F.size(policy.policy_errors()) == 0).select("policy", "resolved", "min_corroborating", "strong_mandatory")
-
 
 # every customer proposes a policy, some of them out of bounds
 PROPOSED = "c_custkey, c_acctbal / 10000 AS resolved, (c_custkey % 13) / 10.0 AS possible, (c_custkey % 7) / 6.0 AS high, (c_custkey % 5) / 4.0 AS medium, c_custkey % 4 AS min_corroborating"

@@ -286,12 +286,6 @@ def src_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_formats.markdown_rows(lines.unionByName(more)).select("line", F.array_join("cells", ";").alias("cells"))
 
 
-@register("src_11_ddl_columns", "SELECT * FROM (VALUES ('entities', 'id', 'UUID'), ('entities', 'name', 'VARCHAR'), ('entities', 'score', 'NUMERIC'), ('edges', 'a', 'UUID'), ('edges', 'b', 'UUID')) v(table_name, column_name, kind)")
-def src_11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    script = "CREATE TABLE entities (\n id UUID NOT NULL,\n name VARCHAR(500),\n score NUMERIC(5, 2),\n PRIMARY KEY (id)\n);\ncreate table if not exists edges (a UUID, b UUID);"
-    return text_formats.ddl_columns(spark.createDataFrame([(script,)], "value string"))
-
-
 @register("src_12_closed_json", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id END AS amount, CASE WHEN event_id % 3 = 1 THEN 'extra' ELSE '' END AS unknown, event_id % 3 <> 2 AS well_formed FROM events""")
 def src_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
@@ -462,15 +456,6 @@ def src_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_formats.strict_csv(spark, folder, ["n_nationkey", "n_name"])
 
 
-CONNECTORS = (("relational database", "structured", "planned"), ("object store", "structured,documents", "planned"), ("message queue", "events", "planned"), ("spreadsheets", "structured,documents", "planned"), ("web pages", "documents", "planned"))
-
-
-@register("src_13_connectors", "SELECT category, count(*) AS n FROM (SELECT unnest(['structured', 'structured', 'documents', 'events', 'structured', 'documents', 'documents']) AS category) GROUP BY 1")
-def src_13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue = spark.createDataFrame(list(CONNECTORS), "name string, categories string, maturity string")
-    return catalogue.select(F.explode(F.split("categories", ",")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-
 CONNECTOR_SQL = ", ".join(f"('{i}', [{', '.join(repr(x) for x in c)}], '{m}')" for i, _, c, _, m in text_formats.CONNECTORS)
 
 
@@ -537,11 +522,6 @@ def snk_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.without_prefix(read(spark, sf_dir, "part"), "p_type", "S").select("p_partkey")
 
 
-@register("snk_06_linked_data")
-def snk_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.linked_data(*sinks.ontology_rows(read(spark, sf_dir, "region")))
-
-
 @register("snk_06_linked_nodes", """
     SELECT json_object('@id', 'shop:concept:' || p_partkey, '@type', 'Concept', 'name', p_partkey::VARCHAR, 'definition', p_name, 'governanceStatus', CASE WHEN p_size > 25 THEN 'Approved' ELSE 'Proposed' END)::VARCHAR AS node FROM part
     UNION ALL SELECT json_object('@id', 'shop:relationship:' || l_orderkey || '-' || l_linenumber, '@type', 'Relationship', 'name', l_orderkey || '-' || l_linenumber, 'source', 'shop:concept:' || l_suppkey, 'target', 'shop:concept:' || l_partkey)::VARCHAR FROM lineitem""")

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.operators import graph
 
 
 def split_by_reference(rows: DataFrame, targets: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -49,13 +48,6 @@ def back_filled(rows: DataFrame, column: str, value: Column) -> DataFrame:
     return rows.withColumn(column, F.coalesce(F.col(column), value) if column in rows.columns else value)
 
 
-def linked_data(concepts: DataFrame, relations: DataFrame) -> DataFrame:
-    """node: a JSON-LD node per concept and relation, sorted by id (SNK-06)."""
-    c = concepts.select(F.to_json(F.struct(F.concat(F.lit("concept:"), "concept").alias("@id"), F.lit("Concept").alias("@type"), F.col("concept").alias("name"))).alias("node"))
-    r = relations.select(F.to_json(F.struct(F.concat(F.lit("relation:"), "relation").alias("@id"), F.lit("Relation").alias("@type"), F.col("source").alias("domain"), F.col("target").alias("range"))).alias("node"))
-    return c.unionByName(r)
-
-
 def linked_nodes(concepts: DataFrame, relations: DataFrame, prefix: str) -> DataFrame:
     """node: a JSON-LD node per concept (name, definition, status) and per relation (name, source, target), ids below ``prefix`` (SNK-06)."""
     of = lambda kind, name: F.concat(F.lit(f"{prefix}:{kind}:"), F.col(name))
@@ -77,9 +69,3 @@ def sealed(payload: Column, key: Column, version: Column, key_id: str) -> Column
 
 def opened(cipher: Column, key: Column, version: Column, key_id: str) -> Column:
     return F.aes_decrypt(cipher, key, F.lit("GCM"), F.lit("DEFAULT"), F.concat(F.lit(key_id), F.lit(":"), version))
-
-
-def ontology_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The required concepts and relations as tables."""
-    spark = df.sparkSession
-    return spark.createDataFrame([(c,) for c in graph.CONCEPTS], "concept string"), spark.createDataFrame(list(graph.RELATIONS), "relation string, source string, target string")

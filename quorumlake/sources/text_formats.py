@@ -49,10 +49,11 @@ def markdown_rows(lines: DataFrame) -> DataFrame:
 
 
 def ddl_columns(scripts: DataFrame) -> DataFrame:
-    """table_name, column_name, kind of CREATE TABLE statements in a ``value`` column (SRC-11)."""
+    """The other columns of ``scripts``, table_name, column_name, kind of the CREATE TABLE statements in its ``value`` column (SRC-11)."""
+    others = [c for c in scripts.columns if c != "value"]
     tables = F.regexp_extract_all("value", F.lit(r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?(\w+\s*\(.*?\)\s*;)"), F.lit(1))
-    body = scripts.select(F.explode(tables).alias("t")).select(F.lower(F.regexp_extract("t", r"^(\w+)", 1)).alias("table_name"), F.explode(F.split(F.regexp_extract("t", r"(?s)\((.*)\)\s*;", 1), r",(?![^()]*\))")).alias("c"))
-    named = body.select("table_name", F.regexp_extract("c", r"(?s)^\s*(\w+)\s+(\w+)", 1).alias("column_name"), F.upper(F.regexp_extract("c", r"(?s)^\s*(\w+)\s+(\w+)", 2)).alias("kind"))
+    body = scripts.select(*others, F.explode(tables).alias("t")).select(*others, F.lower(F.regexp_extract("t", r"^(\w+)", 1)).alias("table_name"), F.explode(F.split(F.regexp_extract("t", r"(?s)\((.*)\)\s*;", 1), r",(?![^()]*\))")).alias("c"))
+    named = body.select(*others, "table_name", F.regexp_extract("c", r"(?s)^\s*(\w+)\s+(\w+)", 1).alias("column_name"), F.upper(F.regexp_extract("c", r"(?s)^\s*(\w+)\s+(\w+)", 2)).alias("kind"))
     return named.filter((F.col("column_name") != "") & ~F.upper("column_name").isin("PRIMARY", "FOREIGN", "UNIQUE", "CONSTRAINT", "CHECK"))
 
 
