@@ -9,14 +9,14 @@ that agree, and follows edit similarity rather than the bare set of k-mers.
 
 Defined cases: a null text counts as empty; a text of fewer than five words is
 one k-mer; a text without words has an empty fingerprint, like only another
-empty one (1.0); very long texts, of up to 2**30 words, are read whole; ties of doc_id are ordered by a hash of the text; a null
-doc_id comes last; a single document is its own next; an empty table gives no
+empty one (1.0); very long texts, of up to 2**30 words, are read whole; ties of doc_id are
+ordered by a hash of the text, and equal rows by their place in the input, so
+that a range can end among them; a null doc_id comes last; a single document is its own next; an empty table gives no
 rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,11 +102,12 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, order: list[str], carried: list[str]) -> DataFrame:
     """``docs`` with next_<c> of the following row by ``order``, of the first after the last.
 
-    Rows are dealt by ranges of ``order``, about sqrt(rows) of them; a range's
-    last row gets the next range's first, of which there is one per range.
+    Rows are dealt by ranges of ``order``, which has no ties, twice as many as
+    there are shuffle partitions; a range's last row gets the next range's
+    first. The driver sees a key a range, however many rows there are.
     """
     key = F.struct(*order)
-    ranges = max(1, math.ceil(math.sqrt(docs.count()) / 2))
+    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     firsts = docs.select(*order).repartitionByRange(ranges, *order).groupBy(F.spark_partition_id()).agg(F.min(key).alias("low")).select("low.*")
     bounds = sorted(tuple(r) for r in firsts.collect())  # a key per range
     if not bounds:
@@ -136,8 +137,8 @@ def fingerprints(docs: DataFrame, *, k: int = K) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, *, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half is the next document's beginning."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = text.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie"), "doc_id", "text", entries(F.col("text"), k).alias("bins"))
-    printed = with_next(keyed, ["no_id", "id", "tie"], ["text", "bins"])
+    keyed = text.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"), "doc_id", "text", entries(F.col("text"), k).alias("bins"))
+    printed = with_next(keyed, ["no_id", "id", "tie", "place"], ["text", "bins"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = printed.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
     return edited.withColumn("edited_bins", entries(F.col("edited"), k)).select(

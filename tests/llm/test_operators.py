@@ -933,6 +933,21 @@ def test_fingerprints_match_a_plain_version(spark, hard, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_very_many_equal_rows(spark):
+    """A row that is most of the table lies in several ranges: each copy is followed by a copy, the last by the next document."""
+    rng = random.Random(2)
+    hot, others = prose(rng, 80), [(i, prose(rng, 60)) for i in (1, 2, 9)]
+    rows = [(5, hot)] * 300 + others
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = fingerprints.edited_fingerprints(docs).collect()
+    half = len(hot) // 2
+    edited = lambda text, after: hashlib.sha256((text[: len(text) - len(text) // 2] + after[: len(text) // 2]).encode()).hexdigest()
+    copies = Counter(r.edited_sha256 for r in out if r.doc_id == 5)
+    assert half and copies == {edited(hot, hot): 299, edited(hot, dict(others)[9]): 1}
+    assert {r.doc_id: r.edited_sha256 for r in out if r.doc_id != 5} == {1: edited(others[0][1], others[1][1]), 2: edited(others[1][1], hot), 9: edited(others[2][1], others[0][1])}
+
+
 def test_fingerprints_ignore_clashing_columns(spark, hard):
     same = lambda x: sorted(map(str, x.collect()))
     assert same(fingerprints.edited_fingerprints(hard.selectExpr("*", "1 AS tie", "2 AS bins", "3 AS range", "4 AS id", "5 AS next_text"))) == same(fingerprints.edited_fingerprints(hard))
