@@ -1,6 +1,7 @@
 """Golden values of scalar functions, and the two UDFs against the standard library."""
 
 import difflib
+import random
 import uuid
 
 import pytest
@@ -57,6 +58,19 @@ def test_similarity_is_difflib(spark):
             assert r.s == difflib.SequenceMatcher(None, r.a, r.b).ratio()
 
 
+def test_matches_over_arrays_are_those_of_one_pair_at_a_time():
+    """Short and long texts, few and many kinds of characters, repeats, beyond the basic plane, and texts long enough for popular ones."""
+    rng = random.Random(11)
+    made = lambda n, kinds: "".join(rng.choice(kinds) for _ in range(rng.randrange(n)))
+    pairs = [(made(n, kinds), made(n, kinds)) for n, kinds in ((6, "ab"), (25, "abc "), (40, "abcdefghij é"), (30, "a𝄞漢"), (300, "ab"), (420, "abcdefghijklmnop")) for _ in range(60)]
+    for n in (199, 200, 260):
+        base = made(n + 1, "abcdefghijklmnopqrstuvwxyz" * 20 + "é").ljust(n, "x")[:n]
+        pairs += [(base, base), (base[7:] + "zz", base), (base[: n // 2] + "q" * 9 + base[n // 2 :], base), (base, base[::-1])]
+    pairs += [("", ""), ("", "a"), ("a", ""), ("x" * 250, "x" * 250)]
+    expected = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert similarity.ratios([a for a, _ in pairs], [b for _, b in pairs]).tolist() == expected
+
+
 def test_case_folding(spark):
     for value in ("STRASSE", "Straße", "İx", "plain"):
         assert one(spark, value, similarity.fold_case) == value.casefold()
