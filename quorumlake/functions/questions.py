@@ -32,6 +32,15 @@ def parse_question(question: Column) -> Column:
 
 #: Who speaks in answers.
 SPEAKER = "The catalogue"
+# The sentences of answers, in order; %s is who speaks, or what is asked about.
+NO_PRODUCTS = ("%s found 0 products connected to ", " through governed ontology relationships.")
+ONE_PRODUCT, MANY_PRODUCTS = "1 product depends on ", " products depend on "
+MAPPED = "%s has an Approved semantic mapping for this requirement."
+NOT_MAPPED = "%s does not currently have an Approved semantic mapping for this requirement."
+NOT_APPLICABLE = "Evidence availability is not applicable, since no mapping exists to resolve a SourceField from."
+PRESENT = "Governed non-empty evidence has been observed for the resolved SourceField."
+EMPTY = "Governed evidence has been observed for the resolved SourceField, but it is empty."
+NONE = "No governed evidence has been observed for the resolved SourceField."
 
 
 def products_answer(supplier: Column, names: Column, speaker: str = SPEAKER) -> Column:
@@ -39,21 +48,16 @@ def products_answer(supplier: Column, names: Column, speaker: str = SPEAKER) ->
     n = F.size(names)
     listed = F.array_join(F.transform(names, lambda x: F.concat(F.lit("- "), x)), "\n")
     return (
-        F.when(n == 0, F.concat(F.lit(f"{speaker} found 0 products connected to "), supplier, F.lit(" through governed ontology relationships.")))
-        .when(n == 1, F.concat(F.lit("1 product depends on "), supplier, F.lit(":\n"), listed))
-        .otherwise(F.concat(n.cast("string"), F.lit(" products depend on "), supplier, F.lit(":\n"), listed))
+        F.when(n == 0, F.concat(F.lit(NO_PRODUCTS[0] % speaker), supplier, F.lit(NO_PRODUCTS[1])))
+        .when(n == 1, F.concat(F.lit(ONE_PRODUCT), supplier, F.lit(":\n"), listed))
+        .otherwise(F.concat(n.cast("string"), F.lit(MANY_PRODUCTS), supplier, F.lit(":\n"), listed))
     )
 
 
 def context_answer(element: Column, blueprint: Column, coverage: Column, evidence: Column, speaker: str = SPEAKER) -> Column:
     """Explanation of a coverage and evidence pair (SCL-21)."""
-    covered = F.when(coverage == "MAPPED", f"{speaker} has an Approved semantic mapping for this requirement.").otherwise(f"{speaker} does not currently have an Approved semantic mapping for this requirement.")
-    observed = (
-        F.when(evidence.isNull(), "Evidence availability is not applicable, since no mapping exists to resolve a SourceField from.")
-        .when(evidence == "EVIDENCE_PRESENT", "Governed non-empty evidence has been observed for the resolved SourceField.")
-        .when(evidence == "EVIDENCE_EMPTY", "Governed evidence has been observed for the resolved SourceField, but it is empty.")
-        .otherwise("No governed evidence has been observed for the resolved SourceField.")
-    )
+    covered = F.when(coverage == "MAPPED", MAPPED % speaker).otherwise(NOT_MAPPED % speaker)
+    observed = F.when(evidence.isNull(), NOT_APPLICABLE).when(evidence == "EVIDENCE_PRESENT", PRESENT).when(evidence == "EVIDENCE_EMPTY", EMPTY).otherwise(NONE)
     return F.concat(F.lit("'"), element, F.lit("' in the "), blueprint, F.lit(" Blueprint: "), covered, F.lit(" "), observed)
 
 

@@ -200,6 +200,9 @@ SCENARIO_EDGES = (
     ("e-alternate-for", "candidate", "material", "candidate alternate for", False),
 )
 SEVERE_EVENT = "Severe Regional Logistics Disruption"
+# The labels and details of a scenario's nodes, in order.
+STATUS, REGION, UNIT_COST, ANNUAL, TIED = "Status: %s", "Region: %s", "Unit cost: $%.2f", "$%.0fM Annual Revenue", "Annual revenue tied to this product."
+AGREEMENT, SOURCED, CAPACITY, LEAD_TIME = "Supply Agreement %s", "%s%% sourced from %s", "Available capacity: %s%%", "Activation lead time: %s days"
 
 
 def scenario_nodes(facts: DataFrame) -> DataFrame:
@@ -218,15 +221,15 @@ def scenario_nodes(facts: DataFrame) -> DataFrame:
         return F.struct(key.alias("id"), F.lit(kind or prefix).alias("kind"), label.alias("label"), lines.alias("details"), F.lit(risk).alias("on_risk_path"))
 
     nodes = (
-        node("supplier", c("supplier.name"), say("Status: %s", "supplier.status"), say("Region: %s", "region.name")),
-        node("material", c("material.name"), F.format_string("Unit cost: $%.2f", c("material.unit_cost"))),
+        node("supplier", c("supplier.name"), say(STATUS, "supplier.status"), say(REGION, "region.name")),
+        node("material", c("material.name"), F.format_string(UNIT_COST, c("material.unit_cost"))),
         node("product", c("product.name")),
-        node("facility", c("facility.name"), say("Region: %s", "facility.region")),
-        node("revenue", F.format_string("$%.0fM Annual Revenue", c("revenue.annual") / 1_000_000), F.lit("Annual revenue tied to this product."), at=F.lit("primary")),
+        node("facility", c("facility.name"), say(REGION, "facility.region")),
+        node("revenue", F.format_string(ANNUAL, c("revenue.annual") / 1_000_000), F.lit(TIED), at=F.lit("primary")),
         node("region", c("region.name")),
         node("riskEvent", F.when(c("event.severity") == "Severe", SEVERE_EVENT).otherwise(c("event.description")), c("event.description"), at=text("event.id")),
-        node("agreement", say("Supply Agreement %s", "agreement.id"), say("%s%% sourced from %s", "agreement.percent", "supplier.name"), c("agreement.terms")),
-        node("candidate", c("candidate.name"), say("Status: %s", "candidate.status"), say("Available capacity: %s%%", "candidate.capacity"), say("Activation lead time: %s days", "candidate.lead_days"), kind="candidateSupplier", risk=False),
+        node("agreement", say(AGREEMENT, "agreement.id"), say(SOURCED, "agreement.percent", "supplier.name"), c("agreement.terms")),
+        node("candidate", c("candidate.name"), say(STATUS, "candidate.status"), say(CAPACITY, "candidate.capacity"), say(LEAD_TIME, "candidate.lead_days"), kind="candidateSupplier", risk=False),
     )
     return facts.select("scenario_id", F.inline(F.array(*nodes)))
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from quorumlake.operators import graph, pipeline, policy, ranking, temporal
 from quorumlake.plans.registry import register
-from quorumlake.plans.tables import read, scratch
+from quorumlake.plans.tables import read, scratch, stored
 from quorumlake.sources import archives, documents, members, registries, sinks, text_formats
 from quorumlake.streaming import admission, keyed, rate_limit, staged
 
@@ -548,10 +548,12 @@ def snk_07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("snk_09_sealed_round_trip", "SELECT event_id, props AS payload FROM events")
 def snk_09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, version = F.lit("0123456789abcdef").cast("binary"), F.lit("1")
+    # the table of keys: made of the nations here, elsewhere one that few may read
+    keys = stored(read(spark, sf_dir, "nation").select(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key_id"), F.unhex(F.md5("n_name")).alias("key")))
+    key, version = sinks.key_of(keys, "k1"), F.lit("1")
     cipher = sinks.sealed(F.col("props").cast("binary"), key, version, "k1")
-    stored = read(spark, sf_dir, "events").select("event_id", cipher.alias("cipher"))
-    return stored.select("event_id", sinks.opened(F.col("cipher"), key, version, "k1").cast("string").alias("payload"))
+    kept = read(spark, sf_dir, "events").select("event_id", cipher.alias("cipher"))
+    return kept.select("event_id", sinks.opened(F.col("cipher"), key, version, "k1").cast("string").alias("payload"))
 
 
 @register("snk_10_back_fill", "SELECT n_nationkey, 'legacy' AS tenant_id FROM nation")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,9 +26,21 @@ def scratch(spark: SparkSession) -> str:
         if not base and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _scratch[app] = f"{base or 'file://' + tempfile.mkdtemp(prefix='quorumlake-')}/queries-{app}"
+        atexit.register(_remove, spark, _scratch[app])
     return _scratch[app]
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is None:
+        return
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM has already gone at exit; the folder then stays
+        pass
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, for a frame that a query reads many times."""
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"

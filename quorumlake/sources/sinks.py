@@ -61,6 +61,14 @@ def append_batch(rows: DataFrame, path: str, batch: int) -> None:
     append(rows.withColumn("batch", F.lit(batch)), path)
 
 
+def key_of(keys: DataFrame, key_id: str) -> Column:
+    """A key as a scalar subquery over a table of keys (key_id, key): plans and logs name the table, not the key (SNK-09).
+
+    Keep that table where only those may read it who may open what it seals.
+    """
+    return keys.filter(F.col("key_id") == key_id).agg(F.max("key").alias("key")).scalar()
+
+
 def sealed(payload: Column, key: Column, version: Column, key_id: str) -> Column:
     """Authenticated encryption, bound to the key's id and a version (SNK-09)."""
     bound = F.concat(F.lit(key_id), F.lit(":"), version)

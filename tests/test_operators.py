@@ -346,3 +346,15 @@ def test_a_later_micro_batch_replays_conflicts_and_keeps_the_log(spark, tmp_path
     assert got == {1: "NEW", 2: "CONFLICT", 3: "NEW", 4: "REPLAY", 5: "REPLAY", 6: "CONFLICT", 7: "CONFLICT", 8: "NEW"}
     calls = {r.call_id: r.admitted for r in admission.finished(rate_limit.limited_stream(stream(), "key", "ts", "id", limit=3), f"{tmp_path}/b").collect()}
     assert calls == {1: True, 2: True, 3: True, 4: True, 5: True, 6: False, 7: True, 8: True}
+
+
+def test_keys_stay_out_of_plans(spark):
+    keys = spark.createDataFrame([("k1", bytearray(b"0123456789abcdef")), ("k2", bytearray(b"fedcba9876543210"))], "key_id string, key binary")
+    rows = spark.createDataFrame([(1, "text"), (2, "")], "i int, payload string")
+    seal = rows.select("i", sinks.sealed(F.col("payload").cast("binary"), sinks.key_of(keys, "k1"), F.lit("1"), "k1").alias("cipher"))
+    back = seal.select("i", sinks.opened(F.col("cipher"), sinks.key_of(keys, "k1"), F.lit("1"), "k1").cast("string").alias("payload"))
+    assert sorted(tuple(r) for r in back.collect()) == [(1, "text"), (2, "")]
+    plan = seal.select("cipher")._jdf.queryExecution().executedPlan().toString()
+    assert "0123456789abcdef" not in plan and b"0123456789abcdef".hex().upper() not in plan
+    with pytest.raises(Exception):
+        seal.select(sinks.opened(F.col("cipher"), sinks.key_of(keys, "k2"), F.lit("1"), "k1")).collect()
