@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import batched
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import written
+from quorumlake.llm.common import shared_folder, written
 
 #: Points of a leaf, and children of a node: a level that needs more centres covers its points less closely.
 LEAF, FANOUT = 64, 12
@@ -242,13 +243,15 @@ def first_scores(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame
     """Each query tree with its met block's part, the k-th scores there, and the candidates found."""
     of = candidates.select("size", "pivot", F.col("part").alias("met"), F.col("parts").alias("c_parts"), F.col("tree").alias("c_tree"))
     same = (queries["size"] == of["size"]) & (queries["pivot"] == of["pivot"]) & (F.pmod(queries["part"], of["c_parts"]) == of["met"])
-    pairs = queries.join(of, same).select(queries["size"], queries["pivot"], "met", "tree", "c_tree")
+    # a pivot may have no candidates: its queries then start without floors
+    pairs = queries.join(of, same, "left").select(queries["size"], queries["pivot"], F.coalesce("met", F.lit(-1).cast("long")).alias("met"), "tree", "c_tree")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(len(frame)):
                 best = Best(pickle.loads(frame["tree"].iloc[i]), k)
-                search(best, pickle.loads(frame["c_tree"].iloc[i]))
+                if frame["c_tree"].iloc[i] is not None:
+                    search(best, pickle.loads(frame["c_tree"].iloc[i]))
                 floors = best.worst.tobytes()
                 yield frame.iloc[i : i + 1][["size", "pivot", "met", "tree"]].assign(floors=[floors], found=[[dict(zip(("query_id", "score", "vec_id"), x, strict=True)) for x in best.found()]])
 
@@ -291,7 +294,10 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, block: int = BLO
     candidates = trees(rows, block)
     queries = first_scores(trees(rows.filter("is_query"), query_block), candidates, k)
     found = queries.select(F.explode("found").alias("x")).select("x.query_id", "x.score", "x.vec_id")
+    folder = f"{shared_folder(vectors.sparkSession)}/{uuid.uuid4().hex}"
+    found.write.parquet(folder)
     for groups in batched(queries.select("size", "pivot", "met", "tree", "floors").toLocalIterator(), SENT):
-        found = found.unionByName(written(searched(candidates, [tuple(g) for g in groups], k)))
+        searched(candidates, [tuple(g) for g in groups], k).write.mode("append").parquet(folder)  # one table, however many rounds
+    found = vectors.sparkSession.read.schema(FOUND).parquet(folder)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # each task first keeps its own k of a query
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

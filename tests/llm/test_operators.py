@@ -516,6 +516,23 @@ def test_top_k_of_repeated_rows_zero_vectors_and_one_hot_pivot(spark):
         assert sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == q) == [(n + 1, j, -s) for n, (s, j) in enumerate(scores)]
 
 
+def test_queries_without_a_block_of_their_own(spark):
+    """A query tree whose pivot has no candidates finds all it should among the other blocks."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-9, 9, 4).tolist(), i < 6) for i in range(60)]
+    placed = spark.createDataFrame([(i, q, v, 4, 7 if q else 1) for i, v, q in rows], "vec_id long, is_query boolean, v array<long>, size int, pivot int")
+    candidates = topk.trees(placed.filter("not is_query"), 16)
+    queries = topk.first_scores(topk.trees(placed.filter("is_query"), 4), candidates, 3)
+    groups = [tuple(r) for r in queries.select("size", "pivot", "met", "tree", "floors").collect()]
+    assert {g[2] for g in groups} == {-1} and queries.filter("size(found) > 0").isEmpty()
+    got = {}
+    for r in topk.searched(candidates, groups, 3).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    points = {i: np.array(v) for i, v, _ in rows}
+    for i in range(6):
+        assert sorted(got[i])[:3] == sorted((-int(points[i] @ points[j]), j) for j in range(6, 60))[:3]
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(none, F.col("vec_id") % 100 == 0).count() == 0
