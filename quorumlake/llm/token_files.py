@@ -115,7 +115,7 @@ def plain_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class Encoder:
     """Ids of texts by the tokenizers library; units that were met are remembered."""
 
-    def __init__(self, vocabulary: bytes, most: int = 1 << 18) -> None:
+    def __init__(self, vocabulary: bytes, most: int = 1 << 19) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
