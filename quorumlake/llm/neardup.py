@@ -52,7 +52,7 @@ SKETCHES, LEAST = 40, 8
 SHORT = 75
 SEED = 0x51ED270B
 #: Least hashes kept of a text, and the standard errors below the threshold at which an estimated overlap rules a pair out.
-BOTTOM, ERRORS = 400, 4.0
+BOTTOM, ERRORS = 400, 7.0
 
 
 def ratio(least: float) -> Fraction:
