@@ -424,29 +424,64 @@ def src_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.docx_blocks(_packed(spark, sf_dir, "word/document.xml", head, row, "</w:body></w:document>"))
 
 
-@register("src_01_archive_members", """SELECT 'nation-' || s_nationkey || '.zip' AS archive, 'part-' || s_suppkey % 2 || '.csv' AS member, CAST(row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) - 1 AS INT) AS row, s_suppkey::VARCHAR AS id, s_name AS name FROM supplier""")
-def src_01_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive per nation with two members, written to the shared folder and read as partitions; only id and name are taken of the members' columns."""
+def _archived(spark: SparkSession, parts: DataFrame) -> str:
+    """A folder of zip archives in the shared folder: ``parts`` has archive, member, text, a row a member."""
     folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    line = F.concat(F.col("s_suppkey").cast("string"), F.lit(',"'), "s_name", F.lit('",'), F.col("s_acctbal").cast("string"), F.lit("\n"))
-    parts = read(spark, sf_dir, "supplier").groupBy("s_nationkey", (F.col("s_suppkey") % 2).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))), lambda x: x["line"]), "").alias("text"))
-    archived = parts.groupBy("s_nationkey").agg(F.collect_list(F.struct("part", "text")).alias("parts"))
     local = members._local(folder)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(local, exist_ok=True)
         for frame in frames:
-            for nation, own in zip(frame["s_nationkey"], frame["parts"], strict=True):
-                whole = f"{local}/nation-{nation}.zip"
+            for archive, own in zip(frame["archive"], frame["parts"], strict=True):
                 with zipfile.ZipFile(part := f"{local}/_{uuid.uuid4().hex}", "w", zipfile.ZIP_DEFLATED) as z:
                     for p in own:
-                        z.writestr(f"part-{p['part']}.csv", "id,name,balance\n" + p["text"])
-                os.replace(part, whole)  # a task that runs again leaves one archive
+                        z.writestr(p["member"], p["text"])
+                os.replace(part, f"{local}/{archive}")  # a task that runs again leaves one archive
             yield pd.DataFrame({"n": [len(frame)]})
 
-    archived.mapInPandas(pack, "n int").agg(F.sum("n")).collect()
+    parts.groupBy("archive").agg(F.collect_list(F.struct("member", "text")).alias("parts")).mapInPandas(pack, "n int").agg(F.sum("n")).collect()
+    return folder
+
+
+def _in_order(key: str, text: object) -> object:
+    """The texts of a group's rows, in order of ``key``, as one."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, text.alias("text")))), lambda x: x["text"]), "")
+
+
+def _members(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
     spark.dataSource.register(members.Members)
-    return spark.read.format("zip_members").option("path", folder).option("kind", "csv").schema("archive string, member string, row int, id string, name string").load()
+    return spark.read.format("zip_members").option("path", folder).option("kind", kind).schema(schema).load()
+
+
+@register("src_01_archive_members", """SELECT 'nation-' || s_nationkey || '.zip' AS archive, 'part-' || s_suppkey % 2 || '.csv' AS member, CAST(row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) - 1 AS INT) AS row, s_suppkey::VARCHAR AS id, s_name AS name FROM supplier""")
+def src_01_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive per nation with two members; only id and name are taken of the members' columns."""
+    line = F.concat(F.col("s_suppkey").cast("string"), F.lit(',"'), "s_name", F.lit('",'), F.col("s_acctbal").cast("string"), F.lit("\n"))
+    archive, member = F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string"), F.lit(".zip")), F.concat(F.lit("part-"), (F.col("s_suppkey") % 2).cast("string"), F.lit(".csv"))
+    parts = read(spark, sf_dir, "supplier").groupBy(archive.alias("archive"), member.alias("member")).agg(F.concat(F.lit("id,name,balance\n"), _in_order("s_suppkey", line)).alias("text"))
+    return _members(spark, _archived(spark, parts), "csv", "archive string, member string, row int, id string, name string")
+
+
+@register("src_07_sheet_members", "SELECT 'customers-' || c_nationkey || '.xlsx' AS archive, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INT) AS row, c_name || ';;' || c_custkey AS cells FROM customer")
+def src_07_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook of customers per nation, whose second column is empty, read row by row."""
+    c = read(spark, sf_dir, "customer").withColumn("r", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("string"))
+    row = F.concat(F.lit('<row r="'), "r", F.lit('"><c r="A'), "r", F.lit('" t="inlineStr"><is><t>'), "c_name", F.lit('</t></is></c><c r="C'), "r", F.lit('"><v>'), F.col("c_custkey").cast("string"), F.lit("</v></c></row>"))
+    sheet = F.concat(F.lit('<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'), _in_order("c_custkey", row), F.lit("</sheetData></worksheet>"))
+    parts = c.groupBy(F.concat(F.lit("customers-"), F.col("c_nationkey").cast("string"), F.lit(".xlsx")).alias("archive")).agg(sheet.alias("text")).withColumn("member", F.lit("xl/worksheets/sheet1.xml"))
+    return _members(spark, _archived(spark, parts), "xlsx", "archive string, row int, cells array<string>").select("archive", "row", F.array_join("cells", ";").alias("cells"))
+
+
+@register("src_08_text_members", "SELECT 'parts-' || p_size || '.docx' AS archive, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS INT) AS row, CASE WHEN p_partkey % 3 = 0 THEN p_partkey || ' | ' || p_name ELSE p_name END AS text FROM part")
+def src_08_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of parts per size, a paragraph or a row of a table each, read block by block."""
+    words = lambda column: F.concat(F.lit("<w:p><w:r><w:t>"), column, F.lit("</w:t></w:r></w:p>"))
+    cell = lambda column: F.concat(F.lit("<w:tc>"), words(column), F.lit("</w:tc>"))
+    table = F.concat(F.lit("<w:tbl><w:tr>"), cell(F.col("p_partkey").cast("string")), cell(F.col("p_name")), F.lit("</w:tr></w:tbl>"))
+    block = F.when(F.col("p_partkey") % 3 == 0, table).otherwise(words(F.col("p_name")))
+    text = F.concat(F.lit('<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'), _in_order("p_partkey", block), F.lit("</w:body></w:document>"))
+    parts = read(spark, sf_dir, "part").groupBy(F.concat(F.lit("parts-"), F.col("p_size").cast("string"), F.lit(".docx")).alias("archive")).agg(text.alias("text")).withColumn("member", F.lit("word/document.xml"))
+    return _members(spark, _archived(spark, parts), "docx", "archive string, row int, text string")
 
 
 @register("src_10_strict_csv", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
