@@ -1005,40 +1005,53 @@ def test_removed_words_match_a_plain_version(spark, hard, group):
 
 
 def test_prefixes_are_split_at_each_level(spark):
-    """Texts that part after 5, 10, 20 and 40 words and others that don't: each has its suffixes dealt at another depth."""
+    """Passages that many texts share around different words, and one that is in all of them: suffixes are dealt at several depths, and a hot window at last."""
     rng = random.Random(15)
-    rows = []
-    for same in (0, 5, 10, 20, 40, 60):
-        head = prose(rng, same, 10**6)
-        rows += [(len(rows) + k, f"{head} {prose(rng, 60 - same, 10**6)} {prose(rng, 20, 10**6)}".strip()) for k in range(6)]
+    core, rows = prose(rng, 12, 10**6), []
+    for before, after in ((0, 50), (10, 30), (20, 20), (30, 8), (45, 45)):
+        head, tail = prose(rng, before, 10**6), prose(rng, after, 10**6)
+        rows += [(len(rows) + k, f"{prose(rng, 45 - before, 10**6)} {head} {core} {tail} {prose(rng, 50 - after, 10**6)}".strip()) for k in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     every = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), "text")
     shared = substrings.anchors(every).withColumnRenamed("anchors", "shared")
     suffix = substrings.suffixes(every.join(shared, ["id", "tie"]))
+    windows = sum(max(0, size_of(t) - 49) for _, t in rows)
+    assert suffix.selectExpr("sum(high - low + 1) AS n").first().n == windows > 4 * suffix.count()
     placed, hot = substrings.dealt(suffix, 3)
-    assert hot and {r.steps for r in placed.select("steps").distinct().collect()} == {0, 1, 2, 3, 4, 5}
-    assert placed.count() == suffix.count() == sum(max(0, size_of(t) - 49) for _, t in rows)
-    assert Counter(map(tuple, substrings.dedup(docs, group=3).collect())) == plain_dedup(rows)
+    depths = {r["last"] - r["first"] for r in placed.select("first", "last").distinct().collect()}
+    assert len(depths) >= 4 and hot is not None and hot.filter("first <> last OR low <> high").isEmpty()
+    assert placed.selectExpr("sum(high - low + 1) AS n").first().n + hot.count() == windows
+    for group in (3, 5, 50_000):
+        assert Counter(map(tuple, substrings.dedup(docs, group=group).collect())) == plain_dedup(rows)
 
 
 def test_nodes_are_those_of_a_plain_tree():
-    """Every set of two or more suffixes with a common prefix, at the depth to which it is common to all of them."""
+    """At every depth the suffixes with so many words in common, and no others, stand below one node."""
     rng = np.random.default_rng(8)
     for _ in range(60):
-        n = int(rng.integers(1, 40))
-        steps = rng.integers(0, 3, (n, 5)).astype(np.uint64)
-        path = (steps[:, 0] << np.uint64(48) | steps[:, 1] << np.uint64(32) | steps[:, 2] << np.uint64(16) | steps[:, 3]).view(np.int64)
-        h1 = h2 = steps[:, 4].astype(np.int64)
-        expected = set()
-        for depth in range(1, 6):
-            below = {}
-            for i, row in enumerate(steps.tolist()):
-                below.setdefault(tuple(row[:depth]), []).append(i)
-            for held in below.values():
-                if len(held) > 1 and (depth == 5 or len({tuple(steps[i, : depth + 1].tolist()) for i in held}) > 1):
-                    expected.add((depth, frozenset(held)))
-        tree = substrings.suffix_tree(path, h1, h2)
-        assert {(int(d), frozenset(tree.order[a : b + 1].tolist())) for a, b, d in zip(tree.first, tree.last, tree.depth, strict=True)} == expected
+        n, length = int(rng.integers(1, 40)), int(rng.integers(1, 9))
+        prefixes = rng.integers(0, 3, (n, length)).astype(np.uint64)
+        tree = substrings.suffix_tree(prefixes)
+        for depth in range(length + 1):
+            below, expected = {}, {}
+            for i, node in zip(tree.order.tolist(), tree.node(depth).tolist(), strict=True):
+                below.setdefault(node, set()).add(i)
+            for i, row in enumerate(prefixes.tolist()):
+                expected.setdefault(tuple(row[:depth]), set()).add(i)
+            assert sorted(map(sorted, below.values())) == sorted(map(sorted, expected.values()))
+    assert len(substrings.suffix_tree(np.zeros((0, 4), dtype=np.uint64)).node(2)) == 0
+
+
+def test_repeats_are_as_long_as_they_can_be(spark):
+    """A passage of 200 words in two documents is a stretch of its own length, made of a few suffixes' stretches, none shorter than a window."""
+    rng = random.Random(3)
+    passage = prose(rng, 200, 10**6)
+    rows = [(1, f"{prose(rng, 60, 10**6)} {passage} {prose(rng, 30, 10**6)}"), (2, f"{prose(rng, 20, 10**6)} {passage}")]
+    every = spark.createDataFrame(rows, "id long, text string").withColumn("tie", F.lit(0).cast("long"))
+    suffix = substrings.suffixes(every.join(substrings.anchors(every).withColumnRenamed("anchors", "shared"), ["id", "tie"]))
+    found = substrings.repeated(suffix).collect()
+    assert {r.id for r in found} == {2} and all(r.end - r.start >= 50 for r in found)
+    assert {k for r in found for k in range(r.start, r.end)} == set(range(20, 220)) and len(found) < 30 and max(r.end - r.start for r in found) > 60
 
 
 def test_dedup_ignores_clashing_columns_and_keeps_repeated_rows(spark):
