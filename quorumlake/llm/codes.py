@@ -164,7 +164,8 @@ def trained(rows: DataFrame, *, parts: int = PARTS, entries: int = ENTRIES, roun
         return state, None
     length = len(first[0])
     state = state.filter(F.size("v") == length)
-    books = Codebooks(np.array([v for v in first if len(v) == length], dtype=np.int64).reshape(-1, length), parts)
+    own = [v for v in first if len(v) == length]
+    books = Codebooks(np.array(own, dtype=np.int64).reshape(len(own), length), parts)
     sums = state.sparkSession.createDataFrame([], DELTAS)
     for _ in range(rounds):
         state = written(assigned(state, books, length, parts))

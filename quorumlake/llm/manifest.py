@@ -3,7 +3,7 @@
 A document's leaf is the sha256 of its fields. The leaves of a language stand
 in ascending doc_id order; every eight consecutive nodes become one until one,
 the language's subroot, is left, and the subroots in order of language give the
-root in the same way. Leaves are dealt into aligned blocks of ``BLOCK`` = 8**4.
+root in the same way. Leaves are dealt into aligned blocks of 8**4.
 A block's root needs the block alone, and roots of blocks are the leaves of the
 next layer, so layers of tables of a 4,096th of the rows each lead to the root.
 
@@ -37,7 +37,6 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY, BITS = 8, 3
 #: Levels of a block, and of a subtree in it.
 LEVELS, HEIGHT = 4, 2
-BLOCK = ARITY**LEVELS
 PATH = "array<struct<place: int, siblings: string>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,14 +59,12 @@ def joined(run: Sequence[str]) -> str:
     return sha256("".join(run).encode()).hexdigest()
 
 
-def levels_of(n: int, alone: bool) -> int:
-    """Levels above the ``n`` nodes of a block: all of them, or as many as lead to one node where the block is ``alone``."""
-    if not alone:
-        return LEVELS
+def levels_of(n: int, alone: bool, most: int = LEVELS) -> int:
+    """Levels above the ``n`` nodes of a block: ``most``, or as many as lead to one node where the block is ``alone``."""
     levels = 0
     while ARITY**levels < n:
         levels += 1
-    return levels
+    return levels if alone else most
 
 
 class Growing:
@@ -110,15 +107,15 @@ class Growing:
         return self.runs[self.top][0]
 
 
-def block_root(leaves: Sequence[str], alone: bool) -> str:
-    levels = levels_of(len(leaves), alone)
+def block_root(leaves: Sequence[str], alone: bool, most: int = LEVELS) -> str:
+    levels = levels_of(len(leaves), alone, most)
     return Growing(leaves, 0, levels, levels).whole().root
 
 
-def paths(leaves: Sequence[str], alone: bool) -> Iterator[list[tuple[int, str]]]:
+def paths(leaves: Sequence[str], alone: bool, most: int = LEVELS, height: int = HEIGHT) -> Iterator[list[tuple[int, str]]]:
     """For each leaf of a block in order: its place in its run and the run's other nodes, level by level."""
-    levels = levels_of(len(leaves), alone)
-    spans = [(low, min(low + HEIGHT, levels)) for low in range(0, levels, HEIGHT)]
+    levels = levels_of(len(leaves), alone, most)
+    spans = [(low, min(low + height, levels)) for low in range(0, levels, height)]
     existing = [Growing(leaves, 0, low, top).whole() for low, top in spans]
     desired = [Growing(leaves, ARITY**top, low, top) for low, top in spans]
     for i in range(len(leaves)):
@@ -159,36 +156,37 @@ def numbered(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     return laid.join(per, same).withColumn("pos", F.col("row") - F.col("first") + F.col("before")).drop("row", "range", "in_range", "g", "first", "before")
 
 
-def in_blocks(nodes: DataFrame, *columns: str) -> DataFrame:
+def in_blocks(nodes: DataFrame, levels: int, *columns: str) -> DataFrame:
     """lang, block, total and the block's ``nodes`` in order, each with pos and ``columns``."""
     rows = F.array_sort(F.collect_list(F.struct("pos", *columns)))
-    return nodes.groupBy("lang", F.expr(f"pos div {BLOCK}").alias("block"), "total").agg(rows.alias("nodes"))
+    return nodes.groupBy("lang", F.expr(f"pos div {ARITY**levels}").alias("block"), "total").agg(rows.alias("nodes"))
 
 
-def roots(blocks: DataFrame, name: str = "digest") -> DataFrame:
+def roots(blocks: DataFrame, levels: int, name: str = "digest") -> DataFrame:
     """The roots of ``blocks`` as nodes of the next layer: lang, pos, total, digest."""
+    size = ARITY**levels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [block_root(d, total <= BLOCK) for d, total in zip(batch.column("digests").to_pylist(), batch.column("total").to_pylist())]
+            out = [block_root(d, total <= size, levels) for d, total in zip(batch.column("digests").to_pylist(), batch.column("total").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("pos"), batch.column("total"), pa.array(out, pa.string())], names=["lang", "pos", "total", "digest"])
 
     found = blocks.select("lang", F.col("block").alias("pos"), "total", F.col(f"nodes.{name}").alias("digests")).mapInArrow(run, "lang string, pos long, total long, digest string")
-    return found.withColumn("total", F.ceil(F.col("total") / BLOCK))
+    return found.withColumn("total", F.ceil(F.col("total") / size))
 
 
-def layers(blocks: DataFrame, name: str = "digest") -> tuple[list[DataFrame], DataFrame]:
+def layers(blocks: DataFrame, levels: int, name: str = "digest") -> tuple[list[DataFrame], DataFrame]:
     """Blocks of every layer above ``blocks``, and lang and digest of what remains of each language."""
     out = []
     while True:
-        nodes = written(roots(blocks, name))
+        nodes = written(roots(blocks, levels, name))
         if (nodes.agg(F.max("total")).first()[0] or 0) <= 1:
             return out, nodes.select("lang", "digest")
-        blocks, name = written(in_blocks(nodes, "digest")), "digest"
+        blocks, name = written(in_blocks(nodes, levels, "digest")), "digest"
         out.append(blocks)
 
 
-def below(blocks: DataFrame, above: DataFrame) -> DataFrame:
+def below(blocks: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """lang, pos and path of each node of ``blocks``, of which ``above`` (lang, block, path) has the paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +195,7 @@ def below(blocks: DataFrame, above: DataFrame) -> DataFrame:
                 r = batch.slice(row, 1).to_pylist()[0]
                 upper = [(s["place"], s["siblings"]) for s in r["path"]]
                 digests = [n["digest"] for n in r["nodes"]]
-                found = [own + upper for own in paths(digests, r["total"] <= BLOCK)]
+                found = [own + upper for own in paths(digests, r["total"] <= ARITY**levels, levels)]
                 shaped = [[{"place": p, "siblings": s} for p, s in path] for path in found]
                 kind = pa.list_(pa.struct([("place", pa.int32()), ("siblings", pa.string())]))
                 yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(found), pa.string()), pa.array([n["pos"] for n in r["nodes"]], pa.int64()), pa.array(shaped, kind)], names=["lang", "block", "path"])
@@ -210,7 +208,7 @@ def _with_paths(blocks: DataFrame, above: DataFrame) -> DataFrame:
     return b.join(a, F.col("b.lang").eqNullSafe(F.col("a.lang")) & (F.col("b.block") == F.col("a.block"))).select("b.*", "a.path")
 
 
-def manifest(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame, str | None]:
+def manifest(docs: DataFrame, *kept: str, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, str | None]:
     """Blocks of leaves with the path above each, lang and subroot of each language, and the root.
 
     ``docs`` has leaf, doc_id, lang and the columns ``kept``, which stay beside the leaves. The driver sees the root.
@@ -218,26 +216,26 @@ def manifest(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame, str | N
     place = F.monotonically_increasing_id()
     rows = docs.select("doc_id", "lang", "leaf", *kept, place.alias("place"))
     leaves = numbered(rows, "lang", F.col("doc_id").asc_nulls_last(), F.col("leaf"), F.col("place"))
-    base = written(in_blocks(leaves, "doc_id", "leaf", *kept))
-    upper, subroots = layers(base, "leaf")
+    base = written(in_blocks(leaves, levels, "doc_id", "leaf", *kept))
+    upper, subroots = layers(base, levels, "leaf")
     tops = numbered(subroots.withColumnRenamed("lang", "own").withColumn("lang", F.lit("")), "lang", F.col("own").asc_nulls_first())
-    top_blocks = written(in_blocks(tops.select("lang", "pos", "total", "own", "digest"), "digest", "own"))
-    top_layers, last = layers(top_blocks)
+    top_blocks = written(in_blocks(tops.select("lang", "pos", "total", "own", "digest"), levels, "digest", "own"))
+    top_layers, last = layers(top_blocks, levels)
     root = last.first()
     # from the root down: first among the languages, then within each
     start = F.array().cast(PATH).alias("path")
     above = last.select("lang", F.lit(0).cast("long").alias("block"), start)
     for blocks in [top_blocks, *top_layers][::-1]:
-        above = below(blocks.select("lang", "block", "total", F.transform("nodes", lambda n: F.struct(n["pos"].alias("pos"), n["digest"].alias("digest"))).alias("nodes")), above)
+        above = below(blocks.select("lang", "block", "total", F.transform("nodes", lambda n: F.struct(n["pos"].alias("pos"), n["digest"].alias("digest"))).alias("nodes")), above, levels)
     named = top_blocks.select(F.explode("nodes").alias("n")).select("n.pos", "n.own", F.col("n.digest").alias("subroot"))
     languages = written(named.join(above, F.col("pos") == F.col("block")).select(F.col("own").alias("lang"), "subroot", "path"))
     above = languages.select("lang", F.lit(0).cast("long").alias("block"), "path")
     for blocks in upper[::-1]:
-        above = below(blocks, above)
+        above = below(blocks, above, levels)
     return _with_paths(base, above), languages.select("lang", "subroot"), root["digest"] if root else None
 
 
-def _emitted(blocks: DataFrame, kind: str, row: object) -> DataFrame:
+def _emitted(blocks: DataFrame, kind: str, row: object, levels: int) -> DataFrame:
     """One row per leaf of ``blocks``: what ``row`` makes of the leaf's node and path."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -249,7 +247,7 @@ def _emitted(blocks: DataFrame, kind: str, row: object) -> DataFrame:
             for at in range(batch.num_rows):
                 r = batch.slice(at, 1).to_pylist()[0]
                 upper = [(s["place"], s["siblings"]) for s in r["path"]]
-                own = paths([n["leaf"] for n in r["nodes"]], r["total"] <= BLOCK)
+                own = paths([n["leaf"] for n in r["nodes"]], r["total"] <= ARITY**levels, levels)
                 rows = [row(n, path + upper) | {"lang": r["lang"]} for n, path in zip(r["nodes"], own)]
                 for low in range(0, len(rows), 512):
                     yield pa.RecordBatch.from_pylist(rows[low : low + 512], schema=schema)
@@ -262,20 +260,20 @@ def _with_subroots(rows: DataFrame, subroots: DataFrame, root: str | None) -> Da
     return r.join(s, F.col("r.lang").eqNullSafe(F.col("s.lang"))).select("r.*", "s.subroot", F.lit(root).cast("string").alias("root"))
 
 
-def proofs(docs: DataFrame) -> DataFrame:
+def proofs(docs: DataFrame, *, levels: int = LEVELS) -> DataFrame:
     """doc_id, lang, leaf, path (place in the run and the run's other nodes, from the leaf up), subroot and root of every document."""
-    blocks, subroots, root = manifest(docs.withColumn("leaf", leaf()))
-    rows = _emitted(blocks, f"doc_id long, lang string, leaf string, path {PATH}", lambda n, path: {"doc_id": n["doc_id"], "leaf": n["leaf"], "path": [{"place": p, "siblings": s} for p, s in path]})
+    blocks, subroots, root = manifest(docs.withColumn("leaf", leaf()), levels=levels)
+    rows = _emitted(blocks, f"doc_id long, lang string, leaf string, path {PATH}", lambda n, path: {"doc_id": n["doc_id"], "leaf": n["leaf"], "path": [{"place": p, "siblings": s} for p, s in path]}, levels)
     return _with_subroots(rows, subroots, root)
 
 
-def verified(docs: DataFrame, **changed: Column) -> DataFrame:
+def verified(docs: DataFrame, *, levels: int = LEVELS, **changed: Column) -> DataFrame:
     """Every document's leaf, subroot, root, digest of its proof, and the root that its fields as ``changed`` lead to beside the proof."""
 
     def row(n: dict, path: list[tuple[int, str]]) -> dict:
         return {"doc_id": n["doc_id"], "leaf": n["leaf"], "proof_sha256": joined([s for _, s in path]), "folded_root": folded(n["seen"], path)}
 
-    blocks, subroots, root = manifest(docs.withColumns({"leaf": leaf(), "seen": leaf(**changed)}), "seen")
-    rows = _emitted(blocks, "doc_id long, lang string, leaf string, proof_sha256 string, folded_root string", row)
+    blocks, subroots, root = manifest(docs.withColumns({"leaf": leaf(), "seen": leaf(**changed)}), "seen", levels=levels)
+    rows = _emitted(blocks, "doc_id long, lang string, leaf string, proof_sha256 string, folded_root string", row, levels)
     out = _with_subroots(rows, subroots, root)
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -6,8 +6,8 @@ blocks, and the blocks, each coded by itself in ``LANES`` interleaved lanes
 lane there is a checkpoint: the lanes' states and the place in the block's
 words, so that decoding can begin there. Layout, little-endian:
 
-    "QLR1", bits u8, 3 bytes 0, ids u64, symbols u32, blocks u32, segments u32
-    symbols u32[symbols], frequencies u32[symbols] (they sum to 2**bits)
+    "QLR1", bits u8, 3 bytes 0, ids u64, symbols u32, blocks u32, segments u32, table's bytes u32
+    the table, deflated: steps between symbols u32[symbols], frequencies u32[symbols] (they sum to 2**bits)
     per block: ids u32, words u32, crc32 of its ids as u32 u32, crc32 of its states and words u32
     per segment, block by block: first word u32; then all segments' states u64[LANES]
     all blocks' words u32
@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"QLR1"
-HEAD = struct.Struct("<4sB3xQIII")
+HEAD = struct.Struct("<4sB3xQIIII")
 LANES, BLOCK, STEPS = 64, 1 << 16, 256
 #: A state lies in [LOW, 2**64) between symbols; 32 bits move at a time.
 LOW = np.uint64(1 << 32)
@@ -109,11 +109,11 @@ def pack(ids: np.ndarray) -> bytes:
         block_rows.append((int(left[b]), len(own), zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].tobytes()), check))
         segment_rows += places
         segment_states.append(kept)
+    shared = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes())
     body = b"".join(
         (
-            HEAD.pack(MAGIC, bits, n, len(symbols), blocks, len(segment_rows)),
-            symbols.astype("<u4").tobytes(),
-            freq.astype("<u4").tobytes(),
+            HEAD.pack(MAGIC, bits, n, len(symbols), blocks, len(segment_rows), len(shared)),
+            shared,
             np.array(block_rows, dtype="<u4").tobytes(),
             np.array(segment_rows, dtype="<u4").tobytes(),
             *(s.tobytes() for s in segment_states),
@@ -129,10 +129,12 @@ class Frame:
     def __init__(self, data: bytes) -> None:
         if len(data) < HEAD.size + 4 or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("a frame of ids is damaged")
-        magic, self.bits, self.n, symbols, blocks, segments = HEAD.unpack_from(data)
+        magic, self.bits, self.n, symbols, blocks, segments, size = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("this is no frame of ids")
-        at = HEAD.size
+        shared = np.frombuffer(zlib.decompress(data[HEAD.size : HEAD.size + size]), dtype="<u4")
+        self.symbols, self.freq = np.cumsum(shared[:symbols], dtype=np.uint32), shared[symbols:]
+        at = HEAD.size + size
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -140,7 +142,6 @@ class Frame:
             at += out.nbytes
             return out
 
-        self.symbols, self.freq = take("<u4", symbols), take("<u4", symbols)
         self.blocks = take("<u4", 4 * blocks).reshape(blocks, 4)
         self.first_word, self.states = take("<u4", segments), take("<u8", segments * LANES).reshape(segments, LANES)
         self.words = take("<u4", (len(data) - 4 - at) // 4)
