@@ -17,7 +17,7 @@ EDGES = "tenant_id string, relationship_name string, from_entity_id string, to_e
 
 def walk(spark, entities, edges, start, target, depth=6):
     e, g = spark.createDataFrame([("t", *x) for x in entities], ENTITIES), spark.createDataFrame([("t", *x) for x in edges], EDGES)
-    rows = graph.paths_to_type(spark.createDataFrame([("t", start)], "tenant_id string, start_id string"), e, g, target, depth).collect()
+    rows = graph.paths_to_type(spark.createDataFrame([("t", start)], "tenant_id string, start_id string"), e, g, target, depth, lambda df: spark.createDataFrame(df.collect(), df.schema)).collect()
     return sorted((r.target_id, r.depth) for r in rows)
 
 
@@ -50,7 +50,7 @@ def test_reachable_nodes_are_those_of_a_plain_search(spark):
                     depths[f"n{b}"] = depths[at] + 1
                     queue.append(f"n{b}")
         expected |= {(tenant, start, node, depth) for node, depth in depths.items() if depth}
-    got = [tuple(r) for r in graph.reachable(spark.createDataFrame(starts, "tenant_id string, start_id string"), edges, 3).collect()]
+    got = [tuple(r) for r in graph.reachable(spark.createDataFrame(starts, "tenant_id string, start_id string"), edges, 3, lambda df: spark.createDataFrame(df.collect(), df.schema)).collect()]
     assert len(got) == len(expected) and set(got) == expected
 
 
