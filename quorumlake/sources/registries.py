@@ -10,7 +10,7 @@ out, as are the rules between header and body.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ NAMING = ("Document", "Artifact", "Review Artifact", "Registry Version")
 MATRIX = ("Dependent Identifier", "Dependent Version", "Dependency Identifier", "Dependency Version", "Dependency Status", "Relationship", "Semantic Compatibility", "Approval Reference")
 # Where an entry's file is linked, and what of a name identifies it.
 LOCATION = r"\]\((released/v1\.\d+/[^)]+)\)"
-IDENTIFIER = r"^([A-Z]+-\d{3}|CDD Template|Enterprise Constitution|ECOM Physical Data Model)"
+IDENTIFIER = r"[A-Z]+-\d{3}"
 
 
 @udtf(returnType="file string, line int, section string, cells map<string,string>")
@@ -69,11 +69,15 @@ def _first_of(names: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.when(_cell(n) != "", _cell(n)) for n in names])
 
 
-def entries(rows: DataFrame) -> DataFrame:
-    """file, line, section, name, identifier, version, status, current, authority, location, replacement of the rows of registries."""
+def entries(rows: DataFrame, titles: Sequence[str] = ()) -> DataFrame:
+    """file, line, section, name, identifier, version, status, current, authority, location, replacement of the rows of registries.
+
+    ``titles`` identify an entry whose name begins with one, as its number does that of others.
+    """
+    known = "|".join([IDENTIFIER, *(re.escape(t) for t in titles)])
     located = F.regexp_extract(_cell("Location"), LOCATION, 1)
     name = _first_of(NAMING)
-    found = F.regexp_extract(_first_of(NAMING[:3]), IDENTIFIER, 1)
+    found = F.regexp_extract(_first_of(NAMING[:3]), f"^({known})", 1)
     return rows.select(
         "file",
         "line",

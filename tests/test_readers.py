@@ -58,6 +58,8 @@ def test_governance_of_registries(spark):
     found = registries.entries(registries.registry_rows(registry_lines(spark, files)))
     one = found.filter("name = 'CDD-001 One'").first()
     assert (one.identifier, one.version, one.location, one.replacement) == ("CDD-001", "1.0", "released/v1.1/a b.md", "")
+    titled = registries.entries(registries.registry_rows(registry_lines(spark, {"c.md": [HEAD, entry("House Rules (2024)"), entry("House Plan")]})), ["House Rules"])
+    assert {(r.name, r.identifier) for r in titled.collect()} == {("House Rules (2024)", "House Rules"), ("House Plan", "House Plan")}
     got = {(r.file, r.line, r.error) for r in registries.governance_errors(found).collect()}
     assert got == {("a.md", 4, "INVALID_COMBINATION"), ("a.md", 5, "MISSING_GOVERNANCE"), ("a.md", None, "SEVERAL_AUTHORITIES"), ("b.md", 2, "NO_REPLACEMENT"), ("b.md", 4, "MISSING_GOVERNANCE")}
 
