@@ -50,7 +50,15 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` gave, when all that was made of them is stored itself: nothing can be made anew from them after that."""
+    for t in tables:
+        _remove(t.sparkSession, t._stored_at)
 
 
 def word_count(text: Column) -> Column:

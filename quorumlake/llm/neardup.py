@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.llm import words
-from quorumlake.llm.common import written
+from quorumlake.llm.common import discard, written
 
 K, SIMILARITY = 5, 0.8
 #: Tuples of a text, and k-mers in each: at 0.8 a pair of long texts is missed once in about a thousand times.
@@ -239,7 +239,9 @@ def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, k: int = K,
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     texts = written(of_firsts(texts, firsts.join(wanted, "digest", "left_semi")).select("digest", "text"))
     both = pairs.join(texts.withColumnsRenamed({"digest": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"digest": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
+    out = written(both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary"))
+    discard(texts)
+    return out
 
 
 def contracted(edges: DataFrame, label: DataFrame) -> DataFrame:
@@ -286,9 +288,10 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     texts = own.filter("text is not null").select("doc_id", digest.alias("digest"), "text")
     firsts = written(firsts)
 
-    sketched = written(of_firsts(sketches(texts, k, count, least), firsts))
+    drawn = written(of_firsts(sketches(texts, k, count, least), firsts))
     buckets = F.when(F.col("rare").isNull(), F.col("buckets")).otherwise(F.array_union("buckets", "rare"))
-    sketched = written(sketched.join(rarest(sketched, similarity), "digest", "left").select("digest", "sample", buckets.alias("buckets")))
+    sketched = written(drawn.join(rarest(drawn, similarity), "digest", "left").select("digest", "sample", buckets.alias("buckets")))
+    discard(drawn)
     samples = sketched.select("digest", "sample")
     found = sketched.select("digest", F.explode("buckets").alias("bucket"))
     shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -301,7 +304,7 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     with_a = pairs.join(samples.withColumnsRenamed({"digest": "a", "sample": "sample_a"}), "a")
     with_b = with_a.join(samples.withColumnsRenamed({"digest": "b", "sample": "sample_b"}), "b")
     stars = written(with_b.filter(may_be_similar(F.col("sample_a"), F.col("sample_b"), similarity, errors)).select("a", "b"))
-    links = written(verified(stars, texts, firsts, k, similarity))
+    links = verified(stars, texts, firsts, k, similarity)
 
     # buckets that hold more than one group still: the pairs across groups that the stars didn't compare
     label = components(links)
@@ -310,14 +313,15 @@ def near_duplicates(docs: DataFrame, *, k: int = K, similarity: float = SIMILARI
     left = grouped.join(split, "bucket", "left_semi").join(sketched.select("digest", "sample", "buckets"), "digest")
     largest = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     left = written(left.join(largest, "bucket").withColumn("minor", F.expr("label != largest")).drop("largest"))
+    discard(met, sketched)
     minor = left.filter("minor").select(*(F.col(c).alias(f"{c}_x") for c in ("bucket", "digest", "label", "sample", "buckets")))
     # a pair is taken in the first bucket that both are in, and once where both are outside the largest group
     once = (F.col("bucket") == F.array_min(F.array_intersect("buckets", "buckets_x"))) & (~F.col("minor") | (F.col("digest") < F.col("digest_x")))
     differ = (F.col("bucket") == F.col("bucket_x")) & (F.col("label") != F.col("label_x")) & once & may_be_similar(F.col("sample"), F.col("sample_x"), similarity, errors)
     across = minor.join(left, differ).select(F.least("digest_x", "digest").alias("a"), F.greatest("digest_x", "digest").alias("b"))
-    rest = across.distinct().join(stars, ["a", "b"], "left_anti")
-    rest = written(rest)
-    more = written(verified(rest, texts, firsts, k, similarity))
+    rest = written(across.distinct().join(stars, ["a", "b"], "left_anti"))
+    discard(left, stars)
+    more = verified(rest, texts, firsts, k, similarity)
 
     further = components(contracted(more, label))
     nodes = firsts.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
