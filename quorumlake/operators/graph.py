@@ -43,7 +43,8 @@ def paths_to_type(starts: DataFrame, entities: DataFrame, edges: DataFrame, targ
     """tenant_id, start_id, target_id, target_name, depth, steps of every simple path that ends at its first ``target_type`` (GRF-02).
 
     ``starts`` has tenant_id and start_id. Nodes that aren't in ``entities`` end a path. A hop is taken only to a target,
-    or to a node from which one can still be reached in the hops that are left. ``keep`` stores the hops and each front.
+    or to a node from which one can still be reached in the hops that are left. ``keep`` stores the hops and each front;
+    hops to targets are joined to the stored fronts as the result is read, so paths that have arrived are not stored.
     """
     nodes = entities.select("tenant_id", F.col("entity_id").alias("to_entity_id"), F.col("entity_name").alias("_name"), F.col("entity_type_name").alias("_type"))
     hops = keep(edges.join(nodes, ["tenant_id", "to_entity_id"]).select("tenant_id", "relationship_name", F.col("from_entity_id").alias("at"), F.col("to_entity_id").alias("next"), "_name", "_type"))
@@ -56,17 +57,20 @@ def paths_to_type(starts: DataFrame, entities: DataFrame, edges: DataFrame, targ
         hops = keep(hops.join(far, ["tenant_id", "next"], "left").withColumn("left", F.when(target, 0).otherwise(F.col("far"))).filter("left IS NOT NULL").drop("far"))
     else:
         hops = hops.filter(F.col("_type") == target_type).withColumn("left", F.lit(0))
+    step = F.struct("relationship_name", F.col("next").alias("entity_id"), F.col("_name").alias("entity_name"))
+    arriving, onward = hops.filter("left = 0"), hops.filter("left > 0")
     for depth in range(1, max_depth + 1):
-        step = F.struct("relationship_name", F.col("next").alias("entity_id"), F.col("_name").alias("entity_name"))
-        ahead = keep(
-            front.join(hops.filter(F.col("left") <= max_depth - depth), ["tenant_id", "at"])
-            .filter(~F.array_contains("seen", F.col("next")))
-            .select("tenant_id", "start_id", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), F.concat("steps", F.array(step)).alias("steps"), "left", F.col("_name"))
+        new, steps = ~F.array_contains("seen", F.col("next")), F.concat("steps", F.array(step)).alias("steps")
+        found.append(
+            front.join(arriving, ["tenant_id", "at"])
+            .filter(new)
+            .select("tenant_id", "start_id", F.col("next").alias("target_id"), F.col("_name").alias("target_name"), F.lit(depth).alias("depth"), steps)
         )
-        arrived = F.col("left") == 0
-        found.append(ahead.filter(arrived).select("tenant_id", "start_id", F.col("at").alias("target_id"), F.col("_name").alias("target_name"), F.lit(depth).alias("depth"), "steps"))
-        front = ahead.filter(~arrived).drop("left", "_name")
-        if depth < max_depth and front.isEmpty():
+        if depth == max_depth:
+            break
+        ahead = front.join(onward.filter(F.col("left") <= max_depth - depth), ["tenant_id", "at"]).filter(new)
+        front = keep(ahead.select("tenant_id", "start_id", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), steps))
+        if front.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)
 
