@@ -60,7 +60,8 @@ def resume_points(checkpoints: DataFrame, key: str, stages: Sequence[str] = STAG
     names = F.array(*[F.lit(s) for s in stages])
 
     def judged(c: Column, i: Column) -> Column:
-        placed = (c["stage_ordinal"] == i) & c["stage_name"].eqNullSafe(F.get(names, i))
+        # past the last stage there is no name that a checkpoint could have, not even a null one
+        placed = (c["stage_ordinal"] == i) & (i < len(stages)) & c["stage_name"].eqNullSafe(F.get(names, i))
         refuses = F.when(~F.coalesce(placed, F.lit(False)), INVALID_ORDER).when(~F.coalesce(c["side_effect_certain"], F.lit(False)), UNCERTAIN)
         again = ~F.coalesce(c["committed"] & c["integrity_valid"], F.lit(False))
         return F.struct(refuses.alias("refused"), F.when(refuses.isNull() & again, i).alias("at"))

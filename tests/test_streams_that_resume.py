@@ -185,3 +185,10 @@ def test_resume_points(spark):
     assert got == {i: plain_next(own, staged.STAGES) for i, own in runs.items()}
     unknown = spark.createDataFrame([(1, 0, "ERM", None, True, True), (2, 0, "ERM", True, True, None)], df.schema)
     assert {r.run: (r.resume_at, r.refused) for r in staged.resume_points(unknown, "run").collect()} == {1: (0, None), 2: (None, staged.UNCERTAIN)}
+
+
+def test_checkpoints_past_the_last_stage_are_out_of_place(spark):
+    """A run with more checkpoints than there are stages is refused, though the stage that isn't there has no name either."""
+    of = lambda run, n: [(run, k, staged.STAGES[k] if k < len(staged.STAGES) else None, True, True, True) for k in range(n)]
+    df = spark.createDataFrame([*of(1, 6), *of(2, 7), *of(3, 8)], "run int, stage_ordinal int, stage_name string, committed boolean, integrity_valid boolean, side_effect_certain boolean")
+    assert {r.run: (r.resume_at, r.refused) for r in staged.resume_points(df, "run").collect()} == {1: (6, None), 2: (None, staged.INVALID_ORDER), 3: (None, staged.INVALID_ORDER)}
