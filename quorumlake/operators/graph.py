@@ -205,10 +205,32 @@ SCENARIO_EDGES = (
 )
 SEVERE_EVENT = "Severe Regional Logistics Disruption"
 # The labels and details of a scenario's nodes, in order.
-STATUS, REGION, UNIT_COST, ANNUAL, TIED = "Status: %s", "Region: %s", "Unit cost: $%.2f", "$%.0fM Annual Revenue", "Annual revenue tied to this product."
+STATUS, REGION, UNIT_COST, ANNUAL, TIED = "Status: %s", "Region: %s", "Unit cost: $%s", "$%sM Annual Revenue", "Annual revenue tied to this product."
 AGREEMENT, SOURCED, CAPACITY, LEAD_TIME = "Supply Agreement %s", "%s%% sourced from %s", "Available capacity: %s%%", "Activation lead time: %s days"
 
 
+def _rounded(x: Column) -> Column:
+    """``x`` in whole numbers, as C prints it: by its exact binary value, a half to the even one; Java's form rounds the decimal text half up."""
+    return F.format_string("%.0f", F.rint(x))
+
+
+def _cents(x: Column) -> Column:
+    """``x`` with two decimals, by its exact binary value, a half to the even one.
+
+    The fraction is counted in 2**-52, a hundred times which a long holds; what is finer, of numbers below 1, is added as a
+    double, exactly from 2**-8 on, and below that nothing comes near a half.
+    """
+    size = F.abs(x)
+    whole, scaled = F.floor(size), (size - F.floor(size)) * 2.0**52
+    hundredfold = F.floor(scaled) * F.lit(100).cast("long")
+    cents, rest = F.shiftright(hundredfold, 52), hundredfold.bitwiseAND(F.lit(2**52 - 1))
+    over = (rest - F.lit(2**51)).cast("double") + (scaled - F.floor(scaled)) * 100.0
+    cents = cents + ((over > 0) | ((over == 0) & (cents % 2 == 1))).cast("long")
+    text = F.format_string("%s%d.%02d", F.when(F.format_string("%.0f", x).startswith("-"), "-").otherwise(""), whole + F.floor(cents / 100), cents % 100)
+    # from 2**52 on there are no fractions, and what isn't a number has a form of its own
+    return F.when(size < 2.0**52, text).otherwise(F.format_string("%.2f", x))
+
+
 def scenario_nodes(facts: DataFrame) -> DataFrame:
     """scenario_id, id, kind, label, details, on_risk_path: nine nodes of each row of facts (GRF-07).
 
@@ -226,10 +248,10 @@ def scenario_nodes(facts: DataFrame) -> DataFrame:
 
     nodes = (
         node("supplier", c("supplier.name"), say(STATUS, "supplier.status"), say(REGION, "region.name")),
-        node("material", c("material.name"), F.format_string(UNIT_COST, c("material.unit_cost"))),
+        node("material", c("material.name"), F.format_string(UNIT_COST, _cents(c("material.unit_cost")))),
         node("product", c("product.name")),
         node("facility", c("facility.name"), say(REGION, "facility.region")),
-        node("revenue", F.format_string(ANNUAL, c("revenue.annual") / 1_000_000), F.lit(TIED), at=F.lit("primary")),
+        node("revenue", F.format_string(ANNUAL, _rounded(c("revenue.annual") / 1_000_000)), F.lit(TIED), at=F.lit("primary")),
         node("region", c("region.name")),
         node("riskEvent", F.when(c("event.severity") == "Severe", SEVERE_EVENT).otherwise(c("event.description")), c("event.description"), at=text("event.id")),
         node("agreement", say(AGREEMENT, "agreement.id"), say(SOURCED, "agreement.percent", "supplier.name"), c("agreement.terms")),

@@ -1,6 +1,7 @@
 """Golden cases of the operators: graphs, evidence, policies, histories, state."""
 
 import datetime
+import random
 import zipfile
 from collections import deque
 
@@ -358,3 +359,19 @@ def test_keys_stay_out_of_plans(spark):
     assert "0123456789abcdef" not in plan and b"0123456789abcdef".hex().upper() not in plan
     with pytest.raises(Exception):
         seal.select(sinks.opened(F.col("cipher"), sinks.key_of(keys, "k2"), F.lit("1"), "k1")).collect()
+
+
+def test_scenario_amounts_are_rounded_by_their_exact_value(spark):
+    """Halves go to the even number, and what only looks like a half is none."""
+    rng = random.Random(7)
+    amounts = [0.125, 0.375, 1.005, 2.675, 198.5, 0.5, 1.5, 2.5, 0.005, 0.015, 1e-20, 0.0, -0.0, -0.001, -2.675, 0.995, 1.995, 9.999, 99.995, 2.0**51 + 0.5, 2.0**53, 1e18, *[rng.randrange(10**7) / 1000 for _ in range(2000)], *[rng.randrange(10**5) + rng.randrange(1000) / 8 for _ in range(500)]]
+    of = lambda **fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    none, x = F.lit("x"), F.col("x")
+    facts = spark.createDataFrame(list(enumerate(amounts)), "scenario_id int, x double").select(
+        "scenario_id",
+        *[of(id=none, name=none, status=none, unit_cost=x, region=none, severity=none, description=none, percent=none, terms=none, capacity=none, lead_days=none, annual=x * 1_000_000).alias(k) for k in "supplier region material product facility revenue event agreement candidate".split()],
+    )
+    said = {(r.scenario_id, r.kind): (r.label, r.details) for r in graph.scenario_nodes(facts).filter("kind IN ('material', 'revenue')").collect()}
+    for i, amount in enumerate(amounts):
+        assert said[i, "material"][1] == [f"Unit cost: ${amount:.2f}"]
+        assert said[i, "revenue"][0] == f"${amount * 1_000_000 / 1_000_000:.0f}M Annual Revenue"
