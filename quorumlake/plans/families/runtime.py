@@ -314,7 +314,9 @@ def _assessment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     eligible = F.concat(F.lit(f'[{{"supplier_entity_id": "{REQUEST_ID}", "qualified": '), F.when(k % 11 == 0, '"yes"').otherwise("true"), F.lit(', "approved": true, "contractually_eligible": false, "usable_capacity": true, "operationally_ready": true}]'))
     fixed = text(source_object_ids=f'["{REQUEST_ID}"]', enterprise_candidates=f'[["{REQUEST_ID}", "Acme"]]', semantic_terms='["delay"]', semantic_candidates="[]", context_id=f'"{REQUEST_ID}"', material_id=f'"{REQUEST_ID}"', facility_or_region_id=f'"{REQUEST_ID}"', acceptance_evidence="null", **{n: "0.5" for n in documents.SCORES[1:]}, **{n: '"1"' for n in documents.VERSIONS}, **{n: '"p"' for n in documents.NAMES})
     body = F.concat(F.lit("{" + fixed + ', "supplier_names": '), named, F.lit(', "effective_at": "'), at, F.lit('", "observations": '), observations, F.lit(', "supplier_eligibility": '), eligible, F.lit(', "identity_score": '), F.when(k % 7 == 2, "1.5").otherwise("1"), F.when(k % 7 == 1, ', "surplus": {}').otherwise(""), F.when(k % 7 == 6, "").otherwise("}"))
-    return read(spark, sf_dir, "orders").select(k, body.alias("body"), i.alias("request"))
+    # texts take much longer to check than to read, so orders that lie in few row groups are dealt to more tasks
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    return orders.select(k, body.alias("body"), i.alias("request"))
 
 
 @register("src_12_assessment_requests", ASSESSMENTS_SQL)

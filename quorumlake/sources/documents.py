@@ -2,31 +2,48 @@
 
 A form says what a value must be; ``violations`` gives a row for everything that
 isn't so, with its path (``$.observations[2].value``). Texts are parsed once
-into VARIANT and checked by expressions, so forms nest as deep as documents do
-and no schema has to cover what may be wrong in them. Text that is no JSON, an
-object that names a key twice included, is one violation at ``$``.
+into VARIANT and taken apart level by level: a value becomes a row for each
+thing that is wrong with it and one for each value inside it, so the work is in
+rows and expressions don't grow with the depth of a form, and no schema has to
+cover what may be wrong. Text that is no JSON, an object that names a key twice
+included, is one violation at ``$``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FOUND = "array<struct<path:string,problem:string>>"
+ROW = "struct<path:string,problem:string,value:variant,form:int>"
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 UTC = r"(Z|\+00:00|-00:00)$"
+#: Number of a form among those of its document.
+NumberOf = Callable[["Form"], int]
 
 
-def _one(path: Column, problem: str | Column) -> Column:
-    return F.array(F.struct(path.alias("path"), (F.lit(problem) if isinstance(problem, str) else problem).alias("problem")))
+def _row(path: Column, problem: Column, value: Column, form: Column) -> Column:
+    return F.struct(path.alias("path"), problem.cast("string").alias("problem"), value.cast("variant").alias("value"), form.cast("int").alias("form"))
+
+
+def _one(path: Column, problem: str) -> Column:
+    return F.array(_wrong(path, problem))
+
+
+def _wrong(path: Column, problem: str) -> Column:
+    return _row(path, F.lit(problem), F.lit(None), F.lit(None))
+
+
+def _within(path: Column, value: Column, form: Column) -> Column:
+    return _row(path, F.lit(None), value, form)
 
 
 def _none() -> Column:
-    return F.array().cast(FOUND)
+    return F.array().cast(f"array<{ROW}>")
 
 
 def _unless(ok: Column, path: Column, problem: str) -> Column:
@@ -38,12 +55,27 @@ def _kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
+@dataclass(frozen=True)
+class Value:
+    """A value with its path and kind; what is in it as a map, if it is an object, or as an array, if it is a list."""
+
+    path: Column
+    value: Column
+    kind: Column
+    fields: Column
+    items: Column
+
+
 class Form:
-    """What a value must be; ``check`` is an array of violations, empty where there are none."""
+    """What a value must be; ``check`` is an array of rows: what is wrong with the value, and the values inside it that are to be checked next."""
 
-    def check(self, value: Column, path: Column) -> Column:
+    def check(self, v: Value, number: NumberOf) -> Column:
         raise NotImplementedError
 
+    def inside(self) -> Sequence[Form]:
+        """The forms of the values inside."""
+        return ()
+
 
 @dataclass(frozen=True)
 class Text(Form):
@@ -54,16 +86,16 @@ class Text(Form):
     blank: bool = True
     pattern: str | None = None
 
-    def check(self, value: Column, path: Column) -> Column:
-        text = F.try_variant_get(value, "$", "string")
-        found = [_unless(F.length(text) >= self.least, path, "too short")] if self.least else []
+    def check(self, v: Value, number: NumberOf) -> Column:
+        text = F.try_variant_get(v.value, "$", "string")
+        found = [_unless(F.length(text) >= self.least, v.path, "too short")] if self.least else []
         if self.most is not None:
-            found.append(_unless(F.length(text) <= self.most, path, "too long"))
+            found.append(_unless(F.length(text) <= self.most, v.path, "too long"))
         if not self.blank:
-            found.append(_unless(F.regexp_replace(text, r"(?U)^\s+", "") != "", path, "blank"))
+            found.append(_unless(F.regexp_replace(text, r"(?U)^\s+", "") != "", v.path, "blank"))
         if self.pattern:
-            found.append(_unless(text.rlike(self.pattern), path, "malformed"))
-        return F.when(_kind(value) == "STRING", F.concat(*found) if found else _none()).otherwise(_one(path, "not a string"))
+            found.append(_unless(text.rlike(self.pattern), v.path, "malformed"))
+        return F.when(v.kind == "STRING", F.concat(*found) if found else _none()).otherwise(_one(v.path, "not a string"))
 
 
 @dataclass(frozen=True)
@@ -72,11 +104,11 @@ class Instant(Form):
 
     utc: bool = True
 
-    def check(self, value: Column, path: Column) -> Column:
-        text = F.try_variant_get(value, "$", "string")
+    def check(self, v: Value, number: NumberOf) -> Column:
+        text = F.try_variant_get(v.value, "$", "string")
         real = text.rlike(INSTANT) & text.try_cast("timestamp").isNotNull()
-        offset = _unless(text.rlike(UTC), path, "not in UTC") if self.utc else _none()
-        return F.when(_kind(value) != "STRING", _one(path, "not a string")).when(real, offset).otherwise(_one(path, "not an instant"))
+        offset = _unless(text.rlike(UTC), v.path, "not in UTC") if self.utc else _none()
+        return F.when(v.kind != "STRING", _one(v.path, "not a string")).when(real, offset).otherwise(_one(v.path, "not an instant"))
 
 
 @dataclass(frozen=True)
@@ -86,19 +118,19 @@ class Number(Form):
     low: float | None = None
     high: float | None = None
 
-    def check(self, value: Column, path: Column) -> Column:
-        x = F.try_variant_get(value, "$", "double")
-        found = [_unless(x.isNotNull() & (F.abs(x) < float("inf")), path, "not finite")]
+    def check(self, v: Value, number: NumberOf) -> Column:
+        x = F.try_variant_get(v.value, "$", "double")
+        found = [_unless(x.isNotNull() & (F.abs(x) < float("inf")), v.path, "not finite")]
         if self.low is not None or self.high is not None:
             low, high = (F.lit(True) if b is None else (x >= b if k == 0 else x <= b) for k, b in enumerate((self.low, self.high)))
-            found.append(_unless(low & high, path, "out of bounds"))
-        return F.when(_kind(value).isin("BIGINT", "DECIMAL", "DOUBLE"), F.concat(*found)).otherwise(_one(path, "not a number"))
+            found.append(_unless(low & high, v.path, "out of bounds"))
+        return F.when(v.kind.isin("BIGINT", "DECIMAL", "DOUBLE"), F.concat(*found)).otherwise(_one(v.path, "not a number"))
 
 
 @dataclass(frozen=True)
 class Flag(Form):
-    def check(self, value: Column, path: Column) -> Column:
-        return _unless(_kind(value) == "BOOLEAN", path, "not a boolean")
+    def check(self, v: Value, number: NumberOf) -> Column:
+        return _unless(v.kind == "BOOLEAN", v.path, "not a boolean")
 
 
 @dataclass(frozen=True)
@@ -107,8 +139,15 @@ class Maybe(Form):
 
     form: Form
 
-    def check(self, value: Column, path: Column) -> Column:
-        return F.when(F.is_variant_null(value), _none()).otherwise(self.form.check(value, path))
+    def check(self, v: Value, number: NumberOf) -> Column:
+        return F.when(F.is_variant_null(v.value), _none()).otherwise(self.form.check(v, number))
+
+    def inside(self) -> Sequence[Form]:
+        return self.form.inside()
+
+
+def _at(path: Column, place: Column) -> Column:
+    return F.concat(path, F.lit("["), place.cast("string"), F.lit("]"))
 
 
 @dataclass(frozen=True)
@@ -119,13 +158,14 @@ class List(Form):
     least: int = 0
     most: int | None = None
 
-    def check(self, value: Column, path: Column) -> Column:
-        items = value.try_cast("array<variant>")
-        each = F.flatten(F.transform(items, lambda x, i: self.form.check(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-        size = F.size(items)
-        short = _unless(size >= self.least, path, "too few")
-        long = _none() if self.most is None else _unless(size <= self.most, path, "too many")
-        return F.when(_kind(value) == "ARRAY", F.concat(short, long, each)).otherwise(_one(path, "not a list"))
+    def check(self, v: Value, number: NumberOf) -> Column:
+        each = F.transform(v.items, lambda x, i: _within(_at(v.path, i), x, F.lit(number(self.form))))
+        short = _unless(F.size(v.items) >= self.least, v.path, "too few")
+        long = _none() if self.most is None else _unless(F.size(v.items) <= self.most, v.path, "too many")
+        return F.when(v.kind == "ARRAY", F.concat(short, long, each)).otherwise(_one(v.path, "not a list"))
+
+    def inside(self) -> Sequence[Form]:
+        return (self.form,)
 
 
 @dataclass(frozen=True)
@@ -134,11 +174,14 @@ class Tuple(Form):
 
     forms: Sequence[Form]
 
-    def check(self, value: Column, path: Column) -> Column:
-        items = value.try_cast("array<variant>")
-        each = F.concat(*[f.check(F.get(items, F.lit(i)), F.concat(path, F.lit(f"[{i}]"))) for i, f in enumerate(self.forms)])
-        sized = F.when(F.size(items) == len(self.forms), each).otherwise(_one(path, "wrong number of elements"))
-        return F.when(_kind(value) == "ARRAY", sized).otherwise(_one(path, "not a list"))
+    def check(self, v: Value, number: NumberOf) -> Column:
+        numbers = F.array(*[F.lit(number(f)) for f in self.forms]).cast("array<int>")
+        each = F.transform(v.items, lambda x, i: _within(_at(v.path, i), x, F.get(numbers, i)))
+        sized = F.when(F.size(v.items) == len(self.forms), each).otherwise(_one(v.path, "wrong number of elements"))
+        return F.when(v.kind == "ARRAY", sized).otherwise(_one(v.path, "not a list"))
+
+    def inside(self) -> Sequence[Form]:
+        return self.forms
 
 
 @dataclass(frozen=True)
@@ -148,23 +191,47 @@ class Object(Form):
     fields: Mapping[str, Form]
     optional: Sequence[str] = field(default_factory=tuple)
 
-    def check(self, value: Column, path: Column) -> Column:
-        inside = value.try_cast("map<string,variant>")
-        at = lambda name: F.concat(path, F.lit("."), name)
-        known = F.array(*[F.lit(n) for n in self.fields]).cast("array<string>")
-        unknown = F.transform(F.array_sort(F.array_except(F.map_keys(inside), known)), lambda k: F.struct(at(k).alias("path"), F.lit("unknown key").alias("problem")))
-        found = [unknown]
-        for name, form in self.fields.items():
-            lacking = _none() if name in self.optional else _one(at(F.lit(name)), "missing")
-            found.append(F.when(F.array_contains(F.map_keys(inside), name), form.check(F.element_at(inside, name), at(F.lit(name)))).otherwise(lacking))
-        return F.when(_kind(value) == "OBJECT", F.concat(*found)).otherwise(_one(path, "not an object"))
+    def check(self, v: Value, number: NumberOf) -> Column:
+        at = lambda name: F.concat(v.path, F.lit("."), name)
+        strings = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+        keys, known = F.map_keys(v.fields), strings(self.fields)
+        unknown = F.transform(F.array_except(keys, known), lambda k: _wrong(at(k), "unknown key"))
+        missing = F.transform(F.array_except(strings(n for n in self.fields if n not in self.optional), keys), lambda k: _wrong(at(k), "missing"))
+        numbers = F.array(*[F.lit(number(f)) for f in self.fields.values()]).cast("array<int>")
+        number_of = lambda key: F.get(numbers, F.array_position(known, key).cast("int") - 1)
+        named = F.transform(F.map_entries(v.fields), lambda e: _within(at(e["key"]), e["value"], number_of(e["key"])))
+        each = F.filter(named, lambda x: x["form"].isNotNull())
+        return F.when(v.kind == "OBJECT", F.concat(unknown, missing, each)).otherwise(_one(v.path, "not an object"))
+
+    def inside(self) -> Sequence[Form]:
+        return list(self.fields.values())
 
 
 def violations(df: DataFrame, column: str, form: Form, *keys: str) -> DataFrame:
-    """``keys``, path, problem: everything in which the JSON texts of ``column`` differ from ``form``; a null text has none."""
-    parsed = df.filter(F.col(column).isNotNull()).select(*keys, F.try_parse_json(column).alias("_value"))
-    found = F.when(F.col("_value").isNull(), _one(F.lit("$"), "not JSON")).otherwise(form.check(F.col("_value"), F.lit("$")))
-    return parsed.select(*keys, F.inline(found))
+    """``keys``, path, problem: everything in which the JSON texts of ``column`` differ from ``form``; a null text has none.
+
+    Each level of the form is a pass over the rows of the one before; what was found wrong is handed on as it is.
+    """
+    own = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    held = [f"_key{i}" for i in range(len(keys))]
+    c = F.col
+    root = F.try_parse_json(column).alias("value")
+    rows = df.filter(c(column).isNotNull()).select(*own, root)
+    rows = rows.select(*held, F.lit("$").alias("path"), F.when(c("value").isNull(), "not JSON").alias("problem"), "value", F.lit(0).alias("form"))
+    level = [form]
+    while level:
+        ahead: list[Form] = []
+        for f in level:
+            ahead.extend(g for g in f.inside() if g not in ahead)
+        kind = F.when(c("problem").isNull(), _kind(c("value")))
+        shaped = rows.select(*held, "path", "problem", "value", "form", kind.alias("kind"))
+        shaped = shaped.select("*", F.when(c("kind") == "OBJECT", c("value").try_cast("map<string,variant>")).alias("fields"), F.when(c("kind") == "ARRAY", c("value").try_cast("array<variant>")).alias("items"))
+        value = Value(c("path"), c("value"), c("kind"), c("fields"), c("items"))
+        known = F.when(c("problem").isNotNull(), F.array(_row(c("path"), c("problem"), F.lit(None), F.lit(None))))
+        checked = reduce(lambda case, i: case.when(c("form") == i, level[i].check(value, ahead.index)), range(len(level)), known)
+        rows = shaped.select(*held, F.inline(checked))
+        level = ahead
+    return rows.select(*[c(h).alias(k) for h, k in zip(held, keys, strict=True)], "path", "problem")
 
 
 _name, _version, _id = Text(1, 1000), Text(1, 100), Text(pattern=UUID)

@@ -249,3 +249,12 @@ def test_inclusions_are_those_of_all_pairs(spark):
     sets = {c: {str(x) for x in v if x is not None} for c, v in columns.items()}
     expected = {(a, b, len(sets[a]), len(sets[a] - sets[b])) for a in sets for b in sets if a != b and sets[a] & sets[b]}
     assert {tuple(r) for r in validation.inclusions(exprs, made).collect()} == expected
+
+
+def test_checks_of_documents_grow_with_rows_and_not_with_the_form(spark):
+    """A form's plan has a pass a level, and values are taken from a document once, however many fields a form has."""
+    df = spark.createDataFrame([(1, '{"a": 1}')], "i int, body string")
+    wide = documents.violations(df, "body", documents.ASSESSMENT, "i")
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 4 and plan.count("map<string,variant>") <= 16
+    assert {r.problem for r in wide.collect()} == {"missing", "unknown key"}
