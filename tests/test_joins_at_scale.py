@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quorumlake.functions import similarity
 from quorumlake.operators import graph, names, policy
 from quorumlake.operators.intervals import interval_join, latest_fact
 
@@ -228,3 +229,16 @@ def test_few_pairs_of_names_are_scored(spark):
     assert share < 0.1
     with pytest.raises(ValueError):
         names.pairs_to_score(left, right, 0.0)
+
+
+def test_names_much_alike_are_paired_once_without_characters(spark):
+    """Numbered names share nearly all characters: their tenant's pairs are taken as they are, and come out the same as by characters."""
+    rows = [(t, f"supplier {i:06d}") for t in (1, 2) for i in range(0, 9000, 300)] + [(3, n) for n in ("acme", "bolt works", "zenith", "quartz ltd")]
+    a, b = spark.createDataFrame(rows, "tenant_id int, a string"), spark.createDataFrame(rows, "tenant_id int, b string")
+    order = a.select(F.explode(similarity.letters(F.col("a"))).alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
+    by_a, by_b = names.indexed(a, order, "a"), names.indexed(b, order, "b")
+    plainly = names._better_without(by_a, by_b, names._prefixes(by_a, "a", "a", 0.65), names._prefixes(by_b, "b", "b", 0.65))
+    assert {1, 2} <= {r.tenant_id for r in plainly.collect()}
+    pairs = [tuple(r) for r in names.similar_names(a, b, 0.65, slice_size=20).select("tenant_id", "a", "b").collect()]
+    expected = {(t, x, y) for t, x in rows for u, y in rows if t == u and difflib.SequenceMatcher(None, x, y).ratio() >= 0.65}
+    assert len(pairs) == len(expected) and set(pairs) == expected
