@@ -131,7 +131,11 @@ def jn_06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("jn_08_units_with_alternates", "SELECT p_partkey, a.s_suppkey AS alternate FROM (SELECT p_partkey, p_size % 26 AS tenant FROM part) p LEFT JOIN (SELECT s_suppkey, s_nationkey AS tenant FROM supplier WHERE s_suppkey % 5 = 0) a USING (tenant)")
 def jn_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     alternates = read(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("alternate"), F.col("s_nationkey").alias("tenant"))
-    return read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 26).alias("tenant")).join(alternates, "tenant", "left").select("p_partkey", "alternate")
+    parts = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 26).alias("tenant"))
+    # every part of a tenant has all of its alternates, so both are dealt to slices; parts without any stand alone
+    units = joins.in_slices(parts, alternates, ["tenant"], "p_partkey", "alternate", 2_000)
+    alone = parts.join(alternates.select("tenant").distinct(), "tenant", "left_anti")
+    return units.unionByName(alone, allowMissingColumns=True).select("p_partkey", "alternate")
 
 
 AUDIT_SQL = """
