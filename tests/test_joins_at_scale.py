@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumlake.functions import similarity
-from quorumlake.operators import graph, names, policy
+from quorumlake.operators import graph, joins, names, policy
 from quorumlake.operators.intervals import interval_join, latest_fact
 
 
@@ -242,3 +242,11 @@ def test_names_much_alike_are_paired_once_without_characters(spark):
     pairs = [tuple(r) for r in names.similar_names(a, b, 0.65, slice_size=20).select("tenant_id", "a", "b").collect()]
     expected = {(t, x, y) for t, x in rows for u, y in rows if t == u and difflib.SequenceMatcher(None, x, y).ratio() >= 0.65}
     assert len(pairs) == len(expected) and set(pairs) == expected
+
+
+def test_pairs_of_slices_are_spread_over_tasks(spark):
+    """The pairs of one key, read from a single small partition, are made in several tasks."""
+    left = spark.range(400).coalesce(1).select(F.lit(1).alias("k"), F.col("id").alias("x"))
+    right = spark.range(40).coalesce(1).select(F.lit(1).alias("k"), F.col("id").alias("y"))
+    per = joins.in_slices(left, right, ["k"], "x", "y", 20).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in per) == 16_000 and len(per) > 1 and max(r["count"] for r in per) < 12_000
