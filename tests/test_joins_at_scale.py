@@ -72,6 +72,16 @@ def test_interval_join_meets_little_more_than_matches(spark):
     assert matches <= rows <= 3 * matches
 
 
+def test_interval_join_cuts_no_intervals_of_keys_without_points(spark):
+    points = spark.range(100).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("p"), (F.col("id") * 10).alias("t"))
+    spans = spark.range(1000).select((F.col("id") % 100).alias("k"), F.col("id").alias("i"), F.lit(None).cast("long").alias("e"), F.lit(0).cast("long").alias("s"))
+    pairs = interval_join(points, spans, ["k"], "t", "s", "e")
+    assert pairs.count() == 1000
+    plan = pairs._jdf.queryExecution().analyzed()
+    top = next(plan.apply(i) for i in range(40) if plan.apply(i) is not None and plan.apply(i).nodeName() == "Join")
+    assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, top.children().apply(1)).count() <= 10 * 17
+
+
 def test_interval_join_takes_dates_and_timestamps(spark):
     day = lambda d: datetime.date(2024, 3, d)
     spans = spark.createDataFrame([("a", 1, day(1), day(3)), ("a", 2, day(2), None)], "k string, i int, s date, e date")
