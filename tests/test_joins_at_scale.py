@@ -82,6 +82,15 @@ def test_interval_join_cuts_no_intervals_of_keys_without_points(spark):
     assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, top.children().apply(1)).count() <= 10 * 17
 
 
+def test_pairs_of_small_inputs_are_spread(spark):
+    """A point side of one partition and few intervals: their pairs, which are many, come in several tasks."""
+    points = spark.range(0, 2000, 1, 1).select(F.lit("hot").alias("k"), F.col("id").alias("p"), F.col("id").alias("t"))
+    spans = spark.range(0, 50, 1, 1).select(F.lit("hot").alias("k"), F.col("id").alias("i"), F.col("id").alias("s"), F.lit(None).cast("long").alias("e"))
+    tasks = interval_join(points, spans, ["k"], "t", "s", "e").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == sum(2000 - s for s in range(50))
+    assert len(tasks) >= 2
+
+
 def test_interval_join_takes_dates_and_timestamps(spark):
     day = lambda d: datetime.date(2024, 3, d)
     spans = spark.createDataFrame([("a", 1, day(1), day(3)), ("a", 2, day(2), None)], "k string, i int, s date, e date")
