@@ -3,11 +3,12 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quorumlake.operators import pipeline
-from quorumlake.streaming import keyed, rate_limit, staged
+from quorumlake.streaming import admission, keyed, rate_limit, staged
 
 EVENTS = "k string, at timestamp, id long, said string"
 
@@ -39,6 +40,16 @@ def test_admission_over_restarts(spark, tmp_path):
     assert {r.request_id: r.status for r in got} == expected and len(got) == len(rows)
 
 
+def test_the_older_admission_keeps_a_state_for_a_bucket(spark, tmp_path):
+    rows = [(f"k{i % 3000}", at(i % 50), i, "x") for i in range(4000)]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+    got = admission.finished(admission.admitted_stream(stream, "k", "at", "said", "id", 16), str(tmp_path / "run"))
+    expected = pipeline.admit(spark.createDataFrame(rows, EVENTS), ["k"], ["at", "id"], "said")
+    assert {tuple(r) for r in got.collect()} == {(r.id, r.status) for r in expected.collect()}
+    assert spark.read.format("statestore").load(str(tmp_path / "run/state")).count() == 16
+
+
 def test_transitions_over_restarts(spark, tmp_path):
     rng = random.Random(2)
     rows = [(k, i, rng.choice(["Accepted", "Executing", "Completed", "Failed"]) if i else rng.choice(["Accepted", "Executing"])) for i in range(8) for k in "abcdef"]
