@@ -1,8 +1,9 @@
 """Admission, transitions and rate limits as keyed state that is changed in place.
 
-A call reads and writes only the entries that it concerns: the first digest of
-a key, the last state of an execution, or of a sliding log the oldest entry and
-the new one. State is kept by RocksDB (``keyed_by_rocksdb``), on the tasks'
+A call reads and writes only the entries that it concerns: the last state of
+an execution, or of a sliding log the oldest entry and the new one. Admission,
+whose keys are many with few rows each, has a call for a bucket of keys: it
+reads the bucket's first digests and adds those of new keys. State is kept by RocksDB (``keyed_by_rocksdb``), on the tasks'
 disks and in the checkpoint. What no longer counts goes by timer in event time
 (rate limits) or, where asked for, after a time to live since it was last
 written (admission, transitions). Of a key's rows in a micro-batch only the
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quorumlake.streaming.admission import BUCKETS, bucketed, judged
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows that a task gives out at a time.
@@ -54,36 +57,32 @@ def _clock(ttl_ms: int | None) -> str:
 
 
 class Admission(StatefulProcessor):
-    """The first digest of a key decides: NEW, then REPLAY or CONFLICT."""
+    """The first digest of a key decides: NEW, then REPLAY or CONFLICT. The state is a list of a bucket's keys with theirs, which is only added to."""
 
     def __init__(self, ttl_ms: int | None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "digest string", self.ttl_ms)
+        self.first = handle.getListState("first", "k string, digest string", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        known, new = self.first.get(), None
-        if known is None:
-            rows = list(rows)
-            _, new, digest = min((r for f in rows for r in zip(f["at"].tolist(), f["id"].tolist(), f["digest"].tolist(), strict=True)), key=lambda r: r[:2])
-            known = (digest,)
-            self.first.update(known)
-        for frame in rows:
-            status = ["REPLAY" if d == known[0] else "CONFLICT" for d in frame["digest"].tolist()]
-            ids = frame["id"].tolist()
-            if new is not None and new in ids:
-                status[ids.index(new)], new = "NEW", None
-            yield pd.DataFrame({"request_id": ids, "status": status})
+        known, added = dict(self.first.get()), {}
+        for frame, status in judged(rows, known, added):
+            yield pd.DataFrame({"request_id": frame["id"], "status": status})
+        if added:
+            self.first.appendList(list(added.items()))
 
     def close(self) -> None:
         pass
 
 
-def admitted(requests: DataFrame, key: str, order: str, digest: str, request_id: str, *, ttl_ms: int | None = None) -> DataFrame:
-    """request_id, status of a stream of requests (ST-01); a key that was not written for ``ttl_ms`` is forgotten, by default never."""
-    shaped = requests.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(order).cast("timestamp")).alias("at"), F.col(digest).alias("digest"), F.col(request_id).cast("long").alias("id"))
-    return shaped.groupBy("k").transformWithStateInPandas(Admission(ttl_ms), "request_id long, status string", "append", _clock(ttl_ms))
+def admitted(requests: DataFrame, key: str, order: str, digest: str, request_id: str, *, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """request_id, status of a stream of requests (ST-01); a key that was not written for ``ttl_ms`` is forgotten, by default never.
+
+    Keys are dealt to ``buckets`` by hash, which a run that is taken up again must leave as they are.
+    """
+    shaped = bucketed(requests, key, order, digest, request_id, buckets)
+    return shaped.groupBy("bucket").transformWithStateInPandas(Admission(ttl_ms), "request_id long, status string", "append", _clock(ttl_ms))
 
 
 class Transitions(StatefulProcessor):

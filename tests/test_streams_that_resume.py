@@ -40,6 +40,32 @@ def test_admission_over_restarts(spark, tmp_path):
     assert {r.request_id: r.status for r in got} == expected and len(got) == len(rows)
 
 
+def test_admission_of_many_keys_has_a_call_for_a_bucket(monkeypatch):
+    """A bucket's keys are read and added in one call each, whatever their number; null keys and digests count."""
+
+    class Bucket:
+        rows, calls = [], 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows)
+
+        def appendList(self, rows):
+            self.calls += 1
+            self.rows = self.rows + rows
+
+    bucket = Bucket()
+    processor = keyed.Admission(None)
+    processor.init(type("Handle", (), {"getListState": lambda self, *a: bucket})())
+    frame = lambda rows: pd.DataFrame(rows, columns=["bucket", "k", "at", "digest", "id"])
+    first = [frame([(0, f"k{i}", 5, "x", i) for i in range(500)] + [(0, None, 7, None, 900)]), frame([(0, "k1", 4, "y", 901), (0, None, 7, None, 902)])]
+    second = [frame([(0, f"k{i}", 9, "x", 1000 + i) for i in range(500)] + [(0, None, 9, None, 2000)])]
+    got = [dict(zip(f["request_id"], f["status"], strict=True)) for part in (first, second) for f in processor.handleInputRows((0,), iter(part), None)]
+    assert got[0] == {i: "CONFLICT" if i == 1 else "NEW" for i in range(500)} | {900: "NEW"} and got[1] == {901: "NEW", 902: "REPLAY"}
+    assert got[2] == {1000 + i: "CONFLICT" if i == 1 else "REPLAY" for i in range(500)} | {2000: "REPLAY"}
+    assert bucket.calls == 3
+
+
 def test_the_older_admission_keeps_a_state_for_a_bucket(spark, tmp_path):
     rows = [(f"k{i % 3000}", at(i % 50), i, "x") for i in range(4000)]
     spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
