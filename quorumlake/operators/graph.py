@@ -39,6 +39,40 @@ def distances(hops: DataFrame, target_type: str, max_depth: int, keep: Keep = la
     return found
 
 
+def typed_hops(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """tenant_id, relationship_name, at, next, and the name and type of next: edges to nodes that are in ``entities``."""
+    nodes = entities.select("tenant_id", F.col("entity_id").alias("to_entity_id"), F.col("entity_name").alias("_name"), F.col("entity_type_name").alias("_type"))
+    return edges.join(nodes, ["tenant_id", "to_entity_id"]).select("tenant_id", "relationship_name", F.col("from_entity_id").alias("at"), F.col("to_entity_id").alias("next"), "_name", "_type")
+
+
+def targets_reached(starts: DataFrame, hops: DataFrame, target_type: str, max_depth: int = MAX_DEPTH, keep: Keep = lambda hops: hops) -> DataFrame:
+    """tenant_id, start_id, target_id, target_name: the ends of ``paths_to_type`` without their paths; a pair can come more than once.
+
+    A hop starts only from pairs of start and node that the hop before found first, towards nodes from which a target
+    can still be reached in the hops that are left; nothing is walked from a target. A target that some path reaches is
+    reached by a shortest one, which meets no node twice. ``hops`` are ``typed_hops``; ``keep`` stores the fronts, and
+    what has arrived is joined to them as the result is read.
+    """
+    pair = ["tenant_id", "start_id", "node"]
+    arriving = hops.filter(F.col("_type") == target_type).select("tenant_id", F.col("at").alias("node"), F.col("next").alias("target_id"), F.col("_name").alias("target_name")).distinct()
+    front = starts.select("tenant_id", "start_id", F.col("start_id").alias("node")).distinct()
+    if max_depth > 1:
+        far = distances(hops, target_type, max_depth - 1, keep).select("tenant_id", F.col("at").alias("next"), "far")
+        onward = hops.filter(F.col("_type") != target_type).select("tenant_id", F.col("at").alias("node"), "next").distinct()
+        onward = keep(onward.join(far, ["tenant_id", "next"]))
+    seen, found = front, []
+    for depth in range(1, max_depth + 1):
+        found.append(front.join(arriving, ["tenant_id", "node"]).filter("target_id <> start_id").select("tenant_id", "start_id", "target_id", "target_name"))
+        if depth == max_depth:
+            break
+        ahead = front.join(onward.filter(F.col("far") <= max_depth - depth), ["tenant_id", "node"]).select("tenant_id", "start_id", F.col("next").alias("node")).distinct()
+        front = keep(ahead.join(seen, pair, "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return reduce(DataFrame.unionByName, found)
+
+
 def paths_to_type(starts: DataFrame, entities: DataFrame, edges: DataFrame, target_type: str, max_depth: int = MAX_DEPTH, keep: Keep = lambda hops: hops) -> DataFrame:
     """tenant_id, start_id, target_id, target_name, depth, steps of every simple path that ends at its first ``target_type`` (GRF-02).
 
@@ -46,8 +80,7 @@ def paths_to_type(starts: DataFrame, entities: DataFrame, edges: DataFrame, targ
     or to a node from which one can still be reached in the hops that are left. ``keep`` stores the hops and each front;
     hops to targets are joined to the stored fronts as the result is read, so paths that have arrived are not stored.
     """
-    nodes = entities.select("tenant_id", F.col("entity_id").alias("to_entity_id"), F.col("entity_name").alias("_name"), F.col("entity_type_name").alias("_type"))
-    hops = keep(edges.join(nodes, ["tenant_id", "to_entity_id"]).select("tenant_id", "relationship_name", F.col("from_entity_id").alias("at"), F.col("to_entity_id").alias("next"), "_name", "_type"))
+    hops = keep(typed_hops(entities, edges))
     found = []
     known = entities.select("tenant_id", F.col("entity_id").alias("start_id"))
     front = starts.join(known, ["tenant_id", "start_id"], "left_semi").select("tenant_id", "start_id", F.col("start_id").alias("at"), F.array("start_id").alias("seen"), F.array().cast(STEP).alias("steps"))

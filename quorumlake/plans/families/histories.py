@@ -323,13 +323,12 @@ NAMED_SQL = "SELECT e.id AS start_id, coalesce(len(names), 0)::INT AS n, CASE WH
 def cvg_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges = _graph(spark, sf_dir)
     suppliers = entities.filter(SUPPLIERS)
-    asked = suppliers.select("tenant_id", F.col("entity_id").alias("start_id"), questions.parse_question(F.concat(F.lit("which products depend on "), F.col("entity_name"), F.lit("?"))).alias("q"))
-    known = asked.join(suppliers.select("tenant_id", "entity_name"), F.lower("q.entity") == F.lower("entity_name")).select(asked["tenant_id"], "start_id", "entity_name")
-    of = lambda df, name: df.select("tenant_id", F.col("entity_id").alias(name))
-    products = entities.filter("entity_type_name = 'Product'")
+    asked = suppliers.select("tenant_id", F.col("entity_id").alias("start_id"), questions.parse_question(F.concat(F.lit("which products depend on "), F.col("entity_name"), F.lit("?"))).alias("q"), "entity_name")
+    # several suppliers may have a name; each is asked about once, under its own
+    named = suppliers.select(F.col("tenant_id").alias("_tenant"), F.lower("entity_name").alias("_named")).distinct()
+    known = asked.join(named, (F.col("tenant_id") == F.col("_tenant")) & (F.lower("q.entity") == F.col("_named")), "left_semi").select("tenant_id", "start_id", "entity_name")
     # only what is reachable is asked: paths end at their first product, and at nodes that are no entities
-    hops = edges.join(of(entities, "to_entity_id"), ["tenant_id", "to_entity_id"], "left_semi").join(of(products, "from_entity_id"), ["tenant_id", "from_entity_id"], "left_anti")
-    reached = graph.reachable(known, hops, keep=stored).join(products.select("tenant_id", F.col("entity_id").alias("node"), F.col("entity_name").alias("product")), ["tenant_id", "node"])
-    names = reached.groupBy("tenant_id", "start_id").agg(F.array_sort(F.collect_set("product")).alias("names"))
+    reached = graph.targets_reached(known.select("tenant_id", "start_id"), stored(graph.typed_hops(entities, edges)), "Product", keep=stored)
+    names = reached.groupBy("tenant_id", "start_id").agg(F.array_sort(F.collect_set("target_name")).alias("names"))
     listed = F.coalesce("names", F.array().cast("array<string>"))
     return known.join(names, ["tenant_id", "start_id"], "left").select("start_id", F.size(listed).alias("n"), questions.products_answer(F.col("entity_name"), listed).alias("answer"))

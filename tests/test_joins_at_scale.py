@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions import similarity
 from quorumlake.operators import graph, joins, names, policy
 from quorumlake.operators.intervals import interval_join, latest_fact
+from quorumlake.plans import registry
 
 
 @pytest.fixture
@@ -269,3 +270,27 @@ def test_pairs_of_slices_are_spread_over_tasks(spark):
     right = spark.range(40).coalesce(1).select(F.lit(1).alias("k"), F.col("id").alias("y"))
     per = joins.in_slices(left, right, ["k"], "x", "y", 20).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in per) == 16_000 and len(per) > 1 and max(r["count"] for r in per) < 12_000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_reached_are_the_ends_of_paths(spark, keep, seed):
+    """Cycles, loops, parallel edges, unknown nodes, targets as starts, and targets only beyond other targets."""
+    rng = random.Random(seed)
+    kinds = {f"n{i}": rng.choice("ABBC") for i in range(14)}
+    entities = spark.createDataFrame([("t", n, f"name {n}", k) for n, k in kinds.items()], "tenant_id string, entity_id string, entity_name string, entity_type_name string")
+    edges = spark.createDataFrame([("t", "r", f"n{rng.randrange(15)}", f"n{rng.randrange(15)}") for _ in range(24)], "tenant_id string, relationship_name string, from_entity_id string, to_entity_id string")
+    starts = entities.select("tenant_id", F.col("entity_id").alias("start_id"))
+    for depth in (1, 2, 4):
+        paths = graph.paths_to_type(starts, entities, edges, "C", depth, keep).select("tenant_id", "start_id", "target_id", "target_name")
+        reached = graph.targets_reached(starts, keep(graph.typed_hops(entities, edges)), "C", depth, keep)
+        assert {tuple(r) for r in reached.collect()} == {tuple(r) for r in paths.collect()}
+
+
+def test_suppliers_of_one_name_are_asked_about_once_each(spark, tmp_path):
+    given = "/root/testdata/sf0.001"
+    for name in ("part", "orders", "lineitem", "nation", "region"):
+        spark.read.parquet(f"{given}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    suppliers = spark.read.parquet(f"{given}/supplier.parquet").withColumn("s_name", F.lit("Same Name"))
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    answers = registry.queries()["cvg_08_ask_products"](spark, str(tmp_path)).collect()
+    assert sorted(r.start_id for r in answers) == sorted(f"S:{r.s_suppkey}" for r in suppliers.collect())
