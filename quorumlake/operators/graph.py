@@ -141,31 +141,36 @@ SEGMENTS = (("Supplier", "Material", 1), ("Material", "Product", 2), ("Product",
 def impact(entities: DataFrame, edges: DataFrame, keep: Keep = lambda hops: hops) -> DataFrame:
     """tenant_id, supplier_id, entity_type_name, entity_id, entity_name, revenue_exposure_id: what each supplier's failure reaches (GRF-03).
 
-    A segment is walked once for all its starts and put together by distinct pairs, so paths of one segment
-    don't multiply with those of the next. Of a material, the first revenue exposure in path order is named.
-    ``keep`` stores what is read more than once: the hops, fronts and segments.
+    A segment is walked once for all its starts, as pairs without their paths, so paths of one segment don't multiply
+    with those of the next. What lies beyond materials is found for each material first; then suppliers take it from
+    their materials in one join. Of a material, the first revenue exposure in path order is named. ``keep`` stores what
+    is read more than once: the hops, fronts, segments and what lies beyond materials.
     """
     keys = ["tenant_id", "supplier_id"]
+    hops = keep(typed_hops(entities, edges))
 
     def segment(source: str, target: str, depth: int) -> DataFrame:
         starts = entities.filter(F.col("entity_type_name") == source).select("tenant_id", F.col("entity_id").alias("start_id"))
-        return keep(paths_to_type(starts, entities, edges, target, depth, keep).select("tenant_id", "start_id", "target_id", "target_name").distinct())
+        return keep(targets_reached(starts, hops, target, depth, keep).distinct())
 
-    def then(reached: DataFrame, onward: DataFrame) -> DataFrame:
-        at = onward.select("tenant_id", F.col("start_id").alias("target_id"), F.col("target_id").alias("next_id"), F.col("target_name").alias("next_name"))
-        return reached.join(at, ["tenant_id", "target_id"]).select(*keys, F.col("next_id").alias("target_id"), F.col("next_name").alias("target_name")).distinct()
+    def then(kind: str) -> DataFrame:
+        """What of ``kind`` lies beyond the products of each material."""
+        at = walked["Product", kind].select("tenant_id", F.col("start_id").alias("product_id"), "target_id", "target_name")
+        return made.select("tenant_id", "start_id", F.col("target_id").alias("product_id")).join(at, ["tenant_id", "product_id"]).select("tenant_id", "start_id", F.lit(kind).alias("entity_type_name"), "target_id", "target_name").distinct()
 
     walked = {(a, b): segment(a, b, depth) for a, b, depth in SEGMENTS}
     materials, risks = (walked["Supplier", x].withColumnRenamed("start_id", "supplier_id") for x in ("Material", "Risk Event"))
-    products = then(materials, walked["Material", "Product"])
-    facilities, revenue = then(products, walked["Product", "Facility"]), then(products, walked["Product", "Revenue Exposure"])
+    made = walked["Material", "Product"]
+    beyond = keep(made.withColumn("entity_type_name", F.lit("Product")).unionByName(then("Facility")).unionByName(then("Revenue Exposure")))
+    at_material = materials.select(*keys, F.col("target_id").alias("start_id"))
+    reached = at_material.join(beyond, ["tenant_id", "start_id"]).select(*keys, "entity_type_name", "target_id", "target_name").distinct()
     of_product = walked["Product", "Revenue Exposure"].groupBy("tenant_id", F.col("start_id").alias("target_id")).agg(F.min(F.struct("target_name", F.col("target_id").alias("id"))).alias("exposure"))
     first = F.min(F.struct(F.col("target_name").alias("product_name"), F.col("target_id").alias("product_id"), "exposure"))
     of_material = walked["Material", "Product"].join(of_product, ["tenant_id", "target_id"]).groupBy("tenant_id", F.col("start_id").alias("target_id")).agg(first.alias("first"))
     named = materials.join(of_material, ["tenant_id", "target_id"], "left").withColumn("revenue_exposure_id", F.col("first.exposure.id"))
-    parts = [(named, "Material"), (products, "Product"), (facilities, "Facility"), (revenue, "Revenue Exposure"), (risks, "Risk Event")]
     none = F.lit(None).cast("string").alias("revenue_exposure_id")
-    rows = [x.select(*keys, F.lit(kind).alias("entity_type_name"), F.col("target_id").alias("entity_id"), F.col("target_name").alias("entity_name"), "revenue_exposure_id" if kind == "Material" else none) for x, kind in parts]
+    parts = [named.withColumn("entity_type_name", F.lit("Material")), reached.withColumn("revenue_exposure_id", none), risks.withColumns({"entity_type_name": F.lit("Risk Event"), "revenue_exposure_id": none})]
+    rows = [x.select(*keys, "entity_type_name", F.col("target_id").alias("entity_id"), F.col("target_name").alias("entity_name"), "revenue_exposure_id") for x in parts]
     return reduce(DataFrame.unionByName, rows)
 
 
