@@ -113,19 +113,32 @@ def manifest_differences(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return j.select("path", problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
+#: Columns that a whole number stands for, by its bits.
+BITS = 63
+
+
 def inclusions(tables: Mapping[str, Mapping[str, Column]], frames: Mapping[str, DataFrame]) -> DataFrame:
     """a, b, n_values, n_broken: of every two columns with a value in common, how many distinct values of ``a`` are not in ``b`` (QLY-02, JN-11).
 
-    ``tables`` names the columns to compare, as ``name`` to expression of each table. Values are shuffled once, with the
-    set of columns that have them; sets are counted, and only the different sets meet, of which there are few. Where
-    n_broken is 0, ``a`` may refer to ``b``. Nulls are no values.
+    ``tables`` names the columns to compare, as ``name`` to expression of each table. Each column has a bit of its own;
+    values are shuffled once, with the bits of the columns that have them, which are added up before the shuffle as
+    well. Combinations of bits are counted, and only the different ones meet, of which there are few. Where n_broken is
+    0, ``a`` may refer to ``b``. Nulls are no values.
     """
+    names = [f"{table}.{name}" for table, columns in tables.items() for name in columns]
+    words = [f"_w{i}" for i in range(-(-len(names) // BITS))]
     each = []
     for table, columns in tables.items():
-        found = F.array(*[F.struct(F.lit(f"{table}.{name}").alias("column"), value.cast("string").alias("value")) for name, value in columns.items()])
-        each.append(frames[table].select(F.inline(found)).filter("value IS NOT NULL").distinct())
-    where = issues(each).groupBy("value").agg(F.array_sort(F.collect_set("column")).alias("columns"))
-    sets = where.groupBy("columns").agg(F.count(F.lit(1)).alias("n"))
+        found = []
+        for name, value in columns.items():
+            place = names.index(f"{table}.{name}")
+            bits = [F.lit(1 << place % BITS if place // BITS == i else 0).cast("long").alias(w) for i, w in enumerate(words)]
+            found.append(F.struct(value.cast("string").alias("value"), *bits))
+        each.append(frames[table].select(F.inline(F.array(*found))).filter("value IS NOT NULL"))
+    where = issues(each).groupBy("value").agg(*[F.bit_or(w).alias(w) for w in words])
+    sets = where.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
+    has = [F.when(F.col(words[i // BITS]).bitwiseAND(F.lit(1 << i % BITS).cast("long")) != 0, name) for i, name in enumerate(names)]
+    sets = sets.select(F.array_compact(F.array(*has)).alias("columns"), "n")
     total = sets.select(F.explode("columns").alias("a"), "n").groupBy("a").agg(F.sum("n").alias("n_values"))
     pairs = sets.select(F.explode("columns").alias("a"), "columns", "n").select("a", F.explode("columns").alias("b"), "n").filter("a <> b")
     shared = pairs.groupBy("a", "b").agg(F.sum("n").alias("n_shared"))

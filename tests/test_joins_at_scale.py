@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumlake.functions import similarity
-from quorumlake.operators import graph, joins, names, policy
+from quorumlake.operators import graph, joins, names, policy, validation
 from quorumlake.operators.intervals import interval_join, latest_fact
 from quorumlake.plans import registry
 
@@ -294,3 +294,13 @@ def test_suppliers_of_one_name_are_asked_about_once_each(spark, tmp_path):
     suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
     answers = registry.queries()["cvg_08_ask_products"](spark, str(tmp_path)).collect()
     assert sorted(r.start_id for r in answers) == sorted(f"S:{r.s_suppkey}" for r in suppliers.collect())
+
+
+def test_inclusions_are_not_sets_in_memory(spark):
+    """Bits of columns are added up, before the shuffle as well; more columns than a number has bits."""
+    names = [f"c{i}" for i in range(70)]
+    frame = spark.range(5).select(*[(F.col("id") + (i % 3)).alias(n) for i, n in enumerate(names)])
+    found = validation.inclusions({"t": {n: F.col(n) for n in names}}, {"t": frame})
+    rows = {(r.a, r.b): (r.n_values, r.n_broken) for r in found.collect()}
+    assert rows == {(f"t.{a}", f"t.{b}"): (5, abs(i % 3 - j % 3)) for i, a in enumerate(names) for j, b in enumerate(names) if i != j}
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
