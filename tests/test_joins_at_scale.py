@@ -304,3 +304,78 @@ def test_inclusions_are_not_sets_in_memory(spark):
     rows = {(r.a, r.b): (r.n_values, r.n_broken) for r in found.collect()}
     assert rows == {(f"t.{a}", f"t.{b}"): (5, abs(i % 3 - j % 3)) for i, a in enumerate(names) for j, b in enumerate(names) if i != j}
     assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+# ---- units of materials and alternates
+
+
+def shuffled_rows(spark, run):
+    """Rows that the stages of ``run`` write to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    run()
+    return sum(n for stage, n in written().items() if stage not in before)
+
+
+@pytest.fixture
+def supply(spark, tmp_path):
+    """A folder with ``n`` suppliers from ``first`` by ``step``, each with ``parts`` parts, two lines of one of them."""
+
+    def made(n, parts, first=0, step=1):
+        folder = str(tmp_path / f"{n}-{parts}-{first}-{step}")
+        keys = spark.range(n).select((F.col("id") * step + first).alias("s_suppkey"))
+        keys.select("s_suppkey", (F.col("s_suppkey") % 4).cast("int").alias("s_nationkey"), ((F.col("s_suppkey") * 37) % 3000).cast("double").alias("s_acctbal")).write.parquet(f"{folder}/supplier.parquet")
+        spark.range(4).select(F.col("id").cast("int").alias("n_nationkey"), F.col("id").cast("int").alias("n_regionkey")).write.parquet(f"{folder}/nation.parquet")
+        lines = keys.select(F.col("s_suppkey").alias("l_suppkey"), F.explode(F.sequence(F.lit(0), F.lit(parts))).alias("l")).select("l_suppkey", (F.greatest("l", F.lit(1))).cast("long").alias("l_partkey"))
+        price = F.when(F.col("l_partkey") % 2 == 0, 2e6).otherwise(1.0)
+        day = F.when(F.col("l_suppkey") % 3 == 0, F.lit("1995-01-01")).otherwise("1998-05-01").cast("timestamp_ntz")
+        lines.select("*", price.alias("l_extendedprice"), F.lit("O").alias("l_linestatus"), F.lit("N").alias("l_returnflag"), day.alias("l_shipdate")).write.parquet(f"{folder}/lineitem.parquet")
+        return folder
+
+    return made
+
+
+@pytest.fixture
+def broadcasts(spark):
+    """Sets the size up to which sides of joins are broadcast, for a test."""
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    yield lambda threshold: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_materials_are_not_shuffled_for_alternates(spark, supply, broadcasts):
+    """Without broadcasts they are shuffled to be distinct, to meet suppliers and to be spread, and 40,000 valid ones are counted; none is copied."""
+    broadcasts("-1")
+    units = registry.queries()["pol_13_gate_f_units"](spark, supply(600, 100))
+    rows = shuffled_rows(spark, lambda: units.write.format("noop").mode("overwrite").save())
+    assert 220_000 <= rows <= 3.1 * 60_000 + 40_000
+    per = units.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in per) == 60_000 * 120 and len(per) > 1
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+@pytest.mark.parametrize("first, step", [(0, 1), (1, 5)])
+def test_units_of_few_and_no_alternates(spark, supply, broadcasts, threshold, first, step):
+    """Against plain loops, with and without broadcasts; without alternates (no key is divisible by 5) materials stay."""
+    folder = supply(40, 15, first, step)
+    suppliers = [(i * step + first, (i * step + first) * 37 % 3000) for i in range(40)]
+    others = [(k, None if k % 3 == 0 else b > 2000, b > 1000) for k, b in suppliers if k % 5 == 0] or [(None, None, None)]
+    expected = set()
+    for s, _ in suppliers:
+        severe = {0: None, 1: False}.get(s % 4, True)
+        for p in range(1, 16):
+            single, material = s % 3 != 0 and p != 1, None if p % 7 == 0 else p % 2 == 0
+            for a, qualified, capacity in others:
+                facts = [(severe, "not-severe"), (single, "not-single-sourced"), (material, "not-material"), (a is not None, "no-candidate"), (qualified, "not-qualified"), (capacity, "no-capacity")]
+                reason = next((why for fact, why in facts if fact is False), None)
+                outcome = "REJECTED" if reason else "RECOMMENDED" if all(fact for fact, _ in facts) else None
+                expected.add((s, p, a, outcome, reason))
+    broadcasts(threshold)
+    found = [tuple(r) for r in registry.queries()["pol_13_gate_f_units"](spark, folder).collect()]
+    assert len(found) == len(expected) and set(found) == expected
